@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .quality_rules import op4_quality_rules
+from .simhash import op5_simhash
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
 }
 
 #: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping.
