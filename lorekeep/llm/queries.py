@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash
+from .substring import op7_substring_dedup
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 #: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping.
