@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .quality_model import op1_quality_model
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash
 from .substring import op7_substring_dedup
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
