@@ -2,8 +2,9 @@
 
 A window is 20 consecutive words of one document. Its minimiser is the least hash among the 18 word triples in it, so equal
 windows have equal minimisers. Consecutive windows with one minimiser travel as one packed string (their words, joined by a
-space) to the minimiser's bucket; there the windows of a bucket are sorted, and all but the first of each run of equal ones,
-in the order of (doc_id, start), are marked. The words under marked windows go.
+space) to the minimiser's bucket; there the windows of a minimiser are sorted, and all but the first of each run of equal
+ones, in the order of (doc_id, start), are marked. The words under marked windows go. Strings travel in compressed blocks, one
+for each bucket from some ten megabytes of text.
 
 Skew: equal packed strings of one task are combined before they travel: all but the earliest are marked on the spot, as every
 window in them starts earlier too. So a passage of a third of all documents reaches its bucket once a task. A minimiser
@@ -19,6 +20,8 @@ marked in all at the same places; a null id sorts first. Texts shorter than a wi
 from __future__ import annotations
 
 import hashlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate
@@ -34,30 +37,49 @@ GRAM = 3
 #: A minimiser with more than this share of all packed strings goes by windows; at most HOT_PARTS of them can.
 HOT_PARTS = 2000
 #: Packed strings that a task holds to combine equal ones.
-HELD = 60_000
+HELD = 100_000
 NO_ID = -(1 << 63)
 
 
-class _Hashes(dict):
-    """Word to its 64-bit hash, computed once a task."""
+class _Words(dict):
+    """Word to a small number, and by number the word's 64-bit hash; computed once a task."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = array("Q")
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        k = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word, 7))
+        return k
+
+    def hashed(self, words: list[bytes]):
+        import numpy as np
+
         if len(self) > 1_000_000:
+            self.__init__()
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.hashes, dtype=np.uint64)[ids] if len(words) else np.zeros(0, np.uint64)
+
 
+def _runs(texts: list[bytes], known: _Words, window: int, gram: int):
+    """Of a batch of texts: all words, the first word of each text, gram hashes, and runs of windows with one minimiser.
 
-def _minimisers(words: list[bytes], hashes: _Hashes, window: int, gram: int):
-    """(least, grams): the minimiser of each window and the hash of each gram; None if there are too few words."""
+    A run is (first window, windows, minimiser, text); windows do not cross texts.
+    """
     import numpy as np
 
+    split = [t.split() for t in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
+    words = [w for x in split for w in x]
     n = len(words)
+    none = np.zeros(0, np.int64)
     if n < window:
-        return None
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
+        return words, bounds, np.zeros(0, np.uint64), (none, none, np.zeros(0, np.uint64), none)
+    h = known.hashed(words)
     g = h[: n - gram + 1].copy()
     for k in range(1, gram):
         g *= np.uint64(0x9E3779B97F4A7C15)
@@ -71,44 +93,39 @@ def _minimisers(words: list[bytes], hashes: _Hashes, window: int, gram: int):
         size *= 2
     if size < w:
         m = np.minimum(m[: len(g) - w + 1], m[w - size : len(g) - size + 1])
-    return m, g
-
-
-def _runs(least):
-    """Starts and lengths of runs of equal minimisers."""
-    import numpy as np
-
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate(([0], cut))
-    return starts, np.diff(np.concatenate((starts, [len(least)])))
+    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    whole = text[: n - window + 1] == text[window - 1 :]
+    cut = np.ones(len(m), dtype=bool)
+    cut[1:] = (m[1:] != m[:-1]) | (text[1 : len(m)] != text[: len(m) - 1]) | (whole[1:] != whole[:-1])
+    starts = np.flatnonzero(cut)
+    lengths = np.diff(np.concatenate((starts, [len(m)])))
+    real = whole[starts]
+    starts, lengths = starts[real], lengths[real]
+    return words, bounds, g, (starts, lengths, m[starts], text[starts])
 
 
 def _count_minimisers(batches: Iterator[pa.RecordBatch], window: int, gram: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(least, n, total): minimisers with a marked share of this task's distinct packed strings."""
     import numpy as np
 
-    hashes, found, total = _Hashes(), [], 0
+    known, found, total = _Words(), [], 0
 
     def counted():
-        a = np.unique(np.concatenate(found), axis=0)
-        keys, n = np.unique(a[:, 0], return_counts=True)
+        a = np.unique(np.concatenate(found).view("u8,u8"))
+        keys, n = np.unique(a["f0"], return_counts=True)
         often = n >= max(2, len(a) // (4 * parts))
         keys, n = keys[often].view(np.int64), n[often]
         return pa.RecordBatch.from_arrays([pa.array([0, *keys.tolist()]), pa.array([0, *n.tolist()]), pa.array([len(a)] + [0] * len(n))], names=["least", "n", "total"])
 
     for b in batches:
-        for t in utf8(b.column(0)):
-            got = _minimisers(t.split(), hashes, window, gram)
-            if got is None:
-                continue
-            least, g = got
-            starts, n = _runs(least)
+        _, _, g, (starts, n, least, _) = _runs(utf8(b.column(0)), known, window, gram)
+        if len(starts):
             ends = g[starts + n + window - gram - 1]
-            found.append(np.stack([least[starts], g[starts] * np.uint64(31) + ends * np.uint64(17) + n.astype(np.uint64)], axis=1))
+            found.append(np.stack([least, g[starts] * np.uint64(31) + ends * np.uint64(17) + n.astype(np.uint64)], axis=1))
             total += len(starts)
-            if total > 1_000_000:
-                yield counted()
-                found, total = [], 0
+        if total > 500_000:
+            yield counted()
+            found, total = [], 0
     if found:
         yield counted()
 
@@ -123,12 +140,41 @@ def hot_minimisers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part
     return sorted(r[0] for r in hot)
 
 
-def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int, gram: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, words, doc, start, n): a packed string of n windows, -n if it may hold equal windows; words null: n windows from start are marked."""
+def _packed(rows: list[tuple[int, bytes, int, int, int]]) -> bytes:
+    """Rows (key, words, doc, start, n) by column, compressed: a block for one bucket."""
+    import numpy as np
+    import zstandard
+
+    rows.sort()
+    key, words, doc, start, n = zip(*rows, strict=True)
+    head = np.array([len(rows)], "<i8").tobytes() + np.array(doc, "<i8").tobytes() + b"".join(np.array(x, "<i4").tobytes() for x in (start, n, [len(w) for w in words]))
+    # 32 bits of a key sort the rows of a bucket; should two keys share them, their windows are merely sorted together.
+    keys = (np.array(key, np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + keys + b"".join(words))
+
+
+def _unpacked(block: bytes):
+    """(keys, docs, starts, n, word offsets, bytes) of a block."""
+    import numpy as np
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    k = int(np.frombuffer(raw, "<i8", 1)[0])
+    doc = np.frombuffer(raw, "<i8", k, 8)
+    start, n, size = (np.frombuffer(raw, "<i4", k, 8 + 8 * k + 4 * k * i) for i in range(3))
+    key = np.frombuffer(raw, "<u4", k, 8 + 20 * k)
+    return key, doc, start, n, 8 + 24 * k + np.concatenate(([0], np.cumsum(size, dtype=np.int64))), raw
+
+
+def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int, gram: int, held: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, doc, at, upto): a block of packed strings for a bucket, or words marked here and now.
+
+    A packed string in a block has n windows from `start` on; -n if it may hold equal ones.
+    """
     import numpy as np
     import xxhash
 
-    hashes, first = _Hashes(), {}
+    known, first = _Words(), {}
     hot_set = np.array(hot, dtype=np.int64).view(np.uint64)
     marked: list[tuple[int, int, int]] = []
 
@@ -143,47 +189,45 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int,
             marked.append((doc, start, abs(n)))
 
     def rows():
-        rows = [(k, p, d, s, n) for p, (k, d, s, n) in first.items()]
+        by: dict[int, list] = defaultdict(list)
+        for p, (key, d, s, n) in first.items():
+            by[key % buckets].append((key, p, d, s, n))
+        first.clear()
         spans: list[list[int]] = []
         for d, s, n in sorted(marked):
             if spans and spans[-1][0] == d and spans[-1][1] + spans[-1][2] >= s:
                 spans[-1][2] = max(spans[-1][2], s + n - spans[-1][1])
             else:
                 spans.append([d, s, n])
-        rows += [(d * 0x9E3779B1 & 0x7FFFFFFF, None, d, s, n) for d, s, n in spans]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        first.clear()
         marked.clear()
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "words", "doc", "start", "n"])
-        for k in range(0, out.num_rows, 8192):
-            yield out.slice(k, 8192)
+        out = [(k, _packed(by.pop(k)), None, None, None) for k in sorted(by)]
+        out += [((d ^ d >> 32) % buckets, None, d, s, s + n + window - 1) for d, s, n in spans]
+        if out:
+            types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "block", "doc", "at", "upto"])
 
     for b in batches:
-        for doc, t in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-            doc = NO_ID if doc is None else doc
-            words = t.split()
-            got = _minimisers(words, hashes, window, gram)
-            if got is None:
-                continue
-            least, g = got
-            starts, lengths = _runs(least)
-            # Equal windows in one packed string are less than a window apart: some gram occurs twice in that distance.
-            again = np.zeros(len(g) + 1, dtype=np.int64)
-            for k in range(1, min(window - gram + 1, len(g))):
-                again[1:][: len(g) - k] |= g[k:] == g[:-k]
-            again = np.cumsum(again)
-            span = np.minimum(starts + lengths + window - gram, len(g))
-            twice = (again[span] > again[starts]) | (lengths > window - gram + 1)
-            is_hot = np.isin(least[starts], hot_set) if len(hot_set) else np.zeros(len(starts), bool)
-            for s, n, key, tw, ho in zip(starts.tolist(), lengths.tolist(), least[starts].view(np.int64).tolist(), twice.tolist(), is_hot.tolist(), strict=True):
-                if ho:
-                    for i in range(s, s + n):
-                        one = b" ".join(words[i : i + window])
-                        put(xxhash.xxh64_intdigest(one, 11) - (1 << 63), one, doc, i, 1)
-                else:
-                    put(key, b" ".join(words[s : s + n + window - 1]), doc, s, -n if tw else n)
-            if len(first) + len(marked) > held:
-                yield from rows()
+        docs = b.column(0).to_pylist()
+        words, bounds, g, (starts, lengths, least, text) = _runs(utf8(b.column(1)), known, window, gram)
+        if not len(starts):
+            continue
+        # Equal windows in one packed string are less than a window apart: some gram occurs twice in that distance.
+        again = np.zeros(len(g) + 1, dtype=np.int64)
+        for k in range(1, min(window - gram + 1, len(g))):
+            again[1:][: len(g) - k] |= g[k:] == g[:-k]
+        again = np.cumsum(again)
+        twice = (again[starts + lengths + window - gram] > again[starts]) | (lengths > window - gram + 1)
+        is_hot = np.isin(least, hot_set) if len(hot_set) else np.zeros(len(starts), bool)
+        for s, n, key, t, o, tw, ho in zip(starts.tolist(), lengths.tolist(), least.tolist(), text.tolist(), (starts - bounds[text]).tolist(), twice.tolist(), is_hot.tolist(), strict=True):
+            doc = NO_ID if docs[t] is None else docs[t]
+            if ho:
+                for i in range(n):
+                    one = b" ".join(words[s + i : s + i + window])
+                    put(xxhash.xxh64_intdigest(one, 11), one, doc, o + i, 1)
+            else:
+                put(key, b" ".join(words[s : s + n + window - 1]), doc, o, -n if tw else n)
+        if len(first) + len(marked) > held:
+            yield from rows()
     yield from rows()
 
 
@@ -215,11 +259,33 @@ def _later_equal(every: list[tuple[bytes, int, int]]) -> set[tuple[int, int]]:
     return out
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Marked places (doc, at, upto in words) from rows sorted by key; a key's rows may span batches."""
+def _repeats_in(blocks: list[bytes], window: int) -> list[tuple[int, int, int]]:
+    """Windows of one bucket that equal an earlier one, as (doc, start, n)."""
     import numpy as np
 
-    key, group = None, []
+    parts = [_unpacked(x) for x in blocks]
+    key, doc, start, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    order = np.argsort(key, kind="stable")
+    ks = key[order]
+    edge = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
+    size = np.diff(np.concatenate((edge, [len(ks)])))
+    out = []
+    # A string alone under its key, without equal windows in itself, needs no look.
+    for a, k in zip(*(x[(size > 1) | (n[order[edge]] < 0)].tolist() for x in (edge, size)), strict=True):
+        group = []
+        for i in order[a : a + k].tolist():
+            p = int(np.searchsorted(at, i, side="right")) - 1
+            off, raw = parts[p][4], parts[p][5]
+            j = i - int(at[p])
+            group.append((raw[off[j] : off[j + 1]], int(doc[i]), int(start[i]), int(n[i])))
+        out += _marked(group, window)
+    return out
+
+
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Marked places (doc, at, upto in words) from rows sorted by bucket; a bucket's rows may span batches."""
+    bucket, blocks = None, []
 
     def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -227,32 +293,19 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
             names=["doc", "at", "upto"],
         )
 
-    def closed() -> list[tuple[int, int, int]]:
-        return _marked(group, window) if len(group) > 1 or group and group[0][3] < 0 else []
-
     for b in batches:
-        keys, words = b.column(0).to_numpy(), b.column(1)
-        n = b.column(4).to_numpy()
-        null = np.asarray(words.is_null())
-        found: list[tuple[int, int, int]] = []
-        docs, starts = b.column(2).to_numpy(), b.column(3).to_numpy()
-        for i in np.flatnonzero(null).tolist():
-            found.append((int(docs[i]), int(starts[i]), int(n[i])))
-        live = np.flatnonzero(~null)
-        if len(live):
-            k = keys[live]
-            edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(live)], strict=True):
-                if int(k[a]) != key:
-                    found += closed()
-                    key, group = int(k[a]), []
-                last = z == len(live)
-                if z - a == 1 and n[live[a]] > 0 and not group and not last:
-                    key = None
-                    continue  # alone, and without equal windows in itself
-                group += [(words[int(j)].as_py(), int(docs[j]), int(starts[j]), int(n[j])) for j in live[a:z]]
-        yield out(found)
-    yield out(closed())
+        here = b.filter(b.column(1).is_null())
+        if here.num_rows:
+            yield pa.RecordBatch.from_arrays(here.columns[2:], names=["doc", "at", "upto"])
+        sent = b.filter(b.column(1).is_valid())
+        for k, block in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), strict=True):
+            if k != bucket and blocks:
+                yield out(_repeats_in(blocks, window))
+                blocks = []
+            bucket = k
+            blocks.append(block)
+    if blocks:
+        yield out(_repeats_in(blocks, window))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +337,9 @@ def marked_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, held:
     """(doc, at, upto): word places under windows that start earlier elsewhere; a null id is NO_ID."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     hot = hot_minimisers(docs, window, gram, parts)
-    sent = map_batches(rows, partial(_super_kmers, hot=hot, window=window, gram=gram, held=held), "key long, words binary, doc long, start int, n int")
-    dealt = sent.repartition("key").sortWithinPartitions("key")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = map_batches(rows, partial(_super_kmers, hot=hot, window=window, gram=gram, held=held, buckets=8 * buckets), "bucket int, block binary, doc long, at int, upto int")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
     return map_batches(dealt, partial(_sorted_buckets, window=window), "doc long, at int, upto int")
 
 
