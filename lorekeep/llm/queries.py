@@ -7,9 +7,11 @@ from .quality_model import op1_quality_model
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash
 from .substring import op7_substring_dedup
+from .warc import op2_warc
 
 QUERIES = {
     "op1_quality_model": op1_quality_model,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
@@ -20,11 +22,11 @@ QUERIES = {
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT k, p, [w[p], w[p + 1], w[p + 2]] AS win FROM m, unnest(range(1, len(w) - 1)) AS u(p)),
 r AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY k, win) AS n FROM g) WHERE n > 1),
 c AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY k),
-x AS (SELECT m.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, y -> length(y))), 0) AS word_chars,
+x AS (SELECT m.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
         length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals
@@ -37,4 +39,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM y
 """
 
-ORACLES = {"op4_quality_rules": _OP4}
+#: Base32 of a SHA-1: each 5 hexadecimal digits are 4 characters.
+_OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS s FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS keep FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(s, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM k
+"""
+
+ORACLES = {"op2_warc": _OP2, "op4_quality_rules": _OP4}
