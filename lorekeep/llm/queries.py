@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .decontaminate import op6_decontaminate
 from .quality_model import op1_quality_model
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash
 from .substring import op7_substring_dedup
+from .surrogates import op8_surrogates
+from .token_files import op10_token_counts
 from .warc import op2_warc
 
 QUERIES = {
@@ -15,7 +18,10 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_surrogates": op8_surrogates,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping.
