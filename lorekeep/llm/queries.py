@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .decontaminate import op6_decontaminate
+from .pitman_yor import op9_pitman_yor
 from .quality_model import op1_quality_model
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_surrogates": op8_surrogates,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_token_counts": op10_token_counts,
 }
 
