@@ -43,7 +43,7 @@ y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
-       OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_capitals > 4 * word_chars) AS kept
+       OR (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * n_capitals > 4 * word_chars) AS kept
 FROM y
 """
 
