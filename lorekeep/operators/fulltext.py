@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,11 @@ def bm25(docs: DataFrame, key: str, column: str, words: list[str]) -> DataFrame:
     if column not in COLUMNS:
         raise ValueError(f"{column} cannot be searched")
     t = terms(F.col(column))
-    counts = [F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"tf{k}") for k, w in enumerate(words)]
+
+    def count(word: str) -> Column:
+        return F.size(F.filter("_t", lambda x: x == word))
+
+    counts = [count(w).alias(f"tf{k}") for k, w in enumerate(words)]
     d = docs.select(key, t.alias("_t")).select(key, F.size("_t").alias("len"), *counts)
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))])
     score = None
@@ -113,7 +118,6 @@ def stem(w: str) -> str:
 
 def stems(words: Column) -> Column:
     """Stems of an array of words, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def f(rows: pd.Series) -> pd.Series:
