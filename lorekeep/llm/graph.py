@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
+#: Edges that make a file of a round's table.
+EDGES_A_FILE = 500_000
+
 
 def _least(pairs: DataFrame) -> DataFrame:
     """(u, m): the least of each node's neighbours v and itself."""
@@ -17,25 +20,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge table (a, b) of longs; root is the least node of its component.
 
     Large-star and small-star in turn: each round joins the edges with the least neighbour per node, so no group of
-    neighbours is ever gathered, and a hub's rows can be split. Rounds grow with the logarithm of a component's size.
-    Each round is a written table, so a lost executor costs a round at most.
+    neighbours is ever gathered, and a hub's rows can be split. Rounds grow with the logarithm of a component's size, and end
+    when every node hangs on a root. Each round is a written table, so a lost executor costs a round at most; a table has as
+    many files as the edges before it ask for.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = written(e, "edges")
-    before = None
-    while True:
+    rows = e.count()
+    while rows:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "edges")
         least = _least(large)
-        small = large.join(least, "u")
-        e2 = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e2 = written(e2, "edges")
-        now = e2.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e2 = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        e2 = written(e2.coalesce(rows // EDGES_A_FILE + 1), "edges")
         dropped(e)
-        dropped(large)
         e = e2
-        if tuple(now) == before:
+        rows, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        if rows == nodes and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
