@@ -1,0 +1,142 @@
+"""Operators that SQL cannot express, against plain versions; cases with known numbers."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.functions import embed, scoring, text, vectors
+from lorekeep.operators import aggregates, fulltext, graph, retrieval, scans, sequences
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_porter_stems():
+    # Examples of the published algorithm.
+    for word, want in {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "rational": "ration", "electrical": "electr", "hopefulness": "hope", "adjustment": "adjust", "controller": "control", "rate": "rate", "cease": "ceas"}.items():
+        assert fulltext.stem(word) == want, word
+
+
+def test_hash_embedding_is_unit_and_stable():
+    a, b = embed.embed("how to retry a request"), embed.embed("how to retry a request")
+    assert a == b and abs(math.sqrt(sum(x * x for x in a)) - 1) < 1e-9
+    assert embed.embed("") == [0.0] * embed.DIMENSIONS
+    assert any(embed.embed("cache")[84:])
+
+
+def test_tiers_and_hysteresis(spark):
+    tier = lambda r, n, old: one(spark, scoring.tier_with_hysteresis(F.lit(r), F.lit(n), F.lit(old)))
+    assert tier(0.95, 25, "booster") == "reflex"
+    assert tier(0.85, 25, "reflex") == "reflex"
+    assert tier(0.75, 25, "reflex") == "crystal"
+    assert tier(0.55, 1, "crystal") == "booster"
+
+
+def test_wilson_bounds(spark):
+    assert one(spark, scoring.wilson(F.lit(0), F.lit(0), 1.96, False)) == 0.0
+    assert one(spark, scoring.wilson(F.lit(0), F.lit(0), 1.96, True)) == 1.0
+    assert one(spark, scoring.wilson(F.lit(5), F.lit(10), 1.96, False)) == pytest.approx(0.2366, abs=1e-4)
+
+
+def test_upper_median_differs_from_median(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 2, 4, 8)], "v long")
+    assert df.agg(aggregates.upper_median("v").alias("m")).first()["m"] == 4
+    assert df.agg(F.median("v").alias("m")).first()["m"] == 3
+
+
+def test_isotonic_rates_never_fall(spark):
+    rows = [(0, 10, 5), (1, 10, 3), (2, 10, 4), (3, 10, 9), (4, 10, 2)]
+    got = aggregates.isotonic(spark.createDataFrame(rows, "bucket long, n long, positive long")).orderBy("bucket").collect()
+    assert [r["pooled"] for r in got] == pytest.approx([0.4, 0.4, 0.4, 0.55, 0.55])
+
+
+def test_clamped_fold_depends_on_order(spark):
+    df = spark.createDataFrame([("a", 1, 0.8), ("a", 2, -0.5), ("b", 1, -0.5), ("b", 2, 0.8)], "k string, t long, d double")
+    got = {r["k"]: r["value"] for r in sequences.clamped_fold(df, "k", ["t"], F.col("d"), 0.5).collect()}
+    assert got == pytest.approx({"a": 0.5, "b": 0.8})
+
+
+def test_simple_paths_on_a_cycle(spark):
+    e = spark.createDataFrame([(1, 2, "x", 0.5), (2, 3, "x", 0.5), (3, 1, "x", 1.0), (1, 3, "x", 0.2)], "src long, dst long, kind string, strength double")
+    got = {r["path"]: r["total"] for r in graph.simple_paths(e, 1, 3, 3).collect()}
+    assert got == pytest.approx({"1>3": 0.2, "1>2>3": 0.25})
+    assert {(r["node"], r["hops"]) for r in graph.reachable(e, 1, 5).collect()} == {(1, 0), (2, 1), (3, 1)}
+
+
+def test_pressure_sums_to_one(spark):
+    e = spark.createDataFrame([(1, 2, "x", 0.5), (2, 3, "x", 0.5), (1, 3, "x", 0.2)], "src long, dst long, kind string, strength double")
+    assert sum(r["p"] for r in graph.pressure(e, 1).collect()) == pytest.approx(1.0)
+
+
+def test_min_cut(spark):
+    rows = [(1, 2, 3.0), (2, 3, 3.0), (1, 3, 3.0), (4, 5, 3.0), (5, 6, 3.0), (4, 6, 3.0), (3, 4, 1.0)]
+    e = spark.createDataFrame([(a, b, w, 0) for a, b, w in rows], "src long, dst long, strength double, c long")
+    r = graph.min_cut(e, "c").first()
+    assert (r["weight"], r["smaller_side"]) == (1.0, 3)
+
+
+def test_greedy_groups_do_not_expand_members(spark):
+    ids = spark.createDataFrame([(0, i) for i in (1, 2, 3, 4)], "label long, id long")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9)], "a long, b long, sim double")
+    assert {(r["seed"], r["vec_id"]) for r in retrieval.greedy_groups(pairs, ids, "label").collect()} == {(1, 1), (1, 2), (3, 3), (3, 4)}
+
+
+def test_mmr_prefers_what_differs(spark):
+    rows = [(1, [1.0, 0.0], 0.9), (2, [1.0, 0.01], 0.89), (3, [0.0, 1.0], 0.5)]
+    c = spark.createDataFrame(rows, "vec_id long, v array<double>, sim double")
+    got = [r["vec_id"] for r in retrieval.diverse(c, 2, 0.5, 0.0).orderBy("place").collect()]
+    assert got == [1, 3]
+
+
+def test_hashed_pairs_recall(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, b, 0) for i, b in enumerate(base)] + [(100 + i, [x + rng.gauss(0, 0.02) for x in b], 0) for i, b in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, label long")
+    got = {(r["a"], r["b"]) for r in retrieval.near_pairs(df, 16, 0.95).collect()}
+    assert len(got & {(i, 100 + i) for i in range(40)}) >= 36
+
+
+def test_cosine_of_zero_vectors(spark):
+    z = F.array(F.lit(0.0), F.lit(0.0))
+    assert one(spark, vectors.cosine(z, z)) == 0.0
+
+
+def test_domains(spark):
+    d = F.lit("rust.async.tokio")
+    assert one(spark, text.domain_levels(d)) == ["rust", "rust.async", "rust.async.tokio"]
+    assert one(spark, text.domain_parent(d)) == "rust.async"
+    assert one(spark, text.domain_similarity(d, F.lit("rust.async.smol"))) == pytest.approx(2 / 3)
+    assert one(spark, text.domain_matches(F.lit("rust"), "rust.async")) is True
+    assert one(spark, text.domain_matches(F.lit("rusty"), "rust")) is False
+
+
+def test_strip_covers_known_samples(spark):
+    # Samples of personal data.
+    for raw, put in {"write to a.b@example.com": "[EMAIL_REDACTED]", "call 555-123-4567 now": "[PHONE_REDACTED]", "ssn 123-45-6789": "[SSN_REDACTED]", "card 4111-1111-1111-1111": "[CC_REDACTED]", "at 192.168.1.100": "[IP_REDACTED]"}.items():
+        assert put in one(spark, text.stripped(F.lit(raw)))
+
+
+def test_upsert_keeps_the_latest(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "id long, v string, t long")
+    new = spark.createDataFrame([(1, "c", 2), (2, "d", 4), (3, "e", 1)], "id long, v string, t long")
+    assert {(r["id"], r["v"]) for r in scans.upserted(old, new, "id", "t").collect()} == {(1, "c"), (2, "b"), (3, "e")}
+
+
+def test_chain_breaks(spark):
+    import hashlib
+
+    rows, prev = [], ""
+    for k in range(4):
+        body = f"entry {k}"
+        h = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest()
+        rows.append(("c", k, prev, h, body if k != 2 else "changed"))
+        prev = h
+    log = spark.createDataFrame(rows, "chain string, seq long, prev string, hash string, body string")
+    assert sequences.chain_breaks(log).first()["first_bad"] == 2
