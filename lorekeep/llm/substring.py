@@ -37,7 +37,7 @@ GRAM = 3
 #: A minimiser with more than this share of all packed strings goes by windows; at most HOT_PARTS of them can.
 HOT_PARTS = 2000
 #: Packed strings that a task holds to combine equal ones.
-HELD = 100_000
+HELD = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -150,7 +150,7 @@ def _packed(rows: list[tuple[int, bytes, int, int, int]]) -> bytes:
     head = np.array([len(rows)], "<i8").tobytes() + np.array(doc, "<i8").tobytes() + b"".join(np.array(x, "<i4").tobytes() for x in (start, n, [len(w) for w in words]))
     # 32 bits of a key sort the rows of a bucket; should two keys share them, their windows are merely sorted together.
     keys = (np.array(key, np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + keys + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(head + keys + b"".join(words))
 
 
 def _unpacked(block: bytes):
