@@ -1,0 +1,191 @@
+"""WARC, BPE, surrogates and token files: exact round trips."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lorekeep.llm import bpe, surrogates, token_files, warc
+from lorekeep.llm.common import fresh_path
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "null id"), (4, "twice twice"), (4, "twice twice"), (5, "word " * 30_000), (6, "é ü \x0b x\x85y <|endoftext|> z")]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "k", 3) for i, t in rows], "doc_id long, text string, file string, n_tokens long")
+
+
+# WARC
+
+
+def archive(spark, rows, **how):
+    pages = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, sha string")
+    return warc.write_archives(pages, fresh_path(spark, "warc-test"), **how)
+
+
+def test_archive_round_trip(spark):
+    rng = random.Random(1)
+    rows = [(k, f"http://e.org/{k}", rng.choice(["", "<p>a</p>", "é" * 50, None, f"own {k}" * rng.randrange(200)])) for k in range(300)]
+    rows += [(1000, "http://e.org/a b\r\nX: y", "crlf\r\n\r\nWARC/1.1"), (1001, None, "no url"), (None, "u", "no id")]
+    index = archive(spark, rows)
+    got = {r["page_id"]: r for r in warc.read_records(index).collect()}
+    assert len(got) == len(rows)
+    same = {}
+    for i, _, h in rows:
+        same.setdefault(h or "", []).append(-1 if i is None else i)
+    for i, _, h in rows:
+        raw, r = (h or "").encode(), got[i]
+        last = max(same[h or ""])
+        assert r["payload_bytes"] == len(raw)
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        if last == (-1 if i is None else i):
+            assert (r["record_type"], r["refers_to"], r["payload"]) == ("response", None, h or "")
+        else:
+            assert (r["record_type"], r["refers_to"], r["payload"]) == ("revisit", last, None)
+
+
+def test_archive_of_selected_records_and_small_payloads(spark):
+    rows = [(k, "u", "short" if k % 2 else "longer payload") for k in range(40)]
+    index = archive(spark, rows, min_payload=8)
+    some = warc.read_records(index.filter("page_id % 7 = 0")).collect()
+    assert {r["page_id"] for r in some} == set(range(0, 40, 7))
+    kinds = {r["page_id"]: r["record_type"] for r in warc.read_records(index).collect()}
+    assert all(kinds[k] == "response" for k in range(40) if k % 2)
+    assert sum(v == "response" for k, v in kinds.items() if k % 2 == 0) == 1
+    assert archive(spark, []).count() == 0
+
+
+def test_reads_are_coalesced():
+    rows = [("f", 0, 100), ("f", 100, 50), ("f", 160, 10), ("f", 10_000_000, 5), ("g", 0, 5)]
+    assert [len(x) for x in warc._ranges(rows)] == [3, 1, 1]
+
+
+def test_a_damaged_record_is_noticed():
+    raw = warc.record(1, "u", b"payload", warc.digest32(b"payload"), None, 7)
+    assert warc.parsed(raw)[1] == b"payload"
+    with pytest.raises(ValueError):
+        warc.parsed(raw[:-3])
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(bpe.model_text())
+
+
+@pytest.fixture(scope="module")
+def short_coder():
+    return bpe.Coder(bpe.model_text(), long=120, leaf=40, long_word=16)
+
+
+PIECES = ["a", "th", "e ", " ", "  ", "\n", "\n\n", "'s", "'r", "e", "'ll", "12", "!", "--", "é", "漢", "🙂", "́", "　", "<|endoftext|>", "<|endof", "'", "\t", "ß", "ing", "A", "\x1c", "\x85"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), min_size=60, max_size=500))
+def test_tree_concatenation_equals_the_library(tokenizer, short_coder, pieces):
+    text = "".join(pieces)
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert short_coder.encode_batch([text])[0] == want
+    assert short_coder.decode(want).decode() == tokenizer.decode(want, skip_special_tokens=False)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abcdefgeé", min_size=200, max_size=3000))
+def test_text_without_a_split(tokenizer, short_coder, text):
+    assert short_coder.encode_batch([text])[0] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 50_256), max_size=60))
+def test_decoding_any_ids(tokenizer, short_coder, ids):
+    assert short_coder.decode(ids).decode() == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_in_spark(spark, tokenizer):
+    df = frame(spark, ODD)
+    ids = bpe.encoded(df).collect()
+    want = sorted((str(i), tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in ODD)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in ids) == want
+    back = bpe.decoded(bpe.encoded(df)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(i), t or "") for i, t in ODD)
+    assert bpe.coded_digests(df.limit(0)).count() == 0
+
+
+# Surrogates
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 97, 1000, 9261])
+def test_permutation_is_one_cycle_without_fixed_points(size):
+    out = [surrogates.permuted(k, size, b"k") for k in range(size)]
+    assert sorted(out) == list(range(size))
+    x, n = out[0], 1
+    while x:
+        x, n = out[x], n + 1
+    assert n == size
+
+
+def test_formats_are_kept():
+    s = surrogates.surrogate
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", s("phone", "+1 (286) 555-5136"))
+    card = re.sub(r"\D", "", s("card", "4111 1111 1111 1111"))
+    assert card[0] == "4" and surrogates.luhn(card[:-1]) == int(card[-1])
+    assert re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", s("email", "that.92@mail2.example.com"))
+    assert re.fullmatch(r"[0-9a-f]{40}", s("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"))
+    assert re.fullmatch(r"[А-Я][а-я]+а [А-Я][а-я]+а", s("name", "Анна Петрова"))
+    assert 1 <= int(s("ip", "11.123.15.12").split(".")[0]) < 224
+
+
+def test_coreference_and_distinctness():
+    text, found = surrogates.replaced("Dr. Anna Smith wrote to anna@corp.org. Mrs. Smith called 555-123-4567 and (212) 555-1234; ANNA@corp.org answered. 127.0.0.1:8080 is nobody.")
+    names = [new for kind, _, new in found if kind == "name"]
+    assert names[0].split()[1] == names[1]
+    mails = [new for kind, _, new in found if kind == "email"]
+    assert mails[0] == mails[1] and "127.0.0.1:8080" in text
+    rng = random.Random(3)
+    phones = {f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10_000):04d}" for _ in range(3000)}
+    assert len({surrogates.surrogate("phone", p) for p in phones}) == len(phones)
+    assert surrogates.surrogate("phone", "555-123-4567") != surrogates.surrogate("phone", "555-123-4567", b"another key")
+
+
+def test_surrogates_in_spark(spark):
+    rows = [*ODD, (20, "mail a.b@c.org or a.b@c.org"), (21, "ip 10.2.3.4, card 4381893557741609 twice 4381893557741609"), (22, 'token = "11acdfb36bb72224148e6160f674b4be45601bff"')]
+    df = frame(spark, rows)
+    got = {r["doc_id"]: r for r in surrogates.surrogated(df).collect()}
+    assert got[1]["text"] == "" and got[5]["text"] == "word " * 30_000
+    assert (got[20]["n_entities"], got[21]["kinds"], got[22]["n_entities"]) == (2, "card:2, ip:1", 1)
+    for private in ("a.b@c.org", "10.2.3.4", "4381893557741609", "11acdfb36bb72224148e6160f674b4be45601bff"):
+        assert not any(private in r["text"] for r in got.values())
+    assert surrogates.collisions(df).count() == 0
+    same = surrogates.replaced_texts(df)
+    assert same.columns == df.columns and same.filter("text IS NULL").count() == 1
+    assert surrogates.surrogated(df.limit(0)).count() == 0
+
+
+# Token files
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 1 << 19])
+def test_token_counts_across_blocks(spark, block):
+    manifest = token_files.write_tokens(frame(spark, ODD[:6]), fresh_path(spark, "tokens-test"))
+    enc = bpe.Coder(bpe.model_text())
+    got = token_files.token_counts(spark, manifest, block).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(i), len(enc.encode_batch([t or ""])[0])) for i, t in ODD[:6])
+
+
+def test_separators_in_texts_do_not_count(spark):
+    manifest = token_files.write_tokens(frame(spark, [(1, "a <|endoftext|> b"), (2, "c")]), fresh_path(spark, "tokens-test"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_files.token_counts(spark, manifest).collect()}
+    assert got[2] == 1 and got[1] > 3
+    empty = token_files.write_tokens(frame(spark, []), fresh_path(spark, "tokens-test"))
+    assert token_files.token_counts(spark, empty).count() == 0
