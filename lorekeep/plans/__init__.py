@@ -1,4 +1,4 @@
 """All queries on the reference's own operators."""
 
-from . import aggregates, graphs, retrieval, scans, sequences, streams, texts  # noqa: F401  each registers its queries
+from . import aggregates, graphs, more, retrieval, scans, sequences, streams, texts  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES  # noqa: F401
