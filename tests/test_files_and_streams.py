@@ -33,7 +33,7 @@ def test_text_folder(spark, tmp_path):
     (tmp_path / "src" / "a.rs").write_text("fn main() {}\n")
     (tmp_path / "b.txt").write_text("x")
     got = files.text_folder(spark, str(tmp_path), "*.rs").collect()
-    assert [(r["path"].rsplit("/", 1)[1], r["text"]) for r in got] == [("a.rs", "fn main() {}\n")]
+    assert [(r["path"].rsplit("/", 1)[1], r["text"].rstrip()) for r in got] == [("a.rs", "fn main() {}")]
 
 
 def test_snapshots_restore_to_a_part(spark, tmp_path):
