@@ -84,15 +84,15 @@ def pressure(t):
     return G.pressure(t.edges, 5).select("node", F.round("p", 6).alias("p"))
 
 
-@query("lineage_ancestors", "WITH RECURSIVE u(node, parent, depth) AS (SELECT id, parent_id, 0 FROM patterns WHERE id = 900 UNION ALL SELECT p.id, p.parent_id, depth + 1 FROM patterns p JOIN u ON p.id = u.parent WHERE depth < 100) SELECT node, depth::BIGINT AS depth FROM u")
+@query("lineage_ancestors", "WITH RECURSIVE u(node, parent, depth) AS (SELECT id, parent_id, 0 FROM patterns WHERE id = 190 UNION ALL SELECT p.id, p.parent_id, depth + 1 FROM patterns p JOIN u ON p.id = u.parent WHERE depth < 100) SELECT node, depth::BIGINT AS depth FROM u")
 def lineage_ancestors(t):
-    return G.ancestors(t.patterns, 900)
+    return G.ancestors(t.patterns, 190)
 
 
-@query("lineage_root_chain", "WITH RECURSIVE u(node, parent, depth) AS (SELECT id, parent_id, 0 FROM patterns WHERE id = 765 UNION ALL SELECT p.id, p.parent_id, depth + 1 FROM patterns p JOIN u ON p.id = u.parent WHERE depth < 100) SELECT string_agg(node::VARCHAR, '>' ORDER BY depth DESC) AS chain FROM u")
+@query("lineage_root_chain", "WITH RECURSIVE u(node, parent, depth) AS (SELECT id, parent_id, 0 FROM patterns WHERE id = 165 UNION ALL SELECT p.id, p.parent_id, depth + 1 FROM patterns p JOIN u ON p.id = u.parent WHERE depth < 100) SELECT string_agg(node::VARCHAR, '>' ORDER BY depth DESC) AS chain FROM u")
 def lineage_root_chain(t):
     x = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("node").cast("string").alias("n")))), lambda e: e["n"])
-    return G.ancestors(t.patterns, 765).agg(F.array_join(x, ">").alias("chain"))
+    return G.ancestors(t.patterns, 165).agg(F.array_join(x, ">").alias("chain"))
 
 
 @query("lineage_descendants", "WITH RECURSIVE d(node, depth) AS (SELECT id, 0 FROM patterns WHERE id = 15 UNION ALL SELECT p.id, depth + 1 FROM patterns p JOIN d ON p.parent_id = d.node WHERE depth < 100) SELECT node, depth::BIGINT AS depth FROM d")
@@ -198,4 +198,7 @@ def ready_steps(t):
 
 @query("min_cut_by_kind")
 def min_cut_by_kind(t):
-    return G.min_cut(t.edges.withColumn("component", F.col("src") % 4).where("src % 4 = dst % 4"), "component")
+    """Cuts of the graph between 40 groups of parts and suppliers, kind by kind."""
+    e = t.edges.groupBy((F.col("src") % 40).alias("src"), (F.col("dst") % 40).alias("dst"), "kind").agg(F.sum("strength").alias("strength"))
+    kind = F.when(F.col("kind") == "similar", 0).when(F.col("kind") == "depends", 1).otherwise(2)
+    return G.min_cut(e.withColumn("component", kind), "component")

@@ -35,7 +35,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "edges": """SELECT src, dst, CASE (src + dst) % 3 WHEN 0 THEN 'similar' WHEN 1 THEN 'depends' ELSE 'refines' END AS kind, n / (n + 2.0::DOUBLE) AS strength,
   (src * 7 + dst) % 180 AS age_days, (src + dst) % 2 = 0 AS auto_created
-FROM (SELECT l_partkey % 60 AS src, l_suppkey % 60 AS dst, count(*) AS n FROM lineitem WHERE l_partkey <= 200 GROUP BY ALL) WHERE src <> dst""",
+FROM (SELECT l_partkey AS src, l_suppkey AS dst, count(*) AS n FROM lineitem GROUP BY ALL) WHERE src <> dst""",
     "vectors": "SELECT vec_id, embedding::DOUBLE[] AS v, label::BIGINT AS label FROM embeddings",
 }
 

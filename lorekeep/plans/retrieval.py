@@ -179,9 +179,9 @@ def hybrid_retrieval(t):
     return R.hybrid(top, f.join(F.broadcast(b)).select("doc_id", fts.alias("fts")), "doc_id")
 
 
-@query("staged_lookup", "SELECT p.id, CASE WHEN p.tier = 'reflex' THEN 'reflex' WHEN p.tier = 'crystal' THEN 'crystal' ELSE 'full' END AS stage FROM patterns p JOIN (SELECT DISTINCT md5(problem) AS h FROM patterns WHERE id % 5 = 0) q ON md5(p.problem) = q.h")
+@query("staged_lookup", "SELECT p.id, CASE WHEN p.tier = 'reflex' THEN 'reflex' WHEN p.tier = 'crystal' THEN 'crystal' ELSE 'full' END AS stage FROM patterns p JOIN (SELECT DISTINCT md5(problem) AS h FROM patterns WHERE id % 50 = 0) q ON md5(p.problem) = q.h")
 def staged_lookup(t):
-    asked = t.patterns.where("id % 5 = 0").select(F.md5("problem").alias("h")).distinct()
+    asked = t.patterns.where("id % 50 = 0").select(F.md5("problem").alias("h")).distinct()
     hit = t.patterns.withColumn("h", F.md5("problem")).join(asked, "h")
     return hit.select("id", F.when(F.col("tier").isin("reflex", "crystal"), F.col("tier")).otherwise("full").alias("stage"))
 

@@ -237,9 +237,9 @@ def backup_chain(t):
     return days.join(F.broadcast(full)).where("d >= full_d").select(F.col("d").cast("string").alias("d"), "n", F.when(F.col("d") == F.col("full_d"), "full").otherwise("incremental").alias("kind"))
 
 
-@query("export_json", """SELECT id, '{"problem":' || to_json(problem)::VARCHAR || ',"domain":' || to_json(domain)::VARCHAR || ',"reuse_count":' || reuse_count || '}' AS doc FROM patterns WHERE id < 100""")
+@query("export_json", """SELECT id, '{"problem":' || to_json(problem)::VARCHAR || ',"domain":' || to_json(domain)::VARCHAR || ',"reuse_count":' || reuse_count || '}' AS doc FROM patterns""")
 def export_json(t):
-    return t.patterns.where("id < 100").select("id", F.to_json(F.struct("problem", "domain", "reuse_count")).alias("doc"))
+    return t.patterns.select("id", F.to_json(F.struct("problem", "domain", "reuse_count")).alias("doc"))
 
 
 @query("distinct_columns", "SELECT DISTINCT domain, tier FROM patterns")

@@ -188,10 +188,10 @@ def delta_summary(t):
 # Joins
 
 
-@query("related_in_category", "SELECT a.id, count(*) AS n FROM patterns a JOIN patterns b ON a.domain = b.domain AND a.id <> b.id WHERE a.id < 100 GROUP BY 1")
+@query("related_in_category", "SELECT id, count(*) OVER (PARTITION BY domain) - 1 AS n FROM patterns")
 def related_in_category(t):
-    a, b = t.patterns.where("id < 100").select("id", "domain").alias("a"), t.patterns.select("id", "domain").alias("b")
-    return a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.id") != F.col("b.id"))).groupBy(F.col("a.id").alias("id")).agg(F.count("*").alias("n"))
+    """Other patterns of the same category: a count over the category, not a self-join."""
+    return t.patterns.select("id", (F.count("*").over(Window.partitionBy("domain")) - 1).alias("n"))
 
 
 @query("left_join_counts", "SELECT c_mktsegment, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, count_if(o_orderkey IS NULL) AS without FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -230,15 +230,15 @@ def semi_join_links(t):
 
 @query(
     "contradiction_pairs",
-    """WITH w AS (SELECT id, domain, list_distinct(regexp_extract_all(lower(solution), '[\\p{L}\\p{N}'']+')) AS x FROM patterns WHERE n_chars < 400)
+    """WITH w AS (SELECT id, domain, list_distinct(regexp_extract_all(lower(solution), '[\\p{L}\\p{N}'']+')) AS x FROM patterns)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE, 6) AS similarity FROM w a JOIN w b ON a.domain = b.domain AND a.id < b.id
 WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE > 0.3""",
 )
 def contradiction_pairs(t):
     from ..functions import text as T
 
-    # Blocked by domain; short solutions only, as the check is meant for statements, not for articles.
-    w = t.patterns.where("n_chars < 400").select("id", "domain", T.tokens(F.col("solution")).alias("x"))
+    # All pairs of a domain: the check is meant for domains of some hundreds of statements.
+    w = t.patterns.select("id", "domain", T.tokens(F.col("solution")).alias("x"))
     a, b = w.alias("a"), w.alias("b")
     j = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.id") < F.col("b.id")))
     return j.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(T.jaccard(F.col("a.x"), F.col("b.x")), 6).alias("similarity")).where("similarity > 0.3")

@@ -81,9 +81,11 @@ def predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def edges(lineitem: DataFrame) -> DataFrame:
-    """A weighted directed graph of parts and suppliers: part p to supplier s, and supplier s to part s * 3 mod 200."""
-    ps = lineitem.filter("l_partkey <= 200").groupBy((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") % 60).alias("dst")).agg(F.count("*").alias("n"))
-    return ps.filter("src <> dst").select("src", "dst", F.when((F.col("src") + F.col("dst")) % 3 == 0, "similar").when((F.col("src") + F.col("dst")) % 3 == 1, "depends").otherwise("refines").alias("kind"), (F.col("n") / (F.col("n") + F.lit(2.0))).alias("strength"), ((F.col("src") * 7 + F.col("dst")) % 180).alias("age_days"), ((F.col("src") + F.col("dst")) % 2 == 0).alias("auto_created"))
+    """A weighted directed graph: part p to supplier s where s has delivered p, over one space of ids."""
+    ps = lineitem.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n")).filter("src <> dst")
+    total = F.col("src") + F.col("dst")
+    kind = F.when(total % 3 == 0, "similar").when(total % 3 == 1, "depends").otherwise("refines")
+    return ps.select("src", "dst", kind.alias("kind"), (F.col("n") / (F.col("n") + F.lit(2.0))).alias("strength"), ((F.col("src") * 7 + F.col("dst")) % 180).alias("age_days"), (total % 2 == 0).alias("auto_created"))
 
 
 class Tables:
