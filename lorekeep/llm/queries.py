@@ -60,4 +60,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM k
 """
 
-ORACLES = {"op2_warc": _OP2, "op4_quality_rules": _OP4}
+#: Every 20-word window, numbered among its equals by document and start; words under a window that is not the first go.
+_OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+k AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS win FROM d, unnest(range(1, len(w) - 18)) AS u(p)),
+l AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS r FROM k) WHERE r > 1),
+g AS (SELECT DISTINCT doc_id, p + o AS p FROM l, range(20) AS x(o)),
+s AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) FILTER (WHERE g.p IS NULL) AS kept, count(g.p) AS gone
+      FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.p = g.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+ORACLES = {"op2_warc": _OP2, "op4_quality_rules": _OP4, "op7_substring_dedup": _OP7}
