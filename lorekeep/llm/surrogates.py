@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detected: e-mail addresses, phone numbers, payment card numbers, IPv4 addresses, social security numbers, quoted secrets
-(token = "...", and key, secret, password), and names after a title. A surrogate keeps what the format shows: separators,
+(token = "...", and key, secret, password), issued keys and long hexadecimal ones, bank account numbers (IBAN), and names
+after a title. A surrogate keeps what the format shows: separators,
 letter case, script, digit or letter at each place, a card's first digit and whether its check digit holds, a mail
 address's top-level domain, a name's title and last letter (which carry gender) and vowel pattern. Punctuation around an
 entity is not part of it.
@@ -44,6 +45,9 @@ _NAME = r"[^\W\d_][^\W\d_'’-]+(?:['’-][^\W\d_]+)*"
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     ("secret", r"(?i:(?<=token)|(?<=key)|(?<=secret)|(?<=password)|(?<=passwd))\s*[=:]\s*[\"'](?P<value>[^\"'\s]{6,})[\"']"),
+    ("key", r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?![\w-])"),
+    ("hex", r"(?<!\w)(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?!\w)"),
+    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?!\w)"),
     ("ssn", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)(?!\.\d)"),
@@ -87,7 +91,7 @@ def permuted(x: int, size: int, key: bytes) -> int:
 def _places(text: str, kind: str) -> list[str]:
     """For each character that may change, the characters it may become; others are single."""
     out = []
-    hexadecimal = kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
+    hexadecimal = kind in ("secret", "hex") and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
     for k, c in enumerate(text):
         low = c.lower()
         if hexadecimal:
@@ -140,6 +144,11 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
         off = (int(digits[-1]) - luhn(digits[:-1])) % 10
         new = iter(digits[0] + middle + str((luhn(digits[0] + middle) + off) % 10))
         return "".join(next(new) if c.isdigit() else c for c in text)
+    if kind == "key":
+        n = 3 if text.startswith(("sk-", "eyJ")) else 4  # what names the issuer stays
+        return text[:n] + _moved(text[n:], kind, key)
+    if kind == "iban":
+        return text[:2] + _moved(text[2:], kind, key)
     if kind == "phone" and text.startswith("+"):
         code = re.match(r"\+\d{1,3}(?=\D)", text)
         n = code.end() if code else 2
