@@ -197,7 +197,7 @@ def detect(text: str) -> list[tuple[str, int, int]]:
                 words.append(w)
             if words:
                 out.append(("name", m.start("name"), m.start("name") + len(" ".join(words))))
-        elif kind == "ip" and (m[0].startswith(("127.", "0.")) or m[0] == "255.255.255.255"):
+        elif kind == "ip" and m[0] in ("127.0.0.1", "0.0.0.0", "255.255.255.255"):
             continue  # addresses of no one
         else:
             out.append((kind, *m.span()))
