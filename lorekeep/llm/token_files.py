@@ -105,7 +105,8 @@ def scan(files: DataFrame, block: int = BLOCK, end: int = END) -> DataFrame:
 def token_counts(spark: SparkSession, manifest: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens) of the documents of a manifest made by write_tokens."""
     files = manifest.groupBy("file").agg(F.max("upto").alias("n_ids"))
-    return manifest.join(scan(files, block), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # Both sides grow with the corpus, and a manifest's files are far smaller than its rows: never a broadcast.
+    return manifest.hint("merge").join(scan(files, block), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
