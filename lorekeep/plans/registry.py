@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -54,13 +55,20 @@ def with_views(sql: str) -> str:
     return f"WITH {views} {sql}"
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Python workers find this package where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of Tables under a name."""
 
     def put(f: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(reachable(spark), sf_dir))
         if sql:
             ORACLES[name] = with_views(sql)
         return f
