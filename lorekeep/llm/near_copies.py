@@ -2,16 +2,15 @@
 
 At a similarity of 0.8 about ten of a SimHash's 64 bits differ, too many for pigeonhole blocks, so the second kind of link has
 blocks of another fingerprint: 250 min-hashes of a text's shingles in 50 blocks of 5. A pair at 0.8 shares a block with
-probability 1 - (1 - 0.8^5)^50 > 0.999999999; similarity is then estimated from the 250 min-hashes (standard error 0.025 at 0.8)
-and must reach SIMILARITY less that error.
+probability 1 - (1 - 0.8^5)^50 > 0.999999997. Pairs whose similarity as estimated from the 250 min-hashes (standard error 0.025
+at 0.8) is below 0.8 by MARGIN, six standard errors, are passed over; of all others the shingles themselves are compared.
 
-Equal texts are one node, the least doc_id. No pairs are made inside a block: each text is compared with the block's two pivots,
-the text with the most neighbours over all blocks and the one with the least id. An original whose copies differ from each
-other has the most neighbours, and a block of two or three texts has all its pairs. In larger blocks two texts that are like each other but like
-neither pivot in any of their 50 blocks are not linked; the tests measure what this loses.
+Texts equal in their words are one node. Each text of a block is compared with the block's two pivots: the text with the most
+neighbours over all blocks and the one with the least hash.
 
 Defined results: null and empty texts are equal texts. A text of fewer words than a shingle has one shingle. Rows that repeat an
-id are one document if their texts are equal, else linked as any. Null ids group with equal texts only by the others' ids.
+id are one document if their texts are equal, else linked as any. Null ids are linked as any; a component has a null id only
+where it has no other.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from .simhash import fingerprint, links
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 50
-ERROR = 0.025
+MARGIN = 0.15
 
 
 def _multipliers(n: int):
@@ -44,14 +43,13 @@ def _multipliers(n: int):
     return a[:n] | np.uint64(1), a[n:]
 
 
-def sketch(text: bytes, known: dict, a, b, shingle: int = SHINGLE):
-    """(hash of the words, min-hashes) of a text; 32 bits each."""
+def shingles(words: list[bytes], known: dict, shingle: int = SHINGLE):
+    """64-bit hashes of all shingles, in order."""
     import numpy as np
     import xxhash
 
-    words = text.lower().split()
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) > shingle:
+    if len(h) >= shingle:
         g = h[: len(h) - shingle + 1].copy()
         for k in range(1, shingle):
             g *= np.uint64(0x9E3779B97F4A7C15)
@@ -59,6 +57,16 @@ def sketch(text: bytes, known: dict, a, b, shingle: int = SHINGLE):
     else:
         g = np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], dtype=np.uint64)
     g ^= g >> np.uint64(32)
+    return g
+
+
+def sketch(text: bytes, known: dict, a, b, shingle: int = SHINGLE):
+    """(hash of the words, min-hashes) of a text; 32 bits each."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split()
+    g = shingles(words, known, shingle)
     least = np.full(len(a), 0xFFFFFFFF, dtype=np.uint64)
     for k in range(0, len(g), 1024):
         least = np.minimum(least, ((g[k : k + 1024, None] * a + b) >> np.uint64(32)).min(axis=0))
@@ -90,7 +98,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
             raw = least.tobytes()
             bands.append([sign(xxhash.xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k)) for k in range(BANDS)])
             marks.append(least.astype("u1").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "same", "fp", "bands", "marks"])
+        cols = [batch.column(0), pa.array(same, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), batch.column(1)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "fp", "bands", "marks", "text"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -106,12 +115,34 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
+def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of texts (ta, tb) whose sets of shingles are alike."""
+    import numpy as np
+
+    known, held = _Words(), {}
+
+    def of(node, text):
+        if node not in held:
+            if len(held) > 2000:
+                held.clear()
+            held[node] = np.unique(shingles(text.lower().split(), known, shingle))
+        return held[node]
+
+    for batch in batches:
+        keep = []
+        for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+            x, y = of(a, ta), of(b, tb)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row; component_id is the least doc_id reachable over links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    made = written(map_batches(rows, partial(_sketches, shingle=shingle), "doc_id long, same long, fp long, bands array<long>, marks binary"), "sketches")
+    made = written(map_batches(rows, partial(_sketches, shingle=shingle), "doc_id long, same long, fp long, bands array<long>, marks binary, text string"), "sketches")
     # One node for each text; equal texts have equal sketches.
-    nodes = written(made.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("marks").alias("marks")).filter("id IS NOT NULL"), "nodes")
+    nodes = written(made.groupBy(F.col("same").alias("id")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "nodes")
     firsts = nodes.groupBy("fp").agg(F.min("id").alias("first"))
     close = links(firsts.select("fp"))
     of = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id"))
@@ -122,12 +153,25 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     shared = written(blocks.join(sizes, "key"), "blocks")
     central = shared.groupBy("id").agg(F.sum("n").alias("c"))
     ranked = shared.select("key", "id").join(central, "id")
-    pivots = ranked.groupBy("key").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("p1"), F.min("id").alias("p2"))
+    pivots = ranked.groupBy("key").agg(F.max_by("id", F.struct("c", "id")).alias("p1"), F.min("id").alias("p2"))
     pairs = shared.select("key", "id").join(pivots, "key").select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
     pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     marks = lambda side: nodes.select(F.col("id").alias(side), F.col("marks").alias(f"m{side}"))
     checked = pairs.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "ma", "mb")
-    alike = map_batches(checked, partial(_alike, least=similarity - ERROR), "a long, b long")
-    roots = components(by_print.unionByName(by_link).unionByName(alike).filter("a <> b"))
-    of_text = nodes.select("same", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    return made.select("doc_id", "same").join(of_text, "same", "left").select("doc_id", "component_id")
+    likely = map_batches(checked, partial(_alike, least=similarity - MARGIN), "a long, b long")
+    texts = made.select(F.col("same").alias("id"), "text")
+    first = written(by_print.unionByName(by_link).unionByName(_verified(likely, texts, shingle, similarity)).filter("a <> b"), "links")
+    roots = components(first).withColumnRenamed("node", "id")
+    of_row = made.select("doc_id", F.col("same").alias("id")).join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("component"))
+    least = of_row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return of_row.join(least, "component").select("doc_id", "component_id")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose texts are alike, by the sets of their shingles."""
+    pairs = written(pairs, "likely")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    known = written(texts.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    side = lambda k: known.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    return map_batches(both, partial(_jaccard, shingle=shingle, similarity=similarity), "a long, b long")

@@ -123,6 +123,43 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(got[1000 + k] == 1000 + k for k in range(60))
 
 
+def brute_components(rows):
+    """Least id of each text's component, by SimHash and by all pairs of shingle sets."""
+    sets, prints, found = [shingles(t) for _, t in rows], [plain_fingerprint(t) for _, t in rows], Sets()
+    near = []
+    for i, (a, _) in enumerate(rows):
+        for k in range(i):
+            both = len(sets[i] & sets[k])
+            if both >= 0.8 * (len(sets[i]) + len(sets[k]) - both) - 1e-9:
+                near.append((rows[k][0], a))
+            elif (prints[i] ^ prints[k]).bit_count() > 2:
+                continue
+            found.join(a, rows[k][0])
+    return {i: found.find(i) for i, _ in rows}, near
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for k in range(n):
+        at = rng.randrange(len(w) // n) + k * (len(w) // n)
+        w[at] = f"new{rng.randrange(10**9)}"
+    return w
+
+
+def test_near_copies_are_decided_on_the_shingles(spark):
+    """Pairs about the limit: the estimate of a good number of them is on the other side of it."""
+    rng = random.Random(16)
+    rows = []
+    for f in range(150):
+        base = [f"f{f}w{k}" for k in range(220)]
+        rows += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(edited(rng, base, 4 + f % 3)))]
+    rows += [(900, "a a a a a"), (901, "a a a a a a")]
+    want, near = brute_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.grouped(frame(spark, rows)).collect()}
+    assert 40 <= len(near) <= 120
+    assert got == want
+
+
 def plain_removal(rows, window=20):
     words = {}
     for i, t in rows:
