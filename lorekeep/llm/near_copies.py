@@ -5,8 +5,10 @@ blocks of another fingerprint: 250 min-hashes of a text's shingles in 50 blocks
 probability 1 - (1 - 0.8^5)^50 > 0.999999997. Pairs whose similarity as estimated from the 250 min-hashes (standard error 0.025
 at 0.8) is below 0.8 by MARGIN, six standard errors, are passed over; of all others the shingles themselves are compared.
 
-Texts equal in their words are one node. Each text of a block is compared with the block's two pivots: the text with the most
-neighbours over all blocks and the one with the least hash.
+Texts equal in their words are one node. Every pair of a block is looked at, in two steps. First each text is compared with the
+block's two pivots, the text with the most neighbours over all blocks and the one with the least hash; that joins most of a
+large family. Then all pairs of a block that are not yet in one component are compared, in tiles of some TILE texts by TILE, so
+that a large block is shared among tasks. Pairs inside a component need no look: they cannot change it.
 
 Defined results: null and empty texts are equal texts. A text of fewer words than a shingle has one shingle. Rows that repeat an
 id are one document if their texts are equal, else linked as any. Null ids are linked as any; a component has a null id only
@@ -30,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 50
 MARGIN = 0.15
+#: Texts on a side of a tile: 250 bytes each.
+TILE = 256
 
 
 def _multipliers(n: int):
@@ -115,6 +119,33 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
+def _tiled(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile (i, j, members) in different components whose estimated similarity reaches a bound."""
+    import numpy as np
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        members = batch.column(2)
+        bounds, x = members.offsets.to_numpy() - members.offsets[0].as_py(), members.flatten()
+        part, node, root = (x.field(k).to_numpy() for k in range(3))
+        marks = np.frombuffer(b"".join(x.field(3).to_pylist()), np.uint8).reshape(len(node), -1)
+        need = np.ceil(marks.shape[1] * (least * (1 - 1 / 256) + 1 / 256) - 1e-9)
+        left, right = [], []
+        for i, j, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+            at = np.arange(lo, hi)
+            rows, cols = (at, at) if i == j else (at[part[lo:hi] == i], at[part[lo:hi] == j])
+            for r in rows.tolist():
+                c = cols[root[cols] != root[r]]
+                if i == j:
+                    c = c[c > r]
+                c = c[(marks[c] == marks[r]).sum(axis=1) >= need]
+                left.append(np.full(len(c), node[r]))
+                right.append(node[c])
+        a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (left, right))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of texts (ta, tb) whose sets of shingles are alike."""
     import numpy as np
@@ -137,7 +168,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) of every row; component_id is the least doc_id reachable over links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     made = written(map_batches(rows, partial(_sketches, shingle=shingle), "doc_id long, same long, fp long, bands array<long>, marks binary, text string"), "sketches")
@@ -162,6 +193,17 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     texts = made.select(F.col("same").alias("id"), "text")
     first = written(by_print.unionByName(by_link).unionByName(_verified(likely, texts, shingle, similarity)).filter("a <> b"), "links")
     roots = components(first).withColumnRenamed("node", "id")
+    # What the pivots left apart: all pairs of a block in different components.
+    rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).filter("r <> s").select("key", "m")
+    left = rooted.select("key", "id", "root").join(mixed, "key").withColumn("parts", F.ceil(F.col("m") / tile)).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    left = left.select("key", "id", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    tiles = left.join(nodes.select("id", "marks"), "id").groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    tiles = tiles.agg(F.collect_list(F.struct("part", "id", "root", "marks")).alias("x")).select("i", "j", "x")
+    more = map_batches(tiles, partial(_tiled, least=similarity - MARGIN), "a long, b long").distinct()
+    second = written(_verified(more, texts, shingle, similarity), "links")
+    if not second.isEmpty():
+        roots = components(first.unionByName(second)).withColumnRenamed("node", "id")
     of_row = made.select("doc_id", F.col("same").alias("id")).join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("component"))
     least = of_row.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of_row.join(least, "component").select("doc_id", "component_id")

@@ -146,6 +146,21 @@ def edited(rng, words, n):
     return w
 
 
+@pytest.mark.parametrize("tile", [256, 16])
+def test_near_copies_of_templated_texts_are_found_in_large_blocks(spark, tile):
+    """Texts of one template share every block; each has a copy that it resembles, and neither resembles the rest."""
+    rng = random.Random(15)
+    template = [f"t{k}" for k in range(300)]
+    rows = []
+    for f in range(120):
+        one = edited(rng, template, 6)
+        rows += [(2 * f, " ".join(one)), (2 * f + 1, " ".join(edited(rng, one, 6)))]
+    want, near = brute_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.grouped(frame(spark, rows), tile=tile).collect()}
+    assert len(near) >= 60 and len(set(want.values())) > 60
+    assert got == want
+
+
 def test_near_copies_are_decided_on_the_shingles(spark):
     """Pairs about the limit: the estimate of a good number of them is on the other side of it."""
     rng = random.Random(16)
