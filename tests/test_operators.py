@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import embed, scoring, text, vectors
 from lorekeep.operators import aggregates, fulltext, graph, retrieval, scans, sequences
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -103,6 +106,28 @@ def test_hashed_pairs_recall(spark):
     assert len(got & {(i, 100 + i) for i in range(40)}) >= 36
 
 
+def brute_pairs(df, threshold):
+    import numpy as np
+
+    rows = sorted((r["vec_id"], r["v"]) for r in df.collect())
+    u = np.array([v for _, v in rows])
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-10)
+    s = np.round(u @ u.T, 6)
+    return {(rows[i][0], rows[j][0]): s[i, j] for i, j in zip(*np.nonzero(np.triu(s >= threshold, 1)), strict=True)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_near_pairs_are_all_pairs(spark):
+    from lorekeep import plans
+    from lorekeep.sources.tables import Tables
+
+    vectors = Tables(spark, SF).vectors
+    want = brute_pairs(vectors, 0.3)
+    for got in (plans.QUERIES["near_pairs_hashed"](spark, SF).collect(), retrieval.all_pairs(vectors, 0.3, 100).collect()):
+        assert len(got) == len(want) > 0
+        assert {(r["a"], r["b"]): r["sim"] for r in got} == pytest.approx(want, abs=2e-6)
+
+
 def test_cosine_of_zero_vectors(spark):
     z = F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, vectors.cosine(z, z)) == 0.0
