@@ -66,8 +66,8 @@ def near_pairs_hashed(t):
 
 @query("near_duplicate_groups")
 def near_duplicate_groups(t):
-    pairs = R.pairs_within(t.vectors, "label", 0.3)
-    return R.greedy_groups(pairs, t.vectors.select("label", F.col("vec_id").alias("id")), "label")
+    """Over all vectors, whatever their label."""
+    return R.first_come_groups(R.all_pairs(t.vectors, 0.3))
 
 
 @query("mmr_retrieval")

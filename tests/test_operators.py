@@ -128,6 +128,35 @@ def test_near_pairs_are_all_pairs(spark):
         assert {(r["a"], r["b"]): r["sim"] for r in got} == pytest.approx(want, abs=2e-6)
 
 
+def plain_groups(pairs, ids):
+    taken, out = set(), set()
+    for seed in sorted(ids):
+        mine = [b for a, b in sorted(pairs) if a == seed and b not in taken]
+        if seed not in taken and mine:
+            taken.update(mine)
+            out |= {(seed, x) for x in (seed, *mine)}
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_near_duplicate_groups_cross_labels(spark):
+    from lorekeep import plans
+    from lorekeep.sources.tables import Tables
+
+    vectors = Tables(spark, SF).vectors
+    want = plain_groups(brute_pairs(vectors, 0.3), [r["vec_id"] for r in vectors.collect()])
+    label = {r["vec_id"]: r["label"] for r in vectors.collect()}
+    got = [(r["seed"], r["vec_id"]) for r in plans.QUERIES["near_duplicate_groups"](spark, SF).collect()]
+    assert any(label[a] != label[b] for a, b in want)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_first_come_groups_of_chains(spark):
+    pairs = [(k, k + 1) for k in range(1, 9)] + [(20, 22), (21, 22), (22, 23), (21, 23)]
+    df = spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "a long, b long, sim double")
+    assert {(r["seed"], r["vec_id"]) for r in retrieval.first_come_groups(df).collect()} == plain_groups(pairs, range(1, 30))
+
+
 def test_cosine_of_zero_vectors(spark):
     z = F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, vectors.cosine(z, z)) == 0.0
