@@ -157,6 +157,21 @@ def test_first_come_groups_of_chains(spark):
     assert {(r["seed"], r["vec_id"]) for r in retrieval.first_come_groups(df).collect()} == plain_groups(pairs, range(1, 30))
 
 
+def test_quality_gate_shows_bad_embeddings(spark):
+    truth = spark.createDataFrame([(q, k, k) for q in (1, 2) for k in (1, 2)], "qid long, vec_id long, rank long")
+    found = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 7, 1), (2, 2, 2)], "qid long, vec_id long, rank long")
+    assert tuple(retrieval.quality_gate(found, truth).first()) == (0.75, 0.75, 0.75, 2, 1)
+    assert tuple(retrieval.quality_gate(truth, truth).first()) == (1.0, 1.0, 1.0, 2, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_embedding_change_is_measured(spark):
+    from lorekeep import plans
+
+    r = plans.QUERIES["embedding_change_quality"](spark, SF).first()
+    assert 0 < r["recall"] < 1 and 0 < r["failed"] <= r["samples"]
+
+
 def test_cosine_of_zero_vectors(spark):
     z = F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, vectors.cosine(z, z)) == 0.0
