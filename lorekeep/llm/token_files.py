@@ -8,14 +8,19 @@ maximum of separator places gives where it began. So a document may span any num
 Writing: each task encodes its documents to a file of its own in the shared folder and returns which document is the how
 many-th of which file; those rows are a written table, so files of failed tries are never read.
 
+Very long texts are read whole. Long runs of white space, at which the library's split pattern would look back without bound, are
+cut out first: all but the last character of such a run is one piece by the pattern itself, and what stands before and after
+it is split as it would be in the whole text.
+
 Defined results: null and empty texts have 0 tokens; ids after a file's last separator belong to no document and are not
-counted. Repeated rows and null ids are counted as rows of their own. A separator's string inside a text is ordinary text and never its
-id. An empty table writes no file and gives no rows.
+counted. Repeated rows and null ids are counted as rows of their own; further columns are not read. A separator's string
+inside a text is ordinary text and never its id. An empty table writes no file and gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -26,24 +31,41 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, map_batches, text_of, written
 
-#: Ids of a block.
+#: Ids of a block, and blocks of a group in the prefix scan.
 BLOCK = 1 << 19
+GROUP = 1024
 END = 50_256
+#: White space (of the split pattern) from this length on is cut out of a text.
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
-@lru_cache(maxsize=2)
-def _encoding(ranks: str, pattern: str):
-    import tiktoken
+class Encoder:
+    def __init__(self, ranks: str, pattern: str):
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines())}
+        self.split = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.whole = tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=table, special_tokens={})
 
-    table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines())}
-    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    def encode(self, text: str) -> list[int]:
+        ids, at = [], 0
+        for m in _RUN.finditer(text):
+            z = m.end() if m.end() == len(text) else m.end() - 1
+            ids += self.split.encode_ordinary(text[at : m.start()]) + self.whole.encode_ordinary(text[m.start() : z])
+            at = z
+        return ids + self.split.encode_ordinary(text[at:])
+
+
+@lru_cache(maxsize=2)
+def _encoder(ranks: str, pattern: str) -> Encoder:
+    return Encoder(ranks, pattern)
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, model) -> Iterator[pa.RecordBatch]:
     import numpy as np
     from pyarrow import fs
 
-    enc = _encoding(*model.value)
+    enc = _encoder(*model.value)
     system, path = fs.FileSystem.from_uri(folder)
     out, name, n, size = None, f"part-{uuid.uuid4().hex}.bin", 0, 0
     try:
@@ -52,7 +74,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, model) -> Iterator[pa
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(f"{path}/{name}", compression=None)
             for t in b.column(1).to_pylist():
-                ids = np.array([*enc.encode_ordinary(t), END], dtype="<u2")
+                ids = np.array([*enc.encode(t), END], dtype="<u2")
                 out.write(ids.tobytes())
                 size += len(ids)
             k = b.num_rows
@@ -95,9 +117,17 @@ def scan(files: DataFrame, block: int = BLOCK, end: int = END) -> DataFrame:
     """(file, ordinal, n_tokens) of every document in files (file, n_ids)."""
     blocks = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_ids") - 1, F.lit(0)), F.lit(block).cast("long"))).alias("at"))
     found = map_batches(blocks.repartition("file", "at"), partial(_search, block=block, end=end), "file string, at long, n long, first long, last long, inner array<long>")
-    # One small row a block: the scans carry counts, the lists are opened after them.
-    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    known = found.withColumns({"skip": F.coalesce(F.sum("n").over(before), F.lit(0)), "since": F.coalesce(F.max("last").over(before), F.lit(-1))}).filter("n > 0")
+    # The prefix scan has two levels: within groups of blocks, and over the groups' sums. Only counts and places take part;
+    # the lists are joined after it. So a file of any size is shared among tasks, one row a group being what one task sees of it.
+    found = written(found, "blocks").withColumn("g", F.floor(F.col("at") / F.lit(block * GROUP)))
+    small = found.select("file", "g", "at", "n", "last")
+    sums = small.groupBy("file", "g").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    over = Window.partitionBy("file").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.select("file", "g", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("g_skip"), F.max("last").over(over).alias("g_since"))
+    inside = Window.partitionBy("file", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = small.select("file", "g", "at", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("skip"), F.max("last").over(inside).alias("since")).join(groups, ["file", "g"])
+    placed = placed.select("file", "at", (F.col("skip") + F.col("g_skip")).alias("skip"), F.coalesce("since", "g_since", F.lit(-1)).alias("since"))
+    known = found.filter("n > 0").join(placed, ["file", "at"])
     lengths = F.concat(F.array(F.col("first") - F.col("since") - 1), F.col("inner"))
     return known.select("file", "skip", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("skip") + F.col("k")).alias("ordinal"), "n_tokens")
 
