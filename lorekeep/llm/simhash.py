@@ -4,6 +4,7 @@ A fingerprint has 64 bits in four blocks of 16. Two fingerprints at distance 2 o
 share two blocks of the four; each fingerprint goes under its six pairs of blocks. Fingerprints, not documents, are joined:
 copies share one. In a pair of blocks shared by more than BUCKET fingerprints no pairs are made: there a fingerprint meets
 others at the values one flipped bit away, and any two that meet are at distance 2 or less, in links that grow with the bucket.
+Rows of a fingerprint or a block key with a large share of all are not dealt by it: the one row they meet is broadcast.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a text of fewer words than a
 shingle has one shingle, all its words. Rows that repeat an id are linked by their fingerprints like other rows. A null id is
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of, utf8, written
+from .common import HOT_ROWS, dropped, hot_keys, joined, map_batches, text_of, utf8, written
 from .graph import components
 
 SHINGLE = 3
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(rows, partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
 
 
-def links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(values: DataFrame, bucket: int = BUCKET, hot: int = HOT_ROWS) -> DataFrame:
     """(a, b): pairs of distinct fingerprints that connect all pairs at distance 2 or less, each pair itself within it."""
     keys = []
     for t, (i, j) in enumerate(combinations(range(64 // BLOCK_BITS), 2)):
@@ -76,8 +77,8 @@ def links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
         free = [k for k in range(64) if not fixed >> k & 1]
         keys.append((key, [(1 << k) - (1 << 64) if k == 63 else 1 << k for k in free]))
     blocks = values.select("fp", F.posexplode(F.array(*[k for k, _ in keys])).alias("t", "key"))
-    sizes = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = blocks.join(sizes, "key")
+    sizes = written(blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    sized = joined(blocks, sizes, "key", hot_keys(sizes, "key", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], hot))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= DISTANCE
     # Small buckets: every pair inside, at most bucket^2 / 2 of them, verified before it becomes a row.
     groups = sized.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("f"))
@@ -87,19 +88,22 @@ def links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
     flips = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in f]) for _, f in keys]), F.col("t") + 1)
     hubs = sized.filter(F.col("n") > bucket).select("fp", F.explode(F.concat(F.array("fp"), F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x)))).alias("hub"))
     met = hubs.groupBy("hub").agg(F.collect_set("fp").alias("f")).filter(F.size("f") > 1)
-    large = met.select(F.element_at("f", 1).alias("a"), F.explode(F.slice("f", 2, 1 << 20)).alias("b")).filter(near(F.col("a"), F.col("b")))
+    large = met.select(F.element_at("f", 1).alias("a"), F.explode(F.slice("f", F.lit(2), F.size("f"))).alias("b")).filter(near(F.col("a"), F.col("b")))
     return small.unionByName(large).distinct()
 
 
-def grouped(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, hot: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id reachable over links."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    values = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(values.select("fp"), bucket))
+    values = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "values")
+    near = written(links(values.select("fp"), bucket, hot), "links")
+    roots = components(near, hot)
     of = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(of.join(least, "root").select("fp", "component_id"), "components")
+    frequent = hot_keys(values, "fp", values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], hot)
+    dropped(near, roots, values)
+    return joined(fps, named, "fp", frequent).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
