@@ -10,11 +10,14 @@ Skew: equal packed strings of one task are combined before they travel: all but
 window in them starts earlier too. So a passage of a third of all documents reaches its bucket once a task. A minimiser
 that many different strings share (the edge of such a passage, a boilerplate phrase) is found by a first pass over all
 documents, which counts minimisers; windows of those few go one by one, by the hash of their own words, which spreads them.
-Which minimisers those are changes the route only, never the result.
-
-Defined results: a null text has no words (n_words 0, kept_sha256 of the empty text). Rows that repeat an id count as one
-document written twice: windows at the same (doc_id, start) are not earlier than each other, and words marked in one row are
-marked in all at the same places; a null id sorts first. Texts shorter than a window stay whole. An empty table gives an empty table.
+The first pass also tells how many strings there are, and so how many buckets, some BUCKET_STRINGS in each. Should a bucket
+still hold more than MOST_STRINGS, its task keeps none of them but sends their windows on, each by its own hash, to a
+second round. Which way a window goes changes the route only, never the result.
+
+Defined results: a null text has no words (n_words 0, kept_sha256 of the empty text). A document is an id with a text: rows that
+repeat both are one document, and words marked in one are marked in all at the same places; rows that share an id (or have
+none) but differ in their texts are documents of their own, in the order of a hash of the text. A null id sorts first. Texts
+shorter than a window stay whole. Further columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of, utf8, written
+from .common import dropped, map_batches, text_of, utf8, written
 
 WINDOW = 20
 GRAM = 3
@@ -38,6 +41,10 @@ GRAM = 3
 HOT_PARTS = 2000
 #: Packed strings that a task holds to combine equal ones.
 HELD = 200_000
+#: Packed strings meant for a bucket, and the most that a task looks at together.
+BUCKET_STRINGS = 50_000
+MOST_STRINGS = 400_000
+PLACE = "doc long, tag long, at int, upto int"
 NO_ID = -(1 << 63)
 
 
@@ -130,85 +137,102 @@ def _count_minimisers(batches: Iterator[pa.RecordBatch], window: int, gram: int,
         yield counted()
 
 
-def hot_minimisers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = HOT_PARTS) -> list[int]:
-    """Minimisers with at least 1/parts of all packed strings: fewer than 2 * parts of them, whatever the input."""
+def hot_minimisers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, parts: int = HOT_PARTS) -> tuple[list[int], int]:
+    """Minimisers with at least 1/parts of all packed strings: fewer than 2 * parts of them, whatever the input; and the number of strings."""
     counts = map_batches(docs.select(text_of(docs).alias("text")), partial(_count_minimisers, window=window, gram=gram, parts=parts), "least long, n long, total long")
     by = counts.groupBy("least").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     by = written(by.filter("n >= 64 or total > 0"), "minimisers")
     total = by.agg(F.sum("total")).first()[0] or 0
     hot = by.filter(F.col("n") >= max(64, total // parts)).select("least").collect()
-    return sorted(r[0] for r in hot)
+    dropped(by)
+    return sorted(r[0] for r in hot), total
 
 
-def _packed(rows: list[tuple[int, bytes, int, int, int]]) -> bytes:
-    """Rows (key, words, doc, start, n) by column, compressed: a block for one bucket."""
+def _packed(rows: list[tuple[int, bytes, tuple[int, int], int, int]]) -> bytes:
+    """Rows (key, words, (doc, tag), start, n) by column, compressed: a block for one bucket."""
     import numpy as np
     import zstandard
 
     rows.sort()
     key, words, doc, start, n = zip(*rows, strict=True)
-    head = np.array([len(rows)], "<i8").tobytes() + np.array(doc, "<i8").tobytes() + b"".join(np.array(x, "<i4").tobytes() for x in (start, n, [len(w) for w in words]))
+    head = np.array([len(rows)], "<i8").tobytes() + b"".join(np.array([d[k] for d in doc], "<i8").tobytes() for k in (0, 1))
+    head += b"".join(np.array(x, "<i4").tobytes() for x in (start, n, [len(w) for w in words]))
     # 32 bits of a key sort the rows of a bucket; should two keys share them, their windows are merely sorted together.
     keys = (np.array(key, np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + keys + b"".join(words))
 
 
 def _unpacked(block: bytes):
-    """(keys, docs, starts, n, word offsets, bytes) of a block."""
+    """(keys, docs, tags, starts, n, word offsets, bytes) of a block."""
     import numpy as np
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(block)
     k = int(np.frombuffer(raw, "<i8", 1)[0])
-    doc = np.frombuffer(raw, "<i8", k, 8)
-    start, n, size = (np.frombuffer(raw, "<i4", k, 8 + 8 * k + 4 * k * i) for i in range(3))
-    key = np.frombuffer(raw, "<u4", k, 8 + 20 * k)
-    return key, doc, start, n, 8 + 24 * k + np.concatenate(([0], np.cumsum(size, dtype=np.int64))), raw
+    doc, tag = (np.frombuffer(raw, "<i8", k, 8 + 8 * k * i) for i in range(2))
+    start, n, size = (np.frombuffer(raw, "<i4", k, 8 + 16 * k + 4 * k * i) for i in range(3))
+    key = np.frombuffer(raw, "<u4", k, 8 + 28 * k)
+    return key, doc, tag, start, n, 8 + 32 * k + np.concatenate(([0], np.cumsum(size, dtype=np.int64))), raw
 
 
-def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int, gram: int, held: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block, doc, at, upto): a block of packed strings for a bucket, or words marked here and now.
+class _Outgoing:
+    """Strings on their way to buckets: of equal ones the earliest goes, the others are marked."""
 
-    A packed string in a block has n windows from `start` on; -n if it may hold equal ones.
-    """
-    import numpy as np
-    import xxhash
+    def __init__(self, buckets: int, window: int):
+        self.buckets, self.window = buckets, window
+        self.first: dict[bytes, tuple] = {}
+        self.marked: list[tuple[tuple[int, int], int, int]] = []
 
-    known, first = _Words(), {}
-    hot_set = np.array(hot, dtype=np.int64).view(np.uint64)
-    marked: list[tuple[int, int, int]] = []
+    def __len__(self) -> int:
+        return len(self.first) + len(self.marked)
 
-    def put(key: int, packed: bytes, doc: int, start: int, n: int) -> None:
-        at = first.get(packed)
+    def put(self, key: int, packed: bytes, doc: tuple[int, int], start: int, n: int) -> None:
+        at = self.first.get(packed)
         if at is None:
-            first[packed] = (key, doc, start, n)
+            self.first[packed] = (key, doc, start, n)
         elif (doc, start) < at[1:3]:
-            first[packed] = (key, doc, start, n)
-            marked.append((at[1], at[2], abs(n)))
+            self.first[packed] = (key, doc, start, n)
+            self.marked.append((at[1], at[2], abs(n)))
         elif (doc, start) > at[1:3]:
-            marked.append((doc, start, abs(n)))
+            self.marked.append((doc, start, abs(n)))
+
+    def put_windows(self, words: list[bytes], doc: tuple[int, int], start: int) -> None:
+        """Every window of a run of words by its own hash."""
+        import xxhash
+
+        for i in range(len(words) - self.window + 1):
+            one = b" ".join(words[i : i + self.window])
+            self.put(xxhash.xxh64_intdigest(one, 11), one, doc, start + i, 1)
 
-    def rows():
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows (bucket, block, doc, tag, at, upto): a block of strings for a bucket, or words marked."""
         by: dict[int, list] = defaultdict(list)
-        for p, (key, d, s, n) in first.items():
-            by[key % buckets].append((key, p, d, s, n))
-        first.clear()
-        spans: list[list[int]] = []
-        for d, s, n in sorted(marked):
+        for p, (key, d, s, n) in self.first.items():
+            by[key % self.buckets].append((key, p, d, s, n))
+        self.first.clear()
+        spans: list[list] = []
+        for d, s, n in sorted(self.marked):
             if spans and spans[-1][0] == d and spans[-1][1] + spans[-1][2] >= s:
                 spans[-1][2] = max(spans[-1][2], s + n - spans[-1][1])
             else:
                 spans.append([d, s, n])
-        marked.clear()
-        out = [(k, _packed(by.pop(k)), None, None, None) for k in sorted(by)]
-        out += [((d ^ d >> 32) % buckets, None, d, s, s + n + window - 1) for d, s, n in spans]
+        self.marked.clear()
+        out = [(k, _packed(by.pop(k)), None, None, None, None) for k in sorted(by)]
+        out += [((d[0] ^ d[0] >> 32) % self.buckets, None, *d, s, s + n + self.window - 1) for d, s, n in spans]
         if out:
-            types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "block", "doc", "at", "upto"])
+            types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "block", "doc", "tag", "at", "upto"])
 
+
+def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int, gram: int, held: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _Outgoing from rows (doc_id, tag, text); a string has n windows from `start` on, -n if it may hold equal ones."""
+    import numpy as np
+
+    known, out = _Words(), _Outgoing(buckets, window)
+    hot_set = np.array(hot, dtype=np.int64).view(np.uint64)
     for b in batches:
-        docs = b.column(0).to_pylist()
-        words, bounds, g, (starts, lengths, least, text) = _runs(utf8(b.column(1)), known, window, gram)
+        docs = [(NO_ID if d is None else d, t) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        words, bounds, g, (starts, lengths, least, text) = _runs(utf8(b.column(2)), known, window, gram)
         if not len(starts):
             continue
         # Equal windows in one packed string are less than a window apart: some gram occurs twice in that distance.
@@ -219,19 +243,16 @@ def _super_kmers(batches: Iterator[pa.RecordBatch], hot: list[int], window: int,
         twice = (again[starts + lengths + window - gram] > again[starts]) | (lengths > window - gram + 1)
         is_hot = np.isin(least, hot_set) if len(hot_set) else np.zeros(len(starts), bool)
         for s, n, key, t, o, tw, ho in zip(starts.tolist(), lengths.tolist(), least.tolist(), text.tolist(), (starts - bounds[text]).tolist(), twice.tolist(), is_hot.tolist(), strict=True):
-            doc = NO_ID if docs[t] is None else docs[t]
             if ho:
-                for i in range(n):
-                    one = b" ".join(words[s + i : s + i + window])
-                    put(xxhash.xxh64_intdigest(one, 11), one, doc, o + i, 1)
+                out.put_windows(words[s : s + n + window - 1], docs[t], o)
             else:
-                put(key, b" ".join(words[s : s + n + window - 1]), doc, o, -n if tw else n)
-        if len(first) + len(marked) > held:
-            yield from rows()
-    yield from rows()
+                out.put(key, b" ".join(words[s : s + n + window - 1]), docs[t], o, -n if tw else n)
+        if len(out) > held:
+            yield from out.rows()
+    yield from out.rows()
 
 
-def _marked(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
+def _marked(group: list[tuple], window: int) -> list[tuple[tuple[int, int], int, int]]:
     """Windows of one bucket key that equal an earlier one, as (doc, start, n)."""
     every = []
     for packed, doc, start, n in group:
@@ -239,7 +260,7 @@ def _marked(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
         every += [(b" ".join(w[i : i + window]), doc, start + i) for i in range(abs(n))]
     every.sort()
     late = sorted(_later_equal(every))
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple] = []
     for d, s in late:
         if out and out[-1][0] == d and out[-1][1] + out[-1][2] == s:
             out[-1] = (d, out[-1][1], out[-1][2] + 1)
@@ -248,7 +269,7 @@ def _marked(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _later_equal(every: list[tuple[bytes, int, int]]) -> set[tuple[int, int]]:
+def _later_equal(every: list[tuple]) -> set[tuple]:
     """Of sorted (words, doc, start): the places of each run of equal words, but for its first place."""
     out, head = set(), None
     for w, d, s in every:
@@ -259,12 +280,11 @@ def _later_equal(every: list[tuple[bytes, int, int]]) -> set[tuple[int, int]]:
     return out
 
 
-def _repeats_in(blocks: list[bytes], window: int) -> list[tuple[int, int, int]]:
+def _repeats_in(parts: list[tuple], window: int) -> list[tuple[tuple[int, int], int, int]]:
     """Windows of one bucket that equal an earlier one, as (doc, start, n)."""
     import numpy as np
 
-    parts = [_unpacked(x) for x in blocks]
-    key, doc, start, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    key, doc, tag, start, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
     at = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
     order = np.argsort(key, kind="stable")
     ks = key[order]
@@ -276,36 +296,50 @@ def _repeats_in(blocks: list[bytes], window: int) -> list[tuple[int, int, int]]:
         group = []
         for i in order[a : a + k].tolist():
             p = int(np.searchsorted(at, i, side="right")) - 1
-            off, raw = parts[p][4], parts[p][5]
+            off, raw = parts[p][5], parts[p][6]
             j = i - int(at[p])
-            group.append((raw[off[j] : off[j + 1]], int(doc[i]), int(start[i]), int(n[i])))
+            group.append((raw[off[j] : off[j + 1]], (int(doc[i]), int(tag[i])), int(start[i]), int(n[i])))
         out += _marked(group, window)
     return out
 
 
-def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Marked places (doc, at, upto in words) from rows sorted by bucket; a bucket's rows may span batches."""
-    bucket, blocks = None, []
+def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int, most: int, held: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket, which may span batches: marked places, and blocks of windows of buckets beyond `most` strings."""
+    bucket, parts, size = None, [], 0
+    over = _Outgoing(buckets, window)
+
+    def places(found) -> pa.RecordBatch:
+        k = len(found)
+        cols = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())]
+        cols += [pa.array([f[0][i] for f in found], pa.int64()) for i in range(2)]
+        cols += [pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] + f[2] + window - 1 for f in found], pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "doc", "tag", "at", "upto"])
 
-    def out(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[1] + f[2] + window - 1 for f in found], pa.int32())],
-            names=["doc", "at", "upto"],
-        )
+    def sent_on(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for _, doc, tag, start, n, off, raw in some:
+            for i in range(len(n)):
+                over.put_windows(raw[off[i] : off[i + 1]].split(), (int(doc[i]), int(tag[i])), int(start[i]))
+                if len(over) > held:
+                    yield from over.rows()
 
     for b in batches:
         here = b.filter(b.column(1).is_null())
         if here.num_rows:
-            yield pa.RecordBatch.from_arrays(here.columns[2:], names=["doc", "at", "upto"])
+            yield here
         sent = b.filter(b.column(1).is_valid())
         for k, block in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), strict=True):
-            if k != bucket and blocks:
-                yield out(_repeats_in(blocks, window))
-                blocks = []
-            bucket = k
-            blocks.append(block)
-    if blocks:
-        yield out(_repeats_in(blocks, window))
+            if k != bucket and parts:
+                yield places(_repeats_in(parts, window))
+            if k != bucket:
+                bucket, parts, size = k, [], 0
+            parts.append(_unpacked(block))
+            size += len(parts[-1][0])
+            if size > most:
+                yield from sent_on(parts)
+                parts = []
+    if parts:
+        yield places(_repeats_in(parts, window))
+    yield from over.rows()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,20 +367,34 @@ def _kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def marked_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, held: int = HELD, parts: int = HOT_PARTS) -> DataFrame:
-    """(doc, at, upto): word places under windows that start earlier elsewhere; a null id is NO_ID."""
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): a row's document is its id and tag, a hash of the text; 0 where every id is there once and so tells enough."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    hot = hot_minimisers(docs, window, gram, parts)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = map_batches(rows, partial(_super_kmers, hot=hot, window=window, gram=gram, held=held, buckets=8 * buckets), "bucket int, block binary, doc long, at int, upto int")
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return map_batches(dealt, partial(_sorted_buckets, window=window), "doc long, at int, upto int")
+    alone = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+    return rows.select("doc_id", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("tag"), "text")
+
+
+def marked_places(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, held: int = HELD, parts: int = HOT_PARTS, most: int = MOST_STRINGS) -> DataFrame:
+    """(doc, tag, at, upto): word places of rows (doc_id, tag, text) under windows that start earlier elsewhere; a null id is NO_ID."""
+    schema = f"bucket int, block binary, {PLACE}"
+    hot, total = hot_minimisers(rows, window, gram, parts)
+    buckets = max(8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_STRINGS + 1)
+    sent = map_batches(rows, partial(_super_kmers, hot=hot, window=window, gram=gram, held=held, buckets=buckets), schema)
+    look = partial(_sorted_buckets, window=window, held=held, buckets=buckets)
+    found = written(map_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), partial(look, most=most), schema), "places")
+    places = found.filter("block is null")
+    on = found.filter("block is not null")
+    if not on.isEmpty():
+        # Only equal windows share a key now, and equal ones of one task are one: a bucket is never too large.
+        more = map_batches(on.repartition("bucket").sortWithinPartitions("bucket"), partial(look, most=1 << 62), schema)
+        places = places.unionByName(more)
+    return places.select("doc", "tag", "at", "upto")
 
 
 def _with_places(docs: DataFrame, window: int, **how) -> DataFrame:
-    places = marked_places(docs, window, **how).groupBy("doc").agg(F.collect_list(F.struct("at", "upto")).alias("places"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.join(places, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left").select("doc_id", "text", "places")
+    rows = identified(docs)
+    places = marked_places(rows, window, **how).groupBy("doc", F.col("tag").alias("of")).agg(F.collect_list(F.struct("at", "upto")).alias("places"))
+    return rows.join(places, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("tag") == F.col("of")), "left").select("doc_id", "text", "places")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, **how) -> DataFrame:
