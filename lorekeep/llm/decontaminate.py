@@ -1,18 +1,23 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage of every text.
 
 The items are indexed: a posting holds a term's BM25 share of the item's score against itself, so scores run from 0 to 1 and
-THRESHOLD means the same for every item. Items lie in blocks of BLOCK; for each block the index keeps the most that the common
-terms together can add. A passage is a window of twice an item's length class, every such length apart, so each occurrence
-of an item lies whole in a passage. Block-max WAND, on a batch of passages at once: only the rarer terms' postings are opened; an
-item goes on if its sum plus its block's bound reaches the threshold, which no item of sufficient score can fail; those are
+THRESHOLD means the same for every item. Items lie in blocks of BLOCK, in the order of their words; the index keeps, for
+each term, its greatest share in any item and its greatest in each block. A passage is a window of twice an item's length
+class, every such length apart, so each occurrence of an item lies whole in a passage.
+
+Block-max WAND, on a batch of passages at once. The commonest terms, which together can give no block half the threshold, are
+never opened; what they can give a block is its floor. Pivot: a passage whose other terms' greatest shares do not reach the threshold above the least
+floor is passed over. For the others the shares by block are added up; a block is opened only where these and
+its floor reach the threshold, and only there items are looked at. No item of sufficient score can be lost on the way. Those items are
 scored in full, and all above the threshold are verified: 5-word shingles of the question (all but the last sentence) and
 of the answer (the shingles that reach into the last sentence) must be in the passage, MIN_OVERLAP of all and half of each.
 
-Items are broadcast: shards of at most SHARD_BYTES of text, whose number follows the benchmark's size. Documents are never
-shuffled. Words are lower-cased (A-Z) and ASCII punctuation is a space.
+Items are broadcast in shards of at most SHARD_BYTES of text, whose number follows the benchmark's size; one pass over the
+documents goes through SHARDS of them. Documents are never shuffled. Words are lower-cased (A-Z) and ASCII punctuation is a space.
 
 Defined results: null and empty texts or items match nothing; an item of fewer than five words must occur whole. Rows that repeat an
-id (of documents or items) are matched each. An empty benchmark matches nothing.
+id, or have none (of documents or items), are matched each. Further columns are not read by `matches` and kept by `clean`. An empty benchmark
+or table of documents matches nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import batched, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +40,7 @@ PART_OVERLAP = 0.5
 SHINGLE = 5
 BLOCK = 16
 SHARD_BYTES = 16 << 20
+SHARDS = 8
 
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
@@ -94,18 +100,36 @@ class Index:
         self.post_value = np.array([r[2] for r in rows])
         self.post_at = np.searchsorted(np.array([r[0] for r in rows]), np.arange(len(terms) + 1))
         self.block = np.arange(n) // BLOCK
-        # Common terms stay unopened as long as no block can gain half the threshold from them.
-        gain = np.zeros(self.block[-1] + 1)
+        self.blocks = int(self.block[-1]) + 1
+        # Greatest shares: of a term in a block (rows by term, like the postings), and of a term anywhere.
+        rows = np.repeat(np.arange(len(terms)), np.diff(self.post_at)) * self.blocks + self.block[self.post_item]
+        order = np.argsort(rows, kind="stable")
+        cell, first = np.unique(rows[order], return_index=True)
+        self.top_value = np.maximum.reduceat(self.post_value[order], first)
+        self.top_block = cell % self.blocks
+        self.top_at = np.searchsorted(cell // self.blocks, np.arange(len(terms) + 1))
+        self.top = np.maximum.reduceat(self.post_value, self.post_at[:-1])
+        # The commonest terms stay unopened as long as no block can gain half the threshold from them.
+        self.floor = np.zeros(self.blocks)
         self.first_open = 0
         for t in range(len(terms)):
-            a, z = self.post_at[t], self.post_at[t + 1]
-            more = np.zeros(len(gain))
-            np.maximum.at(more, self.block[self.post_item[a:z]], self.post_value[a:z])
-            if (gain + more).max() > THRESHOLD / 2:
+            a, z = self.top_at[t], self.top_at[t + 1]
+            more = self.floor.copy()
+            more[self.top_block[a:z]] += self.top_value[a:z]
+            if more.max() > THRESHOLD / 2:
                 break
-            gain += more
-            self.first_open = t + 1
-        self.bound = gain
+            self.floor, self.first_open = more, t + 1
+        #: Of passages and of blocks: how many there were and how many were looked into.
+        self.seen = {"passages": 0, "pivots": 0, "blocks": 0, "opened": 0}
+
+    @staticmethod
+    def _spread(at, some):
+        """The rows of a table by term that belong to some terms, and which of these terms each belongs to."""
+        import numpy as np
+
+        n = at[some + 1] - at[some]
+        of = np.repeat(np.arange(len(some)), n)
+        return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[some], n), of
 
     def candidates(self, words: list[bytes], bounds):
         """(text, passage, item) that may reach the threshold, from all words of a batch of texts."""
@@ -123,14 +147,34 @@ class Index:
         before = k > 0
         passage = np.concatenate((here, here[before] - 1))
         term = np.concatenate((ids[at], ids[at][before]))
-        key = np.unique(passage * len(self.term) + term)
+        enough = THRESHOLD - 1e-9
+        self.seen["passages"] += int(base[-1])
+        # Pivot, first with repeated words counted each time, which can only raise the sum.
+        reach = np.bincount(passage, weights=self.top[term], minlength=int(base[-1]))
+        on = reach[passage] + self.floor.max() >= enough
+        key = np.unique(passage[on] * len(self.term) + term[on])
         passage, term = key // len(self.term), key % len(self.term)
-        n = self.post_at[term + 1] - self.post_at[term]
-        start = np.repeat(self.post_at[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        pair, inverse = np.unique(np.repeat(passage, n) * len(self.items) + self.post_item[start], return_inverse=True)
-        total = np.bincount(inverse, weights=self.post_value[start])
+        reach = np.bincount(passage, weights=self.top[term], minlength=int(base[-1]))
+        on = reach[passage] + self.floor.max() >= enough
+        passage, term = passage[on], term[on]
+        self.seen["pivots"] += int((reach + self.floor.max() >= enough).sum())
+        # Blocks: the sum of their terms' greatest shares.
+        row, of = self._spread(self.top_at, term)
+        cell, inverse = np.unique(passage[of] * self.blocks + self.top_block[row], return_inverse=True)
+        most = np.bincount(inverse, weights=self.top_value[row], minlength=len(cell)) + self.floor[cell % self.blocks]
+        opened = cell[most >= enough]
+        self.seen["blocks"] += len(cell)
+        self.seen["opened"] += len(opened)
+        # Items of the opened blocks.
+        on = np.isin(passage, opened // self.blocks)
+        passage, term = passage[on], term[on]
+        row, of = self._spread(self.post_at, term)
+        passage, item = passage[of], self.post_item[row]
+        on = np.isin(passage * self.blocks + self.block[item], opened)
+        pair, inverse = np.unique(passage[on] * len(self.items) + item[on], return_inverse=True)
+        total = np.bincount(inverse, weights=self.post_value[row[on]], minlength=len(pair))
         item = pair % len(self.items)
-        on = total + self.bound[self.block[item]] >= THRESHOLD - 1e-9
+        on = total + self.floor[self.block[item]] >= enough
         passage = pair[on] // len(self.items)
         text = np.searchsorted(base, passage, side="right") - 1
         return zip(text.tolist(), (passage - base[text]).tolist(), item[on].tolist(), strict=True)
@@ -179,10 +223,14 @@ def _found(texts: list[bytes], made: list[Index]) -> list[tuple[int, Item, tuple
     return sorted(((t, x.items[i], m) for x in made for (t, i), m in x.matches(words, bounds).items()), key=lambda r: (r[0], str(r[1].id), r[1].words))
 
 
-def _matched(batches: Iterator[pa.RecordBatch], made) -> Iterator[pa.RecordBatch]:
+def _all(shards) -> list[Index]:
+    return [x for made in shards for x in made.value]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], shards) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs = b.column(0).to_pylist()
-        rows = [(docs[t], x.id, round(m[1], 6), m[0], m[2], m[3]) for t, x, m in _found(utf8(b.column(1)), made.value)]
+        rows = [(docs[t], x.id, round(m[1], 6), m[0], m[2], m[3]) for t, x, m in _found(utf8(b.column(1)), _all(shards))]
         cols = list(zip(*rows, strict=True)) or [()] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 4), strict=True)],
@@ -190,23 +238,27 @@ def _matched(batches: Iterator[pa.RecordBatch], made) -> Iterator[pa.RecordBatch
         )
 
 
-def _clean(batches: Iterator[pa.RecordBatch], made, column: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], shards, column: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bad = {t for t, _, _ in _found([t or b"" for t in utf8(b.column(column))], made.value)}
+        bad = {t for t, _, _ in _found([t or b"" for t in utf8(b.column(column))], _all(shards))}
         yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
 
 
-def _shards(benchmark: DataFrame):
-    """Broadcast indexes of the items, each of a bounded part of the benchmark."""
+def _passes(benchmark: DataFrame):
+    """Lists of broadcast indexes of the items, for one pass over the documents each; an index has a bounded part of the benchmark."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of(benchmark).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // SHARD_BYTES + 1
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about SHARD_BYTES
-        made = indexes([tuple(r) for r in part])
-        if made:
-            yield spark.sparkContext.broadcast(made)
+
+    def shards():
+        for k in range(n):
+            part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # about SHARD_BYTES
+            made = indexes([tuple(r) for r in part])
+            if made:
+                yield spark.sparkContext.broadcast(made)
+
+    return batched(shards(), SHARDS)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -214,16 +266,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     out = None
-    for made in _shards(benchmark):
-        one = map_batches(rows, partial(_matched, made=made), schema)
+    for shards in _passes(benchmark):
+        one = map_batches(rows, partial(_matched, shards=shards), schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text holds no item, all columns as they were."""
-    for made in _shards(benchmark):
-        docs = map_batches(docs, partial(_clean, made=made, column=docs.columns.index(text)), docs.schema)
+    for shards in _passes(benchmark):
+        docs = map_batches(docs, partial(_clean, shards=shards, column=docs.columns.index(text)), docs.schema)
     return docs
 
 
