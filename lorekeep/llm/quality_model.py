@@ -4,13 +4,14 @@ Features of a text are counts of hashed n-grams of three kinds, scaled to length
 shapes of tokens (1 to 3; a shape keeps case, digits and symbols and folds letters), and whether a token equals the one before
 it (as part of the shape). A score is the logistic of a sparse dot product with the weights, 2^BITS of them at most.
 
-Training sees at most MAX_TRAIN labelled rows, those with the least hash of their id, in that order, so a row's use never
-depends on partitions; their features are made on the executors and one task runs the updates. Everything else is linear: each
+Training sees at most MAX_TRAIN labels, those with the least hash of their id, in that order, and one text for each, so what is
+learnt never depends on partitions; their features are made on the executors and one task runs the updates. Everything else is linear: each
 document is scored alone with the broadcast weights.
 
 Defined results: null and empty texts have no features and the score of the bias. Labels other than 0 and 1, null ids in
-labels and labels without a document are left out; a document labelled twice is used once for each label row. Without any
-training row every score is 0.5. Repeated rows are scored each; further columns are not read.
+labels and labels without a document are left out; a document labelled twice is used once for each of its labels, and of rows
+that repeat an id the least text. Labels of equal hash go by id and label. Without any training row every score is 0.5.
+Repeated rows are scored each; very long texts are read whole; further columns are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -93,10 +94,10 @@ def _featured(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Recor
 
     known = _Tokens()
     for b in batches:
-        rows = [features(t, known, bits) for t in utf8(b.column(2))]
+        rows = [features(t, known, bits) for t in utf8(b.column(3))]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
-            names=["at", "y", "idx", "val"],
+            [*b.columns[:3], pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
+            names=["at", "id", "y", "idx", "val"],
         )
 
 
@@ -129,9 +130,9 @@ def _trained(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
     rows = []
     for b in batches:
-        idx, val = b.column(2), b.column(3)
-        for k, (at, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            rows.append((at, idx[k].values.to_numpy(zero_copy_only=False).astype(np.int64), val[k].values.to_numpy(zero_copy_only=False).astype(np.float64), y))
+        idx, val = b.column(3), b.column(4)
+        for k, (at, i, y) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+            rows.append(((at, i, y), idx[k].values.to_numpy(zero_copy_only=False).astype(np.int64), val[k].values.to_numpy(zero_copy_only=False).astype(np.float64), y))
     rows.sort(key=lambda r: r[0])
     w = ftrl([r[1:] for r in rows], bits) if rows else np.zeros(0)
     at = np.flatnonzero(w)
@@ -145,10 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
     y = F.col("quality").cast("int")
     chosen = labels.select(F.col("doc_id").cast("long").alias("id"), y.alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
     chosen = chosen.filter(remainder(F.col("id"), 4) != 2).withColumn("at", F.xxhash64("id", "y"))
-    chosen = chosen.orderBy("at", "id", "y").limit(max_train)
+    chosen = chosen.distinct().orderBy("at", "id", "y").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("at", "y", "text")  # max_train rows of 20 bytes
-    made = map_batches(rows, partial(_featured, bits=bits), "at long, y int, idx array<int>, val array<float>")
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("at", "id", "y").agg(F.min("text").alias("text"))  # max_train rows of 20 bytes
+    made = map_batches(rows, partial(_featured, bits=bits), "at long, id long, y int, idx array<int>, val array<float>")
     got = map_batches(made.repartition(1), partial(_trained, bits=bits), "idx long, w double").collect()  # at most 2^bits + 1 rows
     w = np.zeros((1 << bits) + 1)
     for r in got:
