@@ -26,7 +26,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-#: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping.
+#: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping, rules as bits in their order.
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -37,13 +37,19 @@ c AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest([p, p + 1, p + 2])
 x AS (SELECT m.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-        length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals
+        length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_capitals,
+        len(list_filter(w, lambda y: regexp_matches(y, '\p{L}'))) AS n_letter_words,
+        len(list_filter(l, lambda y: regexp_matches(y, '^[\x20\x09-\x0D]*[-*•◦]'))) AS n_bullet_lines,
+        len(list_filter(l, lambda y: regexp_matches(y, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
       FROM m LEFT JOIN c USING (k)),
-y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+f AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, word_chars < 3 * n_words, word_chars > 10 * n_words,
+        n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines, 10 * n_capitals > 4 * word_chars, 10 * n_letter_words < 6 * n_words,
+        n_lines > 3 AND 10 * n_bullet_lines > 9 * n_lines, n_lines > 3 AND 10 * n_ellipsis_lines > 3 * n_lines] AS b FROM x),
+y AS (SELECT *, list_filter(range(1, 11), lambda i: b[i]) AS failed, list_filter(range(1, 8), lambda i: b[i]) AS now FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
-       OR (n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * n_capitals > 4 * word_chars) AS kept
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, b[1] OR b[2] AS base_failed,
+  len(now) = 0 AS kept, CAST(coalesce(list_sum(list_transform(failed, lambda i: 1 << (i - 1))), 0) AS BIGINT) AS failures, len(failed) = 0 AS kept_v3,
+  CASE WHEN len(now) = 1 THEN ['few_words', 'repeated_windows', 'symbols', 'short_words', 'long_words', 'duplicate_lines', 'capitals'][now[1]] END AS only_rule
 FROM y
 """
 
