@@ -1,8 +1,8 @@
 """From raw documents to tokens in five stages; each stage's rows are a table in the shared folder before the next begins.
 
 Every stage sees all that its predecessor kept, and columns it does not know pass through unread. A null text counts as an
-empty one (the rules reject it). To the near-copy stage rows that repeat an id are one document; rows without an id are
-one document where their texts are equal.
+empty one (the rules reject it). Rows are told apart by id and text: rows that share an id but not the text are documents of
+their own, and a row without an id that copies another goes like any copy.
 """
 
 from __future__ import annotations
@@ -16,16 +16,12 @@ from lorekeep.llm.common import written
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy of the quality rules keeps."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    return quality_rules.apply_policy(quality_rules.ledger(rows)).filter("kept").select("row.*")
+    return quality_rules.apply_policy(quality_rules.ledger(docs)).filter("kept").select("row.*")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (SimHash links, or 5-word shingles alike by 0.8) the document with the least id."""
-    kept = near_copies.grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    nameless = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary")))
-    return left.withColumn("_nameless", nameless).dropDuplicates(["doc_id", "_nameless"]).drop("_nameless")
+    return near_copies.one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +31,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates, n_chars counted anew."""
-    out = surrogates.replaced_texts(docs)
+    out = surrogates.replaced_texts(docs, surrogates.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
