@@ -36,9 +36,12 @@ def measured(t):
 def test_rules_against_plain_version(spark):
     texts = ["a b c a b c", "x y x y x y x", "one line\none line\n \nother", "a | b # c", "the quick brown fox " * 20, "a a a a", "b\n\nb\n", "A\tB\x0bC", "w " * 60]
     rows = [*ODD, *[(100 + k, t) for k, t in enumerate(texts)]]
-    got = quality_rules.ledger(frame(spark, rows)).collect()
+    docs = frame(spark, rows)
+    got = quality_rules.ledger(docs).collect()
     want = collections.Counter((i, *measured(t)) for i, t in rows)
-    assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    # The caller's row is whole, whatever its columns are named.
+    assert collections.Counter(map(str, (r["row"] for r in got))) == collections.Counter(map(str, docs.collect()))
+    assert collections.Counter((r["row"]["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
 
 
 def test_rules_on_an_empty_table(spark):
@@ -47,8 +50,11 @@ def test_rules_on_an_empty_table(spark):
 
 def test_policies_and_ablation_agree(spark):
     rows = quality_rules.ledger(frame(spark, [(1, "a"), (2, "word " * 60), (3, " ".join(f"word{k}" for k in range(60))), (4, " ".join(f"word{k} # # #" for k in range(60)))]))
-    kept = {r["doc_id"] for r in quality_rules.apply_policy(rows).filter("kept").collect()}
+    kept = {r["row"]["doc_id"] for r in quality_rules.apply_policy(rows).filter("kept").collect()}
     assert kept == {3}
+    alone = {r["row"]["doc_id"]: r["only"] for r in rows.withColumn("only", quality_rules.only_rule(rows["failures"])).collect()}
+    by = {r["rule"]: r["n_failed_alone"] for r in quality_rules.ablation(rows).collect()}
+    assert alone[3] is None and collections.Counter(x for x in alone.values() if x) == {k: n for k, n in by.items() if n}
     by = {r["rule"]: r for r in quality_rules.ablation(rows).collect()}
     assert by["few_words"]["n_failed"] == 1 and by["symbols"]["n_failed"] >= 1
     for name, r in by.items():
@@ -83,6 +89,53 @@ def test_quality_model_without_training_rows(spark):
     assert {r["score"] for r in quality_model.scored(docs, w).collect()} == {0.5}
 
 
+def plain_ftrl(rows, epochs=quality_model.EPOCHS):
+    """Follow the regularised leader, coordinate by coordinate, from (features, label)."""
+    alpha, beta, l1, l2 = quality_model.ALPHA, quality_model.BETA, quality_model.L1, quality_model.L2
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v, w in [(i, v, weight(i)) for i, v in x.items()]:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_model_against_brute_force(spark):
+    """Labels in the order of their hash, one text each: ids that repeat, ties and orders of arrival change nothing."""
+    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(5 + i % 7))) for i in range(60)] + [(7, "a second text of seven"), (8, None)]
+    labels = [(i, i % 2) for i in range(60)] + [(3, 1), (3, 0), (9, 5), (None, 1)]
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    w = quality_model.train(docs, marks)
+    again = quality_model.train(docs.repartition(5).orderBy(F.desc("text")), marks.repartition(3))
+    assert (w == again).all()
+    at = {(r["doc_id"], r["quality"]): r["at"] for r in marks.select("doc_id", "quality", F.xxhash64("doc_id", "quality").alias("at")).collect() if r["doc_id"] is not None}
+    used = sorted({(at[k], *k) for k in labels if k[0] is not None and k[1] in (0, 1) and zlib.crc32(str(k[0]).encode()) % 4 != 2})
+    import numpy as np
+
+    known, train = quality_model._Tokens(), []
+    for _, i, y in used:
+        text = min((t or "").encode() for k, t in rows if k == i)
+        idx, val = quality_model.features(text, known)
+        train.append(({**dict(zip(idx.tolist(), val.astype(np.float32).astype(float).tolist(), strict=True)), 1 << quality_model.BITS: 0.3}, y))
+    plain = plain_ftrl(train)
+    assert {i for i, x in plain.items() if abs(x) > 1e-9} == set(w.nonzero()[0].tolist())
+    assert all(w[i] == pytest.approx(x, abs=1e-9) for i, x in plain.items())
+    got = {r["doc_id"]: r["score"] for r in quality_model.scored(docs, w).collect() if r["doc_id"] == 11}
+    idx, val = quality_model.features(rows[11][1].encode(), known)
+    dot = sum(plain.get(i, 0.0) * v for i, v in zip(idx.tolist(), val.tolist(), strict=True)) + 0.3 * plain[1 << quality_model.BITS]
+    assert got[11] == pytest.approx(1 / (1 + math.exp(-dot)), abs=1e-6)
+    assert quality_model.scored(docs.limit(0), w).count() == 0
+
+
 def test_training_rows_are_bounded(spark):
     docs = frame(spark, [(i, f"text {i}") for i in range(60)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
@@ -136,6 +189,159 @@ def test_table_draws_follow_their_law():
     assert np.bincount(t, minlength=n + 1)[1:] / 20_000 == pytest.approx(s / s.sum(), abs=1e-3)
 
 
+@pytest.mark.parametrize(("c", "a", "d"), [(600, 500.0, 0.5), (2000, 500.0, 0.5), (600, 500.0, 0.8), (600, 3.0, 0.5), (2000, 20.0, 0.7), (2000, 40.0, 0.5), (1500, 0.01, 0.9)])
+def test_table_draws_of_many_customers_follow_their_law(c, a, d):
+    """Beyond the exact rows: against the whole row of Stirling numbers."""
+    import numpy as np
+
+    n = 4000
+    logs = pitman_yor._log_stirling(d, 2000)[c, 1 : c + 1] + math.log(a) * np.arange(1, c + 1)
+    p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    t = pitman_yor.draw_tables(np.full(n, c), np.full(n, a), d, (np.arange(n) + 0.5) / n)
+    assert t.mean() == pytest.approx((p * np.arange(1, c + 1)).sum(), rel=2e-3)
+    have = np.searchsorted(np.sort(t), np.arange(1, c + 1), side="right") / n
+    assert abs(have - np.cumsum(p)).max() < 0.015
+
+
+def test_parameters_follow_the_seating():
+    """Tables of restaurants seated at a known strength and discount bring the draws near these."""
+    import random
+
+    rng = random.Random(5)
+    s, d, rooms, seats = 20.0, 0.6, [], {}
+    for _ in range(60):
+        tables, dishes = [], []
+        for i in range(400):
+            if rng.random() < (s + d * len(tables)) / (s + i):
+                tables.append(1)
+                dishes.append(rng.randrange(5000))
+            else:
+                k = rng.choices(range(len(tables)), [x - d for x in tables])[0]
+                tables[k] += 1
+        rooms.append((400, len(tables)))
+        by = {}
+        for x, n in zip(dishes, tables, strict=True):
+            c, t = by.get(x, (0, 0))
+            by[x] = (c + n, t + 1)
+        for ct in by.values():
+            if ct[0] <= pitman_yor.TELLING:
+                seats[ct] = seats.get(ct, 0) + 1
+    import numpy as np
+
+    c, t = (np.array(x) for x in zip(*rooms, strict=True))
+    draws = [pitman_yor.draw_parameters(s, d, c, t, seats, (rng.random(), rng.random())) for _ in range(20)]
+    assert 10 < np.mean([x for x, _ in draws]) < 35
+    assert abs(np.mean([x for _, x in draws]) - d) < 0.08
+
+
+def brute_gibbs(texts, s, d, s0, d0, base, burn, samples, seed):
+    """The same model, one customer at a time: averaged probabilities of a word after a word."""
+    import random
+
+    rng = random.Random(seed)
+    rooms, root, customers = {}, {}, []
+    total = lambda tables: sum(map(len, tables.values()))
+
+    def p_root(w):
+        c = sum(sum(x) for x in root.values())
+        own = sum(root.get(w, [])) - d0 * len(root.get(w, []))
+        return (own + (s0 + d0 * total(root)) * base) / (s0 + c)
+
+    def p(u, w):
+        room = rooms.get(u, {})
+        c = sum(sum(x) for x in room.values())
+        own = sum(room.get(w, [])) - d * len(room.get(w, []))
+        return (own + (s + d * total(room)) * p_root(w)) / (s + c)
+
+    def seat(tables, w, new):
+        own = tables.setdefault(w, [])
+        k = rng.choices(range(len(own) + 1), [*[x - dd for x in own], new])[0]
+        if k == len(own):
+            own.append(1)
+            return True
+        own[k] += 1
+        return False
+
+    def unseat(tables, w):
+        own = tables[w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            return True
+        return False
+
+    for text in texts:
+        prev = "\n"
+        for w in [*text.split(), "\n"]:
+            customers.append((prev, w))
+            prev = w
+    out = collections.Counter()
+    words = sorted({w for _, w in customers})
+    for step in range(burn + samples):
+        for u, w in customers:
+            room = rooms.setdefault(u, {})
+            if step and unseat(room, w):
+                unseat(root, w)
+            dd = d
+            if seat(room, w, (s + d * total(room)) * p_root(w)):
+                dd = d0
+                seat(root, w, (s0 + d0 * total(root)) * base)
+        if step >= burn:
+            for u in words:
+                for w in words:
+                    out[u, w] += p(u, w) / samples
+    return out
+
+
+def test_seating_against_brute_force_gibbs():
+    """Averaged probabilities of blocked steps, all restaurants of a dish at once, against one customer at a time."""
+    import numpy as np
+    import xxhash
+
+    texts = ["a b a c", "b a a", "c c b a", "a b", "a a a a b", "c b c b"] * 12
+    s, d, s0, d0 = 30.0, 0.4, 20.0, 0.3
+    want = brute_gibbs(texts, s, d, s0, d0, 0.5 / 4, 30, 250, 1)
+    words, seen = ["\n", "a", "b", "c"], collections.Counter()
+    for text in texts:
+        chain = ["\n", *text.split(), "\n"]
+        seen.update(zip(chain[1:], chain, strict=False))
+    cells = sorted((words.index(w), words.index(u), n) for (w, u), n in seen.items())
+    dish, u, n = (np.array(x, np.int64) for x in zip(*cells, strict=True))
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 0) for w in words], np.uint64).view(np.int64)
+    size = pitman_yor.CONTEXTS
+    c_u, t_u = np.bincount(u, weights=n, minlength=size), np.bincount(u, minlength=size).astype(float)
+    g = {"c_u": c_u, "t_u": t_u, "d": d, "d0": d0, "s": s, "s0": s0, "C0": t_u.sum(), "T0": 4.0, "base": 0.5 / 4}
+    got, rounds = np.zeros((4, 4)), 400
+    for k in range(30 + rounds):
+        t, t0, part, root, customers = pitman_yor._seated(hashes[dish], dish, u, n, g, 6, 1, k)
+        t_u = np.bincount(u, weights=t, minlength=size)
+        g |= {"t_u": t_u, "C0": t_u.sum(), "T0": float(t0.sum())}
+        if k >= 30:
+            p = root / (s0 + customers.sum()) + (s0 + d0 * t0.sum()) / (s0 + customers.sum()) * 0.5 / 4
+            got += ((s + d * t_u[:4]) / (s + c_u[:4]))[:, None] * p / rounds
+            np.add.at(got, (u, dish), part / rounds)
+    for i, x in enumerate(words):
+        assert [got[i, j] for j in range(4)] == pytest.approx([want[x, y] for y in words], abs=0.025), x
+
+
+def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 5 + k * k) % 30}" for k in range(i % 20))) for i in range(80)]
+    docs = frame(spark, [*rows, *ODD])
+    model = pitman_yor.train(docs)
+    whole = {str(r) for r in pitman_yor.scored(docs, model, F.lit(False)).select("doc_id", "n_tokens", F.round("score", 5)).collect()}
+    monkeypatch.setattr(pitman_yor, "DENSE", 4)
+    assert {str(r) for r in pitman_yor.scored(docs, model, F.lit(False)).select("doc_id", "n_tokens", F.round("score", 5)).collect()} == whole
+
+
+def test_language_model_of_nothing(spark):
+    docs = frame(spark, ODD)
+    none = pitman_yor.train(docs.limit(0))
+    got = pitman_yor.scored(docs, none, F.lit(True)).collect()
+    assert len(got) == len(ODD) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in got)
+    assert pitman_yor.scored(docs.limit(0), pitman_yor.train(docs), F.lit(True)).count() == 0
+
+
 def test_stirling_numbers_count_partitions():
     """S(3, t) for discount d: (1 - d)(2 - d), 3(1 - d), 1."""
     import numpy as np
