@@ -171,3 +171,23 @@ def coherence_energy(penalty: Column, n_supports: Column) -> Column:
 
 def coherence_action(n_conflicts: Column, n_major: Column, energy: Column, most: int = 3, threshold: float = 0.7) -> Column:
     return F.when(n_conflicts == 0, "accept").when(n_major > 0, "reject").when(n_conflicts > most, "review").when(energy >= threshold, "warn").otherwise("review")
+
+
+def wilson_interval(positive: Column, n: Column, z: Column) -> tuple[Column, Column]:
+    """Both ends of the Wilson interval for a z that may differ by row; without cases all of [0, 1]."""
+    p = positive / n
+    mid, half, whole = p + z * z / (n * 2), F.sqrt((p * (F.lit(1.0) - p) + z * z / (n * 4)) / n) * z, z * z / n + 1
+    none = n == 0
+    return F.when(none, 0.0).otherwise(clamp((mid - half) / whole)), F.when(none, 1.0).otherwise(clamp((mid + half) / whole))
+
+
+def attention_after(x: Column, ticks: Column, rate: float) -> Column:
+    return x * F.pow(F.lit(1.0 - rate), ticks)
+
+
+def boosted(x: Column, factor: float, most: float = 1.0) -> Column:
+    return clamp(x * factor, 0.0, most)
+
+
+def inhibited(x: Column, factor: float) -> Column:
+    return x * max(1.0 - factor, 0.0)

@@ -77,6 +77,19 @@ def mobius_add(u: Column, v: Column) -> Column:
     return F.zip_with(u, v, lambda x, y: (x * a + y * b) / d)
 
 
+def conformal(a: Column) -> Column:
+    return F.lit(2.0) / F.greatest(F.lit(1.0) - dot(a, a), F.lit(EPSILON))
+
+
+def transported(x: Column, y: Column, v: Column) -> Column:
+    """A tangent vector at x brought to y: scaled by the ratio of the conformal factors."""
+    return scaled(v, conformal(x) / conformal(y))
+
+
+def lorentz(a: Column) -> Column:
+    return F.lit(1.0) / F.sqrt(F.greatest(F.lit(1.0) - dot(a, a), F.lit(EPSILON)))
+
+
 def mobius_scale(r: float, v: Column) -> Column:
     n = norm(v)
     return F.when(n > EPSILON, scaled(v, F.tanh(F.atanh(F.least(n, F.lit(RIM))) * r) / n)).otherwise(v)

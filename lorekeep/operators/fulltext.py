@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 K1, B = 1.2, 0.75
 COLUMNS = frozenset({"problem", "solution", "context", "domain", "tags", "title", "summary", "text", "name", "content", "description", "query", "critique"})
 
@@ -22,32 +26,112 @@ def index(docs: DataFrame, key: str, column: str) -> DataFrame:
     return d.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
+def _ranked(d: DataFrame, key: str, leaves: int) -> DataFrame:
+    """(key, rank) of (key, len, tf0.., hit): BM25 over the counted leaves; rows that hit. The counts are a table, so texts are read once."""
+    d = written(d, "counts")
+    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(leaves)])
+    score = F.lit(0.0)
+    for k in range(leaves):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        score = score + idf * tf * (K1 + 1) / (tf + (F.lit(1 - B) + F.col("len") / F.col("avg") * B) * K1)
+    return d.join(F.broadcast(stats)).where("hit").select(key, F.round(-score, 6).alias("rank"))
+
+
 def bm25(docs: DataFrame, key: str, column: str, words: list[str]) -> DataFrame:
     """(key, rank) of documents with any of the words; the rank is negated, lower is better.
 
-    Only documents' lengths and the words' own counts are aggregated: the index of other terms is never made.
+    Only documents' lengths and the words' own counts are kept: the index of other terms is never made.
     """
-    if column not in COLUMNS:
-        raise ValueError(f"{column} cannot be searched")
-    t = terms(F.col(column))
-
-    def count(word: str) -> Column:
-        return F.size(F.filter("_t", lambda x: x == word))
-
-    counts = [count(w).alias(f"tf{k}") for k, w in enumerate(words)]
-    d = docs.select(key, t.alias("_t")).select(key, F.size("_t").alias("len"), *counts)
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))])
-    score = None
-    for k in range(len(words)):
-        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        one = idf * tf * (K1 + 1) / (tf + (F.lit(1 - B) + F.col("len") / F.col("avg") * B) * K1)
-        score = one if score is None else score + one
-    any_word = None
-    for k in range(len(words)):
-        x = F.col(f"tf{k}") > 0
-        any_word = x if any_word is None else any_word | x
-    return d.join(F.broadcast(stats)).where(any_word).select(key, F.round(-score, 6).alias("rank"))
+    return matched(docs, key, " OR ".join(words), [column])
+
+
+# Queries: words, prefix*, "a phrase", AND, OR, NOT, parentheses, and {columns}: before all. Words side by side are joined by AND.
+
+
+def parsed(query: str):
+    """(columns or None, tree): leaves are ("word" | "prefix", w) and ("phrase", [w, ...]), nodes ("and" | "or" | "not", a, b)."""
+    columns = None
+    scope = re.match(r"\s*\{([^}]*)\}\s*:(.*)", query, re.DOTALL) or re.match(r"\s*(\w+)\s*:(.*)", query, re.DOTALL)
+    if scope:
+        columns, query = scope[1].split(), scope[2]
+    items = re.findall(r'"[^"]*"|[()]|[^\s()"]+', query)
+
+    def leaf(x: str):
+        if x.startswith('"'):
+            return ("phrase", re.findall(r"[^\W_]+", x.lower()))
+        low = "".join(re.findall(r"[^\W_]+", x.lower()))
+        if not low:
+            raise ValueError(f"no word in {x!r}")
+        return ("prefix" if x.endswith("*") else "word", low)
+
+    def unit():
+        x = items.pop(0)
+        if x == "(":
+            out = level(0)
+            if not items or items.pop(0) != ")":
+                raise ValueError("a parenthesis is not closed")
+            return out
+        if x in (")", "AND", "OR", "NOT"):
+            raise ValueError(f"{x} where a word should be")
+        return leaf(x)
+
+    def level(k: int):
+        # NOT binds closer than AND, AND closer than OR.
+        if k == 3:
+            return unit()
+        name = ("or", "and", "not")[k]
+        out = level(k + 1)
+        while items and items[0] != ")":
+            if items[0] == name.upper():
+                items.pop(0)
+            elif not (name == "and" and items[0] not in ("OR", "NOT")):
+                break
+            out = (name, out, level(k + 1))
+        return out
+
+    if not items:
+        raise ValueError("an empty query")
+    tree = level(0)
+    if items:
+        raise ValueError(f"{items[0]} where the query should end")
+    return columns, tree
+
+
+def matched(docs: DataFrame, key: str, query: str, columns: list[str], least_rank: float | None = None) -> DataFrame:
+    """(key, rank) of documents that a query matches in some columns, ranked by its words outside NOT; of those from a least rank on."""
+    scope, tree = parsed(query)
+    scope = scope or columns
+    for name in scope:
+        if name not in COLUMNS or name not in columns:
+            raise ValueError(f"{name} cannot be searched")
+    leaves: list[Column] = []
+
+    def count(node) -> Column:
+        kind, w = node
+        if kind == "phrase":
+            n = len(w)
+            at = F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
+            return F.size(F.filter(at, lambda i: F.slice(F.col("_t"), i, F.lit(n)) == F.array(*map(F.lit, w))))
+        return F.size(F.filter("_t", lambda x: x == w if kind == "word" else x.startswith(w)))
+
+    def condition(node, counted: bool) -> Column:
+        if node[0] in ("word", "prefix", "phrase"):
+            if counted:
+                leaves.append(count(node))
+                return F.col(f"tf{len(leaves) - 1}") > 0
+            return count(node) > 0
+        if node[0] == "not":
+            return condition(node[1], counted) & ~condition(node[2], False)
+        a, b = condition(node[1], counted), condition(node[2], counted)
+        return a & b if node[0] == "and" else a | b
+
+    hit = condition(tree, True)
+    text = [terms(F.col(x)) for x in scope]
+    d = docs.select(key, (text[0] if len(text) == 1 else F.concat(*text)).alias("_t"))
+    d = d.select(key, "_t", F.size("_t").alias("len"), *[x.alias(f"tf{k}") for k, x in enumerate(leaves)])
+    out = _ranked(d.withColumn("hit", hit).drop("_t"), key, len(leaves))
+    return out if least_rank is None else out.where(F.col("rank") <= least_rank)
 
 
 def snippet(text: Column, word: str, around: int = 30) -> Column:
@@ -117,11 +201,27 @@ def stem(w: str) -> str:
 
 
 def stems(words: Column) -> Column:
-    """Stems of an array of words, in Arrow batches."""
+    """Stems of an array of words; each distinct word of an Arrow batch is stemmed once."""
 
     @F.pandas_udf("array<string>")
     def f(rows: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return rows.map(lambda x: [known[w] if w in known else known.setdefault(w, stem(w)) for w in x])
+        known = {w: stem(w) for w in {w for x in rows for w in x}}
+        return rows.map(lambda x: [known[w] for w in x])
 
     return f(words)
+
+
+def stemmed(docs: DataFrame, key: str, column: str, words: list[str]) -> DataFrame:
+    """bm25() over stems: a document matches with any form of a word."""
+    if column not in COLUMNS:
+        raise ValueError(f"{column} cannot be searched")
+    asked = [stem(w) for w in words]
+    t = docs.select(key, stems(terms(F.col(column))).alias("_t"))
+
+    def count(w: str) -> Column:
+        return F.size(F.filter("_t", lambda x: x == w))
+
+    counts = [count(w).alias(f"tf{k}") for k, w in enumerate(asked)]
+    d = t.select(key, F.size("_t").alias("len"), *counts)
+    hit = F.greatest(*[F.col(f"tf{k}") for k in range(len(asked))], F.lit(0)) > 0
+    return _ranked(d.withColumn("hit", hit), key, len(asked))

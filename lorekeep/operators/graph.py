@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOPS = 10
-
+from ..sources.scratch import dropped, written
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Ends the lineage of an iteration: a table in the folder that all machines share where one is named, else as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/graph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MAX_HOPS = 10
 
 
 def both_ways(edges: DataFrame, symmetric: tuple[str, ...] | None = None) -> DataFrame:
@@ -66,7 +55,7 @@ def reachable(edges: DataFrame, start: int, hops: int) -> DataFrame:
     front = seen
     for k in range(1, hops + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k).cast("long")), "front")
+        front = written(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k).cast("long")), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -81,7 +70,7 @@ def pressure(edges: DataFrame, start: int, iterations: int = 3, damping: float =
     for _ in range(iterations):
         sent = now.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("p") * damping * F.col("w")).alias("p"))
         kept = now.select("node", (F.col("p") * (1 - damping)).alias("p"))
-        new = _cut(sent.unionByName(kept).where(F.col("p") > least).groupBy("node").agg(F.sum("p").alias("p")), "pressure")
+        new = written(sent.unionByName(kept).where(F.col("p") > least).groupBy("node").agg(F.sum("p").alias("p")), "pressure")
         gap = new.join(now.select("node", F.col("p").alias("q")), "node", "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0]
         now = new
         if gap is not None and gap < epsilon:
@@ -90,27 +79,69 @@ def pressure(edges: DataFrame, start: int, iterations: int = 3, damping: float =
     return now.join(F.broadcast(whole)).select("node", (F.col("p") / F.col("t")).alias("p")).where(F.col("p") >= least)
 
 
+def _lineage(rows: DataFrame, node: int, hops: int, up: bool) -> DataFrame:
+    """(node, depth) along parents or children of (id, parent_id), a frontier a round: any number of rows and hops."""
+    links = rows.select("id", "parent_id").where("parent_id IS NOT NULL AND id <> parent_id")
+    a, b = ("id", "parent_id") if up else ("parent_id", "id")
+    front = rows.where(F.col("id") == node).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"))
+    known = rows.select(F.col("id").alias("node"))
+    out = front
+    for k in range(1, hops + 1):
+        step = links.join(front.select(F.col("node").alias(a)), a).select(F.col(b).alias("node"), F.lit(k).cast("long").alias("depth"))
+        front = written(step.join(known, "node", "left_semi") if up else step, "lineage")
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
 def ancestors(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
     """(node, depth): the chain of parents of (id, parent_id), itself at depth 0."""
-    view = f"lineage_{uuid.uuid4().hex}"
-    rows.select("id", "parent_id").createOrReplaceTempView(view)
-    return rows.sparkSession.sql(
-        f"""WITH RECURSIVE up(node, parent, depth) AS (
-          SELECT id, parent_id, 0 FROM {view} WHERE id = {int(node)}
-          UNION ALL SELECT p.id, p.parent_id, up.depth + 1 FROM {view} p JOIN up ON p.id = up.parent WHERE up.depth < {int(hops)} AND p.id <> up.node)
-        SELECT node, CAST(depth AS BIGINT) AS depth FROM up"""
-    )
+    return _lineage(rows, node, hops, True)
 
 
 def descendants(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
-    view = f"lineage_{uuid.uuid4().hex}"
-    rows.select("id", "parent_id").createOrReplaceTempView(view)
-    return rows.sparkSession.sql(
-        f"""WITH RECURSIVE down(node, depth) AS (
-          SELECT id, 0 FROM {view} WHERE id = {int(node)}
-          UNION ALL SELECT p.id, down.depth + 1 FROM {view} p JOIN down ON p.parent_id = down.node WHERE down.depth < {int(hops)} AND p.id <> down.node)
-        SELECT node, CAST(depth AS BIGINT) AS depth FROM down"""
-    )
+    """(node, depth): all below a node of (id, parent_id), itself at depth 0."""
+    return _lineage(rows, node, hops, False)
+
+
+def depths(rows: DataFrame, hops: int = 100) -> DataFrame:
+    """(id, depth) of every row of (id, parent_id) that hangs on a root, which has no parent among the rows.
+
+    Chains are halved each round (a row's ancestor becomes that one's ancestor), so rounds grow with the logarithm of the depth.
+    """
+    here = rows.select(F.col("id").alias("up")).withColumn("here", F.lit(True))
+    links = rows.select("id", F.col("parent_id").alias("up")).join(here, "up", "left")
+    now = written(links.select("id", F.when(F.col("here"), F.col("up")).alias("up"), F.when(F.col("here"), 1).otherwise(0).cast("long").alias("depth")), "depths")
+    n = 1
+    while n < hops and not now.where("up IS NOT NULL").isEmpty():
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("above"), F.col("depth").alias("more"))
+        new = written(now.join(far, "up", "left").select("id", F.col("above").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        dropped(now)
+        now, n = new, 2 * n
+    return now.where("up IS NULL").select("id", "depth")
+
+
+def undirected_distance(edges: DataFrame, start: int, hops: int = MAX_HOPS, without: str | None = None) -> DataFrame:
+    """(node, hops) over edges either way, those of one kind left out."""
+    e = edges if without is None else edges.where(F.col("kind") != without)
+    return reachable(both_ways(e.select("src", "dst", "kind")), start, hops)
+
+
+def cyclic(deps: DataFrame) -> DataFrame:
+    """Dependencies (group, id, needs) that no order of steps can satisfy: those left when steps without open needs, and needs that no step waits for, are taken away again and again."""
+    left = written(deps.select("group", "id", "needs").distinct(), "deps")
+    n = left.count()
+    while n:
+        has_needs = left.select("group", F.col("id").alias("needs")).distinct()
+        is_needed = left.select("group", F.col("needs").alias("id")).distinct()
+        new = written(left.join(has_needs, ["group", "needs"], "left_semi").join(is_needed, ["group", "id"], "left_semi").select("group", "id", "needs"), "deps")
+        dropped(left)
+        left, before = new, n
+        n = left.count()
+        if n == before:
+            break
+    return left
 
 
 def prunable(edges: DataFrame, weaker: float, older: int) -> DataFrame:

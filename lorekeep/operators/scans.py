@@ -116,3 +116,15 @@ def in_domain(df: DataFrame, asked: str, how: str = "both") -> DataFrame:
     d = F.col("domain")
     test = {"both": lambda: T.domain_matches(d, asked), "within": lambda: T.domain_within(d, asked), "prefix": lambda: d.startswith(asked)}[how]()
     return df.where(test)
+
+
+#: Rows of a pulled page at most.
+PAGE = 500
+
+
+def pulled(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of a change feed, PAGE rows at most, and has_more: whether rows follow. One row more than the page is read."""
+    n = min(limit, PAGE)
+    page = df.orderBy(*order).offset(offset).limit(n + 1)
+    numbered = page.withColumn("_k", F.row_number().over(Window.orderBy(*order))).withColumn("has_more", F.count("*").over(Window.partitionBy()) > n)
+    return numbered.where(F.col("_k") <= n).drop("_k")

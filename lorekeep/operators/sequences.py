@@ -72,12 +72,32 @@ def interleaved(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return first.select(key, F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
 
 
+def chained(entries: DataFrame) -> DataFrame:
+    """(chain, seq, prev, hash, body) of entries (chain, seq, body): each hash covers the one before. A chain is one after the other by its nature; chains are shared among tasks."""
+
+    def link(rows):
+        import hashlib
+
+        rows = rows.sort_values("seq")
+        prev, before, hashes = "", [], []
+        for body in rows["body"]:
+            before.append(prev)
+            prev = hashlib.sha256(f"{prev}|{body}".encode()).hexdigest()
+            hashes.append(prev)
+        return rows.assign(prev=before, hash=hashes)[["chain", "seq", "prev", "hash", "body"]]
+
+    return entries.select("chain", "seq", "body").groupBy("chain").applyInPandas(link, "chain long, seq long, prev string, hash string, body string")
+
+
+def chain_checked(log: DataFrame) -> DataFrame:
+    """A hash chain (chain, seq, prev, hash, body) with bad: whether an entry's link or hash is wrong."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy("chain").orderBy("seq")), F.lit(""))
+    return log.withColumn("bad", (F.col("prev") != before) | (F.col("hash") != F.sha2(F.concat_ws("|", "prev", "body"), 256)))
+
+
 def chain_breaks(log: DataFrame) -> DataFrame:
-    """Verification of a hash chain (chain, seq, prev, hash, body): the first place where a link or a hash is wrong."""
-    w = Window.partitionBy("chain").orderBy("seq")
-    before = F.coalesce(F.lag("hash").over(w), F.lit(""))
-    bad = (F.col("prev") != before) | (F.col("hash") != F.sha2(F.concat_ws("|", "prev", "body"), 256))
-    return log.withColumn("bad", bad).groupBy("chain").agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"))
+    """The first wrong place of each hash chain."""
+    return chain_checked(log).groupBy("chain").agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"))
 
 
 def boundaries(rows: DataFrame, key: str, order: list[str], item: str) -> DataFrame:

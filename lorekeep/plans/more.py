@@ -14,11 +14,18 @@ from ..operators import retrieval as R
 from ..operators import sequences as Q
 from ..sources import files
 from .registry import query
+from .retrieval import KNN, picks_sql
 
 c = F.col
 
 
-@query("retrieval_pipeline")
+@query(
+    "retrieval_pipeline",
+    f"""WITH {KNN}, near AS (SELECT vec_id, v, sim FROM k WHERE sim >= 0 ORDER BY sim DESC, vec_id LIMIT 100), cand AS (SELECT n.* FROM near n JOIN patterns p ON p.id = n.vec_id WHERE (p.domain = 'en' OR starts_with(p.domain, 'en.') OR starts_with('en', p.domain || '.')) AND p.reward >= 0.1),
+{picks_sql(10, 0.7, False)} SELECT p.id, round(greatest(0, least(1, (c.sim * 0.5 + exp(-(updated_days * 24) / 720.0::DOUBLE) * 0.1
+  + ((confidence * 0.4 + success_rate * 0.6) * (least(usage_count, 10) / 10.0::DOUBLE) + confidence * (1 - least(usage_count, 10) / 10.0::DOUBLE)) * 0.2 + reward * 0.1
+  + (CASE WHEN usage_count > 0 THEN least(ln(usage_count) / ln(100), 1) ELSE 0 END) * 0.1))), 6) AS score, (SELECT count(*) FROM near) AS n_similar, (SELECT count(*) FROM cand) AS n_filtered FROM p10 JOIN cand c USING (vec_id) JOIN patterns p ON p.id = c.vec_id""",
+)
 def retrieval_pipeline(t):
     """Similar rows, the best 100, domain and reward filters, diversity, five factors: with how many rows each stage left."""
     p = t.patterns.select("id", "domain", "reward", "confidence", "success_rate", "usage_count", "updated_days")

@@ -58,24 +58,44 @@ def near_pairs_in_label(t):
     return R.pairs_within(t.vectors, "label", 0.3)
 
 
-@query("near_pairs_hashed")
+NEAR = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.3)"
+
+
+@query("near_pairs_hashed", f"WITH {NEAR} SELECT a, b, sim FROM p")
 def near_pairs_hashed(t):
     """All pairs; at 0.3 hash tables would lose many, so blocks are compared whole."""
     return R.all_pairs(t.vectors, 0.3)
 
 
-@query("near_duplicate_groups")
+@query(
+    "near_duplicate_groups",
+    f"""WITH RECURSIVE {NEAR}, n AS (SELECT v.vec_id, row_number() OVER (ORDER BY v.vec_id) AS k, (SELECT list(a) FROM p WHERE p.b = v.vec_id) AS near FROM vectors v),
+s(k, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(coalesce(n.near, []), s.seeds) THEN s.seeds ELSE list_append(s.seeds, n.vec_id) END FROM s JOIN n ON n.k = s.k + 1),
+e AS (SELECT unnest(seeds) AS seed FROM s WHERE k = (SELECT max(k) FROM s)), m AS (SELECT min(p.a) AS seed, p.b AS vec_id FROM p JOIN e ON e.seed = p.a WHERE p.b NOT IN (SELECT seed FROM e) GROUP BY p.b)
+SELECT seed, vec_id FROM m UNION ALL SELECT DISTINCT seed, seed FROM m""",
+)
 def near_duplicate_groups(t):
     """Over all vectors, whatever their label."""
     return R.first_come_groups(R.all_pairs(t.vectors, 0.3))
 
 
-@query("mmr_retrieval")
+def picks_sql(n: int, weight: float, zero: bool) -> str:
+    """Greedy choice from a table cand (vec_id, v, sim) in n steps, each a table of what is chosen so far."""
+    steps = ["p0 AS (SELECT NULL::BIGINT AS vec_id, 0::BIGINT AS place WHERE FALSE)"]
+    for k in range(1, n + 1):
+        most = "max(list_cosine_similarity(c.v, d.v))"
+        near = f"(SELECT {f'greatest(0.0::DOUBLE, {most})' if zero else most} FROM p{k - 1} JOIN cand d USING (vec_id))"
+        score = "c.sim" if k == 1 else f"{weight}::DOUBLE * c.sim - {round(1 - weight, 6)}::DOUBLE * {near}"
+        steps.append(f"p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL (SELECT vec_id, {k} FROM (SELECT c.vec_id, c.sim, {score} AS score FROM cand c WHERE c.vec_id NOT IN (SELECT vec_id FROM p{k - 1})) ORDER BY score DESC, sim DESC, vec_id LIMIT 1))")
+    return ", ".join(steps)
+
+
+@query("mmr_retrieval", f"WITH {KNN}, cand AS (SELECT vec_id, v, sim FROM k ORDER BY sim DESC, vec_id LIMIT 100), {picks_sql(10, 0.7, False)} SELECT vec_id, place FROM p10")
 def mmr_retrieval(t):
     return R.diverse(R.nearest(t.vectors, R.query_vector(t.vectors, 0), 100), 10, 0.7, None)
 
 
-@query("mmr_standalone")
+@query("mmr_standalone", f"WITH {KNN}, cand AS (SELECT vec_id, v, sim FROM k WHERE sim >= 0 ORDER BY sim DESC, vec_id LIMIT 50), {picks_sql(10, 0.5, True)} SELECT vec_id, place FROM p10")
 def mmr_standalone(t):
     return R.diverse(R.nearest(t.vectors, R.query_vector(t.vectors, 0), 50, 0.0), 10, 0.5, 0.0)
 
@@ -178,6 +198,12 @@ def fts_snippet(t):
     return t.documents.select("doc_id", X.snippet(F.col("text"), "idiot").alias("snippet")).where("snippet IS NOT NULL")
 
 
+@query("stemmed_search")
+def stemmed_search(t):
+    """Documents with any form of the words."""
+    return X.stemmed(t.documents, "doc_id", "text", ["license", "warranties"])
+
+
 @query("porter_stems")
 def porter_stems(t):
     return t.benchmark.select("item_id", F.explode(F.array_distinct(X.stems(X.terms(F.col("text"))))).alias("stem"))

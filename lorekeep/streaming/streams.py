@@ -1,25 +1,29 @@
 """Structured Streaming forms of the event operators.
 
-Event time is `ts`; rows later than the watermark are dropped. State is kept per key and ends with the watermark. A run over
-a finished folder (Trigger.AvailableNow) gives the same rows as the batch form, which is how the queries use them.
+Event time is `ts`; rows later than the watermark are dropped. State is kept per key; a custom state ends when event time has
+gone past all that it could still touch. Rows of a key are taken in the order of event time within a micro-batch; a row that is older than
+the key's newest earlier one but within the watermark is held against the state as it then is. Results go to a table in the shared folder,
+never through the driver. A run over a finished folder (Trigger.AvailableNow) gives the same rows as the batch form, which is how the queries use them.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import folder
+
 WATERMARK = "10 minutes"
 
 
-def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder as a stream: files as they come, event time as a timestamp."""
-    path = f"{folder}/{name}.parquet"
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # A table may be one file or a folder of files; a glob over its name serves both.
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path + "*")
@@ -54,48 +58,70 @@ def unique_within(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: int = 5, most: int = 10_000) -> DataFrame:
-    """Rows (key, id, ts, v) whose vector is not near one kept in the last minutes of its key; state is bounded by age and number."""
+    """Rows (key, id, ts, v) whose vector is not near one kept in the last minutes of its key; state is bounded by age and number.
+
+    Kept vectors lie in one matrix, so a row costs one product; a key's state goes when event time is past its last vector's age.
+    """
 
     def step(k, batches: Iterator, state: GroupState):
         import numpy as np
         import pandas as pd
 
-        kept = [(t, list(v)) for t, v in zip(*state.get, strict=True)] if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, kept = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros((0, 0)))
         out = []
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
-        for i, ts, v in zip(rows["id"], rows["ts"], rows["v"], strict=True):
+        vectors = np.stack([np.asarray(v, float) for v in rows["v"]])
+        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        at, kept = at.astype(np.int64), kept.reshape(len(at), -1) if len(at) else np.zeros((0, vectors.shape[1]))
+        store, n, times = np.empty((len(kept) + len(rows), vectors.shape[1])), len(kept), [*at.tolist()]
+        store[:n] = kept
+        first = 0  # older ones than the age bound lie before this place: times rise but for late rows, which are looked at too
+        for i, ts, v in zip(rows["id"], rows["ts"], vectors, strict=True):
             now = ts.value // 1000
-            kept = [x for x in kept if now - x[0] <= minutes * 60_000_000][-most:]
-            a = np.asarray(v, float)
-            near = any(a @ np.asarray(b) >= threshold * np.linalg.norm(a) * np.linalg.norm(b) for _, b in kept)
-            if not near:
-                kept.append((now, a.tolist()))
+            while first < n and (now - times[first] > minutes * 60_000_000 or n - first > most):
+                first += 1
+            if n == first or (store[first:n] @ v).max() < threshold:
+                store[n] = v
+                times.append(now)
+                n += 1
                 out.append((k[0], i))
-        state.update(([t for t, _ in kept], [v for _, v in kept]))
+        if n > first:
+            state.update((times[first:n], store[first:n].tolist()))
+            state.setTimeoutTimestamp(max(times[first:n]) // 1000 + minutes * 60_000 + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "id"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, "key long, id long", "at array<long>, v array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, "key long, id long", "at array<long>, v array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alerts(stream: DataFrame, rule: str, x: str, above: float, cooldown_s: int) -> DataFrame:
-    """(rule, id) of rows above a bound, each rule silent for a while after it fires."""
+    """(rule, id) of rows above a bound, each rule silent for a while after it fires; a rule's state goes when that while is past."""
 
     def step(k, batches: Iterator, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows[rows[x] > above].sort_values(["ts", "id"])  # rows below the bound change nothing
         out = []
-        for i, ts, v in zip(rows["id"], rows["ts"], rows[x], strict=True):
+        for i, ts in zip(rows["id"], rows["ts"], strict=True):
             now = ts.value // 1000
-            if v > above and (last is None or now - last >= cooldown_s * 1_000_000):
+            if last is None or now - last >= cooldown_s * 1_000_000:
                 last = now
                 out.append((k[0], i))
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(last // 1000 + cooldown_s * 1000 + 1)
         yield pd.DataFrame(out, columns=["rule", "id"])
 
-    return stream.groupBy(rule).applyInPandasWithState(step, "rule string, id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(rule).applyInPandasWithState(step, "rule string, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold: int, policy: str = "redact") -> DataFrame:
@@ -106,18 +132,25 @@ def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns its rows."""
+    """Runs a stream over all that is there into a table of the shared folder and gives its rows.
+
+    In append mode each micro-batch adds its rows; in complete mode each overwrites the whole. A batch tried again overwrites its own folder.
+    """
     spark = stream.sparkSession
-    name = f"s_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if folder:
-        w = w.option("checkpointLocation", os.path.join(folder, name))
+    path = f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number if mode == 'append' else 0}")
+
+    w = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
     q = w.start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(name)
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
+    except AnalysisException:  # no batch had been there to write
+        return spark.createDataFrame([], stream.schema)
 
 
 def into(stream: DataFrame, path: str, checkpoint: str, also: Callable[[DataFrame], None] | None = None) -> None:
