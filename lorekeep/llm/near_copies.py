@@ -253,7 +253,7 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMIL
     dropped(made)
     nodes_of = nodes.select(node_id.alias("id"), "fp", "bands", "marks")
     first, roots = _pivot_links(nodes_of, keyed, docs, shingle, similarity, hot)
-    shared = first.pop("shared")
+    shared, texts = first["shared"], first["texts"]
     # What the pivots left apart: all pairs of a block in different components.
     rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("m")).filter("r <> s").select("key", "m")
@@ -269,15 +269,13 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMIL
     wanted = written(wanted, "wanted")
     links_made = [first["links"]]
     if not wanted.isEmpty():
-        texts = _texts_of(wanted.select("id").distinct(), keyed, docs)
         full = gathered(wanted.join(seen, "id").join(texts, "id"), "text")
         second = written(map_batches(full, partial(_compared, least=similarity - MARGIN, shingle=shingle, similarity=similarity), "a long, b long").distinct(), "links")
-        dropped(texts)
         links_made.append(second)
     every = links_made[0] if len(links_made) == 1 else links_made[0].unionByName(links_made[1])
     final = roots if len(links_made) == 1 else components(every, hot).withColumnRenamed("node", "id")
     out = written(keyed.join(final, "id", "left").select("doc_id", "h1", "h2", F.coalesce("root", "id").alias("root")), "clusters")
-    dropped(shared, wanted, nodes, keyed, *links_made)
+    dropped(shared, texts, wanted, nodes, keyed, *links_made)
     return out
 
 
@@ -294,7 +292,7 @@ def _texts_of(ids: DataFrame, keyed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _pivot_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, shingle: int, similarity: float, hot: int):
-    """Links by fingerprint and to pivots (a written table) beside the blocks that several nodes share, and the components so far."""
+    """Links by fingerprint and to pivots beside the blocks that several nodes share and the texts of these (written tables), and the components so far."""
     firsts = nodes.groupBy("fp").agg(F.min("id").alias("first"))
     close = links(firsts.select("fp"), hot=hot)
     of = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id"))
@@ -304,6 +302,8 @@ def _pivot_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, shingle: i
     sizes = written(blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     frequent = hot_keys(sizes, "key", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], hot)
     shared = written(joined(blocks, sizes, "key", frequent), "blocks")
+    # Only texts that share a block are ever compared: they are fetched once, for pivots and tiles.
+    texts = _texts_of(shared.select("id").distinct(), keyed, docs)
     central = shared.groupBy("id").agg(F.sum("n").alias("c"))
     pivots = shared.select("key", "id").join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("c", "id")).alias("p1"), F.min("id").alias("p2"))
     pairs = joined(shared.select("key", "id"), pivots, "key", frequent).select("id", F.explode(F.array("p1", "p2")).alias("p")).filter("id <> p")
@@ -315,13 +315,12 @@ def _pivot_links(nodes: DataFrame, keyed: DataFrame, docs: DataFrame, shingle: i
     best = likely.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"), F.max("likely").alias("likely"))
     sure = likely.filter(F.col("likely") >= similarity + MARGIN).select("a", "b")
     unsure = written(best.filter(F.col("likely") < similarity + MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "unsure")
-    texts = _texts_of(unsure.select(F.col("a").alias("id")).unionByName(unsure.select(F.col("b").alias("id"))).distinct(), keyed, docs)
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
     both = unsure.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     decided = map_batches(both, partial(_jaccard, shingle=shingle, similarity=similarity), "a long, b long")
     first = written(by_print.unionByName(by_link).unionByName(sure).unionByName(decided).filter("a <> b"), "links")
-    dropped(sizes, likely, unsure, texts)
-    return {"links": first, "shared": shared}, components(first, hot).withColumnRenamed("node", "id")
+    dropped(sizes, likely, unsure)
+    return {"links": first, "shared": shared, "texts": texts}, components(first, hot).withColumnRenamed("node", "id")
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, hot: int = HOT_ROWS) -> DataFrame:
