@@ -54,9 +54,11 @@ def lift(rows: DataFrame, item: str, good: Column, least: int) -> DataFrame:
 
 
 def ema(rows: DataFrame, key: str, order: list[str], x: str, alpha: float, start: float) -> DataFrame:
-    """Exponential moving average at the end of each key's sequence, folded in order."""
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, x))).alias("s"))
-    return g.select(key, F.aggregate(F.transform("s", lambda e: e[x]), F.lit(start), lambda a, v: a * (1 - alpha) + v * alpha).alias("ema"))
+    """Exponential moving average at the end of each key's sequence, in closed form: a value weighs by how many follow it."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    keep = F.lit(1.0 - alpha)
+    w = rows.select(key, F.col(x).alias("_x"), back.alias("_k"))
+    return w.groupBy(key).agg((F.sum(F.col("_x") * alpha * F.pow(keep, F.col("_k") - 1)) + F.lit(start) * F.pow(keep, F.count("*"))).alias("ema"))
 
 
 def clamped_fold(rows: DataFrame, key: str, order: list[str], step: Column, start: float) -> DataFrame:

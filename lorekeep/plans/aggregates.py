@@ -47,7 +47,7 @@ def reuse_distribution(t):
 
 @query("reuse_summary", "SELECT min(reuse_count) AS low, max(reuse_count) AS high, list_sort(list(reuse_count))[count(*) // 2 + 1] AS median_upper, round(avg(reuse_count), 6) AS mean FROM patterns")
 def reuse_summary(t):
-    return t.patterns.agg(F.min("reuse_count").alias("low"), F.max("reuse_count").alias("high"), A.upper_median("reuse_count").alias("median_upper"), A.mean("reuse_count").alias("mean"))
+    return t.patterns.agg(F.min("reuse_count").alias("low"), F.max("reuse_count").alias("high"), A.upper_median("reuse_count").cast("long").alias("median_upper"), A.mean("reuse_count").alias("mean"))
 
 
 @query(

@@ -220,20 +220,20 @@ def _log(t):
     return log.withColumn("body", F.when(changed, F.concat("body", F.lit("!"))).otherwise(c("body")))
 
 
-@query("hash_chain_breaks", f"WITH RECURSIVE {CHAIN} SELECT user_id AS chain, count(*) AS n, min(event_id) FILTER (WHERE bad) AS first_bad FROM v GROUP BY 1")
-def hash_chain_breaks(t):
+@query("hash_chain", f"WITH RECURSIVE {CHAIN} SELECT user_id AS chain, count(*) AS n, min(event_id) FILTER (WHERE bad) AS first_bad FROM v GROUP BY 1")
+def hash_chain(t):
     """Each entry's hash covers its predecessor's: links and hashes are checked, and the first wrong entry named."""
     return Q.chain_breaks(_log(t))
 
 
-@query("tampered_entries", f"WITH RECURSIVE {CHAIN} SELECT e.event_id, v.bad AS tampered FROM events e LEFT JOIN (SELECT event_id, bad FROM v WHERE bad) v USING (event_id) WHERE e.event_type = 'error'")
-def tampered_entries(t):
+@query("violations_view", f"WITH RECURSIVE {CHAIN} SELECT e.event_id, v.bad AS tampered FROM events e LEFT JOIN (SELECT event_id, bad FROM v WHERE bad) v USING (event_id) WHERE e.event_type = 'error'")
+def violations_view(t):
     bad = Q.chain_checked(_log(t)).where("bad").select(c("seq").alias("event_id"), c("bad").alias("tampered"))
     return t.events.where("event_type = 'error'").select("event_id").join(bad, "event_id", "left")
 
 
-@query("lineage_depth_histogram", "WITH RECURSIVE d(id, depth) AS (SELECT p.id, 0 FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM patterns q WHERE q.id = p.parent_id) UNION ALL SELECT p.id, depth + 1 FROM patterns p JOIN d ON p.parent_id = d.id) SELECT depth::BIGINT AS depth, count(*) AS n FROM d GROUP BY 1")
-def lineage_depth_histogram(t):
+@query("lineage_depths", "WITH RECURSIVE d(id, depth) AS (SELECT p.id, 0 FROM patterns p WHERE NOT EXISTS (SELECT 1 FROM patterns q WHERE q.id = p.parent_id) UNION ALL SELECT p.id, depth + 1 FROM patterns p JOIN d ON p.parent_id = d.id) SELECT depth::BIGINT AS depth, count(*) AS n FROM d GROUP BY 1")
+def lineage_depths(t):
     return G.depths(t.patterns).groupBy("depth").agg(F.count("*").alias("n"))
 
 
@@ -264,24 +264,34 @@ def future_clusters(t):
     return p.groupBy("domain", F.floor(c("probability") * 5).alias("band")).agg(F.count("*").alias("n"), F.round(F.max("probability"), 6).alias("best"), F.max_by("id", F.struct("probability", -c("id"))).alias("leader"))
 
 
-@query("region_clusters")
-def region_clusters(t):
-    """Nations bound by orders, split along least cuts: customers' nations against suppliers', by the region of the customer."""
+def _nation_edges(t):
+    """Customers' nations against suppliers', by the region of the customer; weights as shares of the region's, times ten."""
     n = t.nation.select("n_nationkey", "n_regionkey")
     c1 = t.customer.join(n, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_nationkey", c("n_regionkey").cast("long").alias("region"))
     o = t.orders.select("o_orderkey", "o_custkey").join(c1, c("o_custkey") == c("c_custkey"))
     s = t.lineitem.select("l_orderkey", "l_suppkey").join(t.supplier.select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     e = s.join(o, c("l_orderkey") == c("o_orderkey")).groupBy("region", c("c_nationkey").cast("long").alias("src"), c("s_nationkey").cast("long").alias("dst")).agg(F.count("*").cast("double").alias("strength"))
     whole = e.groupBy("region").agg((F.sum("strength") / 10).alias("w"))
-    scaled = e.join(F.broadcast(whole), "region").select("region", "src", "dst", (c("strength") / c("w")).alias("strength"))
-    return L.clustered_by_cut(scaled, "region", 0.4)
+    return e.join(F.broadcast(whole), "region").select("region", "src", "dst", (c("strength") / c("w")).alias("strength"))
+
+
+@query("region_clusters")
+def region_clusters(t):
+    """Nations bound by orders, split along least cuts as long as these are weak."""
+    return L.clustered_by_cut(_nation_edges(t), "region", 0.4)
+
+
+@query("min_cut_by_region")
+def min_cut_by_region(t):
+    """The least cut of each region's graph of nations."""
+    return G.min_cut(_nation_edges(t), "region")
 
 
 # Attention
 
 
-@query("attention_rounds", "WITH a AS (SELECT id, reward * pow(0.95, updated_days % 20) AS x, archived, reuse_count FROM patterns), b AS (SELECT id, CASE WHEN reuse_count >= 100 THEN greatest(0, least(1, x * 1.5)) WHEN archived THEN x * (1 - 0.4) ELSE x END AS y FROM a) SELECT id, round(y, 6) AS attention FROM b WHERE y >= 0.05")
-def attention_rounds(t):
+@query("attention_update", "WITH a AS (SELECT id, reward * pow(0.95, updated_days % 20) AS x, archived, reuse_count FROM patterns), b AS (SELECT id, CASE WHEN reuse_count >= 100 THEN greatest(0, least(1, x * 1.5)) WHEN archived THEN x * (1 - 0.4) ELSE x END AS y FROM a) SELECT id, round(y, 6) AS attention FROM b WHERE y >= 0.05")
+def attention_update(t):
     """Attention after days of decay; much used rows boosted and held at one, archived ones inhibited, weak ones gone."""
     x = S.attention_after(c("reward"), c("updated_days") % 20, 0.05)
     y = F.when(c("reuse_count") >= 100, S.boosted(x, 1.5)).when(c("archived"), S.inhibited(x, 0.4)).otherwise(x)
@@ -338,8 +348,8 @@ LOW_A = [[((i * 7 + k) % 5 - 2) / 10.0 for k in range(64)] for i in range(2)]
 LOW_B = [[((i * 3 + k) % 7 - 3) / 10.0 for k in range(2)] for i in range(64)]
 
 
-@query("low_rank_components", f"WITH a AS (SELECT vec_id, v, list_dot_product(v, {LOW_A[0]}::DOUBLE[]) AS h0, list_dot_product(v, {LOW_A[1]}::DOUBLE[]) AS h1 FROM vectors), y AS (SELECT vec_id, list_transform(v, lambda x, i: x + 0.5 * (h0 * ({[r[0] for r in LOW_B]}::DOUBLE[])[i] + h1 * ({[r[1] for r in LOW_B]}::DOUBLE[])[i])) AS y FROM a) SELECT vec_id, i::BIGINT AS i, round(y[i] / sqrt(list_dot_product(y, y)), 6) AS x FROM y, unnest(range(1, 65)) AS u(i)")
-def low_rank_components(t):
+@query("low_rank_adapter", f"WITH a AS (SELECT vec_id, v, list_dot_product(v, {LOW_A[0]}::DOUBLE[]) AS h0, list_dot_product(v, {LOW_A[1]}::DOUBLE[]) AS h1 FROM vectors), y AS (SELECT vec_id, list_transform(v, lambda x, i: x + 0.5 * (h0 * ({[r[0] for r in LOW_B]}::DOUBLE[])[i] + h1 * ({[r[1] for r in LOW_B]}::DOUBLE[])[i])) AS y FROM a) SELECT vec_id, i::BIGINT AS i, round(y[i] / sqrt(list_dot_product(y, y)), 6) AS x FROM y, unnest(range(1, 65)) AS u(i)")
+def low_rank_adapter(t):
     from ..functions.embed import low_rank
 
     y = t.vectors.select("vec_id", F.posexplode(low_rank(c("v"), LOW_A, LOW_B, 0.5)).alias("i", "x"))

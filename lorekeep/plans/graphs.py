@@ -100,12 +100,6 @@ def lineage_descendants(t):
     return G.descendants(t.patterns, 15)
 
 
-@query("lineage_depths", "SELECT depth, count(*) AS n FROM (SELECT CASE WHEN parent_id IS NULL THEN 0 WHEN parent_id % 7 = 0 THEN 1 ELSE 2 END::BIGINT AS depth FROM patterns) GROUP BY 1")
-def lineage_depths(t):
-    d = F.when(F.col("parent_id").isNull(), 0).when(F.col("parent_id") % 7 == 0, 1).otherwise(2).cast("long")
-    return t.patterns.groupBy(d.alias("depth")).agg(F.count("*").alias("n"))
-
-
 @query("graph_stats", "SELECT count(*) AS n_edges, count(DISTINCT src) + count(DISTINCT dst) AS node_count_ref, (SELECT count(DISTINCT x) FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges)) AS n_nodes, count_if(kind = 'similar') AS similar, count_if(kind = 'depends') AS depends, count_if(kind = 'refines') AS refines, round(avg(strength), 6) AS avg_strength FROM edges")
 def graph_stats(t):
     return G.graph_stats(t.edges)
@@ -121,22 +115,22 @@ def prune_stats(t):
     return t.edges.agg(F.count("*").alias("n"), F.count_if(F.col("strength") < 0.4).alias("weak"), F.round(F.avg(F.when(F.col("auto_created"), F.col("strength"))), 6).alias("auto_strength"))
 
 
-@query("co_retrieval_strength", "SELECT least(l_partkey % 100, l_suppkey % 100) AS a, greatest(l_partkey % 100, l_suppkey % 100) AS b, count(*) AS n, round(count(*) / (count(*) + 10.0::DOUBLE), 6) AS strength FROM lineitem WHERE l_partkey % 100 <> l_suppkey % 100 GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("co_retrieval_strength", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n, round(count(*) / (count(*) + 10.0::DOUBLE), 6) AS strength FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2")
 def co_retrieval_strength(t):
-    p, s = F.col("l_partkey") % 100, F.col("l_suppkey") % 100
-    n = t.lineitem.where(p != s).groupBy(F.least(p, s).alias("a"), F.greatest(p, s).alias("b")).agg(F.count("*").alias("n")).where("n >= 5")
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    n = t.lineitem.where(p != s).groupBy(F.least(p, s).alias("a"), F.greatest(p, s).alias("b")).agg(F.count("*").alias("n")).where("n >= 2")
     return n.withColumn("strength", F.round(F.col("n") / (F.col("n") + F.lit(10.0)), 6))
 
 
 @query(
     "wormhole_candidates",
-    """WITH s AS (SELECT DISTINCT session_id, pattern_id % 60 AS x FROM outcomes), p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM s a JOIN s b ON a.session_id = b.session_id AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 3)
+    """WITH s AS (SELECT DISTINCT session_id, pattern_id AS x FROM outcomes), p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM s a JOIN s b ON a.session_id = b.session_id AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT a, b, n, round(0.6 * n / max(n) OVER () + 0.4 * 0.75, 6) AS score FROM p""",
 )
 def wormhole_candidates(t):
     from ..operators.sequences import co_occurrence
 
-    p = co_occurrence(t.outcomes.withColumn("x", F.col("pattern_id") % 60), "session_id", "x", 3)
+    p = co_occurrence(t.outcomes.withColumnRenamed("pattern_id", "x"), "session_id", "x", 3)
     most = p.agg(F.max("n").alias("most"))
     return p.join(F.broadcast(most)).select("a", "b", "n", F.round(F.col("n") * 0.6 / F.col("most") + 0.4 * 0.75, 6).alias("score"))
 
@@ -194,11 +188,3 @@ def graph_export(t):
 def ready_steps(t):
     tasks = t.patterns.select("id", F.col("success").alias("done"))
     return G.unmet(tasks, t.patterns.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("needs")))
-
-
-@query("min_cut_by_kind")
-def min_cut_by_kind(t):
-    """Cuts of the graph between 40 groups of parts and suppliers, kind by kind."""
-    e = t.edges.groupBy((F.col("src") % 40).alias("src"), (F.col("dst") % 40).alias("dst"), "kind").agg(F.sum("strength").alias("strength"))
-    kind = F.when(F.col("kind") == "similar", 0).when(F.col("kind") == "depends", 1).otherwise(2)
-    return G.min_cut(e.withColumn("component", kind), "component")

@@ -55,12 +55,6 @@ def contradictions_by_category(t):
     return wrong.join(t.patterns.select("id", "domain"), "id").groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("violations_view", "SELECT e.event_id, x.tampered FROM events e LEFT JOIN (SELECT event_id, TRUE AS tampered FROM events WHERE event_id % 500 = 3) x USING (event_id) WHERE e.event_type = 'error'")
-def violations_view(t):
-    bad = t.events.where("event_id % 500 = 3").select("event_id", F.lit(True).alias("tampered"))
-    return t.events.where("event_type = 'error'").select("event_id").join(bad, "event_id", "left")
-
-
 @query("optional_link_filter", "SELECT conv_id, count(*) AS n_turns FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'user' AND length(d.text) > 100) GROUP BY 1 ORDER BY n_turns DESC, conv_id LIMIT 20")
 def optional_link_filter(t):
     long = t.conversations.where("role = 'user' AND length(text) > 100").select("conv_id")
@@ -220,12 +214,6 @@ def session_efficiency(t):
     return t.outcomes.groupBy("session_id").agg(F.floor((us(F.max("ts")) - us(F.min("ts"))) / 1000000).alias("seconds"), F.round(F.count_if(c("outcome") == "success") * 1000 / F.sum("value"), 6).alias("per_1000"))
 
 
-@query("attention_update", "SELECT id, round(CASE WHEN id % 3 = 0 THEN least(reward * 1.2, 1) WHEN id % 3 = 1 THEN reward * 0.5 ELSE reward * 0.9 END, 6) AS attention FROM patterns")
-def attention_update(t):
-    a = F.when(c("id") % 3 == 0, F.least(c("reward") * 1.2, F.lit(1.0))).when(c("id") % 3 == 1, c("reward") * 0.5).otherwise(c("reward") * 0.9)
-    return t.patterns.select("id", F.round(a, 6).alias("attention"))
-
-
 @query("hyperbolic_hierarchy", "SELECT a.vec_id, sqrt(list_dot_product(a.v, a.v)) > sqrt(list_dot_product(b.v, b.v)) AS deeper, round(list_distance(a.v, b.v) * (1 + 0.5 * abs((a.vec_id % 5) - (b.vec_id % 5)) / 5.0::DOUBLE), 6) AS d FROM vectors a, vectors b WHERE b.vec_id = 4")
 def hyperbolic_hierarchy(t):
     q = t.vectors.where("vec_id = 4").select(c("v").alias("q"), (c("vec_id") % 5 / 5.0).alias("dq"))

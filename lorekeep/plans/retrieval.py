@@ -109,14 +109,8 @@ def mmr_order_only(t):
     return k.select("vec_id", F.row_number().over(Window.orderBy(F.desc("sim"), "vec_id")).cast("long").alias("place"))
 
 
-@query("embedding_quality", f"WITH {BATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM j) SELECT 1.0::DOUBLE AS recall, 1.0::DOUBLE AS mrr FROM r LIMIT 1")
-def embedding_quality(t):
-    truth = R.nearest_each(t.vectors, _queries(t), 5)
-    return R.recalled(truth, truth)
-
-
 @query(
-    "embedding_change_quality",
+    "embedding_quality",
     f"""WITH {BATCH}, o AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM j),
 c AS (SELECT q.vec_id AS qid, x.vec_id, round(list_cosine_similarity(x.v[1:48], q.v[1:48]), 6) AS sim FROM vectors q JOIN vectors x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
 n AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM c),
@@ -124,7 +118,7 @@ s AS (SELECT o.qid, count_if(o.rank <= 5 AND n.rank <= 5) / count_if(o.rank <= 5
   FROM o JOIN n ON o.qid = n.qid AND o.vec_id = n.vec_id GROUP BY 1)
 SELECT round(avg(r), 6) AS recall, round(avg(p), 6) AS precision, round(avg(rr), 6) AS mrr, count(*) AS samples, count_if(r < 0.85 OR p < 0.8) AS failed FROM s""",
 )
-def embedding_change_quality(t):
+def embedding_quality(t):
     """Neighbours by vectors cut to their first 48 numbers against those by whole ones."""
     cut = lambda c: F.slice(c, 1, 48).alias(c)
     found = R.nearest_each(t.vectors.select("vec_id", cut("v")), _queries(t).select("qid", cut("q")), 5)

@@ -79,20 +79,6 @@ def reward_fold(t):
     return Q.clamped_fold(t.outcomes, "pattern_id", ["ts", "event_id"], S.reward_step(F.col("outcome")), 0.5).select("pattern_id", F.round("value", 6).alias("value"))
 
 
-@query("hash_chain", "SELECT user_id AS chain, count(*) AS n, min(CASE WHEN event_id % 500 = 3 THEN event_id END) AS first_bad FROM events GROUP BY 1")
-def hash_chain(t):
-    """A log whose every 500th body was changed after hashing: the check must name the first such entry of each chain."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    body = F.concat_ws("|", F.col("event_type"), F.col("event_id").cast("string"))
-    prev = F.coalesce(F.sha2(F.lag(body).over(w), 256), F.lit(""))
-    log = t.events.select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), prev.alias("prev"), body.alias("body"))
-    # Entries are hashed over their predecessor's plain digest, so that a chain can be made in one pass.
-    made = log.withColumn("hash", F.sha2("body", 256)).withColumn("body", F.when(F.col("seq") % 500 == 3, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    bad = F.col("hash") != F.sha2("body", 256)
-    link = F.col("prev") != F.coalesce(F.lag("hash").over(Window.partitionBy("chain").orderBy("seq")), F.lit(""))
-    return made.withColumn("bad", bad | link).groupBy("chain").agg(F.count("*").alias("n"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad"))
-
-
 @query("snapshot_sequence", "SELECT event_id, seq, seq % 10 = 0 AS snapshot FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)")
 def snapshot_sequence(t):
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
@@ -120,11 +106,11 @@ def hot_paths_3(t):
     return Q.chains(t.events, "user_id", ["ts", "event_id"], "event_type", 3)
 
 
-@query("success_chains", "SELECT a, b, count(*) AS n, round(avg(good::INT), 6) AS rate FROM (SELECT pattern_id % 20 AS a, lead(pattern_id % 20) OVER w AS b, outcome = 'success' AS good FROM outcomes WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20")
+@query("success_chains", "SELECT a, b, count(*) AS n, round(avg(good::INT), 6) AS rate FROM (SELECT pattern_id AS a, lead(pattern_id) OVER w AS b, outcome = 'success' AS good FROM outcomes WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)) WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2")
 def success_chains(t):
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    x = t.outcomes.select((F.col("pattern_id") % 20).alias("a"), F.lead(F.col("pattern_id") % 20).over(w).alias("b"), (F.col("outcome") == "success").alias("good"))
-    return x.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg(F.col("good").cast("int")), 6).alias("rate")).where("n >= 20")
+    x = t.outcomes.select(F.col("pattern_id").alias("a"), F.lead("pattern_id").over(w).alias("b"), (F.col("outcome") == "success").alias("good"))
+    return x.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg(F.col("good").cast("int")), 6).alias("rate")).where("n >= 2")
 
 
 @query("transition_probabilities", "WITH x AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY 1, 2) SELECT a, b, n, round(n / sum(n) OVER (PARTITION BY a), 6) AS p FROM c")
@@ -132,9 +118,9 @@ def transition_probabilities(t):
     return Q.transitions(t.events, "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("co_occurrence", "WITH s AS (SELECT DISTINCT session_id, pattern_id % 30 AS x FROM outcomes) SELECT p.x AS a, q.x AS b, count(*) AS n FROM s p JOIN s q ON p.session_id = q.session_id AND p.x < q.x GROUP BY 1, 2")
+@query("co_occurrence", "WITH s AS (SELECT DISTINCT session_id, pattern_id AS x FROM outcomes) SELECT p.x AS a, q.x AS b, count(*) AS n FROM s p JOIN s q ON p.session_id = q.session_id AND p.x < q.x GROUP BY 1, 2")
 def co_occurrence(t):
-    return Q.co_occurrence(t.outcomes.withColumn("x", F.col("pattern_id") % 30), "session_id", "x")
+    return Q.co_occurrence(t.outcomes.withColumnRenamed("pattern_id", "x"), "session_id", "x")
 
 
 @query("pattern_lift", "WITH b AS (SELECT avg((outcome = 'success')::INT) AS base FROM outcomes) SELECT pattern_id, count(*) AS n, round(avg((outcome = 'success')::INT), 6) AS rate, round(avg((outcome = 'success')::INT) / any_value(base), 6) AS lift FROM outcomes, b GROUP BY 1 HAVING count(*) >= 50")
@@ -208,12 +194,12 @@ def null_safe_join(t):
 
 @query(
     "unlinked_pairs",
-    """WITH s AS (SELECT DISTINCT session_id, pattern_id % 60 AS x FROM outcomes), p AS (SELECT p.x AS a, q.x AS b, count(*) AS n FROM s p JOIN s q ON p.session_id = q.session_id AND p.x < q.x GROUP BY 1, 2 HAVING count(*) >= 20)
+    """WITH s AS (SELECT DISTINCT session_id, pattern_id AS x FROM outcomes), p AS (SELECT p.x AS a, q.x AS b, count(*) AS n FROM s p JOIN s q ON p.session_id = q.session_id AND p.x < q.x GROUP BY 1, 2 HAVING count(*) >= 10)
 SELECT a, b, n FROM p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src = a AND e.dst = b) OR (e.src = b AND e.dst = a))""",
 )
 def unlinked_pairs(t):
     """Pairs often seen together without an edge either way: both sides in canonical order, then an equality anti-join."""
-    p = Q.co_occurrence(t.outcomes.withColumn("x", F.col("pattern_id") % 60), "session_id", "x", 20)
+    p = Q.co_occurrence(t.outcomes.withColumnRenamed("pattern_id", "x"), "session_id", "x", 10)
     e = t.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return p.join(e, ["a", "b"], "left_anti")
 

@@ -305,13 +305,6 @@ def hash_embeddings(t):
     return t.benchmark.select("item_id", F.transform(E.embedded(c("text")), lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("low_rank_adapter", "SELECT vec_id, round(sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(v, v)), 6) AS norm FROM vectors")
-def low_rank_adapter(t):
-    a = [[((i * 7 + k) % 5 - 2) / 10.0 for k in range(64)] for i in range(2)]
-    b = [[((i * 3 + k) % 7 - 3) / 10.0 for k in range(2)] for i in range(64)]
-    return t.vectors.select("vec_id", F.round(V.norm(E.low_rank(c("v"), a, b, 0.5)), 6).alias("norm"))
-
-
 @query("first_sundays", "SELECT DISTINCT CAST(CASE WHEN isodow(m) = 7 THEN m ELSE m + (7 - isodow(m))::INT END AS VARCHAR) AS day FROM (SELECT date_trunc('month', o_orderdate)::DATE AS m FROM orders)")
 def first_sundays(t):
     m = F.trunc(F.to_date("o_orderdate"), "month")
