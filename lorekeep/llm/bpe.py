@@ -8,7 +8,7 @@ start on both scans read the same text, so the joined ids are those of the whole
 without a split), windows are cut at tokens instead, and grow until their first and last tokens are those of both sides: a
 sequence whose neighbouring tokens were all neighbours in an encoding is the encoding.
 
-Defined results: null and empty texts have no tokens. Every row is coded alone, so repeated rows, null ids and order play no
+Defined results: null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD. An empty table gives an empty table. Every row is coded alone, so repeated rows, null ids and order play no
 part; further columns stay out of the result. Strings of special tokens in a text become those tokens, as the library does.
 """
 

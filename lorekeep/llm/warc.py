@@ -9,7 +9,8 @@ Reading: index rows are dealt by stretches of a file and sorted by offset; neigh
 most RANGE bytes, across gaps of at most GAP bytes. A response's length and digest come from its payload, which must match the digest in
 its header.
 
-Defined results: a null html is an empty payload, a null URL an empty one. Rows that repeat a page_id with one payload are all
+Defined results: a null html is an empty payload, a null URL an empty one. A payload is kept byte for byte; read back as text, bytes that are
+not UTF-8 show as U+FFFD. Rows that repeat a page_id with one payload are all
 responses if it is the largest; a null page_id counts as the smallest. Further columns are ignored; an empty table gives no
 archive and no rows.
 """
@@ -157,7 +158,7 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
                         raise ValueError(f"the payload of page {page} does not match its digest")
                 else:
                     refers = _page_of(fields["warc-refers-to"])
-                rows.append((page, url, n, digest, kind, refers, body.decode() if payload and kind == "response" else None))
+                rows.append((page, url, n, digest, kind, refers, body.decode("utf-8", "replace") if payload and kind == "response" else None))
             cols = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
