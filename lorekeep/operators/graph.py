@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,32 +81,31 @@ def pressure(edges: DataFrame, start: int, iterations: int = 3, damping: float =
     return now.join(F.broadcast(whole)).select("node", (F.col("p") / F.col("t")).alias("p")).where(F.col("p") >= least)
 
 
-def _lineage(rows: DataFrame, node: int, hops: int, up: bool) -> DataFrame:
-    """(node, depth) along parents or children of (id, parent_id), a frontier a round: any number of rows and hops."""
+def ancestors(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
+    """(node, depth): the chain of parents of (id, parent_id), itself at depth 0. A chain has a row a hop, so one recursive query serves."""
+    view = f"lineage_{uuid.uuid4().hex}"
+    rows.select("id", "parent_id").createOrReplaceTempView(view)
+    return rows.sparkSession.sql(
+        f"""WITH RECURSIVE up(node, parent, depth) MAX RECURSION LEVEL {int(hops) + 2} AS (
+          SELECT id, parent_id, 0 FROM {view} WHERE id = {int(node)}
+          UNION ALL SELECT p.id, p.parent_id, up.depth + 1 FROM {view} p JOIN up ON p.id = up.parent WHERE up.depth < {int(hops)} AND p.id <> up.node)
+        SELECT node, CAST(depth AS BIGINT) AS depth FROM up"""
+    )
+
+
+def descendants(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
+    """(node, depth): all below a node of (id, parent_id), itself at depth 0; a frontier a round, so any number of rows."""
     links = rows.select("id", "parent_id").where("parent_id IS NOT NULL AND id <> parent_id")
-    a, b = ("id", "parent_id") if up else ("parent_id", "id")
     front = rows.where(F.col("id") == node).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"))
-    known = rows.select(F.col("id").alias("node"))
     out = front
     for k in range(1, hops + 1):
-        step = links.join(front.select(F.col("node").alias(a)), a).select(F.col(b).alias("node"), F.lit(k).cast("long").alias("depth"))
-        front = written(step.join(known, "node", "left_semi") if up else step, "lineage")
+        front = written(links.join(front.select(F.col("node").alias("parent_id")), "parent_id").select(F.col("id").alias("node"), F.lit(k).cast("long").alias("depth")), "lineage")
         if front.isEmpty():
             break
         out = out.unionByName(front)
     return out
 
 
-def ancestors(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
-    """(node, depth): the chain of parents of (id, parent_id), itself at depth 0."""
-    return _lineage(rows, node, hops, True)
-
-
-def descendants(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
-    """(node, depth): all below a node of (id, parent_id), itself at depth 0."""
-    return _lineage(rows, node, hops, False)
-
-
 def depths(rows: DataFrame, hops: int = 100) -> DataFrame:
     """(id, depth) of every row of (id, parent_id) that hangs on a root, which has no parent among the rows.
 

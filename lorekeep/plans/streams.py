@@ -47,13 +47,13 @@ def stream_near_dedup(t):
     v = S.source(t.spark, t.sf_dir, "embeddings")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 10)
     rows = v.select((F.col("label") % 4).cast("long").alias("key"), F.col("vec_id").alias("id"), at.alias("ts"), F.col("embedding").cast("array<double>").alias("v"))
-    return S.finished(S.near_unique(S.with_time(rows), "key", 0.3))
+    return S.finished(S.near_unique(rows, "key", 0.3))
 
 
 @query("stream_alerts", "WITH RECURSIVE a AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value > 90), r(event_type, k, last) AS (SELECT event_type, 1::BIGINT, ts FROM a WHERE k = 1 UNION ALL SELECT r.event_type, a.k, CASE WHEN a.ts >= r.last + INTERVAL 1 DAY THEN a.ts ELSE r.last END FROM r JOIN a ON a.event_type = r.event_type AND a.k = r.k + 1) SELECT event_type AS rule, count(DISTINCT last) AS n FROM r GROUP BY 1")
 def stream_alerts(t):
     rows = _events(t).select(F.col("event_type").alias("rule"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return S.finished(S.alerts(S.with_time(rows, late="60 days"), "rule", "value", 90.0, 86_400)).groupBy("rule").agg(F.count("*").alias("n"))
+    return S.finished(S.alerts(rows, "rule", "value", 90.0, 86_400, "60 days")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("stream_privacy_gate", "SELECT count(*) AS n FROM conversations WHERE NOT (regexp_matches(text, '\\b4\\d{15}\\b') OR regexp_matches(text, 'token = \"[0-9a-f]{32,}\"'))")

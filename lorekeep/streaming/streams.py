@@ -57,7 +57,7 @@ def unique_within(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: int = 5, most: int = 10_000) -> DataFrame:
+def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: int = 5, most: int = 10_000, late: str = WATERMARK) -> DataFrame:
     """Rows (key, id, ts, v) whose vector is not near one kept in the last minutes of its key; state is bounded by age and number.
 
     Kept vectors lie in one matrix, so a row costs one product; a key's state goes when event time is past its last vector's age.
@@ -95,10 +95,10 @@ def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: in
             state.remove()
         yield pd.DataFrame(out, columns=["key", "id"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, "key long, id long", "at array<long>, v array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, "key long, id long", "at array<long>, v array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alerts(stream: DataFrame, rule: str, x: str, above: float, cooldown_s: int) -> DataFrame:
+def alerts(stream: DataFrame, rule: str, x: str, above: float, cooldown_s: int, late: str = WATERMARK) -> DataFrame:
     """(rule, id) of rows above a bound, each rule silent for a while after it fires; a rule's state goes when that while is past."""
 
     def step(k, batches: Iterator, state: GroupState):
@@ -121,7 +121,7 @@ def alerts(stream: DataFrame, rule: str, x: str, above: float, cooldown_s: int)
             state.setTimeoutTimestamp(last // 1000 + cooldown_s * 1000 + 1)
         yield pd.DataFrame(out, columns=["rule", "id"])
 
-    return stream.groupBy(rule).applyInPandasWithState(step, "rule string, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy(rule).applyInPandasWithState(step, "rule string, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold: int, policy: str = "redact") -> DataFrame:

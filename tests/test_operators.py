@@ -310,6 +310,9 @@ def test_lineage_of_any_depth(spark):
 
     rows = spark.createDataFrame([(i, i - 1 if i % 40 else None) for i in range(130)] + [(900, 901)], "id long, parent_id long")
     assert {r["id"]: r["depth"] for r in G.depths(rows).collect()} == {**{i: i % 40 for i in range(130)}, 900: 0}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(130)], "id long, parent_id long")
+    assert {r["depth"] for r in G.ancestors(chain, 129).collect()} == set(range(101))
+    assert G.descendants(chain, 0, 5).count() == 6
     deps = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 9, 1), (2, 1, 2), (2, 2, 3)], "group long, id long, needs long")
     assert {(r["group"], r["id"]) for r in G.cyclic(deps).collect()} == {(1, 1), (1, 2), (1, 3)}
 
@@ -322,3 +325,18 @@ def test_library_stands_without_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", path.read_text()), path
+
+
+def test_nearest_in_many_tiles_with_ties(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, [float(rng.randrange(-1, 2)) for _ in range(4)]) for k in range(150)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
+    got = {(r["qid"], r["rank"]): r["vec_id"] for r in retrieval.nearest_each(v, q, 6, 0.1, query_block=10, row_block=17).collect()}
+    unit = {k: [x / max(math.sqrt(sum(y * y for y in w)), 1e-10) for x in w] for k, w in rows}
+    for i in range(0, 150, 4):
+        sims = sorted((-round(sum(a * b for a, b in zip(unit[i], unit[k], strict=True)), 6), k) for k in unit if k != i)
+        want = [k for s, k in sims if -s >= 0.1][:6]
+        assert [got[i, r] for r in range(1, 7) if (i, r) in got] == want
