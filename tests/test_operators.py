@@ -168,7 +168,7 @@ def test_quality_gate_shows_bad_embeddings(spark):
 def test_embedding_change_is_measured(spark):
     from lorekeep import plans
 
-    r = plans.QUERIES["embedding_change_quality"](spark, SF).first()
+    r = plans.QUERIES["embedding_quality"](spark, SF).first()
     assert 0 < r["recall"] < 1 and 0 < r["failed"] <= r["samples"]
 
 
