@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .decontaminate import op6_decontaminate
+from .lot_matching import op12_lot_matching
+from .page_text import op13_page_text
+from .periodic_runs import op11_periodic_runs
 from .pitman_yor import op9_pitman_yor
 from .quality_model import op1_quality_model
 from .quality_rules import op4_quality_rules
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lot_matching": op12_lot_matching,
+    "op13_page_text": op13_page_text,
 }
 
 #: The fixed rules of quality_rules in SQL: words, windows and lines counted by grouping, rules as bits in their order.
