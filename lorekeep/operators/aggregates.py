@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from .ranks import running
 
 
 def mean(x, places: int = 6) -> Column:
@@ -91,11 +92,10 @@ def variant(session: Column, salt: str, treated: float) -> Column:
 
 
 def variant_stats(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Statistics by key; the order statistics (counted from 0: n / 2, 0.95 n, 0.99 n) come from counts by value, so no key's values are gathered."""
+    """Statistics by key; the order statistics (counted from 0: n / 2, 0.95 n, 0.99 n) come from counts by value, added up range by range."""
     by = rows.groupBy(*keys, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), mean(x).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    placed = by.where("_x IS NOT NULL").withColumn("_upto", upto).join(whole.select(*keys, "n"), keys)
+    placed = running(by.where("_x IS NOT NULL"), keys, ["_x"], F.col("_n"), "_upto").join(whole.select(*keys, "n"), keys)
     at = lambda share: F.round(F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("n") * share), F.col("n") - 1), F.col("_x"))), 6)
     places = placed.groupBy(*keys).agg(at(0.5).alias("median_upper"), at(0.95).alias("p95"), at(0.99).alias("p99"))
     return whole.join(places, keys).select(*keys, "n", "mean", "std", "median_upper", "p95", "p99", "low", "high")

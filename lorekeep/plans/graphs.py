@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import graph as G
+from ..operators import paths as P
 from .registry import query
 
 
@@ -60,12 +61,12 @@ def simple_paths(t):
 
 @query("strongest_path", f"{PATHS}, r AS (SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops, round(total, 9) AS total FROM p WHERE dst = 20) SELECT * FROM r ORDER BY total DESC, hops, path LIMIT 1")
 def strongest_path(t):
-    return G.simple_paths(t.edges, 3, 20, 3, 0.3).orderBy(F.desc("total"), "hops", "path").limit(1)
+    return P.as_text(P.strongest(t.edges, 3, 3, 0.3, end=20))
 
 
 @query("shortest_path", f"{PATHS}, r AS (SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops, round(total, 9) AS total FROM p WHERE dst = 20) SELECT * FROM r ORDER BY hops, total DESC, path LIMIT 1")
 def shortest_path(t):
-    return G.simple_paths(t.edges, 3, 20, 3, 0.3).orderBy("hops", F.desc("total"), "path").limit(1)
+    return P.as_text(P.shortest(t.edges, 3, 3, 0.3, end=20))
 
 
 @query("reachable", "WITH RECURSIVE r(node, hops) AS (SELECT 5::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM r JOIN edges e ON e.src = r.node WHERE hops < 2 AND e.strength >= 0.5) SELECT node, min(hops)::BIGINT AS hops FROM r GROUP BY 1")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions import text as T
 from ..operators import sequences as Q
+from ..operators import setjoin as J
 from .registry import query
 
 DRIFT = """d AS (SELECT label, vec_id, list_distance(v, lag(v) OVER (PARTITION BY label ORDER BY vec_id)) AS distance FROM vectors), e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS k FROM d WHERE distance IS NOT NULL)"""
@@ -221,13 +223,9 @@ SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.x, b.x)) / len(list_dist
 WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x)))::DOUBLE > 0.3""",
 )
 def contradiction_pairs(t):
-    from ..functions import text as T
-
-    # All pairs of a domain: the check is meant for domains of some hundreds of statements.
-    w = t.patterns.select("id", "domain", T.tokens(F.col("solution")).alias("x"))
-    a, b = w.alias("a"), w.alias("b")
-    j = a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.id") < F.col("b.id")))
-    return j.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(T.jaccard(F.col("a.x"), F.col("b.x")), 6).alias("similarity")).where("similarity > 0.3")
+    sets, member = J.classes(t.patterns.select("id", "domain", T.tokens(F.col("solution")).alias("x")), "domain")
+    pairs = J.expanded(J.similar_classes(sets, 0.3).where("similarity > 0.3"), member)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 # Set operations: monthly snapshots of customers as epochs

@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_by(df: DataFrame, name: str, *columns: str) -> str:
+    """The rows as a table whose folders are values of columns, so that a filter on these opens no others; returns its path."""
+    path = f"{folder(df.sparkSession)}/scratch-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*columns).parquet(path)
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by written() that nothing reads any more."""
     for df in tables:
