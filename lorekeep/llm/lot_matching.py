@@ -64,7 +64,8 @@ def lots(lines: DataFrame, sales: DataFrame) -> DataFrame:
 
 def with_returns(lines: DataFrame, sales: DataFrame) -> DataFrame:
     """Lots of the clients' items of which anything was returned, as events: kind 1 puts q units in, kind 0 takes u out."""
-    asked = lots(lines.filter("flag = 'returned'"), sales).select("client_id", "item_id").distinct()
+    # Written: a join that Spark may split where one client's item has a large share of the rows needs both sides as they are dealt.
+    asked = written(lots(lines.filter("flag = 'returned'"), sales).select("client_id", "item_id").distinct(), "lots-asked")
     rows = lots(lines, sales).join(asked, ["client_id", "item_id"], "left_semi").withColumn("uid", F.monotonically_increasing_id())
     event = lambda kind, day: F.struct(F.lit(kind).alias("kind"), F.col(day).alias("at"))
     both = F.when(F.col("u").isNull(), F.array(event(1, "day"))).otherwise(F.array(event(1, "day"), event(0, "rday")))
