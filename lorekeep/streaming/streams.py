@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources.scratch import folder
 
@@ -57,71 +57,210 @@ def unique_within(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: int = 5, most: int = 10_000, late: str = WATERMARK) -> DataFrame:
-    """Rows (key, id, ts, v) whose vector is not near one kept in the last minutes of its key; state is bounded by age and number.
+class _Ageing(StatefulProcessor):
+    """State of a key that one timer clears once event time is past all that it can still touch."""
 
-    Kept vectors lie in one matrix, so a row costs one product; a key's state goes when event time is past its last vector's age.
-    """
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._due = handle.getValueState("due", "due long")
+
+    def lives_until(self, micros: int) -> None:
+        due = micros // 1000 + 1
+        if self._due.exists():
+            old = self._due.get()[0]
+            if old == due:
+                return
+            self._handle.deleteTimer(old)
+        self._handle.registerTimer(due)  # one that lies before the watermark fires at once and clears what is past anyway
+        self._due.update((due,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        self._due.clear()
+        self.forget()
+        yield pd.DataFrame({})
+
+    def close(self) -> None:
+        pass
+
+
+class _NearUnique(_Ageing):
+    def __init__(self, threshold: float, age: int, most: int):
+        self.threshold, self.age, self.most = threshold, age, most
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.kept = handle.getListState("kept", "at long, v array<double>")
+
+    def forget(self) -> None:
+        self.kept.clear()
 
-    def step(k, batches: Iterator, state: GroupState):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, kept = (np.array(x) for x in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros((0, 0)))
-        out = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"])
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"])
         vectors = np.stack([np.asarray(v, float) for v in rows["v"]])
         vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        at, kept = at.astype(np.int64), kept.reshape(len(at), -1) if len(at) else np.zeros((0, vectors.shape[1]))
-        store, n, times = np.empty((len(kept) + len(rows), vectors.shape[1])), len(kept), [*at.tolist()]
-        store[:n] = kept
-        first = 0  # older ones than the age bound lie before this place: times rise but for late rows, which are looked at too
+        before = list(self.kept.get()) if self.kept.exists() else []
+        n, first, times = len(before), 0, [x[0] for x in before]
+        store = np.empty((n + len(rows), vectors.shape[1]))
+        if before:
+            store[:n] = [x[1] for x in before]
+        out = []
         for i, ts, v in zip(rows["id"], rows["ts"], vectors, strict=True):
             now = ts.value // 1000
-            while first < n and (now - times[first] > minutes * 60_000_000 or n - first > most):
+            # Older ones than the age bound lie before this place: times rise but for late rows, which are looked at too.
+            while first < n and (now - times[first] > self.age or n - first > self.most):
                 first += 1
-            if n == first or (store[first:n] @ v).max() < threshold:
+            if n == first or (store[first:n] @ v).max() < self.threshold:
                 store[n] = v
                 times.append(now)
                 n += 1
-                out.append((k[0], i))
-        if n > first:
-            state.update((times[first:n], store[first:n].tolist()))
-            state.setTimeoutTimestamp(max(times[first:n]) // 1000 + minutes * 60_000 + 1)
-        elif state.exists:
-            state.remove()
+                out.append((key[0], i))
+        self.kept.put([(times[k], store[k].tolist()) for k in range(first, n)])
+        self.lives_until(max(times[first:n]) + self.age)
         yield pd.DataFrame(out, columns=["key", "id"])
 
-    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, "key long, id long", "at array<long>, v array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
 
+def near_unique(stream: DataFrame, key: str, threshold: float = 0.9, minutes: int = 5, most: int = 10_000, late: str = WATERMARK) -> DataFrame:
+    """Rows (key, id, ts, v) whose vector is not near one kept in the last minutes of its key; state is bounded by age and number.
+
+    Kept vectors lie in one matrix, so a row costs one product; a timer clears a key once event time is past its last vector's
+    age. Rows later than the watermark are dropped; a late row within it is compared with what is kept when it comes.
+    """
+    return stream.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(_NearUnique(threshold, minutes * 60_000_000, most), "key long, id long", "Append", "EventTime")
 
-def alerts(stream: DataFrame, rule: str, x: str, above: float, cooldown_s: int, late: str = WATERMARK) -> DataFrame:
-    """(rule, id) of rows above a bound, each rule silent for a while after it fires; a rule's state goes when that while is past."""
 
-    def step(k, batches: Iterator, state: GroupState):
+class _Alerts(_Ageing):
+    def __init__(self, column: str, above: float | None, below: float | None, rate: float | None, cooldown: int, window: int):
+        self.column, self.above, self.below, self.rate, self.cooldown, self.window = column, above, below, rate, cooldown, window
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "last long")
+        self.seen = handle.getListState("seen", "at long, bad boolean")
+
+    def forget(self) -> None:
+        self.last.clear()
+        self.seen.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows[rows[x] > above].sort_values(["ts", "id"])  # rows below the bound change nothing
-        out = []
-        for i, ts in zip(rows["id"], rows["ts"], strict=True):
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"])
+        last = self.last.get()[0] if self.last.exists() else None
+        seen = list(self.seen.get()) if self.rate is not None and self.seen.exists() else []
+        first, bad, out, newest = 0, sum(x[1] for x in seen), [], max([x[0] for x in seen], default=None)
+        for i, ts, x in zip(rows["id"], rows["ts"], rows[self.column], strict=True):
             now = ts.value // 1000
-            if last is None or now - last >= cooldown_s * 1_000_000:
+            if self.rate is not None:
+                seen.append((now, bool(x)))
+                bad += bool(x)
+                while now - seen[first][0] > self.window:
+                    bad -= seen[first][1]
+                    first += 1
+                newest = now if newest is None else max(now, newest)
+                hit = bad > self.rate * (len(seen) - first)
+            else:
+                hit = (self.above is not None and x > self.above) or (self.below is not None and x < self.below)
+            if hit and (last is None or now - last >= self.cooldown):
                 last = now
-                out.append((k[0], i))
+                out.append((key[0], i))
         if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(last // 1000 + cooldown_s * 1000 + 1)
+            self.last.update((last,))
+        if self.rate is not None:
+            self.seen.put(seen[first:])
+        if last is not None or newest is not None:
+            self.lives_until(max(x for x in (None if last is None else last + self.cooldown, None if newest is None else newest + self.window) if x is not None))
         yield pd.DataFrame(out, columns=["rule", "id"])
 
-    return stream.withWatermark("ts", late).groupBy(rule).applyInPandasWithState(step, "rule string, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def alerts(stream: DataFrame, rule: str, x: str, above: float | None = None, cooldown_s: int = 3600, late: str = WATERMARK, below: float | None = None, rate: float | None = None, window_s: int = 3600) -> DataFrame:
+    """(rule, id) of rows at which a rule fires: a number above or below a bound, or more than a share of failures (a boolean) in the last while.
+
+    Each rule is silent for its cooldown after it fires. A timer clears a rule's state when the cooldown and, for a share, the
+    last row's while are past. Rows later than the watermark are dropped; a late row within it is judged by the state when it comes, and
+    one older than the last alert is silent.
+    """
+    step = _Alerts(x, above, below, rate, cooldown_s * 1_000_000, window_s * 1_000_000)
+    return stream.withWatermark("ts", late).groupBy(rule).transformWithStateInPandas(step, "rule string, id long", "Append", "EventTime")
+
+
+class _Versions(_Ageing):
+    """The change log of a key: its version number and fields, a snapshot every so many changes."""
+
+    def __init__(self, every: int):
+        self.every = every
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", "version long, fields map<string, string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        rows = pd.concat(list(rows), ignore_index=True).sort_values(["seq"])
+        version, fields = self.state.get() if self.state.exists() else (0, {})
+        fields, out = dict(fields), []
+        for seq, op, new in zip(rows["seq"], rows["op"], rows["fields"], strict=True):
+            # Null fields of a change say nothing; a deletion empties the state.
+            new = {} if op == "delete" else {k: v for k, v in dict(new or {}).items() if v is not None}
+            gone = sorted(fields) if op == "delete" else []
+            changed = {k: v for k, v in new.items() if fields.get(k) != v}
+            if not changed and not gone:
+                continue
+            version += 1
+            fields = {} if op == "delete" else fields | changed
+            out.append((key[0], version, seq, changed, gone, fields if version % self.every == 0 else None))
+        self.state.update((version, fields))
+        yield pd.DataFrame(out, columns=["key", "version", "seq", "changed", "gone", "snapshot"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        return iter(())
+
+
+VERSIONS = "key long, version long, seq long, changed map<string, string>, gone array<string>, snapshot map<string, string>"
+
+
+def versions(stream: DataFrame, key: str, every: int = 10) -> DataFrame:
+    """Rows (key, seq, op, fields) as VERSIONS: what each change changes, with the whole state every so many versions.
+
+    A change that changes nothing makes no version. Changes of a key count in the order of seq within a micro-batch.
+    """
+    return stream.groupBy(key).transformWithStateInPandas(_Versions(every), VERSIONS, "Append", "None")
+
+
+def at_version(log: DataFrame, version: int) -> DataFrame:
+    """(key, version, fields): the state of each key at a version, or its last one before; the nearest snapshot and the changes after it."""
+    upto = log.where(F.col("version") <= version)
+    base = upto.where("snapshot IS NOT NULL").groupBy("key").agg(F.max("version").alias("b"))
+    rest = upto.join(base, "key", "left").where(F.col("b").isNull() | (F.col("version") >= F.col("b")))
+    each = F.when(F.col("version") == F.col("b"), F.map_entries("snapshot")).otherwise(F.concat(F.map_entries("changed"), F.transform("gone", lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("value")))))
+    field = rest.select("key", "version", F.explode(each).alias("e")).groupBy("key", F.col("e.key").alias("k")).agg(F.max_by(F.struct(F.col("e.value").alias("value")), "version").alias("v"))
+    state = field.where("v.value IS NOT NULL").groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v.value")))).alias("fields"))
+    last = upto.groupBy("key").agg(F.max("version").alias("version"))
+    return last.join(state, "key", "left").select("key", "version", F.coalesce("fields", F.create_map().cast("map<string, string>")).alias("fields"))
+
+
+def compacted(log: DataFrame, before: int) -> DataFrame:
+    """The log without the changes before each key's last snapshot at or before a version; states from there on stay what they are."""
+    base = log.where((F.col("version") <= before) & F.col("snapshot").isNotNull()).groupBy("key").agg(F.max("version").alias("_b"))
+    return log.join(base, "key", "left").where(F.col("_b").isNull() | (F.col("version") >= F.col("_b"))).drop("_b")
+
+
+def replayed(table: DataFrame, ts: str, parts: int = 4) -> DataFrame:
+    """A table as a stream of several micro-batches in the order of a column: parts of like size, written one after the other."""
+    spark = table.sparkSession
+    path = f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/replay-{uuid.uuid4().hex}"
+    cuts = table.select(F.col(ts).cast("timestamp").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01)
+    x = F.col(ts).cast("timestamp").cast("double")
+    edges = [None, *sorted(set(cuts)), None]
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = table if a is None else table.where(x >= a)
+        (part if b is None else part.where(x < b)).write.parquet(f"{path}/part={k}")
+    files = max(1, spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().count() // parts)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
 
 
 def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold: int, policy: str = "redact") -> DataFrame:
@@ -142,9 +281,16 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number if mode == 'append' else 0}")
 
+    # Keyed state with timers needs the RocksDB store.
+    store, given = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(store)
+    spark.conf.set(store, given)
     w = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
-    q = w.start()
-    q.awaitTermination()
+    try:
+        q = w.start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
     if q.exception():
         raise q.exception()
     try:
