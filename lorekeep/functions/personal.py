@@ -29,8 +29,6 @@ KINDS: list[tuple[str, int, float, str]] = [
 # Matches that are no one's data.
 HARMLESS = {"IPV4": ("127.0.0.1", "0.0.0.0", "255.255.255.255", "255.255.255.0"), "SSN": ("123-45-6789", "000-00-0000")}
 TEST_CARD = "4111111111111111"
-# Kinds that have a class but no pattern of their own.
-UNSEEN = (("NAME", 3), ("ADDRESS", 3), ("DATE_OF_BIRTH", 3), ("PASSPORT", 4), ("DRIVERS_LICENSE", 4), ("BANK_ACCOUNT", 4))
 
 
 def _real(kind: str, m: Column) -> Column:
@@ -42,20 +40,29 @@ def _real(kind: str, m: Column) -> Column:
 
 
 def _found(text: Column, k: int) -> Column:
-    """Matches of one pattern: rank, kind, class, from, upto (bytes), confidence, text. Where a match lies follows from the pieces between matches."""
+    """Matches of one pattern: from, rank, kind, class, upto (bytes), confidence, text. Where a match lies follows from the pieces between matches.
+
+    Pieces and hits are bound as variables of a one-element array, so each is made once; places are running sums over both.
+    """
     kind, cls, confidence, pattern = KINDS[k]
-    pieces, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0).cast("long"), lambda a, b: a + F.octet_length(b))
-    one = lambda m, i: F.struct(
-        (size(pieces, i + 1) + size(hits, i)).alias("from"),
-        F.lit(k).alias("rank"),
-        F.lit(kind).alias("kind"),
-        F.lit(cls).cast("long").alias("class"),
-        (size(pieces, i + 1) + size(hits, i + 1)).alias("upto"),
-        F.lit(confidence).alias("confidence"),
-        m.alias("text"),
-    )
-    return F.filter(F.transform(hits, one), lambda m: _real(kind, m))
+
+    def places(b: Column) -> Column:
+        sizes = F.zip_with(F.slice(b["pieces"], F.lit(1), F.size(b["hits"])), b["hits"], lambda p, h: F.struct(F.octet_length(p).cast("long").alias("gap"), F.octet_length(h).cast("long").alias("own")))
+        start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<long>").alias("ends"))
+        ends = F.aggregate(sizes, start, lambda a, x: F.struct((a["end"] + x["gap"] + x["own"]).alias("end"), F.array_append(a["ends"], a["end"] + x["gap"] + x["own"]).alias("ends")))["ends"]
+        one = lambda m, upto: F.struct(
+            (upto - F.octet_length(m)).alias("from"),
+            F.lit(k).alias("rank"),
+            F.lit(kind).alias("kind"),
+            F.lit(cls).cast("long").alias("class"),
+            upto.alias("upto"),
+            F.lit(confidence).alias("confidence"),
+            m.alias("text"),
+        )
+        return F.filter(F.zip_with(b["hits"], ends, one), lambda m: _real(kind, m))
+
+    once = F.array(F.struct(F.split(text, pattern).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")))
+    return F.get(F.transform(once, places), F.lit(0))
 
 
 def matches(text: Column) -> Column:
@@ -67,16 +74,24 @@ def matches(text: Column) -> Column:
 
 
 def spans(text: Column) -> Column:
-    """matches() without overlaps: of two that overlap the higher class stays, else the first."""
+    """matches() without overlaps: of two that overlap the higher class stays, else the first.
 
-    def add(kept: Column, m: Column) -> Column:
+    Matches come by place, so one that ends before the next begins meets no later one: only the few still open are looked at.
+    """
+
+    def add(state: Column, m: Column) -> Column:
+        kept = F.filter(state["open"], lambda e: e["upto"] > m["from"])
+        done = F.concat(state["done"], F.filter(state["open"], lambda e: e["upto"] <= m["from"]))
         meets = lambda e: (m["from"] < e["upto"]) & (m["upto"] > e["from"])
         at = F.array_position(F.transform(kept, meets), True)
         replaced = F.transform(kept, lambda e, i: F.when((i + 1 == at) & (m["class"] > e["class"]), m).otherwise(e))
-        return F.when(at > 0, replaced).otherwise(F.concat(kept, F.array(m)))
+        return F.struct(done.alias("done"), F.when(at > 0, replaced).otherwise(F.concat(kept, F.array(m))).alias("open"))
+
+    def fold(every: Column) -> Column:
+        none = F.slice(every, 1, 0)
+        return F.aggregate(every, F.struct(none.alias("done"), none.alias("open")), add, lambda s: F.array_sort(F.concat(s["done"], s["open"])))
 
-    every = matches(text)
-    return F.aggregate(every, F.slice(every, 1, 0), add)
+    return F.get(F.transform(F.array(matches(text)), fold), F.lit(0))
 
 
 def shown(text: Column) -> Column:

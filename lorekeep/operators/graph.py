@@ -94,12 +94,13 @@ def ancestors(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
 
 
 def descendants(rows: DataFrame, node: int, hops: int = 100) -> DataFrame:
-    """(node, depth): all below a node of (id, parent_id), itself at depth 0; a frontier a round, so any number of rows."""
+    """(node, depth): all below a node of (id, parent_id), itself at depth 0; a frontier a round without nodes that are out already, so a cycle ends."""
     links = rows.select("id", "parent_id").where("parent_id IS NOT NULL AND id <> parent_id")
     front = rows.where(F.col("id") == node).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("depth"))
     out = front
     for k in range(1, hops + 1):
-        front = written(links.join(front.select(F.col("node").alias("parent_id")), "parent_id").select(F.col("id").alias("node"), F.lit(k).cast("long").alias("depth")), "lineage")
+        below = links.join(front.select(F.col("node").alias("parent_id")), "parent_id").select(F.col("id").alias("node")).distinct()
+        front = written(below.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(k).cast("long")), "lineage")
         if front.isEmpty():
             break
         out = out.unionByName(front)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ann as N
+from ..operators import detectors as D
+from ..operators import importance as I
 from ..operators import paths as P
 from ..operators import retrieval as R
 from ..operators import setjoin as J
@@ -133,3 +135,66 @@ def strongest_reach(t):
 def shortest_reach(t):
     """From one node the path of fewest hops to every node within six, the strongest of these."""
     return P.shortest(t.edges, 3, 6, 0.3).select("node", "hops", F.round("total", 9).alias("total"))
+
+
+_LINKED = "e AS (SELECT DISTINCT item_id AS x, -vendor_id - 1 AS y FROM sale_lines WHERE item_id IS NOT NULL AND vendor_id IS NOT NULL), l2 AS MATERIALIZED (SELECT DISTINCT a.x, b.x AS z FROM e a JOIN e b ON a.y = b.y AND a.x <> b.x)"
+
+
+@query(
+    "shortcut_candidates",
+    f"""WITH {_LINKED}, s AS (SELECT DISTINCT l.sale_id AS session, item_id AS x FROM sale_lines l JOIN sales o ON l.sale_id = o.sale_id WHERE sold_at >= TIMESTAMP '2024-02-01' AND item_id IS NOT NULL),
+p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM s a JOIN s b ON a.session = b.session AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 3),
+k AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM items i JOIN items j ON i.brand = j.brand AND i.kind = j.kind WHERE i.item_id = p.a AND j.item_id = p.b)),
+h1 AS MATERIALIZED (SELECT x AS a, z FROM l2 WHERE x IN (SELECT a FROM k)), t1 AS MATERIALIZED (SELECT a, b FROM k WHERE (a, b) NOT IN (SELECT a, z FROM h1)),
+{", ".join(f"h{m} AS MATERIALIZED (SELECT DISTINCT h.a, l2.z FROM h{m - 1} h JOIN l2 ON l2.x = h.z WHERE h.a IN (SELECT a FROM t{m - 1})), t{m} AS MATERIALIZED (SELECT a, b FROM t{m - 1} WHERE (a, b) NOT IN (SELECT a, z FROM h{m}))" for m in range(2, 6))},
+d AS (SELECT k.*, CASE WHEN (a, b) NOT IN (SELECT a, b FROM t1) THEN 2 WHEN (a, b) NOT IN (SELECT a, b FROM t2) THEN 4 WHEN (a, b) NOT IN (SELECT a, b FROM t3) THEN 6 WHEN (a, b) NOT IN (SELECT a, b FROM t4) THEN 8 WHEN (a, b) NOT IN (SELECT a, b FROM t5) THEN 10 END AS hops FROM k)
+SELECT a, b, n, hops::BIGINT AS hops, round((hops - 1) / hops::DOUBLE, 6) AS saving, round(0.6 * n / (SELECT max(n) FROM k) + 0.4 * (hops - 1) / hops::DOUBLE, 6) AS score FROM d WHERE hops >= 3 ORDER BY score DESC, a, b LIMIT 1000""",
+)
+def shortcut_candidates(t):
+    """Items often sold together since February that no chain of vendors joins closely; items of one brand and kind are linked already."""
+    sold = t.sale_lines.join(t.sales.where("sold_at >= TIMESTAMP_NTZ '2024-02-01'").select("sale_id"), "sale_id").select(F.col("sale_id").alias("session"), F.col("item_id").alias("x"))
+    links = t.sale_lines.where("item_id IS NOT NULL AND vendor_id IS NOT NULL").select(F.col("item_id").alias("src"), (-F.col("vendor_id") - 1).alias("dst")).distinct()
+    label = F.concat("brand", F.lit("/"), "kind")
+    return P.shortcuts(sold, links, alike=t.items.select(F.col("item_id").alias("x"), label.alias("label")))
+
+
+# Detectors
+
+
+def _detectors_sql() -> str:
+    count = lambda d: f"SELECT page_id, '{d.name}' AS name, '{d.domain}' AS domain, {d.confidence}::DOUBLE AS confidence, len(regexp_extract_all(html, '{d.pattern}')) AS n, regexp_extract(html, '{d.pattern}') AS hit FROM pages"
+    return " UNION ALL ".join(map(count, D.WEB))
+
+
+@query("code_patterns", f"SELECT * FROM ({_detectors_sql()}) WHERE n > 0")
+def code_patterns(t):
+    """Every detector's matches in every page: how many, and the first."""
+    return D.found(t.pages, "page_id", "html", D.WEB).drop("first")
+
+
+@query("code_pattern_summary", f"SELECT domain, name, count(*) AS texts, sum(n)::BIGINT AS n, max(confidence) AS confidence, arg_min(hit, page_id) AS example FROM ({_detectors_sql()}) WHERE n > 0 AND confidence >= 0.8 GROUP BY 1, 2")
+def code_pattern_summary(t):
+    return D.learned(D.found(t.pages, "page_id", "html", D.WEB), "page_id", 0.8)
+
+
+# Importance
+
+
+_GRADIENT = "SELECT event_type, 1 / (1 + exp(-(0.3 - 0.02 * value))) - (user_id % 3 = 0)::INT AS e, value FROM events"
+
+
+@query("gradient_moments", f"SELECT event_type, count(*) AS n, round(avg(e), 6) AS g0, round(avg(e * value), 6) AS g1, round(avg(e * e), 6) AS f0, round(avg(e * value * e * value), 6) AS f1 FROM ({_GRADIENT}) GROUP BY 1")
+def gradient_moments(t):
+    """Means and mean squares of the examples' gradients of a model with two weights, by kind of event."""
+    x = [F.lit(1.0), F.col("value")]
+    y = (F.col("user_id") % 3 == 0).cast("double")
+    return I.moments(t.events, x, y, [0.3, -0.02], ["event_type"]).select("event_type", "n", *[F.round(k, 6).alias(k) for k in ("g0", "g1", "f0", "f1")])
+
+
+@query("fitted_importance", "WITH x AS (SELECT (quality = 1)::INT AS y, count(*) AS n FROM labels GROUP BY 1), p AS (SELECT sum(n * y) / sum(n)::DOUBLE AS p FROM x) SELECT count(*) AS n, TRUE AS at_rest, round(any_value(p * (1 - p)), 5) AS fisher FROM labels, p WHERE quality IS NOT NULL")
+def fitted_importance(t):
+    """A model of nothing but a constant, fitted to the labels: its gradient rests at zero and its importance is p (1 - p)."""
+    rows = t.labels.where("quality IS NOT NULL")
+    y = (F.col("quality") == 1).cast("double")
+    w = I.fitted(rows, [F.lit(1.0)], y, ridge=0.0)
+    return I.moments(rows, [F.lit(1.0)], y, w).select("n", (F.abs("g0") < 1e-6).alias("at_rest"), F.round("f0", 5).alias("fisher"))

@@ -41,7 +41,7 @@ def seed_rows(patterns: DataFrame, include: str, exclude: str, redact: Callable[
 
 def text_folder(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """(path, text) of every file below a folder."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path)
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path, wholetext=True)
     return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import ann, fulltext, paths, ranks, setjoin, textindex
+from lorekeep.functions import personal
+from lorekeep.operators import ann, detectors, fulltext, importance, paths, ranks, setjoin, textindex
 from lorekeep.operators.aggregates import variant_stats
 from lorekeep.operators.retrieval import nearest_each
+from lorekeep.sources import files
 from lorekeep.streaming import streams
 
 
@@ -198,3 +200,81 @@ def test_change_log_states(spark, tmp_path):
         assert [(r["version"], r["fields"]) for r in streams.at_version(log, v).collect()] == [(min(v, 5), fields)]
     short = streams.compacted(log, 5)
     assert short.count() == 2 and [r["fields"] for r in streams.at_version(short, 5).collect()] == [{"c": "4"}]
+
+
+SOURCES = {
+    "errors.rs": "#[derive(Debug, Error)]\nenum E {}\nimpl std::error::Error for E {}\nf().map_err(|e| E::from(e))?;\n",
+    "tasks.rs": "tokio::spawn(async {});\ntokio::select! { _ = a => {} }\nlet (a, b) = mpsc::channel(1);\nMutex::new(0);\n",
+    "api.rs": 'Router::new().route("/a", get(h)).layer(trace);\n#[get("/b")]\n',
+    "tests.rs": "#[test]\nfn a() {}\n#[tokio::test]\nproptest! { }\nMockClock::new()\n",
+    "db.rs": "sqlx::query_as!(X, \"\"); pool.begin(); PgPool::connect(u)\n",
+    "plain.txt": "nothing of the kind, though it says impl and Mock",
+}
+
+
+def test_detectors_on_a_folder(spark, tmp_path):
+    import re
+
+    for name, text in SOURCES.items():
+        (tmp_path / name).write_text(text)
+    texts = files.text_folder(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    got = {(r["path"], r["name"]): (r["domain"], r["n"], r["first"], r["hit"]) for r in detectors.found(texts, "path", "text", detectors.RUST).collect()}
+    want = {}
+    for name, text in SOURCES.items():
+        for d in detectors.RUST:
+            hits = list(re.finditer(d.pattern, text))
+            if hits:
+                want[name, d.name] = (d.domain, len(hits), hits[0].start(), hits[0].group())
+    assert got == want and {k[1] for k in got} == {d.name for d in detectors.RUST}
+    summary = {r["name"]: r["texts"] for r in detectors.learned(detectors.found(texts, "path", "text", detectors.RUST), "path", 0.8).collect()}
+    assert summary["test"] == 1 and "map_err" not in summary
+    assert detectors.found(texts.select("path", F.lit(None).cast("string").alias("text")), "path", "text", detectors.RUST).count() == 0
+
+
+def test_importance_as_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0])))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    columns = [F.lit(1.0), F.col("a"), F.col("b")]
+    w = importance.fitted(df, columns, F.col("y"), ridge=1e-3)
+    m = np.column_stack([np.ones(400), x])
+    v = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-m @ v))
+        v = v + np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + 1e-3 * np.eye(3), m.T @ (y - p) - 1e-3 * v)
+    assert np.allclose(w, v, atol=1e-6)
+    r = importance.moments(df, columns, F.col("y"), w).first()
+    g = (1 / (1 + np.exp(-m @ np.array(w))) - y)[:, None] * m
+    assert np.allclose([r["g0"], r["g1"], r["g2"]], g.mean(0)) and np.allclose([r["f0"], r["f1"], r["f2"]], (g * g).mean(0))
+    moved = importance.protected([0.0, 0.0], [1.0, 1.0], [0.0, 5.0], 0.1, 100.0)
+    assert moved[0] == -0.1 and moved[1] == pytest.approx(-0.1 / 6) and importance.penalty([0, 0], moved, [0.0, 5.0], 2.0) == pytest.approx(5 * (0.1 / 6) ** 2)
+
+
+def test_shortcuts_and_distances(spark):
+    edges = [(i, i + 1) for i in range(8)] + [(0, 20), (20, 21)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    pairs = spark.createDataFrame([(0, 3), (0, 8), (21, 5), (1, 2), (4, 4), (3, 99)], "a long, b long")
+    got = {(r["a"], r["b"]): r["hops"] for r in paths.distances(pairs, df, 7).collect()}
+    assert got == {(0, 3): 3, (21, 5): 7, (1, 2): 1}
+    used = [(s, x) for s in range(3) for x in (0, 3, 1)] + [(7, x) for x in (0, 8)] + [(8, x) for x in (0, 8)] + [(9, x) for x in range(30)] + [(None, 0)]
+    u = spark.createDataFrame(used, "session long, x long")
+    small = {(r["a"], r["b"]): (r["n"], r["hops"], r["score"]) for r in paths.shortcuts(u, df).collect()}
+    large = {(r["a"], r["b"]): (r["n"], r["hops"], r["score"]) for r in paths.shortcuts(u, df, large=10).collect()}
+    assert small == large == {(0, 3): (4, 3, round(0.6 + 0.4 * 2 / 3, 6)), (0, 8): (3, 8, round(0.6 * 3 / 4 + 0.4 * 7 / 8, 6))}
+    known = spark.createDataFrame([(3, 0)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in paths.shortcuts(u, df, known).collect()} == {(0, 8)}
+
+
+def test_many_addresses_in_one_text(spark):
+    text = " ".join(f"user{i}@mail.example.org and 203.0.113.{i % 200}" for i in range(1500))
+    df = spark.createDataFrame([(text,)], "text string")
+    rows = df.select(F.explode(personal.spans(F.col("text"))).alias("m")).select("m.*").collect()
+    assert len(rows) == 3000 and all(text[r["from"] : r["upto"]] == r["text"] for r in rows)
+
+
+def test_descendants_of_a_cycle(spark):
+    from lorekeep.operators import graph
+
+    rows = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3), (4, 3)], "id long, parent_id long")
+    assert sorted(tuple(r) for r in graph.descendants(rows, 1, 10).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
