@@ -3,7 +3,9 @@
 Detected: e-mail addresses, phone numbers, payment card numbers, IPv4 addresses, social security numbers, quoted secrets
 (token = "...", and key, secret, password), issued keys and long hexadecimal ones, bank account numbers (IBAN), and names
 after a title. Every later or earlier mention of a detected entity in the same text goes with it: the whole name, each of its
-words where it stands alone, and any other entity wherever its characters stand again.
+words where it stands alone, and any other entity wherever its characters stand again. A word of a name that is an ordinary
+word too (it is in ORDINARY, or stands in lower case in the text) is left alone at the start of a sentence, and elsewhere goes
+only as the surname.
 
 A surrogate keeps what the format shows: separators, letter case, script, digit or letter at each place, a card's first digit
 and whether its check digit holds, an IBAN's country and whether its check digits hold, a phone's country code, a mail
@@ -18,8 +20,8 @@ range, around an addition of one). So equal entities get equal surrogates in all
 surrogates, and none its own value, without a table of entities. `collisions` checks this over a table of all distinct
 entities: a surrogate that two originals share, or an original that stayed.
 
-The key belongs to the caller; who has it can undo the permutation. The query takes it from spark.lorekeep.surrogate.key and,
-where that is unset, draws one for the session and stores it nowhere else.
+The key belongs to the caller; who has it can undo the permutation. The query takes it from spark.lorekeep.surrogate.secret (a name
+that Spark's own redaction hides) and, where that is unset, draws one for the application that is kept in the driver's memory alone.
 
 Defined results: null and empty texts have no entities and become empty texts. A masked value (one symbol or x repeated) is no
 entity and stays. Each row is treated alone, so repeated rows get equal results; null ids and further columns stay as they
@@ -43,7 +45,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_of
 
-KEY_SETTING = "spark.lorekeep.surrogate.key"
+KEY_SETTING = "spark.lorekeep.surrogate.secret"
+_drawn: dict[str, str] = {}
 
 # Titles before names, the letters that pattern a surrogate name, names by kind, country codes of phones.
 TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
@@ -58,6 +61,7 @@ NAMES = {
     "male": "adam albert andrew anthony arthur benjamin bruno carlos charles christopher daniel david edward eric felix francis frank george hans henry hugo isaac jack jacob james jan john jorge joseph juan karl kevin lewis louis luis mark martin matthew michael nicolas oliver oscar pablo patrick paul pedro peter philip richard robert samuel simon stefan steven thomas victor walter william",
     "surname": "adams allen anderson bailey baker bauer becker bell bennett bernard brooks brown campbell carter clark cohen collins cooper costa cox cruz davies davis diaz dubois edwards evans ferrari fischer flores foster garcia gomez gonzalez gray green hall harris hernandez hill hoffmann howard hughes jackson johnson jones keller kelly khan king klein lambert lee lewandowski lopez martinez meyer miller moore moreau morgan morris murphy nelson novak parker patel perez phillips ramirez reed reyes rivera roberts robinson rossi russell sanchez schmidt schneider schulz scott silva simmons smith stewart sullivan taylor thompson torres turner wagner walker ward watson weber white wilson wood wright young",
 }
+ORDINARY = frozenset("august april bill black brown carter cook dean drew faith frank gene grace grant gray green hall hill hope in jack joy june king long mark may miller old on page pat prince reed rich rose sue taylor turner victor walker ward white will wood young".split())
 CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 
 _CLASS = {c: a for pair in ALPHABETS.values() for a in pair for c in a}
@@ -88,6 +92,9 @@ PATTERNS: list[tuple[str, str]] = [
     ("name", rf"(?:(?<=^)|(?<=\W))(?:{'|'.join(map(re.escape, TITLES))}) (?P<name>{_NAME}(?: {_NAME}){{0,2}})"),
 ]
 _ANY = re.compile("|".join(f"(?P<{n}>{p})" if n != "name" else f"(?P<titled>{p})" for n, p in PATTERNS))
+_BARE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS if n in ("key", "hex")))
+#: What stands between two sentences, or before the first.
+_ENDS = re.compile(r"(?:^|[.!?:;…。\n])[\s\"'“”„«»()\[\]*_>-]*$")
 #: A text without a title and without any of these has no entity: each pattern asks for one of them.
 _HINT = re.compile(r"[0-9@=:]|AKIA|gh[pousr]_|sk-|eyJ")
 
@@ -147,6 +154,9 @@ def _places(text: str, kind: str) -> list[str]:
         low = c.lower()
         if hexadecimal:
             out.append("0123456789abcdef" if text == text.lower() else "0123456789ABCDEF")
+        elif c.isdecimal() and not "0" <= c <= "9":
+            zero = ord(c) - unicodedata.decimal(c)
+            out.append("".join(chr(zero + k) for k in range(10)))
         elif "0" <= c <= "9":
             # The first digits of some groups keep to 2-9 or to 0-1: area codes and the like.
             first = kind == "ssn" and (k == 0 or not text[k - 1].isdigit()) or kind == "phone" and (k == 0 or k == 3 and len(text) == 10)
@@ -307,7 +317,9 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         kind = m.lastgroup
         if m["value"] is not None:
             if not _masked(m["value"]) and _changeable("secret", m["value"]):
-                out.append(("secret", *m.span("value")))
+                # A key that is known by its own form is the same entity with and without a word before it.
+                bare = _BARE.fullmatch(m["value"])
+                out.append((bare.lastgroup if bare else "secret", *m.span("value")))
         elif m["name"] is not None:
             # A name's words are capitalised where the script has capitals.
             words = []
@@ -330,16 +342,26 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
     if not found:
         return found
     again: dict[str, str] = {}
+    lone: dict[str, bool] = {}  # words of names that are not all of one, and whether they may be a surname
     for kind, a, z in found:
         if kind == "name":
-            again |= dict.fromkeys((x for w in text[a:z].split(" ") for x in (w, w.upper())), "name")
+            words = text[a:z].split(" ")
+            for k, w in enumerate(words):
+                again |= dict.fromkeys((w, w.upper()), "name")
+                for x in (w, w.upper()):
+                    lone[x] = lone.get(x, False) or (k == len(words) - 1 and x == w)
         again[text[a:z]] = kind
+    ordinary = {w for w in lone if w.lower() != w and (w.lower() in ORDINARY or re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text))}
+
+    def goes(m: re.Match) -> bool:
+        return m[0] not in ordinary or (lone[m[0]] and not _ENDS.search(text, max(0, m.start() - 40), m.start()))
+
     # A script that writes no spaces shows no ends of words.
     alone = lambda w: ("" if unicodedata.category(w[0]) == "Lo" else r"(?<!\w)") + re.escape(w) + ("" if unicodedata.category(w[-1]) == "Lo" else rf"(?!{_LETTER}|\w)")
     search = re.compile("|".join(map(alone, sorted(again, key=len, reverse=True)))).finditer
     out, at = [], 0
     for kind, a, z in [*found, ("", len(text), len(text))]:
-        out += [(again[m[0]], *m.span()) for m in search(text, at, a)]
+        out += [(again[m[0]], *m.span()) for m in search(text, at, a) if goes(m)]
         if kind:
             out.append((kind, a, z))
         at = z
@@ -414,17 +436,18 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
 
 def session_key(spark: SparkSession) -> bytes:
     """The key set in KEY_SETTING (any text), else one drawn for this session."""
-    named = spark.conf.get(KEY_SETTING, None)
-    if not named:
-        named = secrets.token_hex(32)
-        spark.conf.set(KEY_SETTING, named)
+    named = spark.conf.get(KEY_SETTING, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
     return hashlib.blake2b(named.encode(), digest_size=32).digest()
 
 
-def op8_surrogates(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    key = session_key(spark)
+def checked(docs: DataFrame, key: bytes) -> DataFrame:
+    """The documents, once no two of their entities share a surrogate and none keeps its own value."""
     shared = collisions(docs, key).count()
     if shared:
         raise ValueError(f"{shared} surrogates are shared by different entities or equal their own")
-    return surrogated(docs, key)
+    return docs
+
+
+def op8_surrogates(spark, sf_dir: str) -> DataFrame:
+    key = session_key(spark)
+    return surrogated(checked(spark.read.parquet(f"{sf_dir}/documents.parquet"), key), key)
