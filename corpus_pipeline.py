@@ -31,7 +31,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates, n_chars counted anew."""
-    out = surrogates.replaced_texts(docs, surrogates.session_key(spark))
+    key = surrogates.session_key(spark)
+    out = surrogates.replaced_texts(surrogates.checked(docs, key), key)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
