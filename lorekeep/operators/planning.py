@@ -15,7 +15,8 @@ def planned(actions: DataFrame, start: int, goal: int, most: int = 20) -> DataFr
     cheapest way to each state, of equal ones the first by name; states reached more cheaply before are not opened again.
     """
     spark = actions.sparkSession
-    a = F.broadcast(actions)  # the actions of a planner: some dozens
+    actions = written(actions, "actions")
+    a = F.broadcast(actions)  # the actions of a planner: at most one for each set of needs, additions and removals
     front = spark.createDataFrame([(start, 0.0, "")], "state long, cost double, plan string")
     best = front
     for _ in range(most):

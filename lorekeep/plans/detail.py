@@ -186,17 +186,30 @@ def workflow_validity(t):
     return d.groupBy("group").agg(F.count("*").alias("n")).join(bad, "group", "left").select(c("group").alias("kind"), "n", F.coalesce("bad", F.lit(False)).alias("cyclic"))
 
 
-ACTIONS = [("research", 0, 1, 0, 2.0), ("analyze", 0, 2, 0, 3.0), ("write", 1, 4, 0, 1.5), ("review", 4, 8, 0, 1.0), ("test", 6, 16, 0, 2.5), ("quick_fix", 0, 16, 4, 6.0), ("store", 9, 32, 0, 0.5), ("merge", 48, 64, 1, 1.0)]
+# Facts are the kinds of items, in the order of their names. An item adds its kind, a large one the next kind too, to what has the kind before.
+_ACTIONS = """k AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS b, count(*) OVER () AS m FROM (SELECT DISTINCT kind FROM items WHERE kind IS NOT NULL)),
+i AS (SELECT item_id, price, CASE WHEN b = 0 THEN 0 ELSE 1 << (b - 1) END::BIGINT AS needs, ((1 << b) | CASE WHEN size > 40 THEN 1 << ((b + 1) % m) ELSE 0 END)::BIGINT AS adds, (1 << m) - 1 AS goal FROM items JOIN k USING (kind) WHERE price IS NOT NULL AND item_id IS NOT NULL AND size IS NOT NULL AND m < 12),
+a AS (SELECT needs, adds, min(price) AS cost, arg_min(item_id::VARCHAR, {'p': price, 'n': item_id::VARCHAR}) AS name, any_value(goal) AS goal FROM i GROUP BY 1, 2)"""
 
 
 @query(
     "action_plan",
-    "WITH RECURSIVE a(name, needs, adds, removes, cost) AS (VALUES " + ", ".join(f"('{n}', {x}, {y}, {z}, {k}::DOUBLE)" for n, x, y, z, k in ACTIONS) + "), r(state, cost, plan, n) AS (SELECT 0, 0.0::DOUBLE, '', 0 UNION SELECT (r.state | a.adds) & ~a.removes, r.cost + a.cost, CASE WHEN plan = '' THEN name ELSE plan || '>' || name END, n + 1 FROM r JOIN a ON (r.state & a.needs) = a.needs AND (((r.state | a.adds) & ~a.removes) <> r.state) WHERE n < 8) SELECT plan, cost FROM r WHERE (state & 64) = 64 ORDER BY cost, plan LIMIT 1",
+    f"WITH RECURSIVE {_ACTIONS}, r(state, cost, plan, n) AS (SELECT 0::BIGINT, 0.0::DOUBLE, '', 0 UNION SELECT r.state | a.adds, r.cost + a.cost, CASE WHEN plan = '' THEN name ELSE plan || '>' || name END, n + 1 FROM r JOIN a ON (r.state & a.needs) = a.needs AND (r.state | a.adds) <> r.state WHERE n < 8) SELECT plan, round(cost, 6) AS cost FROM r WHERE state = (SELECT max(goal) FROM a) ORDER BY r.cost, plan LIMIT 1",
 )
 def action_plan(t):
-    """The cheapest sequence of actions to a goal, by search over sets of facts."""
-    a = t.spark.createDataFrame(ACTIONS, "name string, needs long, adds long, removes long, cost double")
-    return L.planned(a, 0, 64)
+    """The cheapest sequence of items that has every kind, found by search over sets of kinds; of items that do the same the cheapest is an action."""
+    some = t.items.where("price IS NOT NULL AND item_id IS NOT NULL AND size IS NOT NULL AND kind IS NOT NULL")
+    kinds = sorted(r["kind"] for r in t.items.where("kind IS NOT NULL").select("kind").distinct().collect())  # a handful
+    if len(kinds) >= 12:
+        raise ValueError("too many kinds to plan over")
+    b = F.array_position(F.array(*map(F.lit, kinds)), c("kind")) - 1
+    bit = lambda k: F.pow(F.lit(2.0), k).cast("long")
+    adds = bit(b).bitwiseOR(F.when(c("size") > 40, bit((b + 1) % len(kinds))).otherwise(F.lit(0).cast("long")))
+    needs = F.when(b == 0, F.lit(0).cast("long")).otherwise(bit(b - 1))
+    name = c("item_id").cast("string")
+    best = some.groupBy(needs.alias("needs"), adds.alias("adds")).agg(F.min(F.struct(c("price").alias("cost"), name.alias("name"))).alias("x"))
+    actions = best.select("x.name", "needs", "adds", F.lit(0).cast("long").alias("removes"), "x.cost")
+    return L.planned(actions, 0, (1 << len(kinds)) - 1).select("plan", F.round("cost", 6).alias("cost"))
 
 
 @query("dead_letter_replay", "SELECT status, count(*) AS n, sum(tries)::BIGINT AS tries FROM (SELECT event_id % 4 + 1 AS tries, CASE WHEN json_extract_string(props, '$.k')::BIGINT % 2 = 0 THEN 'succeeded' WHEN event_id % 4 + 1 < 3 THEN 'failed' ELSE 'abandoned' END AS status FROM events WHERE event_type = 'error' AND event_id % 4 < 3) GROUP BY 1")

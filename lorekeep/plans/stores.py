@@ -63,13 +63,13 @@ def stored_match(t):
     return X.search(X.built(t.documents, "doc_id", "text"), t.spark, MATCH)
 
 
-CHANGED = "CASE WHEN lang = 'en' AND source = 'web' THEN string_split(text, chr(10))[1] ELSE text END"
+CHANGED = "CASE WHEN lang = 'en' AND n_chars > 1000 THEN string_split(text, chr(10))[1] ELSE text END"
 
 
 @query("stored_updates", _match_sql(f"(SELECT doc_id, {CHANGED} AS text FROM documents)"))
 def stored_updates(t):
     """A second load replaces some documents by their first lines; both segments are then rewritten as one."""
-    new = t.documents.where("lang = 'en' AND source = 'web'").select("doc_id", F.split("text", "\n").getItem(0).alias("text"))
+    new = t.documents.where("lang = 'en' AND n_chars > 1000").select("doc_id", F.split("text", "\n").getItem(0).alias("text"))
     index = X.added(X.built(t.documents, "doc_id", "text"), new)
     return X.search(X.merged(index, t.spark), t.spark, MATCH)
 
@@ -105,12 +105,12 @@ def statement_classes(t):
     return member.select("id", "class")
 
 
-@query("similar_candidates", f"WITH {SETS} SELECT domain, count(*) AS sets, TRUE AS fewer FROM c GROUP BY 1 HAVING count(*) > 50")
+@query("similar_candidates", f"WITH {SETS} SELECT domain, count(*) AS sets, TRUE AS fewer FROM c GROUP BY 1 HAVING count(*) > 5")
 def similar_candidates(t):
-    """Whether the filters leave fewer pairs than there are, in domains of more than 50 statements."""
+    """Whether the filters leave fewer pairs than there are, in domains of more than five statements."""
     sets, _ = _sets(t)
     of = J.candidates(sets, 0.5).join(sets.select(F.col("class").alias("a"), "block"), "a").groupBy("block").agg(F.count("*").alias("looked"))
-    n = sets.groupBy("block").agg(F.count("*").alias("sets")).where("sets > 50").join(of, "block", "left")
+    n = sets.groupBy("block").agg(F.count("*").alias("sets")).where("sets > 5").join(of, "block", "left")
     return n.select(F.col("block").alias("domain"), "sets", (F.coalesce("looked", F.lit(0)) < F.col("sets") * (F.col("sets") - 1) / 2).alias("fewer"))
 
 
