@@ -157,13 +157,19 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("n_edges"), (F.count_distinct("src") + F.count_distinct("dst")).alias("node_count_ref"), *kinds, F.round(F.avg("strength"), 6).alias("avg_strength")).join(F.broadcast(ends))
 
 
-def min_cut(edges: DataFrame, component: str) -> DataFrame:
+def min_cut(edges: DataFrame, component: str, sizes: DataFrame | None = None) -> DataFrame:
     """Global minimum cut of each component (Stoer and Wagner): its weight and the nodes on the smaller side.
 
-    A component's edges must fit one task; components are split among tasks.
+    A component's edges must fit one task; components are split among tasks. A node (component, label) of `sizes` counts as k nodes.
     """
 
-    def cut(rows):
+    def weighed(rows, of):
+        import pandas as pd
+
+        k = dict(zip(of["label"], of["k"], strict=True))
+        return cut(rows, k) if len(rows) else pd.DataFrame([], columns=["component", "weight", "smaller_side"])
+
+    def cut(rows, k=None):
         import pandas as pd
 
         w: dict[int, dict[int, float]] = {}
@@ -191,10 +197,13 @@ def min_cut(edges: DataFrame, component: str) -> DataFrame:
                     w[u][s] = w[u].get(s, 0.0) + x
             merged[s] += merged[t]
             nodes.remove(t)
-        n = len(set(rows["src"]) | set(rows["dst"]))
-        return pd.DataFrame([(int(rows[component].iloc[0]), round(best, 6) if side else 0.0, min(len(side), n - len(side)))], columns=["component", "weight", "smaller_side"])
+        count = lambda nodes: len(nodes) if k is None else int(sum(k[x] for x in nodes))
+        n, size = count(set(rows["src"]) | set(rows["dst"])), count(side)
+        return pd.DataFrame([(int(rows[component].iloc[0]), round(best, 6) if side else 0.0, min(size, n - size))], columns=["component", "weight", "smaller_side"])
 
-    return edges.groupBy(component).applyInPandas(cut, "component long, weight double, smaller_side long")
+    if sizes is not None:
+        return edges.groupBy(component).cogroup(sizes.groupBy("component")).applyInPandas(weighed, "component long, weight double, smaller_side long")
+    return edges.groupBy(component).applyInPandas(lambda rows: cut(rows), "component long, weight double, smaller_side long")
 
 
 def unmet(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import personal
-from lorekeep.operators import ann, detectors, fulltext, importance, paths, ranks, setjoin, textindex
+from lorekeep.operators import ann, cuts, detectors, fulltext, importance, paths, ranks, setjoin, textindex
 from lorekeep.operators.aggregates import variant_stats
 from lorekeep.operators.retrieval import nearest_each
 from lorekeep.sources import files
@@ -278,3 +278,59 @@ def test_descendants_of_a_cycle(spark):
 
     rows = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 3), (4, 3)], "id long, parent_id long")
     assert sorted(tuple(r) for r in graph.descendants(rows, 1, 10).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def brute_cut(nodes, link):
+    """(weight, fewest nodes on the smaller side) over all ways to part some nodes in two."""
+    first, *rest = sorted(nodes)
+    best = (math.inf, 0)
+    for k in range(1 << len(rest)):
+        side = {first, *(x for i, x in enumerate(rest) if k >> i & 1)}
+        if len(side) < len(nodes):
+            w = sum(s for (a, b), s in link.items() if a in nodes and b in nodes and (a in side) != (b in side))
+            best = min(best, (round(w, 6), min(len(side), len(nodes) - len(side))))
+    return best
+
+
+def brute_parts(nodes, link):
+    left, out = set(nodes), []
+    while left:
+        part, front = set(), {min(left)}
+        while front:
+            part |= front
+            front = {y for (a, b) in link for x, y in ((a, b), (b, a)) if x in front} - part
+        out.append(part)
+        left -= part
+    return out
+
+
+def test_cuts_of_components_over_all_subsets(spark):
+    rng = random.Random(11)
+    edges = []
+    for base, n, p in ((0, 9, 0.5), (20, 8, 0.3), (40, 7, 0.9), (60, 2, 1.0)):
+        edges += [(base + a, base + b, round(rng.uniform(0.05, 1), 3)) for a in range(n) for b in range(n) if a < b and (rng.random() < p or b == a + 1)]
+    edges += [(b, a, 0.001 * k) for k, (a, b, _) in enumerate(edges[:10])] + [(3, 3, 9.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, strength double")
+    link = {}
+    for a, b, s in edges:
+        if a != b:
+            link[min(a, b), max(a, b)] = link.get((min(a, b), max(a, b)), 0) + s
+    parts_ = brute_parts({x for pair in link for x in pair}, link)
+    got = {r["component"]: (r["weight"], r["smaller_side"]) for r in cuts.least_cuts(df).collect()}
+    assert got == {min(p): brute_cut(p, link) for p in parts_}
+
+    def split(nodes):
+        if len(nodes) > 1:
+            first, *rest = sorted(nodes)
+            options = []
+            for k in range(1 << len(rest)):
+                side = {first, *(x for i, x in enumerate(rest) if k >> i & 1)}
+                if len(side) < len(nodes):
+                    options.append((sum(s for (a, b), s in link.items() if a in nodes and b in nodes and (a in side) != (b in side)), sorted(side)))
+            w, side = min(options)
+            if w < 0.8:
+                return split(set(side)) + split(set(nodes) - set(side))
+        return [nodes]
+
+    want = {(min(p), min(c), x) for p in parts_ for c in split(p) for x in c}
+    assert {tuple(r) for r in cuts.clusters(df, 0.8).collect()} == want
