@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import planning as L
 from ..operators import retrieval as R
 from ..operators import sequences as Q
+from ..operators import setjoin as J
 from .registry import query
 
 c = F.col
@@ -121,6 +122,36 @@ def belief_conflicts(t):
     return p.where("severity IS NOT NULL").select("a", "b", "severity", F.round("sim", 6).alias("similarity"))
 
 
+ALIKE = f"t0 AS (SELECT id, domain, {TOK.format(x='solution')} AS t FROM patterns), c0 AS (SELECT a.id AS a, b.id AS b FROM patterns a JOIN patterns b ON a.id = b.parent_id AND split_part(a.domain, '.', 1) = split_part(b.domain, '.', 1) UNION SELECT a.id, b.id FROM t0 a JOIN t0 b ON a.domain = b.domain AND a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.3 * len(list_distinct(list_concat(a.t, b.t))) AND len(a.t) > 0)"
+GATE = PAIRS.replace("FROM s0 a JOIN s0 b ON a.id = b.parent_id AND split_part(a.domain, '.', 1) = split_part(b.domain, '.', 1))", "FROM c0 JOIN s0 a ON a.id = c0.a JOIN s0 b ON b.id = c0.b)")
+
+
+@query(
+    "write_gate",
+    f"""WITH {ALIKE}, {GATE}, n AS (SELECT *, row_number() OVER (PARTITION BY b, severity IS NULL ORDER BY a) AS k FROM g),
+w AS (SELECT b AS id, count(1) FILTER (WHERE severity IS NOT NULL AND k <= 10) AS conflicts, count(1) FILTER (WHERE severity = 'major' AND k <= 10) AS major, coalesce(sum(CASE severity WHEN 'major' THEN 0.5::DOUBLE WHEN 'moderate' THEN 0.25::DOUBLE WHEN 'minor' THEN 0.1::DOUBLE END) FILTER (WHERE k <= 10), 0) AS penalty, count(1) FILTER (WHERE severity IS NULL AND sim > 0.2) AS supports FROM n GROUP BY 1),
+z AS (SELECT p.id, coalesce(conflicts, 0) AS conflicts, coalesce(major, 0) AS major, coalesce(supports, 0) AS supports, greatest(0, least(1, (1 - least(coalesce(penalty, 0), 1)) * (1 + least(coalesce(supports, 0) * 0.1::DOUBLE, 0.3::DOUBLE)))) AS energy FROM patterns p LEFT JOIN w ON p.id = w.id)
+SELECT id, conflicts, supports, round(energy, 6) AS energy, CASE WHEN conflicts = 0 THEN 'accept' WHEN major > 0 THEN 'reject' WHEN conflicts > 3 THEN 'review' WHEN energy >= 0.7 THEN 'warn' ELSE 'review' END AS action FROM z""",
+)
+def write_gate(t):
+    """Every pattern against those before it that it may contradict: its parent's advice, and advice of its domain alike by 0.3. At most ten conflicts count."""
+    sets, member = J.classes(t.patterns.select("id", "domain", T.tokens(c("solution")).alias("x")), "domain")
+    alike = J.expanded(J.similar_classes(sets, 0.3), member).select("a", "b")
+    advice = t.patterns.select("id", "parent_id", T.domain_root(c("domain")).alias("root"), F.concat(F.when(c("success"), "use ").otherwise("avoid "), "solution").alias("s"))
+    up = advice.select(c("id").alias("a"), c("root").alias("of"))
+    parents = advice.join(up, (c("parent_id") == c("a")) & (c("root") == c("of"))).select("a", c("id").alias("b"))
+    one = lambda k, name: advice.select(c("id").alias(k), c("s").alias(name))
+    p = alike.unionByName(parents).distinct().join(one("a", "x"), "a").join(one("b", "y"), "b")
+    p = p.withColumn("sim", T.jaccard(T.tokens(c("x")), T.tokens(c("y")))).withColumn("severity", W.conflict(c("x"), c("y"), c("sim")))
+    p = p.select("b", "severity", "sim", F.row_number().over(Window.partitionBy("b", c("severity").isNull()).orderBy("a")).alias("k"))
+    counts = c("severity").isNotNull() & (c("k") <= 10)
+    cost = F.when(c("severity") == "major", 0.5).when(c("severity") == "moderate", 0.25).otherwise(0.1)
+    g = p.groupBy(c("b").alias("id")).agg(F.count_if(counts).alias("conflicts"), F.count_if(counts & (c("severity") == "major")).alias("major"), F.sum(F.when(counts, cost).otherwise(0.0)).alias("penalty"), F.count_if(c("severity").isNull() & (c("sim") > 0.2)).alias("supports"))
+    j = t.patterns.select("id").join(g, "id", "left").fillna(0)
+    e = S.coherence_energy(c("penalty"), c("supports"))
+    return j.select("id", "conflicts", "supports", F.round(e, 6).alias("energy"), S.coherence_action(c("conflicts"), c("major"), e).alias("action"))
+
+
 RELATIONS = f"""{PAIRS}, r AS (SELECT a AS src, b AS dst, 'contradicts' AS relation FROM g WHERE severity IS NOT NULL UNION ALL SELECT b, a, 'supports' FROM g WHERE severity IS NULL AND sim > 0.2
   UNION ALL SELECT id, parent_id, 'depends' FROM patterns WHERE parent_id IS NOT NULL UNION ALL SELECT a.id, a.parent_id, 'refines' FROM patterns a JOIN patterns b ON a.parent_id = b.id AND a.domain = b.domain AND a.id <> b.id)"""
 

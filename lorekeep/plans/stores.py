@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -211,3 +212,73 @@ def supplier_cut(t):
     place = C.components(t.edges)
     first = place.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("nodes")).orderBy("component").limit(1)
     return cut.join(F.broadcast(first), "component").select("component", "weight", "nodes")
+
+
+# Contexts for a model
+
+
+_ESC = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_CENTS = "CASE WHEN {x} >= 0.995 THEN '1.00' ELSE '0.' || lpad(greatest(floor({x} * 100 + 0.5), 0)::BIGINT::VARCHAR, 2, '0') END"
+_SHORT = "CASE WHEN length({x}) <= 160 THEN {x} ELSE substr({x}, 1, 157) || '...' END"
+_CONTEXT = f"""WITH {BATCH}, top AS (SELECT * FROM (SELECT qid, vec_id AS id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM j) WHERE rank <= 5),
+near AS (SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY strength DESC, dst) AS near FROM (SELECT src, dst, strength, row_number() OVER (PARTITION BY src ORDER BY strength DESC, dst) AS k FROM (SELECT src, dst, max(strength) AS strength FROM edges GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1),
+hint AS (SELECT pattern_id AS id, event_type AS decision, n / t::DOUBLE AS confidence FROM (SELECT pattern_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY pattern_id) AS t, row_number() OVER (PARTITION BY pattern_id ORDER BY count(*) DESC, event_type) AS k FROM outcomes GROUP BY 1, 2) WHERE k = 1),
+p AS (SELECT qid, rank, sim, p.*, near, decision, h.confidence AS sure FROM top JOIN patterns p ON top.id = p.id LEFT JOIN near n ON n.id = p.id LEFT JOIN hint h ON h.id = p.id)"""
+
+
+def _context(t):
+    """The five patterns nearest to each query, with neighbours in the graph and what was mostly decided with them."""
+    top = R.nearest_each(t.vectors, _queries(t), 5).select("qid", F.col("vec_id").alias("id"), "sim", "rank")
+    links = t.edges.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
+    strong = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("strength"), "dst"))
+    near = links.withColumn("k", strong).where("k <= 3").groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "dst"))), lambda e: e["dst"].cast("string")), ",").alias("near"))
+    n = t.outcomes.groupBy("pattern_id", "event_type").agg(F.count("*").alias("n"))
+    hint = n.groupBy(F.col("pattern_id").alias("id")).agg(F.min(F.struct((-F.col("n")).alias("m"), "event_type")).alias("b"), F.sum("n").alias("t")).select("id", F.col("b.event_type").alias("decision"), (-F.col("b.m") / F.col("t")).alias("sure"))
+    return top.join(t.patterns, "id").join(near, "id", "left").join(hint, "id", "left")
+
+
+def _escaped(x):
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _cents(x):
+    return F.when(x >= 0.995, "1.00").otherwise(F.concat(F.lit("0."), F.lpad(F.greatest(F.floor(x * 100 + 0.5), F.lit(0)).cast("string"), 2, "0")))
+
+
+def _short(x):
+    return F.when(F.length(x) <= 160, x).otherwise(F.concat(F.substring(x, 1, 157), F.lit("...")))
+
+
+def _listed(line, keep=None):
+    """Lines of a query's patterns by rank, joined; those that do not hold are left out."""
+    row = F.struct("rank", line.alias("line"))
+    rows = F.array_sort(F.collect_list(row if keep is None else F.when(keep, row)))
+    return F.array_join(F.transform(rows, lambda e: e["line"]), "")
+
+
+@query(
+    "context_xml",
+    f"""{_CONTEXT} SELECT qid, '<learned_context><confidence>' || {_CENTS.format(x='avg(sim)')} || '</confidence><patterns>' || coalesce(string_agg('<pattern><similarity>' || {_CENTS.format(x='sim')} || '</similarity><reward>' || {_CENTS.format(x='reward')} || '</reward><problem>' || {_ESC.format(x=_SHORT.format(x='problem'))} || '</problem><solution>' || {_ESC.format(x=_SHORT.format(x='solution'))} || '</solution>' || coalesce('<related>' || near || '</related>', '') || '</pattern>', '' ORDER BY rank) FILTER (WHERE success), '') || '</patterns><reasoning_hints>'
+ || coalesce(string_agg('<hint><decision>' || decision || '</decision><confidence>' || {_CENTS.format(x='sure')} || '</confidence></hint>', '' ORDER BY rank) FILTER (WHERE decision IS NOT NULL), '') || '</reasoning_hints><avoid>' || coalesce(string_agg('<failed_approach><problem>' || {_ESC.format(x=_SHORT.format(x='problem'))} || '</problem></failed_approach>', '' ORDER BY rank) FILTER (WHERE NOT success), '') || '</avoid></learned_context>' AS context FROM p GROUP BY 1""",
+)
+def context_xml(t):
+    """What is known for a query as XML: patterns that worked with their neighbours, decisions taken with them, and approaches that failed."""
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    pattern = tag("pattern", F.concat(tag("similarity", _cents(F.col("sim"))), tag("reward", _cents(F.col("reward"))), tag("problem", _escaped(_short(F.col("problem")))), tag("solution", _escaped(_short(F.col("solution")))), F.coalesce(tag("related", F.col("near")), F.lit(""))))
+    hint = tag("hint", F.concat(tag("decision", F.col("decision")), tag("confidence", _cents(F.col("sure")))))
+    failed = tag("failed_approach", tag("problem", _escaped(_short(F.col("problem")))))
+    g = _context(t).groupBy("qid").agg(F.avg("sim").alias("s"), _listed(pattern, F.col("success")).alias("p"), _listed(hint, F.col("decision").isNotNull()).alias("h"), _listed(failed, ~F.col("success")).alias("f"))
+    return g.select("qid", tag("learned_context", F.concat(tag("confidence", _cents(F.col("s"))), tag("patterns", F.col("p")), tag("reasoning_hints", F.col("h")), tag("avoid", F.col("f")))).alias("context"))
+
+
+@query(
+    "context_few_shot",
+    f"""{_CONTEXT}, l AS (SELECT *, '### ' || {_SHORT.format(x='problem')} || chr(10) || {_SHORT.format(x='solution')} || chr(10) AS line FROM p WHERE success), u AS (SELECT *, sum(ceil(length(line) / 4.0)) OVER (PARTITION BY qid ORDER BY rank) AS used FROM l)
+SELECT qid, string_agg(line, '' ORDER BY rank) AS context, max(used)::BIGINT AS tokens FROM u WHERE used <= 150 GROUP BY 1""",
+)
+def context_few_shot(t):
+    """What worked for a query as examples, the nearest first, as long as they fit 150 tokens of four characters."""
+    line = F.concat(F.lit("### "), _short(F.col("problem")), F.lit("\n"), _short(F.col("solution")), F.lit("\n"))
+    u = _context(t).where("success").withColumn("line", line)
+    u = u.withColumn("used", F.sum(F.ceil(F.length("line") / 4.0)).over(Window.partitionBy("qid").orderBy("rank"))).where("used <= 150")
+    return u.groupBy("qid").agg(_listed(F.col("line")).alias("context"), F.max("used").cast("long").alias("tokens"))
