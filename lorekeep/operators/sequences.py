@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ranks import clamped as clamped_fold  # noqa: F401  an operator on ordered rows too
 
 
 def drift_distances(vectors: DataFrame) -> DataFrame:
@@ -61,12 +62,6 @@ def ema(rows: DataFrame, key: str, order: list[str], x: str, alpha: float, start
     return w.groupBy(key).agg((F.sum(F.col("_x") * alpha * F.pow(keep, F.col("_k") - 1)) + F.lit(start) * F.pow(keep, F.count("*"))).alias("ema"))
 
 
-def clamped_fold(rows: DataFrame, key: str, order: list[str], step: Column, start: float) -> DataFrame:
-    """A running value in [0, 1] under steps in order; the bounds make the order matter."""
-    g = rows.withColumn("_step", step).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_step"))).alias("s"))
-    return g.select(key, F.aggregate(F.transform("s", lambda e: e["_step"]), F.lit(start), lambda a, v: F.least(F.greatest(a + v, F.lit(0.0)), F.lit(1.0))).alias("value"))
-
-
 def interleaved(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two ranked lists in turn, a first; an item of both keeps its first place."""
     both = a.select(key, "rank", F.lit(0).alias("src")).unionByName(b.select(key, "rank", F.lit(1).alias("src")))
