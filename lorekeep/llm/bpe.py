@@ -8,7 +8,7 @@ start on both scans read the same text, so the joined ids are those of the whole
 without a split), windows are cut at tokens instead, and grow until their first and last tokens are those of both sides: a
 sequence whose neighbouring tokens were all neighbours in an encoding is the encoding.
 
-Defined results: null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD. An empty table gives an empty table. Every row is coded alone, so repeated rows, null ids and order play no
+Defined results: null and empty texts have no tokens; bytes that are not UTF-8 count as U+FFFD. An empty table gives an empty table. Very long texts are coded whole. Every row is coded alone, so repeated rows, null ids and order play no
 part; further columns stay out of the result. Strings of special tokens in a text become those tokens, as the library does.
 """
 
@@ -31,6 +31,8 @@ LEAF = 8_192
 #: A word of more than this many characters is joined at tokens.
 LONG_WORD = 4_096
 THREADS = "2"
+#: What the split pattern takes for white space; Python's own strip() takes U+001C to U+001F too.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @dataclass
@@ -131,7 +133,7 @@ class Coder:
         m = len(left.text)
         # The last sure word start of the left side; at worst its beginning.
         i = max((k for k in range(len(left.ids) - 1, -1, -1) if left.word[k]), default=0)
-        while i and not (left.word[i] and left.starts[i] + 3 <= m and left.text[left.starts[i] :].strip()):
+        while i and not (left.word[i] and left.starts[i] + 3 <= m and left.text[left.starts[i] :].strip(WHITE)):
             i -= 1
             while i and not left.word[i]:
                 i -= 1
@@ -151,7 +153,7 @@ class Coder:
             theirs = {s: k for k, s in enumerate(right.starts) if right.word[k] and s < grow}
             for k, s in enumerate(mid.starts):
                 x = s + p - m
-                if mid.word[k] and x >= 0 and x in theirs and x + 3 <= grow and right.text[x:grow].strip():
+                if mid.word[k] and x >= 0 and x in theirs and x + 3 <= grow and right.text[x:grow].strip(WHITE):
                     return self._glue(left, i, mid, p, k, right, theirs[x])
             grow *= 4
 

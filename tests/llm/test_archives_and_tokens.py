@@ -332,3 +332,17 @@ def test_ordinary_words_stay_and_entities_keep_one_surrogate():
 def test_key_is_not_in_the_settings(spark):
     surrogates.session_key(spark)
     assert spark.conf.get(surrogates.KEY_SETTING, None) is None and "secret" in surrogates.KEY_SETTING
+
+
+@pytest.mark.parametrize("text", [" \x1c" * 150_000, "\x1d\x1e" * 100_000, "a\x1f \x85" * 60_000, "\u00a0" * 200_000])
+def test_separators_that_the_split_pattern_does_not_take_for_space(text):
+    """Long texts of them are coded as the library codes them, in about its own time."""
+    import time
+
+    coder = bpe.Coder(bpe.model_text())
+    began = time.perf_counter()
+    want = coder.tok.encode(text, add_special_tokens=False).ids
+    plain = time.perf_counter() - began
+    began = time.perf_counter()
+    assert coder.encode_batch([text])[0] == want
+    assert time.perf_counter() - began < 5 * plain + 2
