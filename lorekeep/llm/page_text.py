@@ -39,7 +39,7 @@ NO_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist disqus respond reply replies responses cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommended recommendations teaser widget toolbar pagination pager paging skip copyright disclaimer form search tags".split()
 )
 #: A class with one of these names what an element lacks or stands beside.
-BESIDE = frozenset("has no non with without hide show free less".split())
+BESIDE = frozenset("has no non with without hide show free less open closed enabled disabled".split())
 #: Elements that can complete a region; those of them that are the page itself.
 CONTAINERS = frozenset("article main section div td center".split())
 PAGE = frozenset(("", "html", "body"))
@@ -67,7 +67,12 @@ def says_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id"):
+            # An article's classes also say what it is about; the first word of all says what it is.
             for one in value.split():
+                if tag == "article":
+                    if NO_CONTENT.intersection(_words(one)[:1]):
+                        return True
+                    break
                 words = _words(one)
                 if NO_CONTENT.intersection(words) and not BESIDE.intersection(words):
                     return True

@@ -209,6 +209,9 @@ PAGES = {
     + "</div><div id=f><a href=4>About</a> <a href=5>Imprint</a></div></body></html>": ["Title here", *["A long paragraph of words that goes on for a while, with a comma, and an end of it.", "So."] * 3],
     # Straight in the body.
     "<body><p><a href=1>Home</a></p><h1>Up</h1><p>Some words that make up a paragraph of the text.</p><p>And then more words that make up another paragraph.</p><p><a href=2>Next</a></p>": ["Up", "Some words that make up a paragraph of the text.", "And then more words that make up another paragraph."],
+    # Classes that say what an article is about, or what a wrapper has, do not take them out; an article that is a comment goes.
+    '<body class="single"><div class="main comments-open"><article class="post tag-ad category-promo"><h2>On adverts</h2><p>What they say of themselves.</p></article><section class="replies"><article class="comment by-reader"><p>Nice, and here is a long answer to it all.</p></article></section></div></body>': ["On adverts", "What they say of themselves."],
+    '<main><p class="notice">Our terms have changed, please read them again before you go on.</p><div role="alert">Offline</div><table><tr><td><h3>Cell</h3><p>The text stands in a table here, and there is a bit of it.</p></td><td class="sidebar">Links and more links</td></tr></table></main>': ["Cell", "The text stands in a table here, and there is a bit of it."],
     "": [],
     "<html><body><nav>only a menu</nav></body></html>": [],
     "just text, no tags": ["just text, no tags"],
