@@ -75,7 +75,7 @@ def test_text_index_opens_its_buckets_only(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     index = textindex.built(docs, "doc_id", "text")
     plan = textindex.search(index, spark, "license")._jdf.queryExecution().toString()
-    assert f"bucket#" in plan and "PartitionFilters: [isnotnull(bucket" in plan and "(term,license)" in plan
+    assert "bucket#" in plan and "PartitionFilters: [isnotnull(bucket" in plan and "(term,license)" in plan
     opened = textindex.postings_of(index, spark, [("word", "license", True)]).select(F.input_file_name().alias("f")).distinct().collect()
     assert opened and all(f"bucket={textindex.bucket('license')}/" in r["f"] for r in opened)
 
