@@ -5,8 +5,8 @@ so source lines mean nothing); its ratio is its characters for each tag since th
 something else than content (scripts, forms, menus, asides, elements whose role, class or id says advert, notice, comment, ...)
 counts as no text. The ratios are smoothed by a Gaussian over neighbouring lines and split in two clusters; lines of the higher
 one are the content regions. Short lines between and beside them (headings, one-word paragraphs) fall below any threshold, so
-the regions are completed to the innermost element that holds most of their text; where that is the page itself, to the
-headings before them. Outside an article element, where the page has one with text, ratios count a tenth.
+the regions are completed to the innermost element that holds most of their text (to the article or main element around it, if
+there is one; else the headings before it belong to them). Outside an article element, where the page has one with text, ratios count a tenth.
 
 Defined results: null, empty and textless pages give the empty text; white space (Unicode's, no-break spaces included) becomes
 one space; an unfinished tag at the end of a page is markup; a comment that is never closed lasts to the end; elements left
@@ -228,11 +228,12 @@ def content(html: str) -> list[str]:
     if page.names[best] not in PAGE:
         keep = _below(parent, [best])[node] & ~apart
     else:
-        # The page itself: the regions, prose of their elements between them, headings before them.
+        # The page itself: the regions, and prose of their elements between them.
         at = [_ancestor(page, int(k), CONTAINERS | PAGE) for k in node]
         homes = {at[k] for k in np.flatnonzero(region)}
         first, last = np.flatnonzero(region)[[0, -1]]
         keep = np.array([bool(region[k]) or (first < k < last and at[k] in homes and prose[k] > OUTSIDE * size[k] / 2) for k in range(len(lines))])
+    if page.names[best] not in ("article", "main"):
         for k in range(len(lines) - 2, -1, -1):
             keep[k] |= keep[k + 1] and lines[k][4] and not apart[k]
     return [x[0] for x, k in zip(lines, keep.tolist(), strict=True) if k]

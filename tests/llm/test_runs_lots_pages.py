@@ -212,6 +212,8 @@ PAGES = {
     # Classes that say what an article is about, or what a wrapper has, do not take them out; an article that is a comment goes.
     '<body class="single"><div class="main comments-open"><article class="post tag-ad category-promo"><h2>On adverts</h2><p>What they say of themselves.</p></article><section class="replies"><article class="comment by-reader"><p>Nice, and here is a long answer to it all.</p></article></section></div></body>': ["On adverts", "What they say of themselves."],
     '<main><p class="notice">Our terms have changed, please read them again before you go on.</p><div role="alert">Offline</div><table><tr><td><h3>Cell</h3><p>The text stands in a table here, and there is a bit of it.</p></td><td class="sidebar">Links and more links</td></tr></table></main>': ["Cell", "The text stands in a table here, and there is a bit of it."],
+    # The heading stands beside the element that holds the text.
+    "<div class=wrap><div class=left><ul><li><a href=1>Link one</a></li><li><a href=2>Link two</a></li></ul></div><div class=mid><h1>T</h1><div class=body><p>The first paragraph has a good many words in it.</p><p>So has the second one, or nearly as many.</p></div></div></div>": ["T", "The first paragraph has a good many words in it.", "So has the second one, or nearly as many."],
     "": [],
     "<html><body><nav>only a menu</nav></body></html>": [],
     "just text, no tags": ["just text, no tags"],
