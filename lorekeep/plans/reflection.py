@@ -101,12 +101,11 @@ def scenario_evaluations(t):
 
 @query(
     "scenario_statistics",
-    f"""WITH {SCENARIOS} SELECT pattern_id, count(*) AS evaluated, count_if(passed) AS n_passed, round(sum(round(score * 1000000000)::BIGINT) / (count(*) * 1000000000)::DOUBLE, 9) AS avg_score, round(sum(round(score * 1000000000)::BIGINT * CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 1.5::DOUBLE ELSE 2 END) / (count(*) * 1000000000)::DOUBLE, 9) AS weighted_score,
-  count_if(holdout) AS n_holdout, coalesce(round(count_if(passed AND holdout) / nullif(count_if(holdout), 0)::DOUBLE, 9), 0) AS holdout_rate FROM ev GROUP BY 1""",
+    f"""WITH {SCENARIOS} SELECT pattern_id, count(*) AS evaluated, count_if(passed) AS n_passed, sum(round(score * 1000000000)::BIGINT) / (count(*) * 1000000000)::DOUBLE AS avg_score, sum(round(score * 1000000000)::BIGINT * CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 1.5::DOUBLE ELSE 2 END) / (count(*) * 1000000000)::DOUBLE AS weighted_score,
+  count_if(holdout) AS n_holdout, coalesce(count_if(passed AND holdout) / nullif(count_if(holdout), 0)::DOUBLE, 0) AS holdout_rate FROM ev GROUP BY 1""",
 )
 def scenario_statistics(t):
-    s = N.statistics(_scenarios(t), "pattern_id")
-    return s.withColumns({x: F.round(x, 9) for x in ("avg_score", "weighted_score", "holdout_rate")})
+    return N.statistics(_scenarios(t), "pattern_id")  # quotients of whole numbers, so not rounded
 
 
 MARKERS = "['" + "', '".join(N.SPECIFIC) + "']"
