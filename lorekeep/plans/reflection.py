@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scenarios as N
 from ..operators import selfmodel as M
+from ..sources.tables import patterns
 from .registry import query
 
 c = F.col
@@ -81,7 +82,8 @@ y AS (SELECT *, keyword * 0.4::DOUBLE + completeness * 0.3::DOUBLE + domain_matc
 def _scenarios(t):
     """Each pattern as the solution of the scenarios that its children set: their problem expected, their second line the context."""
     size = c("n_chars")
-    s = t.patterns.where("parent_id IS NOT NULL").select(
+    rows = patterns(t.documents, t.labels.where("false"))  # no label is asked for, so none is joined to the texts
+    s = rows.where("parent_id IS NOT NULL").select(
         c("id").alias("scenario_id"),
         c("parent_id").alias("pattern_id"),
         F.when(c("id") % 2 == 0, c("domain")).otherwise(F.split("domain", "\\.")[0]).alias("asked_domain"),
@@ -90,7 +92,7 @@ def _scenarios(t):
         (c("id") % 5 == 0).alias("holdout"),
         F.when(size < 500, "easy").when(size < 2000, "medium").otherwise("hard").alias("difficulty"),
     )
-    return N.evaluated(s.join(t.patterns.select(c("id").alias("pattern_id"), "solution", "domain"), "pattern_id"))
+    return N.evaluated(s.join(rows.select(c("id").alias("pattern_id"), "solution", "domain"), "pattern_id"))
 
 
 # Nine decimals, as scores of seven or eight are common and a tie could be rounded either way.
