@@ -53,32 +53,32 @@ def stream_near_dedup(t):
     """A vector every ten seconds, in four micro-batches: those not near one kept in the last five minutes of their key."""
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id") * 10)
     rows = t.vectors.select((F.col("label") % 4).alias("key"), F.col("vec_id").alias("id"), at.alias("ts"), "v")
-    return S.finished(S.near_unique(S.replayed(rows, "ts"), "key", 0.3))
+    return S.replay(rows, "ts", lambda s: S.near_unique(s, "key", 0.3))
 
 
 _FIRED = "a AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts, event_id) AS k FROM hits), r(rule, k, last, id) AS (SELECT rule, 1::BIGINT, ts, event_id FROM a WHERE k = 1 UNION ALL SELECT r.rule, a.k, CASE WHEN a.ts >= r.last + INTERVAL 1 DAY THEN a.ts ELSE r.last END, CASE WHEN a.ts >= r.last + INTERVAL 1 DAY THEN a.event_id ELSE r.id END FROM r JOIN a ON a.rule = r.rule AND a.k = r.k + 1) SELECT DISTINCT rule, id FROM r"
 
 
 def _rows(t, key: str, x):
-    return S.replayed(t.events.select(key, F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), x.alias("x")).withColumnRenamed(key, "rule"), "ts")
+    return t.events.select(key, F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), x.alias("x")).withColumnRenamed(key, "rule")
 
 
 @query("stream_alerts", "WITH RECURSIVE a AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value > 90), r(event_type, k, last) AS (SELECT event_type, 1::BIGINT, ts FROM a WHERE k = 1 UNION ALL SELECT r.event_type, a.k, CASE WHEN a.ts >= r.last + INTERVAL 1 DAY THEN a.ts ELSE r.last END FROM r JOIN a ON a.event_type = r.event_type AND a.k = r.k + 1) SELECT event_type AS rule, count(DISTINCT last) AS n FROM r GROUP BY 1")
 def stream_alerts(t):
-    return S.finished(S.alerts(_rows(t, "event_type", F.col("value")), "rule", "x", 90.0, 86_400, "1 hour")).groupBy("rule").agg(F.count("*").alias("n"))
+    return S.replay(_rows(t, "event_type", F.col("value")), "ts", lambda s: S.alerts(s, "rule", "x", 90.0, 86_400, "1 hour")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("stream_alerts_below", f"WITH RECURSIVE hits AS (SELECT event_type AS rule, ts, event_id FROM events WHERE value < 5), {_FIRED}")
 def stream_alerts_below(t):
-    return S.finished(S.alerts(_rows(t, "event_type", F.col("value")), "rule", "x", None, 86_400, "1 hour", below=5.0))
+    return S.replay(_rows(t, "event_type", F.col("value")), "ts", lambda s: S.alerts(s, "rule", "x", None, 86_400, "1 hour", below=5.0))
 
 
 @query("stream_error_rate", f"WITH RECURSIVE e AS (SELECT 'u' || user_id % 5 AS rule, ts, event_id, event_type = 'error' AS bad FROM events), w AS (SELECT *, avg(bad::INT) OVER (PARTITION BY rule ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS share FROM e), hits AS (SELECT rule, ts, event_id FROM w WHERE share > 0.25), {_FIRED}")
 def stream_error_rate(t):
     """More than a quarter of a group's events of the last twelve hours are errors, at most once a day."""
     rows = t.events.withColumn("rule", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")))
-    stream = S.replayed(rows.select("rule", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("x")), "ts")
-    return S.finished(S.alerts(stream, "rule", "x", None, 86_400, "1 hour", rate=0.25, window_s=43_200))
+    rows = rows.select("rule", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("x"))
+    return S.replay(rows, "ts", lambda s: S.alerts(s, "rule", "x", None, 86_400, "1 hour", rate=0.25, window_s=43_200))
 
 
 _VERSIONS = """WITH c AS (SELECT *, seq * 1000000000 + change_id AS ord FROM client_changes WHERE client_id IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL),
@@ -93,7 +93,7 @@ def _changes(t):
     c = t.client_changes.where("client_id IS NOT NULL AND seq IS NOT NULL AND change_id IS NOT NULL")
     fields = F.create_map(*[x for k in ("source", "segment", "city") for x in (F.lit(k), F.col(k))])
     rows = c.select(F.col("client_id").alias("key"), (F.col("seq") * 1_000_000_000 + F.col("change_id")).alias("seq"), F.when(F.col("op") == "D", "delete").otherwise("set").alias("op"), fields.alias("fields"))
-    return S.finished(S.versions(S.replayed(rows, "seq"), "key", 4))
+    return S.replay(rows, "seq", lambda s: S.versions(s, "key", 4))
 
 
 @query("stream_versions", f"{_VERSIONS} SELECT client_id, version, change_id, fields::BIGINT AS fields, version % 4 = 0 AS snapshot FROM v")

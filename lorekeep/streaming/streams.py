@@ -9,7 +9,7 @@ never through the driver. A run over a finished folder (Trigger.AvailableNow) gi
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,11 +153,14 @@ class _Alerts(_Ageing):
         last = self.last.get()[0] if self.last.exists() else None
         seen = list(self.seen.get()) if self.rate is not None and self.seen.exists() else []
         first, bad, out, newest = 0, sum(x[1] for x in seen), [], max([x[0] for x in seen], default=None)
-        for i, ts, x in zip(rows["id"], rows["ts"], rows[self.column], strict=True):
-            now = ts.value // 1000
+        times, marks, taken = [ts.value // 1000 for ts in rows["ts"]], list(rows[self.column]), 0
+        for i, now, x in zip(rows["id"], times, marks, strict=True):
             if self.rate is not None:
-                seen.append((now, bool(x)))
-                bad += bool(x)
+                # All rows of one time count before any of them is judged.
+                while taken < len(times) and times[taken] == now:
+                    seen.append((now, bool(marks[taken])))
+                    bad += bool(marks[taken])
+                    taken += 1
                 while now - seen[first][0] > self.window:
                     bad -= seen[first][1]
                     first += 1
@@ -249,18 +252,25 @@ def compacted(log: DataFrame, before: int) -> DataFrame:
     return log.join(base, "key", "left").where(F.col("_b").isNull() | (F.col("version") >= F.col("_b"))).drop("_b")
 
 
-def replayed(table: DataFrame, ts: str, parts: int = 4) -> DataFrame:
-    """A table as a stream of several micro-batches in the order of a column: parts of like size, written one after the other."""
+def replay(table: DataFrame, order: str, form: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+    """Rows of a streaming form over a table that comes in micro-batches in the order of a column: parts of like size, one a micro-batch.
+
+    A part is written when the one before it has been taken, so none is split or mixed with another, however many files it has.
+    """
     spark = table.sparkSession
     path = f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/replay-{uuid.uuid4().hex}"
-    cuts = table.select(F.col(ts).cast("timestamp").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01)
-    x = F.col(ts).cast("timestamp").cast("double")
+    numeric = dict(table.dtypes)[order] in ("int", "bigint", "double")
+    x = (F.col(order) if numeric else F.col(order).cast("timestamp")).cast("double")
+    cuts = table.select(x.alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        part = table if a is None else table.where(x >= a)
-        (part if b is None else part.where(x < b)).write.parquet(f"{path}/part={k}")
-    files = max(1, spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().count() // parts)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")
+
+    def arrivals() -> Iterator[None]:
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = table if a is None else table.where(x >= a)
+            (part if b is None else part.where(x < b)).write.parquet(f"{path}/part-{k}")
+            yield
+
+    return finished(form(spark.readStream.schema(table.schema).parquet(f"{path}/part-*")), arrivals=arrivals())
 
 
 def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold: int, policy: str = "redact") -> DataFrame:
@@ -270,10 +280,11 @@ def gated(stream: DataFrame, text: str, redact: Column, found: Column, threshold
     return stream.withColumn(text, F.when(found >= threshold, redact).otherwise(F.col(text)))
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+def finished(stream: DataFrame, mode: str = "append", arrivals: Iterable[None] = (None,)) -> DataFrame:
     """Runs a stream over all that is there into a table of the shared folder and gives its rows.
 
     In append mode each micro-batch adds its rows; in complete mode each overwrites the whole. A batch tried again overwrites its own folder.
+    With arrivals it is run after each of them, from where it was.
     """
     spark = stream.sparkSession
     path = f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
@@ -287,12 +298,13 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark.conf.set(store, given)
     w = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
     try:
-        q = w.start()
-        q.awaitTermination()
+        for _ in arrivals:
+            q = w.start()
+            q.awaitTermination()
+            if q.exception():
+                raise q.exception()
     finally:
         spark.conf.set(store, before)
-    if q.exception():
-        raise q.exception()
     try:
         return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
     except AnalysisException:  # no batch had been there to write

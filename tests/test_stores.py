@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep import plans
 from lorekeep.functions import personal
 from lorekeep.operators import ann, cuts, detectors, fulltext, importance, paths, ranks, setjoin, textindex
 from lorekeep.operators.aggregates import variant_stats
@@ -202,6 +204,23 @@ def test_change_log_states(spark, tmp_path):
     assert short.count() == 2 and [r["fields"] for r in streams.at_version(short, 5).collect()] == [{"c": "4"}]
 
 
+@pytest.mark.parametrize("name", ["stream_versions", "state_at_versions", "stream_error_rate", "stream_alerts", "stream_alerts_below", "stream_near_dedup"])
+def test_streams_of_uneven_files_and_tied_times(spark, tmp_path, name):
+    """Sorted files of unlike size leave unlike numbers of files in the parts of a replay; events share their hours."""
+    duck = duckdb.connect()
+    order = {"events": "ts", "client_changes": "seq", "embeddings": "vec_id"}
+    for table, by in order.items():
+        (tmp_path / f"{table}.parquet").mkdir()
+        columns = "* REPLACE (date_trunc('hour', ts) AS ts)" if table == "events" else "*"
+        duck.execute(f"CREATE TABLE {table} AS SELECT {columns}, row_number() OVER (ORDER BY {by}) / (count(*) OVER () + 1.0) AS place FROM '/root/testdata/sf0.001/{table}.parquet'")
+        cuts = [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.7, 1]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            duck.execute(f"COPY (SELECT * EXCLUDE (place) FROM {table} WHERE place >= {a} AND place < {b}) TO '{tmp_path}/{table}.parquet/part-{k}.parquet' (FORMAT parquet)")
+    df = plans.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 SOURCES = {
     "errors.rs": "#[derive(Debug, Error)]\nenum E {}\nimpl std::error::Error for E {}\nf().map_err(|e| E::from(e))?;\n",
     "tasks.rs": "tokio::spawn(async {});\ntokio::select! { _ = a => {} }\nlet (a, b) = mpsc::channel(1);\nMutex::new(0);\n",
