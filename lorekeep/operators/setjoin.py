@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
+
+#: Tokens are counted in so many slots, which only orders them; a slot's tokens share its count, so the table has one size.
+SLOTS = 1 << 20
 
 
 def classes(rows: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
@@ -13,43 +18,69 @@ def classes(rows: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
 
     Rows are (id, block, x) with x an array of distinct tokens. A class is named by its least id; rows without tokens have none.
     """
-    # The set itself is the key, not a hash of it, so no two sets can be taken for one.
-    keyed = written(rows.where(F.size("x") > 0).select("id", F.col(block).alias("block"), F.array_sort("x").alias("x")), "sets")
-    least = keyed.groupBy("block", "x").agg(F.min("id").alias("class"))
-    member = keyed.join(least, ["block", "x"]).select("class", "id")
-    return least, member
+    # A set goes by the SHA-256 of block and tokens, so only these and ids are dealt to find copies; one row of each set brings the tokens.
+    x = rows.where(F.size("x") > 0).select("id", F.col(block).alias("block"), F.array_sort("x").alias("x"))
+    keyed = written(x.withColumn("key", F.unhex(F.sha2(F.to_json(F.struct("block", "x")), 256))).withColumn("row", F.monotonically_increasing_id()), "sets")
+    least = written(keyed.groupBy("key").agg(F.min(F.struct("id", "row")).alias("m")).select("key", F.col("m.id").alias("class"), "m.row"), "least")
+    member = written(keyed.where("block IS NOT NULL").select("key", "id").join(least.select("key", "class"), "key").select("class", "id"), "members")
+    sets = written(keyed.join(least.select("row"), "row", "left_semi").select("block", "x", F.col("id").alias("class")), "sets")
+    dropped(keyed, least)
+    return sets, member
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of classes a < b of a block that may be alike by the threshold or more; none that are is missing.
 
-    Tokens go from the rarest of all sets to the most frequent. Two sets alike by t share at least t of the larger one's tokens,
-    so they share one among the first (1 - t) of each, are of like size, and at a shared place have enough tokens left.
+    Tokens go by the counts of their slots, about from the rarest to the most frequent. Two sets alike by t share at least t of
+    the larger one's tokens, so they share one among the first (1 - t) of each, are of like size, and at a shared place have
+    enough tokens left.
     """
-    each = sets.select("class", "block", F.size("x").alias("n"), F.explode("x").alias("token"))
-    often = each.groupBy("block", "token").agg(F.count("*").alias("df")).where("df > 1")  # a token of one set joins nothing
-    kept = each.join(often, ["block", "token"])
-    order = F.array_sort(F.collect_list(F.struct("df", "token")))
-    # A set's own tokens: as many as it has, however many rows the join has.
-    ranked = kept.groupBy("class", "block", "n").agg(order.alias("s")).withColumn("lone", F.col("n") - F.size("s"))
-    t = F.lit(threshold)
-    # Tokens that no other set has come first in the order: they use up the prefix.
-    length = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1 - F.col("lone")
-    first = ranked.where(length > 0).select("class", "block", "n", "lone", F.posexplode(F.slice("s", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("k", "e"))
-    first = written(first.select("class", "block", "n", (F.col("lone") + F.col("k")).alias("at"), F.col("e.token").alias("token")), "prefixes")
+    # Tokens are numbers of 64 bits that name the block too: two of one number could only add candidates.
+    numbers = sets.where("block IS NOT NULL").select("class", F.transform("x", lambda x: F.xxhash64("block", x)).alias("h"))
+    slots = numbers.select(F.explode("h").alias("token")).groupBy(F.pmod("token", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("df"))
+    held = sets.sparkSession.sparkContext.broadcast(_counts(slots))
+
+    def front(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for rows in batches:
+            out = []
+            for h in rows["h"]:
+                h = np.asarray(h, np.int64)
+                df = held.value[h % SLOTS]
+                order = np.lexsort((h, df))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
+                order = order[np.searchsorted(df[order], 2) :], len(order)
+                out.append((h[order[0]], order[1] - len(order[0])))
+            yield pd.DataFrame({"class": rows["class"], "n": [len(h) for h in rows["h"]], "lone": [k for _, k in out], "h": [x for x, _ in out]})
+
+    # Tokens that no other set has come first in the order: they use up the front, and join nothing.
+    kind = f"class {dict(sets.dtypes)['class']}, n int, lone int, h array<bigint>"
+    first = numbers.mapInPandas(front, kind).select("class", "n", "lone", F.posexplode("h").alias("k", "token"))
+    first = written(first.select("class", "n", (F.col("lone") + F.col("k")).alias("at"), "token"), "prefixes")
     a, b = first.alias("a"), first.alias("b")
+    t = F.lit(threshold)
     share = t / (1 + t) * (F.col("a.n") + F.col("b.n"))
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     like = (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - 1e-9) & (left >= share - 1e-9)
-    same = (F.col("a.block") == F.col("b.block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
-    return a.join(b, same & like).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & like).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+
+
+def _counts(slots: DataFrame):
+    """The counts of all slots as one array, whose size is fixed."""
+    import numpy as np
+
+    got = slots.toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy(np.int64)] = got["df"].to_numpy(np.int64)
+    return out
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of distinct sets of a block whose Jaccard similarity is the threshold or more."""
     pairs = candidates(sets, threshold)
-    x = lambda k: sets.select(F.col("class").alias(k), F.col("x").alias(f"x{k}"))
-    both = pairs.join(x("a"), "a").join(x("b"), "b")
+    x = lambda k: sets.select(F.col("class").alias(k), F.col("block").alias(f"block{k}"), F.col("x").alias(f"x{k}"))
+    both = pairs.join(x("a"), "a").join(x("b"), "b").where("blocka = blockb")
     shared = F.size(F.array_intersect("xa", "xb"))
     similarity = shared / (F.size("xa") + F.size("xb") - shared)
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)

@@ -114,6 +114,15 @@ def test_set_join_loses_no_pair(spark, threshold):
     assert {r["id"] for r in member.collect()} == {i for i, _, x in rows if x}
 
 
+def test_set_join_deals_no_texts_to_find_copies(spark):
+    """Copies are found by a key of fixed size: what is left to read later holds no exchange of whole sets."""
+    df = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "a", ["y", "x"]), (3, None, ["x"])], "id long, g string, x array<string>")
+    classes, member = setjoin.classes(df, "g")
+    assert "Exchange" not in classes._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["class"], r["id"]) for r in member.collect()) == [(1, 1), (1, 2)]
+    assert sorted((r["class"], r["block"] or "", *r["x"]) for r in classes.collect()) == [(1, "a", "x", "y"), (3, "", "x")]
+
+
 def test_running_sums_across_ranges(spark):
     rows = [(k, i, (i * 7) % 5) for k in (None, 1, 2) for i in range(400 if k == 1 else 9)]
     df = spark.createDataFrame(rows, "k long, i long, n long")
