@@ -17,78 +17,110 @@ from .planning import clustered_by_cut
 
 #: Nodes of more neighbours than this lend no paths of two edges (the bound stays one); edges of a component that one task cuts.
 MIDDLE, FITS = 64, 200_000
+#: Paths of two edges that a round looks at; where there are more, it takes those that end at one of some nodes, at fewest one in SHARE.
+PATHS, SHARE = 2_000_000, 64
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, label): the least node of each node's component of edges (src, dst); labels fall and are followed until they rest."""
-    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    now = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")), "labels")
-    for _ in range(most):
-        near = both.join(now.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        low = now.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        # A label is a node too, and its own label is no greater.
-        new = written(low.join(low.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels")
-        dropped(now)
-        now = new
-        if new.where("label <> old").isEmpty():
-            break
-    return now.select("node", "label")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of each node's component of edges (src, dst).
+
+    Each node is hung on its least neighbour and these pointers are followed to their ends; what a tree holds is then one node, and only
+    edges between trees are left for the next round, until there are none.
+    """
+    e = written(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    place = None
+    while place is None or not e.isEmpty():
+        ends = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        to = written(ends.groupBy(F.col("src").alias("node")).agg(F.least(F.col("src"), F.min("dst")).alias("label")).select("node", "label", F.lit(True).alias("moved")), "labels")
+        while not to.where("moved").isEmpty():
+            up = to.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            new = written(to.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") < F.col("label")).alias("moved")), "labels")
+            dropped(to)
+            to = new
+        name = lambda k: to.select(F.col("node").alias(k), F.col("label").alias(f"to_{k}"))  # noqa: B023, E731
+        left = e.where("src <> dst").join(name("src"), "src").join(name("dst"), "dst").select(F.least("to_src", "to_dst").alias("src"), F.greatest("to_src", "to_dst").alias("dst")).where("src <> dst")
+        e2 = written(left.distinct(), "links")
+        if place is None:
+            dropped(e)
+            place, e = to.select("node", "label"), e2
+            place._scratch_path = to._scratch_path
+        else:
+            new = written(place.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            dropped(e, place, to)
+            place, e = new, e2
+    dropped(e)
+    return place
 
 
 def _merged(edges: DataFrame) -> DataFrame:
-    """Undirected edges a < b of a component, parallel ones added up."""
-    ends = edges.where("src <> dst").select("component", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "strength")
-    return ends.groupBy("component", "src", "dst").agg(F.sum("strength").alias("strength"))
+    """Undirected edges a <= b, parallel ones added up."""
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "strength")
+    return ends.groupBy("src", "dst").agg(F.sum("strength").alias("strength"))
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
-    return _both(edges).groupBy("component", F.col("src").alias("node")).agg(F.sum("strength").alias("weight"), F.count("*").alias("n"))
+    return _both(edges).groupBy(F.col("src").alias("node")).agg(F.sum("strength").alias("weight"), F.count("*").alias("n"))
+
 
+def _bonds(edges: DataFrame, degrees: DataFrame, share: int) -> DataFrame:
+    """(src, dst, bond): what paths of one and two edges carry between two nodes, for pairs that have any and of which one is of the share."""
+    drawn = lambda node: F.pmod(F.xxhash64(node), F.lit(share)) == 0
+    both = _both(edges).join(degrees.where(F.col("n") <= MIDDLE).select(F.col("node").alias("src")), "src", "left_semi")
+    near = both.groupBy("src").agg(F.collect_list(F.struct("dst", "strength")).alias("near"))
+    two = near.select("near", F.explode("near").alias("x")).where(drawn("x.dst")).select("x", F.explode("near").alias("y"))
+    # A pair of two drawn nodes is met from both.
+    two = two.where((F.col("x.dst") < F.col("y.dst")) | (F.col("x.dst") > F.col("y.dst")) & ~drawn("y.dst"))
+    two = two.select(F.least("x.dst", "y.dst").alias("src"), F.greatest("x.dst", "y.dst").alias("dst"), F.least("x.strength", "y.strength").alias("strength"))
+    return edges.where(drawn("src") | drawn("dst")).unionByName(two).groupBy("src", "dst").agg(F.sum("strength").alias("bond"))
 
-def _bonds(edges: DataFrame, degrees: DataFrame) -> DataFrame:
-    """(component, src, dst, bond): what paths of one and two edges carry between two nodes, for pairs that have any."""
-    both = _both(edges)
-    middle = both.join(degrees.where(F.col("n") <= MIDDLE).select("component", F.col("node").alias("src")), ["component", "src"], "left_semi")
-    x, y = middle.alias("x"), middle.alias("y")
-    two = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.src") == F.col("y.src")) & (F.col("x.dst") < F.col("y.dst")))
-    two = two.select(F.col("x.component").alias("component"), F.col("x.dst").alias("src"), F.col("y.dst").alias("dst"), F.least("x.strength", "y.strength").alias("strength"))
-    return edges.select("component", "src", "dst", "strength").unionByName(two).groupBy("component", "src", "dst").agg(F.sum("strength").alias("bond"))
+
+def _firm(edges: DataFrame, degrees: DataFrame, best: DataFrame, threshold: float | None, share: int) -> DataFrame:
+    """Pairs (src, dst) that no cut of interest parts: single edges that carry the bound, and pairs whose paths do."""
+    bonds = edges.withColumnRenamed("strength", "bond").unionByName(_bonds(edges, degrees, share))
+    if threshold is not None:
+        return bonds.where(F.col("bond") >= threshold).select("src", "dst")
+    least = best.agg(F.min("weight")).first()[0]
+    near = bonds.where(F.col("bond") >= least - 1e-12).join(degrees.select(F.col("node").alias("src"), "component"), "src")
+    return near.join(best, "component").where(F.col("bond") >= F.col("weight") - 1e-12).select("src", "dst")
 
 
 def _closed(edges: DataFrame, threshold: float | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(edges left, (component, node, label) of all nodes, (component, weight, node) of the least single node met, if no threshold)."""
-    label = components(edges)
-    e = written(_merged(edges.join(label.select(F.col("node").alias("src"), F.col("label").alias("component")), "src").select("component", "src", "dst", "strength")), "cut-edges")
-    place = written(label.select(F.col("label").alias("component"), "node", F.col("node").alias("label")), "cut-places")
-    best = None
+    """((component, src, dst, strength) left, (component, node, label) of all nodes, (component, weight, side) of the least single node met)."""
+    table = written(_merged(edges), "cut-edges")
+    label = components(table).select("node", F.col("label").alias("component"))
+    place = written(label.select("component", "node", F.col("node").alias("label")), "cut-places")
+    e, best, whole = table.where("src <> dst"), None, False
     for _ in range(most):
-        degrees = written(_degrees(e), "degrees")
+        # Merged nodes are named by one of them, so their components are known.
+        degrees = written(_degrees(e).join(label, "node"), "degrees")
         # One node against the rest is a cut: the least of them bounds the least cut.
         single = degrees.groupBy("component").agg(F.min(F.struct(F.col("weight"), F.col("node"))).alias("m")).select("component", "m.weight", "m.node")
         sized = single.join(place.groupBy("component", F.col("label").alias("node")).agg(F.count("*").alias("side")), ["component", "node"])
         known = sized.select("component", "weight", "side") if best is None else best.unionByName(sized.select("component", "weight", "side")).groupBy("component").agg(F.min(F.struct("weight", "side")).alias("m")).select("component", "m.*")
         best = written(known, "cut-bounds")
-        bonds = _bonds(e, degrees)
-        if threshold is None:
-            firm = bonds.join(best, "component").where(F.col("bond") >= F.col("weight") - 1e-12)
-        else:
-            firm = bonds.where(F.col("bond") >= threshold)
-        firm = written(firm.select("src", "dst"), "bonds")
+        paths = degrees.where(F.col("n") <= MIDDLE).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+        share = 1 if whole else max(1, min(SHARE, int(paths) // (2 * PATHS)))
+        firm = written(_firm(e, degrees, best, threshold, share), "bonds")
+        if share > 1 and firm.isEmpty():
+            share, firm = 1, written(_firm(e, degrees, best, threshold, 1), "bonds")
         if firm.isEmpty():
             break
         to = components(firm)
         name = lambda k: to.select(F.col("node").alias(k), F.col("label").alias(f"to_{k}"))  # noqa: B023, E731
-        moved = e.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select("component", F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"), "strength")
-        e2 = written(_merged(moved), "cut-edges")
+        moved = e.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"), "strength")
+        table2 = written(_merged(moved.where("src <> dst")), "cut-edges")
         place2 = written(place.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("component", "node", F.coalesce("to", "label").alias("label")), "cut-places")
-        dropped(e, place)
-        e, place = e2, place2
+        # A share that merges little is not worth a further round: the next one takes all paths.
+        whole = share == 1 or 2 * table2.count() > e.count()
+        dropped(table, place, degrees, firm, to)
+        table, e, place = table2, table2, place2
         if e.isEmpty():
             break
+    e = e.join(label.withColumnRenamed("node", "src"), "src").select("component", "src", "dst", "strength")
     large = e.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FITS).select("component").first()
     if large:
         raise ValueError(f"component {large[0]} has too many nodes that no path of two edges binds")
@@ -96,20 +128,20 @@ def _closed(edges: DataFrame, threshold: float | None, most: int) -> tuple[DataF
 
 
 def least_cuts(edges: DataFrame, most: int = 30) -> DataFrame:
-    """(component, weight, smaller_side): the least cut of every component of (src, dst, strength >= 0), named by its least node.
+    """(component, weight, smaller_side, nodes): the least cut of every component of (src, dst, strength >= 0), named by its least node.
 
     Of equal cuts that of a single merged node is given, the one with fewest nodes.
     """
     e, place, best = _closed(edges, None, most)
     n = place.groupBy("component").agg(F.count("*").alias("nodes"))
-    out = best.join(n, "component").select("component", "weight", F.least("side", F.col("nodes") - F.col("side")).alias("smaller_side"))
+    out = best.join(n, "component").select("component", "weight", F.least("side", F.col("nodes") - F.col("side")).alias("smaller_side"), "nodes")
     if e.isEmpty():
         return out.withColumn("weight", F.round("weight", 6))
     sides = place.groupBy("component", "label").agg(F.count("*").alias("k"))
     inner = min_cut(e, "component", sides).withColumnsRenamed({"weight": "w", "smaller_side": "s"})
     j = out.join(inner, "component", "left")
     less = F.col("w") < F.col("weight") - 1e-9
-    return j.select("component", F.round(F.when(less, F.col("w")).otherwise(F.col("weight")), 6).alias("weight"), F.when(less, F.col("s")).otherwise(F.col("smaller_side")).alias("smaller_side"))
+    return j.select("component", F.round(F.when(less, F.col("w")).otherwise(F.col("weight")), 6).alias("weight"), F.when(less, F.col("s")).otherwise(F.col("smaller_side")).alias("smaller_side"), "nodes")
 
 
 def clusters(edges: DataFrame, threshold: float, most: int = 30) -> DataFrame:

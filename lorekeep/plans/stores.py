@@ -208,10 +208,7 @@ def fitted_importance(t):
 @query("supplier_cut", "WITH RECURSIVE b AS (SELECT src, dst, strength FROM edges UNION ALL SELECT dst, src, strength FROM edges), r(node) AS (SELECT min(src) FROM b UNION SELECT b.dst FROM r JOIN b ON b.src = r.node), d AS (SELECT src, sum(strength) AS w FROM b GROUP BY 1) SELECT (SELECT min(node) FROM r) AS component, round(min(w), 6) AS weight, (SELECT count(*) FROM r) AS nodes FROM d WHERE src IN (SELECT node FROM r)")
 def supplier_cut(t):
     """The least cut of the whole graph of parts and suppliers, in the component of its least node: no cut beats that of its weakest node."""
-    cut = C.least_cuts(t.edges)
-    place = C.components(t.edges)
-    first = place.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("nodes")).orderBy("component").limit(1)
-    return cut.join(F.broadcast(first), "component").select("component", "weight", "nodes")
+    return C.least_cuts(t.edges).orderBy("component").limit(1).select("component", "weight", "nodes")
 
 
 # Contexts for a model

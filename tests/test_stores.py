@@ -364,6 +364,23 @@ def test_cuts_of_components_over_all_subsets(spark):
     assert {tuple(r) for r in cuts.clusters(df, 0.8).collect()} == want
 
 
+def test_cuts_by_a_share_of_the_paths(spark, monkeypatch):
+    from lorekeep.operators import graph
+
+    rng = random.Random(5)
+    edges = [(100 + p, s, round(rng.uniform(0.3, 0.9), 3)) for p in range(150) for s in rng.sample(range(30), 9)]
+    df = spark.createDataFrame(edges, "src long, dst long, strength double")
+    want = graph.min_cut(df.withColumn("component", F.lit(0).cast("long")), "component").first()
+    shares, bonds = [], cuts._bonds
+    monkeypatch.setattr(cuts, "PATHS", 1000)
+    monkeypatch.setattr(cuts, "_bonds", lambda e, d, share: (shares.append((share, bonds(e, d, share).count(), bonds(e, d, 1).count())), bonds(e, d, share))[1])
+    got = cuts.least_cuts(df).first()
+    assert (got["component"], got["weight"], got["nodes"]) == (0, want["weight"], 180)
+    assert shares[0][0] > 1 and shares[0][1] < shares[0][2]  # a round looks at some of the paths, the result is that of all
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (600, 601)], "src long, dst long")
+    assert {tuple(r) for r in cuts.components(chain).collect()} == {(k, 0) for k in range(201)} | {(500, 500), (600, 600), (601, 600)}
+
+
 def test_clamped_steps_across_ranges(spark):
     rng = random.Random(4)
     rows = [(k, i, rng.choice([0.3, -0.45, 0.05, -0.1])) for k in ("a", "b") for i in range(700 if k == "a" else 5)]
