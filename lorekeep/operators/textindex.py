@@ -1,6 +1,7 @@
 """A stored full-text index: postings by term, delta-coded with positions, in buckets that a query opens by name.
 
-A segment holds the documents of one load. Its documents fall in shards of some SHARD documents by a hash of their key; a row
+A segment holds the documents of one load. Its documents fall in shards of some SHARD documents and WORDS words at most by a hash of their
+key, and a task turns one shard after the other into rows, so texts are dealt once and words and places never; a row
 of the postings is one term in one shard: keys in order as differences, how often each has the term, its length, the term's
 positions as differences, and the most that any document of the row has (its block maximum). Rows lie in buckets by a checksum of the
 term's first letters, sorted by term, so a word, a phrase and a prefix of that many letters each open one bucket or two, and
@@ -15,7 +16,9 @@ import uuid
 import zlib
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ from .fulltext import COLUMNS, K1, B, parsed, terms
 
 #: Documents of a shard, buckets of a segment, letters of a term that name its bucket.
 SHARD, BUCKETS, LETTERS = 4096, 64, 2
+#: Words of a shard, which one task holds; shards whose rows of one bucket share a file.
+WORDS, FILED = 1 << 20, 32
+
+_ROW = "term string, shard long, keys array<long>, tf array<long>, len array<long>, at array<array<long>>, most long"
 
 
 class TextIndex(NamedTuple):
@@ -31,6 +38,7 @@ class TextIndex(NamedTuple):
     key: str
     column: str
     segments: int
+    shards: tuple[int, ...]
 
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/postings")
@@ -44,8 +52,72 @@ def bucket(start: str) -> int:
     return zlib.crc32(start[:LETTERS].encode()) % BUCKETS
 
 
-def _differences(x: Column) -> Column:
-    return F.zip_with(x, F.concat(F.array(F.lit(0).cast("long")), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))), lambda a, b: a - b)
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What each number is above the one before it; the first of each group counts from zero."""
+    out = np.diff(x, prepend=0)
+    out[starts] = x[starts]
+    return out
+
+
+def _rows(shard: int, terms: pa.Array, code: np.ndarray, key: np.ndarray, length: np.ndarray, at: pa.ListArray) -> pa.Table:
+    """Rows of postings of a shard from its entries, which lie by code (a place in terms) and key."""
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    offsets = pa.array(np.append(starts, len(code)).astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+    tf = np.diff(at.offsets.to_numpy()).astype(np.int64)
+    columns = {
+        "term": terms.take(pa.array(code[starts])),
+        "shard": pa.array(np.full(len(starts), shard, np.int64)),
+        "keys": listed(pa.array(_steps(key, starts))),
+        "tf": listed(pa.array(tf)),
+        "len": listed(pa.array(length)),
+        "at": listed(at),
+        "most": pa.array(np.maximum.reduceat(tf, starts) if len(starts) else tf),
+    }
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    return pa.Table.from_batches([batch.slice(a, 8192) for a in range(0, len(starts), 8192)], batch.schema)
+
+
+def _inverted(docs: pa.Table) -> pa.Table:
+    """Postings of a shard's documents (shard, key, terms)."""
+    docs = docs.sort_by("key")
+    words, key = docs.column("terms").combine_chunks(), docs.column("key").to_numpy()
+    length = np.diff(words.offsets.to_numpy()).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(key)), length)
+    pos = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+    order = np.argsort(code, kind="stable")
+    code, doc, pos = code[order], doc[order], pos[order]
+    # An entry is a term in a document.
+    starts = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), pa.array(_steps(pos, starts)))
+    return _rows(docs.column("shard")[0].as_py(), coded.dictionary, code[starts], key[doc[starts]], length[doc[starts]], at)
+
+
+def _joined(rows: pa.Table, gone: pa.Table) -> pa.Table:
+    """Postings (shard, term, segment, keys, len, at) of several shards as those of one, without documents (segment, key) that are gone."""
+    none = np.zeros(0, np.int64)
+    if not rows.num_rows:
+        return _rows(0, pa.array([], pa.string()), none, none, none, pa.array([], pa.list_(pa.int64())))
+    column = lambda name: rows.column(name).combine_chunks()
+    keys = column("keys")
+    n = np.diff(keys.offsets.to_numpy())
+    # Running sums within each row.
+    key, first = np.cumsum(keys.flatten().to_numpy(zero_copy_only=False)), np.cumsum(n) - n
+    key = key - np.repeat(np.where(first > 0, key[first - 1], 0), n)
+    segment = np.repeat(column("segment").to_numpy(), n)
+    coded = column("term").dictionary_encode()
+    code = np.repeat(coded.indices.to_numpy(zero_copy_only=False), n)
+    dead, dead_in = gone.column("key").to_numpy(), gone.column("segment").to_numpy()
+    live = np.ones(len(key), bool)
+    for s in np.unique(dead_in):
+        live &= ~((segment == s) & np.isin(key, dead[dead_in == s]))
+    kept = np.flatnonzero(live)
+    order = kept[np.lexsort((key[kept], code[kept]))]
+    length = column("len").flatten().to_numpy(zero_copy_only=False)
+    at = column("at").flatten().take(pa.array(order))
+    return _rows(rows.column("shard")[0].as_py(), coded.dictionary, code[order], key[order], length[order], at)
 
 
 def _sums(x: Column | str) -> Column:
@@ -62,46 +134,46 @@ def _less(places: Column, k: int) -> Column:
     return F.transform(places, lambda p: p - k)
 
 
-def _written(docs: DataFrame, key: str, column: str, path: str, segment: int) -> None:
+def _written(docs: DataFrame, key: str, column: str, path: str, segment: int) -> int:
     if column not in COLUMNS:
         raise ValueError(f"{column} cannot be searched")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(column, F.lit("")).alias("_text")).where("key IS NOT NULL")
-    shards = rows.count() // SHARD + 1
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).withColumn("_t", terms(F.col("_text"))).withColumn("len", F.size("_t").cast("long"))
-    rows.select("key", "len").write.parquet(f"{path}/documents/segment={segment}")
-    # One exchange: a shard's documents stay together from here to its rows of postings.
-    each = rows.repartition("shard").select("shard", "key", "len", F.posexplode("_t").alias("pos", "term"))
-    one = each.groupBy("shard", "term", "key", "len").agg(F.sort_array(F.collect_list(F.col("pos").cast("long"))).alias("at"))
-    post = F.struct("key", "len", F.size("at").cast("long").alias("tf"), _differences(F.col("at")).alias("at"))
-    block = one.groupBy("shard", "term").agg(F.sort_array(F.collect_list(post)).alias("p"))
-    start = F.substring("term", 1, LETTERS)
-    block = block.select(
-        "term",
-        "shard",
-        _differences(F.col("p.key")).alias("keys"),
-        F.col("p.tf").alias("tf"),
-        F.col("p.len").alias("len"),
-        F.col("p.at").alias("at"),
-        F.array_max("p.tf").alias("most"),
-        (F.crc32(start.cast("binary")) % BUCKETS).cast("int").alias("bucket"),
-    )
-    block.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    sizes = f"{path}/documents/segment={segment}"
+    rows.select("key", F.size(terms(F.col("_text"))).cast("long").alias("len")).write.parquet(sizes)
+    shards = _shards(spark.read.parquet(sizes))
+    # One exchange, of texts: a shard's documents stay together from here to its rows of postings.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
+    block = dealt.select("shard", "key", terms(F.col("_text")).alias("terms")).groupBy("shard").applyInArrow(_inverted, _ROW)
+    _filed(block, shards, f"{path}/postings/segment={segment}")
     spark.catalog.refreshByPath(path)
+    return shards
+
+
+def _shards(documents: DataFrame) -> int:
+    n, words = documents.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    return max(n // SHARD, words // WORDS) + 1
+
+
+def _filed(block: DataFrame, shards: int, path: str) -> None:
+    """Writes rows of postings in their buckets, sorted by term."""
+    code = (F.crc32(F.substring("term", 1, LETTERS).cast("binary")) % BUCKETS).cast("int")
+    # A bucket's rows are parted by shards, so no frequent term or bucket is one task's, and nothing is computed twice to find ranges.
+    dealt = block.withColumn("bucket", code).repartition("bucket", F.col("shard") % (shards // FILED + 1))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def built(docs: DataFrame, key: str, column: str, path: str | None = None) -> TextIndex:
     """An index of a text column; a key must be a number and one document's."""
     spark = docs.sparkSession
     path = path or f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/text-index-{uuid.uuid4().hex}"
-    _written(docs, key, column, path, 0)
-    return TextIndex(path, key, column, 1)
+    return TextIndex(path, key, column, 1, (_written(docs, key, column, path, 0),))
 
 
 def added(index: TextIndex, docs: DataFrame) -> TextIndex:
     """With another segment; documents whose keys are known already replace those."""
-    _written(docs, index.key, index.column, index.path, index.segments)
-    return index._replace(segments=index.segments + 1)
+    shards = _written(docs, index.key, index.column, index.path, index.segments)
+    return index._replace(segments=index.segments + 1, shards=(*index.shards, shards))
 
 
 def _valid(index: TextIndex, spark: SparkSession) -> DataFrame:
@@ -123,14 +195,17 @@ def merged(index: TextIndex, spark: SparkSession, path: str | None = None) -> Te
     """All segments as one, replaced forms of documents gone; made from the postings, not from texts."""
     path = path or f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}/text-index-{uuid.uuid4().hex}"
     live = _valid(index, spark)
-    shards = live.count() // SHARD + 1
     live.select("key", "len").write.parquet(f"{path}/documents/segment=0")
-    rows = _opened(index.postings(spark)).join(live.select("key", "segment"), ["key", "segment"], "left_semi").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    block = rows.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("key", "len", "tf", "at"))).alias("p"))
-    code = (F.crc32(F.substring("term", 1, LETTERS).cast("binary")) % BUCKETS).cast("int")
-    block = block.select("term", "shard", _differences(F.col("p.key")).alias("keys"), F.col("p.tf").alias("tf"), F.col("p.len").alias("len"), F.col("p.at").alias("at"), F.array_max("p.tf").alias("most"), code.alias("bucket"))
-    block.repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/segment=0")
-    return TextIndex(path, index.key, index.column, 1)
+    shards = _shards(spark.read.parquet(f"{path}/documents/segment=0"))
+    # Whole shards are put together, so rows of postings are dealt once and never taken apart; a document that is gone goes to its shard.
+    of = lambda numbers: F.element_at(F.lit(list(numbers)), F.col("segment") + 1)
+    before = np.cumsum((0, *index.shards[:-1])).tolist()
+    to = ((of(before) + F.col("shard")) % shards).cast("long").alias("shard")
+    gone = index.documents(spark).join(live.select("key", "segment"), ["key", "segment"], "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), of(index.shards)))
+    rows = index.postings(spark).select(to, "term", "segment", "keys", "len", "at")
+    block = rows.groupBy("shard").cogroup(gone.select(to, "segment", "key").groupBy("shard")).applyInArrow(_joined, _ROW)
+    _filed(block, shards, f"{path}/postings/segment=0")
+    return TextIndex(path, index.key, index.column, 1, (shards,))
 
 
 def _leaves(tree, ranked: bool = True) -> list[tuple]:

@@ -94,6 +94,20 @@ def test_text_index_in_segments(spark):
         assert {tuple(r) for r in textindex.search(whole, spark, q).collect()} == want, q
 
 
+def test_text_index_of_many_shards(spark, monkeypatch):
+    """A shard has so many words at most, and what is dealt before its rows are made are texts, not words with their places."""
+    monkeypatch.setattr(textindex, "WORDS", 12)
+    first = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    new = spark.createDataFrame([(1, "tional license"), (20, "of the tion"), (7, "of"), (30, "work of " * 9)], "doc_id long, text string")
+    now = spark.createDataFrame([(i, t or "") for i, t in enumerate(TEXTS) if i not in (1, 7)] + [tuple(r) for r in new.collect()], "doc_id long, text string")
+    index = textindex.added(textindex.built(first, "doc_id", "text"), new)
+    whole = textindex.merged(index, spark)
+    assert min(index.shards) > 1 and whole.postings(spark).select("shard").distinct().count() > 1
+    for q in QUERIES[1:5]:
+        want = {tuple(r) for r in fulltext.matched(now, "doc_id", q, ["text"]).collect()}
+        assert {tuple(r) for r in textindex.search(whole, spark, q).collect()} == want, q
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_set_join_loses_no_pair(spark, threshold):
     rng = random.Random(int(threshold * 10))
