@@ -32,7 +32,7 @@ def strongest(edges: DataFrame, start: int, hops: int, least: float = 0.0, end:
     """
     spark = edges.sparkSession
     e = written(_links(edges, least), "links")
-    front = spark.createDataFrame([(start, 1.0, f"{start}>")], "node long, total double, path string")
+    front = F.broadcast(spark.createDataFrame([(start, 1.0, f"{start}>")], "node long, total double, path string"))  # one row
     best = written(front.withColumn("hops", F.lit(0).cast("long")), "labels")
     for k in range(1, hops + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("total") * F.col("strength")).alias("total"), F.concat("path", F.col("dst").cast("string"), F.lit(">")).alias("path"))
@@ -58,7 +58,7 @@ def shortest(edges: DataFrame, start: int, hops: int, least: float = 0.0, end: i
     """(node, hops, total, path): of every node the path of fewest hops, of these the one of the greatest product."""
     spark = edges.sparkSession
     e = written(_links(edges, least), "links")
-    front = spark.createDataFrame([(start, 1.0, f"{start}>")], "node long, total double, path string")
+    front = F.broadcast(spark.createDataFrame([(start, 1.0, f"{start}>")], "node long, total double, path string"))  # one row
     seen = written(front.withColumn("hops", F.lit(0).cast("long")), "labels")
     for k in range(1, hops + 1):
         step = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("total") * F.col("strength")).alias("total"), F.concat("path", F.col("dst").cast("string"), F.lit(">")).alias("path"))

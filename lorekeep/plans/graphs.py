@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import graph as G
 from ..operators import paths as P
+from ..sources.tables import tasks
 from .registry import query
 
 
@@ -39,9 +40,9 @@ def symmetric_edges(t):
 
 @query("undirected_neighbours", "SELECT src AS node, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) GROUP BY 1")
 def undirected_neighbours(t):
-    e = t.edges.select("src", "dst")
-    u = e.union(e.select("dst", "src")).distinct()
-    return u.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("n"))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    u = t.edges.select(ends.alias("e")).select("e.src", "e.dst").repartition(2 * tasks(t.lineitem), "src", "dst").distinct()
+    return u.groupBy(F.col("src").alias("node")).agg(F.count("dst").alias("n"))
 
 
 @query("edge_validation", "SELECT count(*) AS n FROM edges WHERE src <> dst AND strength BETWEEN 0 AND 1")

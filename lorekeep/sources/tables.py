@@ -80,9 +80,20 @@ def predictions(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a task that groups by keys which hardly repeat.
+TASK_ROWS = 500_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """In how many tasks rows are to be grouped, so that none holds more the more there are; of stored tables the count reads no rows."""
+    return max(rows.count() // TASK_ROWS + 1, rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def edges(lineitem: DataFrame) -> DataFrame:
     """A weighted directed graph: part p to supplier s where s has delivered p, over one space of ids."""
-    ps = lineitem.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n")).filter("src <> dst")
+    # Pairs hardly repeat, so nothing is gained by grouping a file's part before the rows are dealt.
+    dealt = lineitem.select("l_partkey", "l_suppkey").repartition(tasks(lineitem), "l_partkey", "l_suppkey")
+    ps = dealt.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n")).filter("src <> dst")
     total = F.col("src") + F.col("dst")
     kind = F.when(total % 3 == 0, "similar").when(total % 3 == 1, "depends").otherwise("refines")
     return ps.select("src", "dst", kind.alias("kind"), (F.col("n") / (F.col("n") + F.lit(2.0))).alias("strength"), ((F.col("src") * 7 + F.col("dst")) % 180).alias("age_days"), (total % 2 == 0).alias("auto_created"))

@@ -378,6 +378,16 @@ def test_cuts_of_components_over_all_subsets(spark):
     assert {tuple(r) for r in cuts.clusters(df, 0.8).collect()} == want
 
 
+def test_more_rows_of_a_graph_are_more_tasks(spark, monkeypatch):
+    from lorekeep.sources import tables
+
+    rows = spark.range(3000).select((F.col("id") % 700).alias("l_partkey"), (F.col("id") % 9).alias("l_suppkey"))
+    want = {tuple(r) for r in tables.edges(rows).collect()}
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    e = tables.edges(rows)
+    assert e.rdd.getNumPartitions() == 31 and {tuple(r) for r in e.collect()} == want
+
+
 def test_cuts_by_a_share_of_the_paths(spark, monkeypatch):
     from lorekeep.operators import graph
 
