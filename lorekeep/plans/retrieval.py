@@ -76,7 +76,7 @@ SELECT seed, vec_id FROM m UNION ALL SELECT DISTINCT seed, seed FROM m""",
 )
 def near_duplicate_groups(t):
     """Over all vectors, whatever their label."""
-    return R.first_come_groups(R.all_pairs(t.vectors, 0.3))
+    return R.near_groups(t.vectors, 0.3)
 
 
 def picks_sql(n: int, weight: float, zero: bool) -> str:

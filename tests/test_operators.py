@@ -173,6 +173,24 @@ def test_pairs_shuffle_a_vector_once_however_many_partners(spark):
     assert len(got) == len(inside) > 0 and set(got) == inside
 
 
+def test_groups_without_pairs_are_those_of_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(150)]
+    rows = [(7 * i % 300, base[i % 150]) for i in range(300)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    for threshold in (0.3, 0.95):
+        want = plain_groups(brute_pairs(df.where("v IS NOT NULL"), threshold), range(300))
+        for first, most in ((8192, 32_768), (8, 32)):
+            got = [(r["seed"], r["vec_id"]) for r in retrieval.near_groups(df, threshold, first, most).collect()]
+            assert len(got) == len(want) and set(got) == want
+    twice = df.unionByName(df.where("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 1))
+    want = {tuple(r) for r in retrieval.first_come_groups(retrieval.all_pairs(twice, 0.9)).collect()}
+    assert {tuple(r) for r in retrieval.near_groups(twice, 0.9).collect()} == want
+    assert retrieval.near_groups(df.where("v IS NULL"), 0.3).count() == 0
+
+
 def test_quality_gate_shows_bad_embeddings(spark):
     truth = spark.createDataFrame([(q, k, k) for q in (1, 2) for k in (1, 2)], "qid long, vec_id long, rank long")
     found = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 7, 1), (2, 2, 2)], "qid long, vec_id long, rank long")
