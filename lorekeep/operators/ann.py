@@ -2,8 +2,9 @@
 
 Coarse centroids and code books are fitted on SAMPLE rows at most, those with the least hash of their id, so every part of the
 table is drawn from; every row is then indexed. A row lies in the partition of its nearest centroid, as one byte for each few
-dimensions of what it differs by. A search reads only the lists nearest to its queries (partition pruning), ranks their rows by
-the codes, and decides the best of them on the vectors themselves. How many lists it takes is measured when the index is made.
+dimensions of what it differs by. A search reads only the lists nearest to its queries (partition pruning), ranks a list's rows by
+the codes, and decides the best of them on the vectors themselves, in the task that has the list: a task has several small lists,
+and gives its few nearest rows a query. How many lists it takes is measured when the index is made.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ from ..sources.scratch import written_by
 
 #: Rows that centroids and code books are fitted on; dimensions of a code byte.
 SAMPLE, SUB = 65_536, 4
-#: Rows of a list that one task compares; candidates of all queries together whose ids may be broadcast.
-LIST_ROWS, FEW = 65_536, 200_000
-#: Candidates decided on their vectors, for each neighbour asked for; share of true neighbours that the probed lists must hold.
+#: Rows and queries that one task compares.
+LIST_ROWS, LIST_QUERIES = 65_536, 16_384
+#: Candidates of a list decided on their vectors, for each neighbour asked for; share of true neighbours that the probed lists must hold.
 RERANK, RECALL = 40, 0.93
 
 
 class Index(NamedTuple):
-    """Where the codes lie, and the model: centroids, code books, parts that a list's rows are dealt in, lists to probe."""
+    """Where the codes lie, and the model: centroids, code books, shards that a list's rows are dealt in and the first of them, lists to probe."""
 
     path: str
     centroids: np.ndarray
     books: np.ndarray
     parts: np.ndarray
+    first: np.ndarray
     probes: int
 
     def rows(self, spark: SparkSession) -> DataFrame:
@@ -114,60 +116,105 @@ def built(vectors: DataFrame, lists: int | None = None, k: int = 10, recall: flo
     # Dealt by range: a list that holds many rows is several files, a task writes few lists.
     path = written_by(table.repartitionByRange("list", "vec_id"), "vector-lists", "list")
     sizes = {r["list"]: r["n"] for r in spark.read.parquet(path).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = np.array([sizes.get(i, 0) // LIST_ROWS + 1 for i in range(lists)])
-    return Index(path, centroids, books, parts, min(probes, lists))
+    return Index(path, centroids, books, *shards(np.array([sizes.get(i, 0) for i in range(lists)])), min(probes, lists))
+
+
+def shards(sizes: np.ndarray, most: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list in how many shards its rows are dealt, and the first of them: small lists share one, a large one has several."""
+    parts, first, at, held = sizes // most + 1, [], 0, 0
+    for n, p in zip(sizes.tolist(), parts.tolist(), strict=True):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first.append(at)
+        at, held = (at + p, 0) if p > 1 else (at, held + n)
+    return parts, np.array(first)
+
+
+def _best(qids: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first rows of each query, by similarity and then by id."""
+    order = np.lexsort((ids, -sim, qids))
+    q = qids[order]
+    few = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+    return qids[few], ids[few], sim[few]
 
 
 def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """(qid, vec_id, sim, rank): of each query (qid, q) the k nearest rows that its lists hold, itself left out; ties by id."""
     probes = min(probes or index.probes, len(index.centroids))
     most, width = rerank * k, index.centroids.shape[1]
-    asked = queries.where("q IS NOT NULL").select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<float>").alias("q"))
+    asked = queries.where("q IS NOT NULL").select(F.col("qid").cast("long").alias("qid"), V.normalized(F.col("q").cast("array<double>")).alias("u"))
     model = spark.sparkContext.broadcast(index)
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+    def near_lists(u: pa.Array) -> np.ndarray:
+        return np.argsort(-(_units(u, width) @ model.value.centroids.T), axis=1, kind="stable")[:, :probes]
+
+    def wanted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u = _units(batch.column(1), width)
-                near = np.argsort(-(u @ m.centroids.T), axis=1, kind="stable")[:, :probes]
-                row = np.repeat(np.arange(len(u)), m.parts[near].sum(1))
-                each = np.concatenate([[(i, p) for i in one for p in range(m.parts[i])] for one in near])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(list(u[row])), pa.array(each[:, 0].astype(np.int32)), pa.array(each[:, 1].astype(np.int32))], names=["qid", "u", "list", "part"])
-
-    asks = asked.mapInArrow(probed, "qid long, u array<float>, list int, part int")
-    # Which lists are asked for at all: at most as many as there are centroids. Others' files are not opened.
-    wanted = [r["list"] for r in asks.select("list").distinct().collect()]
-    rows = index.rows(spark).where(F.col("list").isin(wanted))
-    parts = F.element_at(F.lit(index.parts.tolist()), F.col("list") + 1)
-    mine = rows.select("vec_id", "codes", "list", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("part"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(near_lists(batch.column(1))).astype(np.int32))], names=["list"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                batch, row, shard, lists = whole.slice(a, 64), [], [], []
+                for k, one in enumerate(near_lists(batch.column(1))):
+                    each = np.repeat(one, m.parts[one])
+                    of = m.first[each] + np.concatenate([np.arange(p) for p in m.parts[one]])
+                    order = np.argsort(of, kind="stable")
+                    which, at = np.unique(of[order], return_index=True)
+                    row += [k] * len(which)
+                    shard += which.tolist()
+                    lists += np.split(each[order].astype(np.int32), at[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(shard, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["qid", "u", "shard", "lists"])
+
+    blocks = asked.count() // LIST_QUERIES + 1
+    asks = asked.mapInArrow(probed, "qid long, u array<double>, shard int, lists array<int>").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    rows = index.rows(spark)
+    if probes < len(index.centroids):
+        # Which lists are asked for at all: at most as many as there are centroids. Others' files are not opened.
+        rows = rows.where(F.col("list").isin([r["list"] for r in asked.mapInArrow(wanted_lists, "list int").distinct().collect()]))
+    of_list = lambda x: F.element_at(F.lit(x.tolist()), F.col("list") + 1)
+    shard = (of_list(index.first) + F.pmod(F.xxhash64("vec_id"), of_list(index.parts))).cast("int")
+    mine = rows.select("vec_id", "codes", "list", V.normalized(F.col("v").cast("array<double>")).alias("u"), shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         m = model.value
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        out = [none]
         if left.num_rows and right.num_rows:
-            home = left.column("list")[0].as_py()
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            left = left.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            homes, start = np.unique(left.column("list").to_numpy(), return_index=True)
             ids, qids = left.column("vec_id").to_numpy(), right.column("qid").to_numpy()
-            x = _decoded(codes, m.books) + m.centroids[home]
-            u = np.stack(right.column("u").to_numpy())
-            for a in range(0, len(u), 256):
-                sim = u[a : a + 256] @ x.T
-                sim[qids[a : a + 256][:, None] == ids] = -np.inf
-                few = np.argpartition(-sim, most, axis=1)[:, :most] if sim.shape[1] > most else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
-                out.append((np.repeat(qids[a : a + 256], few.shape[1]), ids[few].ravel(), np.take_along_axis(sim, few, 1).ravel()))
-        q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        keep = np.isfinite(s)
-        home = left.column("list")[0].as_py() if left.num_rows else 0
-        return pa.table({"qid": q[keep], "vec_id": v[keep], "list": np.full(int(keep.sum()), home, np.int32), "near": s[keep].astype(np.float64)})
-
-    found = mine.groupBy("list", "part").cogroup(asks.groupBy("list", "part")).applyInArrow(ranked, "qid long, vec_id long, list int, near double")
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "vec_id"))
-    few = found.withColumn("_r", best).where(F.col("_r") <= most).select("qid", "vec_id", "list")
-    if asked.count() * most <= FEW:
-        few = F.broadcast(few)  # at most FEW rows of three numbers
-    sim = F.round(V.dot(F.col("_u"), V.normalized(F.col("q"))), 6)
-    near = rows.select("vec_id", "list", V.normalized(F.col("v").cast("array<double>")).alias("_u")).join(few, ["list", "vec_id"]).join(queries.select("qid", "q"), "qid").select("qid", "vec_id", sim.alias("sim"))
+            x, codes, u = np.stack(left.column("u").to_numpy()), left.column("codes"), np.stack(right.column("u").to_numpy())
+            asking = np.zeros((len(qids), len(m.centroids)), bool)
+            lists = right.column("lists").combine_chunks()
+            asking[np.repeat(np.arange(len(qids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+            for a in range(0, len(qids), 1024):
+                found = [none]
+                for home, i, j in zip(homes.tolist(), start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
+                    those = a + np.flatnonzero(asking[a : a + 1024, home])
+                    some = max(1, (1 << 21) // (j - i))
+                    rough = None
+                    if j - i > most:
+                        own = np.frombuffer(b"".join(codes.slice(i, j - i).to_pylist()), np.uint8).reshape(j - i, -1)
+                        rough = (_decoded(own, m.books) + m.centroids[home])[:, : x.shape[1]]
+                    for b in range(0, len(those), some):
+                        q = those[b : b + some]
+                        sim = np.round(u[q] @ x[i:j].T, 6)
+                        sim[qids[q][:, None] == ids[i:j]] = -np.inf
+                        if rough is not None:  # those that the codes put last are not candidates
+                            near = u[q].astype(np.float32) @ rough.T
+                            near[np.isinf(sim)] = -np.inf
+                            np.put_along_axis(sim, np.argpartition(-near, most, axis=1)[:, most:], -np.inf, axis=1)
+                        if sim.shape[1] > k:
+                            sim[sim < np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None]] = -np.inf
+                        r, c = np.nonzero(np.isfinite(sim))
+                        found.append(_best(qids[q][r], ids[i:j][c], sim[r, c], k))
+                out.append(_best(*(np.concatenate(f) for f in zip(*found, strict=True)), k))
+        return pa.table({name: np.concatenate(f) for name, f in zip(("qid", "vec_id", "sim"), zip(*out, strict=True), strict=True)})
+
+    near = mine.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(ranked, "qid long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

@@ -44,6 +44,23 @@ def test_ann_recall_grows_with_probes_not_rows(spark):
     assert one.count() == 5
 
 
+def test_ann_tasks_give_few_rows_a_query(spark):
+    """A task takes several small lists or a part of a large one, and gives k rows a query, not all candidates of all lists."""
+    parts, first = ann.shards(np.array([3, 4, 0, 5, 25, 1, 2]), 10)
+    assert parts.tolist() == [1, 1, 1, 1, 3, 1, 1] and first.tolist() == [0, 0, 0, 1, 2, 5, 5]
+    v = clustered(spark)
+    q = v.where("vec_id % 50 = 0 AND v IS NOT NULL").select(F.col("vec_id").alias("qid"), F.col("v").alias("q"))
+    index = ann.built(v)
+    sizes = {r["list"]: r["count"] for r in index.rows(spark).groupBy("list").count().collect()}
+    every = lambda df: sorted((r["qid"], r["vec_id"], r["sim"], r["rank"]) for r in df.collect())
+    truth = every(nearest_each(v, q, 5))
+    for most in (40, 400):
+        parts, first = ann.shards(np.array([sizes.get(i, 0) for i in range(len(index.centroids))]), most)
+        found = ann.search(spark, index._replace(parts=parts, first=first), q, 5, probes=99, rerank=200)
+        assert every(found) == truth
+        assert "near" not in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_ann_small_and_odd(spark):
     one = spark.createDataFrame([(7, [1.0, 2.0, 3.0])], "vec_id long, v array<double>")
     index = ann.built(one)
