@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -30,24 +30,29 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.octet_length(w) >= WORD_BYTES)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _present(lists: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+#: Rows whose words and text a worker holds as Python objects at once.
+AT_ONCE = 16
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _present(lists: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """How many words of each list occur anywhere in the text: one automaton a row, so time grows with words plus text."""
     import ahocorasick
 
-    for first, second, texts in lists:
+    for columns in lists:
         out = []
-        for a, b, text in zip(first, second, texts, strict=True):
-            a, b = Counter(a), Counter(b)
-            found: set[str] = set()
-            if (a or b) and text:
-                automaton = ahocorasick.Automaton()
-                for w in a.keys() | b.keys():
-                    automaton.add_word(w, w)
-                automaton.make_automaton()
-                found = {w for _, w in automaton.iter(text)}
-            out.append([sum(n for w, n in x.items() if w in found) for x in (a, b)])
-        yield pd.Series(out)
+        for k in range(0, len(columns[0]), AT_ONCE):
+            for a, b, text in zip(*(x.slice(k, AT_ONCE).to_pylist() for x in columns), strict=True):
+                a, b = Counter(a), Counter(b)
+                found: set[str] = set()
+                if (a or b) and text:
+                    automaton = ahocorasick.Automaton()
+                    for w in a.keys() | b.keys():
+                        automaton.add_word(w, w)
+                    automaton.make_automaton()
+                    found = {w for _, w in automaton.iter(text)}
+                out.append([sum(n for w, n in x.items() if w in found) for x in (a, b)])
+        yield pa.array(out, pa.list_(pa.int64()))
 
 
 def evaluated(pairs: DataFrame) -> DataFrame:

@@ -122,6 +122,20 @@ def test_a_long_scenario_takes_time_by_its_length(spark):
     assert 0.5 < r["keyword"] < 0.6 and r["completeness"] == 1.0
 
 
+def test_a_worker_holds_few_texts_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [[f"w{i}x{j}" for j in range(50)] for i in range(2000)]
+    columns = (pa.array(words), pa.array(words), pa.array([" ".join(w) for w in words]))
+    tracemalloc.start()
+    (out,) = N._present.func(iter([columns]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [[50, 50]] * 2000 and peak < 4_000_000
+
+
 def test_statistics_of_scenarios(spark):
     rows = [(1, 0.8, True, True, "easy"), (1, 0.5, False, True, "hard"), (1, 0.9, True, False, "medium"), (2, 0.1, False, False, "easy")]
     r = {x["p"]: x for x in N.statistics(spark.createDataFrame(rows, "p long, score double, passed boolean, holdout boolean, difficulty string"), "p").collect()}
