@@ -267,6 +267,21 @@ SAMPLES = [
 ]
 
 
+def test_personal_data_is_searched_only_where_it_may_be(spark):
+    from lorekeep.functions import personal as P
+
+    mails = ["a@b.co_x@y.com", "a@b.co.x@y.com z", "aa%b@@c.de", "-x@y.zz@q.rs.tu", "x y@z q@r.s1 t@u.vw", "ü.a@b.cd,e@f.gh" * 3]
+    odd = ["PASSWORD \n= abcd", "toKen :'12345678\"", "sK_" + "a1" * 12, "A:b:0:1:2:3:dEad:9", "1.2.3.4 +14 (234)5551234", "4000123412341234 378200000000005 123 45 6789", "eyJ.eyJ. ghp_" + "x" * 36, "password=" + "'" * 2 + "x"]
+    rows = [(i, t) for i, t in enumerate([*mails, *odd, "no such thing here, but a line.", ""])]
+    df = spark.createDataFrame(rows, "id long, text string").cache()
+    got = {r["id"]: sorted((m["rank"], m["text"]) for m in r["m"]) for r in df.select("id", P.matches(F.col("text")).alias("m")).collect()}
+    plain = F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for *_, p in P.KINDS])
+    want = {r["id"]: sorted((k, h) for k, hits in enumerate(r["m"]) for h in hits) for r in df.select("id", plain.alias("m")).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+    asked = df.where("id >= 14").select(*P._may_hold(F.col("text"))).collect()
+    assert len(asked) == 2 and not any(any(r) for r in asked)
+
+
 def test_personal_data_of_every_kind(spark):
     from lorekeep.functions import personal as P
 
