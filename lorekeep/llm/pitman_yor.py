@@ -1,25 +1,29 @@
 """Language-model scores by a hierarchical Pitman-Yor model of words.
 
-Restaurants: one for each of the CONTEXTS - 1 most frequent words as the word before, one for all other words before (and one
-of them is the end token, before a text's first word). Dishes are words. All share the root restaurant, whose
+Restaurants: one for each word before, whatever its count (the end token stands before a text's first word). Dishes are words. All share the root restaurant, whose
 base is uniform: half of it for the known words, half for the unknown one. The customers of the root are the tables of the
 others.
 
 Seating is sampled by Gibbs steps. The root's share of each dish, and each restaurant's weight of new tables, are drawn from their conditionals (gamma variables,
 whose totals over the corpus count at their mean); given these, every dish in every restaurant is independent, and its c customers sit at t tables with
-probability in proportion to a^t S(c, t), with a the product of both and S the generalised Stirling numbers. Up to EXACT
+probability in proportion to a^t S(c, t), with a the product of both and S the generalised Stirling numbers. One customer has one table. Up to EXACT
 customers that law is drawn exactly. Beyond, where few tables are likely, the ratios S(c, t) / S(c, 1) come from rows of exact
 numbers at customers' numbers GRID apart, linear in c^-d between them and towards their known limit; where many are, the number is normal with
 the mean and variance of the saddle point (t is a sum of independent indicators, so its distribution function is within 0.56 over its
-standard deviation of the normal one). All restaurants' counts of a dish lie in one row, so rows are sampled independently; what they share, tables per
-restaurant, is a short vector that rounds over all rows bring up to date. After each round strength and discount of both levels are
-drawn from their conditionals on a grid: the strength from customers and tables of the restaurants, the discount from these and from how many dishes have c customers at t tables (c up to
+standard deviation of the normal one). A task has whole dishes and samples them independently; what they share, tables per
+restaurant, is brought up to date by rounds over all. After each round strength and discount of both levels are
+drawn from their conditionals on a grid: the strength from how many restaurants have each number of customers and of tables, the discount from these and from how many dishes have c customers at t tables (c up to
 TELLING). Random numbers are hashes of word, context, round and step: results do not depend on partitions.
 Predictive probabilities are averaged over the samples of the last round; what a restaurant's averaged counts leave of
 one goes to its parent.
 
-Scoring: the most frequent words, DENSE at most, are a broadcast table, their number a parameter whatever the corpus; the other
-tokens are joined with the model's rows by word. Logarithms are rounded to 32 bits in both ways, so a score does not depend on DENSE. Words are told apart by 64-bit hashes.
+Work is dealt by a grid (Grid). A block has the cells (pairs of word before and word, with their count) of a share of the words and a share of the words before, so neither a
+frequent word nor a frequent pair is one task's; chunks of texts send it each distinct pair once, as packed vectors. For the seating only cells of several customers go on, to the task
+that has the word's dish whole (a task holds at most as many cells of a dish as there are words before it twice or more); the task of each word before adds up its tables and answers those that have cells of it.
+Nothing is broadcast but the parameters; histograms of numbers are all that the driver sees.
+
+Scoring: chunks of texts send blocks their distinct pairs with the texts that have them; pairs that are no cell go on to the tasks of both words, as their probability is the product of the weight of the root after one
+and the root's share of the other. A chunk's sums over blocks come together at last. Logarithms and sums of a block are rounded to 32 bits, so a score does not depend on chunks. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts are one end token. Each row is scored and, if in the training share, counted,
 also where an id repeats; a null id counts as the empty text in choosing the share. Very long texts are scored whole. Further columns are not read. Without
@@ -28,9 +32,11 @@ training rows all words are unknown, N and V are 0 and scores those of the bare
 
 from __future__ import annotations
 
+import gc
 import math
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from statistics import NormalDist
 
@@ -38,10 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, remainder, text_of, utf8, written
+from .common import dropped, fresh_path, map_batches, ready, remainder, text_of, utf8, written
 
+#: Random numbers of the root and of restaurants' weights are told apart by numbers from here on.
 CONTEXTS = 128
+#: Texts of a chunk at most (their places in it have 16 bits), and tokens from which one ends.
 DENSE = 65_536
+TOKENS = 4_400_000
+#: Bytes of text of a block.
+BLOCK = 18 << 20
 EXACT = 512
 #: Beyond EXACT customers: exact rows at numbers this far apart, up to a last one; tables in a row, and the mean from which the number is normal.
 GRID, LAST = 1.06, 8_192
@@ -90,76 +101,214 @@ class _Words(dict):
         return np.frombuffer(self.hashes, dtype=np.int64).copy()
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: All tables of packed vectors: to which task, what, from where, and the vectors.
+FORM = "to int, kind string, src long, a binary, b binary, c binary, d binary, e binary, f binary"
+FIELDS = pa.schema([("to", pa.int32()), ("kind", pa.string()), ("src", pa.int64()), *[(x, pa.binary()) for x in "abcdef"]])
+
+
+def _pack(x) -> bytes:
+    """A vector, its bytes by their place in a number."""
     import numpy as np
 
-    known, total = _Words(), np.zeros(0, np.int64)
+    x = np.ascontiguousarray(x)
+    head = x.dtype.str.encode() + len(x).to_bytes(8, "little")
+    return head + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else head
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(known.table()[total > 0]), pa.array(total[total > 0])], names=["w", "n"])
 
-    for b in batches:
-        ids, _ = known.tokens(utf8(b.column(0)))
-        c = np.bincount(ids, minlength=len(known))
-        c[: len(total)] += total
-        total = c
-        if len(known) > 1_000_000:
-            yield out()
-            known, total = _Words(), np.zeros(0, np.int64)
-    if len(total):
-        yield out()
+def _unpack(x: bytes):
+    import numpy as np
+
+    kind, n = np.dtype(x[:3].decode()), int.from_bytes(x[3:11], "little")
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(x[11:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _small(x) -> bytes:
+    import numpy as np
+
+    return _pack(x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)))
+
+
+def _hashes(x) -> bytes:
+    """Hashes by their differences, modulo 2^64."""
+    import numpy as np
+
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def _of_hashes(x: bytes):
+    import numpy as np
+
+    return np.cumsum(_unpack(x), dtype=np.uint64)
+
+
+class _Sent:
+    """Rows of FORM to be."""
+
+    def __init__(self):
+        self.rows = []
+
+    def add(self, to: int, kind: str, src: int, *vectors: bytes):
+        self.rows.append((int(to), kind, int(src), *vectors, *[None] * (6 - len(vectors))))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [[] for _ in FIELDS]
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+
+
+def _exchanged(df: DataFrame, f: Callable[[dict[str, list[dict]], _Sent], None], key: str = "to") -> DataFrame:
+    """f over the rows of each task by kind, in the order of their sources."""
 
+    def group(table):
+        by: dict[str, list[dict]] = defaultdict(list)
+        for r in table.to_pylist():
+            by[r["kind"]].append(r)
+        for rows in by.values():
+            rows.sort(key=lambda r: (r["src"], r["to"]))
+        out = _Sent()
+        f(by, out)
+        return pa.Table.from_batches([out.batch()])
 
-class _Places:
-    """For a task's words, their place in a sorted vector of hashes (or a default), looked up once each."""
+    ready(df.sparkSession)
+    return df.groupBy(key).applyInArrow(group, FORM)
 
-    def __init__(self, hashes, places, default: int):
-        self.hashes, self.places, self.default, self.got = hashes, places, default, None
 
-    def of(self, known: _Words):
+class Grid:
+    """Where pairs of words go: a block has a share of the words and one of the words before; dishes and words have side^2 tasks."""
+
+    def __init__(self, size: int):
+        """For texts of so many bytes."""
+        self.side = max(2, math.ceil(math.sqrt(max(size / BLOCK, min(36, size / (BLOCK / 16))))))
+        self.tasks = self.side * self.side
+
+    def task(self, h):
         import numpy as np
 
-        n = 0 if self.got is None else len(self.got)
-        if n < len(known.hashes):
-            new = np.frombuffer(known.hashes, dtype=np.int64)[n:].copy()
-            at = np.minimum(np.searchsorted(self.hashes, new), max(0, len(self.hashes) - 1))
-            found = np.where(self.hashes[at] == new, self.places[at], self.default) if len(self.hashes) else np.full(len(new), self.default)
-            self.got = found if n == 0 else np.concatenate((self.got, found))
-        return self.got
+        return (h % np.uint64(self.tasks)).astype(np.int64)
+
+    def block(self, w, u):
+        import numpy as np
 
+        return self.task(w) // self.side * self.side + (u >> np.uint64(40)).astype(np.int64) % self.side
 
-def _before(ids):
-    """The token before each. Every text ends with the end token, whose id is 0, so this also stands before each text."""
+
+def _cells(w, u, n) -> tuple[bytes, ...]:
+    """Cells in the order of word and word before: words, cells of each, words before, the place of each cell's, customers."""
     import numpy as np
 
-    return np.concatenate(([0], ids[:-1])) if len(ids) else ids
+    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+    us, at = np.unique(u, return_inverse=True)
+    return _hashes(w[first]), _small(np.diff(first, append=len(w))), _hashes(us), _small(at), _small(n)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], contexts) -> Iterator[pa.RecordBatch]:
-    """(w, u, n): counts of words after contexts."""
+def _of_cells(r: dict):
+    """(words, cells of each, words before, places, customers)."""
     import numpy as np
 
-    hashes, places = contexts
-    known, ctx, held, size = _Words(), _Places(hashes, places, 0), [], 0
+    return _of_hashes(r["a"]), _unpack(r["b"]).astype(np.int64), _of_hashes(r["c"]), _unpack(r["d"]).astype(np.int64), _unpack(r["e"]).astype(np.int64)
 
-    def out():
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        cols = [pa.array(known.table()[key // CONTEXTS]), pa.array((key % CONTEXTS).astype(np.int32)), pa.array(n)]
-        batch = pa.RecordBatch.from_arrays(cols, names=["w", "u", "n"])
-        for k in range(0, batch.num_rows, 16384):
-            yield batch.slice(k, 16384)
 
+def _pairs(batches: Iterator[pa.RecordBatch], grid: Grid, rows: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a word and the word before of a chunk of texts, to their blocks; with rows also in which texts, and a head for the texts."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    sent, part = _Sent(), TaskContext.get().partitionId()
+
+    def out(known, held, lengths, heads, chunk):
+        hashes = known.table().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, rank = hashes[order], np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        v, w = len(hashes), rank[np.concatenate(held)]
+        held.clear()
+        u = np.concatenate((rank[:1], w[:-1]))  # an end, whose number is 0, stands before each text
+        task, sub = grid.task(hashes) // grid.side * grid.side, grid.block(np.zeros(1, np.uint64), hashes)
+        key = task[w]
+        key += sub[u]
+        key *= v
+        key += w
+        key *= v
+        key += u
+        size = len(w)
+        del w, u
+        docs = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
+        if rows:
+            order = np.argsort(key, kind="stable")
+            key, docs = key[order], docs[order]
+        else:
+            key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, n = key[first], np.diff(first, append=len(key))
+        first = np.append(first, size)
+        bounds = np.searchsorted(key, np.arange(grid.tasks + 1) * (v * v))
+        src = (part << 32) + chunk
+        for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if i < j:
+                k = key[i:j] - b * v * v
+                sent.add(b, "query" if rows else "pairs", src, *_cells(hashes[k // v], hashes[k % v], n[i:j]), *([_pack(docs[first[i] : first[j]])] if rows else []))
+        if rows:
+            ids, out_of, empty = (np.array(x) for x in zip(*heads, strict=True))
+            sent.add(src % grid.tasks, "head", src, _pack(ids.astype(np.int64)), _small(out_of), _small(np.array(lengths)), _small(empty))
+        return sent.batch()
+
+    known, held, lengths, heads, chunk = _Words(), [], [], [], 0
     for b in batches:
-        ids, _ = known.tokens(utf8(b.column(0)))
-        held.append(ids * CONTEXTS + ctx.of(known)[_before(ids)])
-        size += len(ids)
-        if size > 6_000_000 or len(known) > 1_000_000:
-            yield from out()
-            known, ctx, held, size = _Words(), _Places(hashes, places, 0), [], 0
+        step = min(b.num_rows, DENSE)
+        for k in range(0, b.num_rows, step):
+            if held and (sum(lengths) > TOKENS or len(known) > 1_000_000 or len(lengths) + step > DENSE):
+                yield out(known, held, lengths, heads, chunk)
+                known, held, lengths, heads, chunk = _Words(), [], [], [], chunk + 1
+            some = b.slice(k, step)
+            ids, bounds = known.tokens(utf8(some.column(0)))
+            held.append(ids)
+            lengths += np.diff(bounds).tolist()
+            if rows:
+                heads += [(i or 0, h, i is None) for i, h in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
     if held:
-        yield from out()
+        yield out(known, held, lengths, heads, chunk)
+
+
+def _split(task):
+    """(task, where) of the rows of each task."""
+    import numpy as np
+
+    order = np.argsort(task, kind="stable")
+    tasks, first = np.unique(task[order], return_index=True)
+    return zip(tasks.tolist(), np.split(order, first[1:]), strict=True) if len(order) else []
+
+
+def _joined(rows: list[dict]):
+    """All cells of rows, in order of word and word before, equal ones added."""
+    import numpy as np
+
+    parts = [_of_cells(r) for r in rows]
+    w, u, n = np.concatenate([np.repeat(p[0], p[1]) for p in parts]), np.concatenate([p[2][p[3]] for p in parts]), np.concatenate([p[4] for p in parts])
+    order = np.lexsort((u, w))
+    w, u, n = w[order], u[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])))) if len(w) else np.zeros(0, np.int64)
+    return w[first], u[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _block(by: dict, out: _Sent, grid: Grid) -> None:
+    """Cells of a block; its dishes' cells of several customers and how many have one; its words, and words before with their cells of one customer."""
+    import numpy as np
+
+    w, u, n = _joined(by["pairs"])
+    out.add(by["pairs"][0]["to"], "cells", 0, *_cells(w, u, n))
+    block = by["pairs"][0]["to"]
+    for task, mine in _split(grid.task(w)):
+        words, at = np.unique(w[mine], return_inverse=True)
+        many = mine[n[mine] > 1]
+        out.add(task, "dish", block, *_cells(w[many], u[many], n[many]))
+        out.add(task, "single", block, _hashes(words), _small(np.bincount(at[n[mine] == 1], minlength=len(words))))
+    us, at = np.unique(u, return_inverse=True)
+    one = np.bincount(at[n == 1], minlength=len(us))
+    for task, k in _split(grid.task(us)):
+        out.add(task, "before", block, _hashes(us[k]), _small(one[k]))
 @lru_cache(maxsize=4)
 def _log_stirling(d: float, most: int = EXACT):
     """Logarithms of the generalised Stirling numbers S(c, t) of discount d, for c and t up to a bound."""
@@ -256,6 +405,8 @@ def draw_tables(c, a, d: float, r):
     import numpy as np
 
     t = np.ones(len(c), dtype=np.int64)
+    if not len(c):
+        return t
     log_s = _log_stirling(d)
     many = []
     order = np.argsort(c, kind="stable")
@@ -300,25 +451,26 @@ def _seated(w, dish, u, n, g: dict, steps: int, keep: int, stage: int):
     """
     import numpy as np
 
-    dishes = int(dish[-1]) + 1 if len(dish) else 0
-    first = np.searchsorted(dish, np.arange(dishes))
-    wd = w[first] if dishes else w
+    dishes = len(g["words"]) if "words" in g else int(dish[-1]) + 1 if len(dish) else 0
+    wd = g["words"] if "words" in g else w[np.searchsorted(dish, np.arange(dishes))]
     t = np.ones(len(n), dtype=np.int64)
     t0 = np.ones(dishes, dtype=np.int64)
     c_u, t_u, d, d0, s, s0 = g["c_u"], g["t_u"], g["d"], g["d0"], g["s"], g["s0"]
     fresh = (s0 + d0 * g["T0"]) / (s0 + g["C0"]) * g["base"]
     part, root, customers = np.zeros(len(n)), np.zeros(dishes), np.zeros(dishes)
-    rooms, counts = np.arange(CONTEXTS), np.bincount(dish, weights=n, minlength=dishes)
+    # Without names a restaurant's number is its name. Cells of one customer always have one table: they may come as a number per dish.
+    rooms, alone = g.get("names", np.arange(len(t_u))), g.get("alone", np.zeros(dishes, dtype=np.int64))
+    counts, name = np.bincount(dish, weights=n, minlength=dishes) + alone, rooms[u]
     for k in range(steps):
-        c0 = np.bincount(dish, weights=t, minlength=dishes).astype(np.int64)
+        c0 = np.bincount(dish, weights=t, minlength=dishes).astype(np.int64) + alone
         step = stage * 100 + k
         # The root's share of a dish and a restaurant's weight of new tables are drawn from their laws; given these, the cells are independent.
         # The first step has no seating yet: there the share is that of the tokens.
-        share = (_gamma(c0 - d0 * t0, wd, np.full(dishes, CONTEXTS + 2), step) / (s0 + g["C0"]) if k else counts / c_u.sum()) + fresh
+        share = (_gamma(c0 - d0 * t0, wd, np.full(dishes, CONTEXTS + 2), step) / (s0 + g["C0"]) if k else counts / g.get("N", c_u.sum())) + fresh
         room = _gamma(s / d + t_u, rooms, rooms + CONTEXTS + 3, step)
         a = d * room[u] * share[dish]
-        t = draw_tables(n, a, d, _uniform(w, u, stage * 100 + k))
-        c0 = np.bincount(dish, weights=t, minlength=dishes).astype(np.int64)
+        t = draw_tables(n, a, d, _uniform(w, name, stage * 100 + k))
+        c0 = np.bincount(dish, weights=t, minlength=dishes).astype(np.int64) + alone
         a0 = np.full(dishes, (s0 + d0 * g["T0"]) * g["base"])
         t0 = draw_tables(c0, a0, d0, _uniform(wd, np.full(dishes, CONTEXTS), stage * 100 + k))
         if k >= steps - keep:
@@ -328,52 +480,6 @@ def _seated(w, dish, u, n, g: dict, steps: int, keep: int, stage: int):
     return t, t0, part, root, customers
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]):
-    """Whole dishes, some CELLS cells at a time: hashes per cell, dish numbers, contexts, counts, and the dishes' rows."""
-    import numpy as np
-
-    held, size = [], 0
-
-    def out():
-        table = pa.Table.from_batches(held).combine_chunks()
-        us, ns = (table.column(k).combine_chunks() for k in (1, 2))
-        lengths = np.diff(us.offsets.to_numpy())
-        dish = np.repeat(np.arange(len(lengths)), lengths)
-        w = table.column(0).to_numpy()
-        return w[dish], dish, us.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(np.int64), w, lengths
-
-    for b in batches:
-        held.append(b)
-        size += len(b.column(1).flatten())
-        if size > CELLS:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
-
-
-def _tables(batches: Iterator[pa.RecordBatch], g, stage: int) -> Iterator[pa.RecordBatch]:
-    """(level, c, t, n): level 0 has the tables n of restaurant c, the root being CONTEXTS; levels 1 and 2 how many dishes of a restaurant, and of the root, have c customers at t tables, c up to TELLING."""
-    import numpy as np
-
-    total = np.zeros(CONTEXTS + 1, dtype=np.int64)
-    side = TELLING + 1
-    seats = [np.zeros(side * side, dtype=np.int64) for _ in range(2)]
-    for w, dish, u, n, _, _ in _chunks(batches):
-        t, t0, _, _, _ = _seated(w, dish, u, n, g.value, BURN_IN, 1, stage)
-        total[:CONTEXTS] += np.bincount(u, weights=t, minlength=CONTEXTS).astype(np.int64)
-        total[CONTEXTS] += t0.sum()
-        c0 = np.bincount(dish, weights=t, minlength=len(t0)).astype(np.int64)
-        for k, (customers, tables) in enumerate(((n, t), (c0, t0))):
-            few = customers <= TELLING
-            seats[k] += np.bincount(customers[few] * side + tables[few], minlength=side * side)
-    rows = [(0, k, 0, int(x)) for k, x in enumerate(total.tolist())]
-    for level, x in enumerate(seats, 1):
-        at = np.flatnonzero(x)
-        rows += [(level, k // side, k % side, v) for k, v in zip(at.tolist(), x[at].tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["level", "c", "t", "n"])
-
-
 def _lgamma(x):
     """log Gamma for arrays of positive numbers."""
     import numpy as np
@@ -387,16 +493,17 @@ def _lgamma(x):
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _seating_weight(s: float, d: float, customers, tables) -> float:
-    """Log probability of restaurants' numbers of tables, less what does not depend on strength or discount."""
+def _seating_weight(s: float, d: float, customers, tables, times=(1.0, 1.0)) -> float:
+    """Log probability of restaurants' numbers of tables, less what does not depend on strength or discount. times: how many restaurants have each number of customers, and of tables."""
     import numpy as np
 
-    some = customers > 0
-    c, t = np.asarray(customers, dtype=np.float64)[some], np.asarray(tables, dtype=np.float64)[some]
-    return float((t * math.log(d) + _lgamma(s / d + t) - _lgamma(np.full(len(t), s / d)) - _lgamma(s + c) + _lgamma(np.full(len(c), s))).sum())
+    c, t = np.asarray(customers, dtype=np.float64), np.asarray(tables, dtype=np.float64)
+    m, k = (np.broadcast_to(np.asarray(x, dtype=np.float64), y.shape) for x, y in zip(times, (c, t), strict=True))
+    c, m, t, k = c[c > 0], m[c > 0], t[t > 0], k[t > 0]  # who has customers has tables
+    return float((k * (t * math.log(d) + _lgamma(s / d + t))).sum() - k.sum() * _lgamma([s / d])[0] - (m * _lgamma(s + c)).sum() + m.sum() * _lgamma([s])[0])
 
 
-def draw_parameters(s: float, d: float, customers, tables, seats: dict[tuple[int, int], int], r: tuple[float, float]) -> tuple[float, float]:
+def draw_parameters(s: float, d: float, customers, tables, seats: dict[tuple[int, int], int], r: tuple[float, float], times=(1.0, 1.0)) -> tuple[float, float]:
     """Strength and discount of a level, each drawn from its conditional on a grid; the priors are exponential of mean 10 and uniform."""
     import numpy as np
 
@@ -405,188 +512,366 @@ def draw_parameters(s: float, d: float, customers, tables, seats: dict[tuple[int
         return float(values[int((p < u * p[-1]).sum())])
 
     strengths = np.geomspace(*STRENGTHS)
-    s = pick(strengths, [_seating_weight(x, d, customers, tables) - x / 10 + math.log(x) for x in strengths.tolist()], r[0])
+    s = pick(strengths, [_seating_weight(x, d, customers, tables, times) - x / 10 + math.log(x) for x in strengths.tolist()], r[0])
     c, t = (np.array([k[i] for k in seats], dtype=np.int64) for i in range(2))
     n = np.array(list(seats.values()), dtype=np.float64)
-    logs = [_seating_weight(s, x, customers, tables) + (float((n * _log_stirling.__wrapped__(x, TELLING)[c, t]).sum()) if len(c) else 0.0) for x in DISCOUNTS]
+    logs = [_seating_weight(s, x, customers, tables, times) + (float((n * _log_stirling.__wrapped__(x, TELLING)[c, t]).sum()) if len(c) else 0.0) for x in DISCOUNTS]
     return s, pick(DISCOUNTS, logs, r[1])
 
 
-def _model(batches: Iterator[pa.RecordBatch], g) -> Iterator[pa.RecordBatch]:
-    """(w, c, root, customers, us, parts) of each dish, c its count."""
+def _dishes(by: dict, out: _Sent, grid: Grid) -> None:
+    """A task's dishes, each whole: cells of several customers and how many have one. Words before are in the order of their tasks, which answer in it."""
+    import numpy as np
+
+    w, u, n = _joined(by["dish"])
+    words, at = np.unique(np.concatenate([_of_hashes(r["a"]) for r in by["single"]]), return_inverse=True)
+    alone = np.bincount(at, weights=np.concatenate([_unpack(r["b"]) for r in by["single"]]), minlength=len(words)).astype(np.int64)
+    dish = np.searchsorted(words, w)
+    me = by["dish"][0]["to"]
+    us, at = np.unique(u, return_inverse=True)
+    order = np.lexsort((us, grid.task(us)))
+    place = np.empty(len(us), np.int64)
+    place[order] = np.arange(len(us))
+    at = place[at]
+    out.add(me, "dishes", me, _hashes(words), _small(np.bincount(dish, minlength=len(words))), _hashes(us[order]), _small(at), _small(n), _small(alone))
+    out.add(me, "count", me, _hashes(words), _small(alone + np.bincount(dish, weights=n, minlength=len(words)).astype(np.int64)))
+    _send_tables(out, grid, me, us[order], np.bincount(at, minlength=len(us)))
+
+
+def _send_tables(out: _Sent, grid: Grid, me: int, us, tables) -> None:
+    for task, k in _split(grid.task(us)):
+        out.add(task, "tables", me, _hashes(us[k]), _pack(tables[k]))
+
+
+def _histogram(out: _Sent, kind: str, x) -> None:
+    import numpy as np
+
+    values, n = np.unique(x, return_counts=True)
+    out.add(-1, kind, 0, _pack(values), _pack(n))
+
+
+def _rooms(by: dict, out: _Sent) -> None:
+    """A task's words before: customers (each word is a word before as often as a word), and cells of one customer."""
+    import numpy as np
+
+    (r,) = by["count"]
+    words, c = _of_hashes(r["a"]), _unpack(r["b"]).astype(np.int64)
+    one = np.zeros(len(words), np.int64)
+    for x in by["before"]:
+        one[np.searchsorted(words, _of_hashes(x["a"]))] += _unpack(x["b"])
+    out.add(r["to"], "rooms", r["to"], r["a"], r["b"], _small(one))
+    _histogram(out, "customers", c)
+
+
+def _all_tables(by: dict):
+    """(words, customers, tables) of a task's restaurants."""
+    import numpy as np
+
+    (r,) = by["rooms"]
+    words, c, t = _of_hashes(r["a"]), _unpack(r["b"]).astype(np.int64), _unpack(r["c"]).astype(np.float64)
+    for x in by["tables"]:
+        t[np.searchsorted(words, _of_hashes(x["a"]))] += _unpack(x["b"])
+    return words, c, t
+
+
+def _answers(by: dict, out: _Sent) -> None:
+    """To each task of dishes, customers and tables of the restaurants that it has cells of."""
+    import numpy as np
+
+    words, c, t = _all_tables(by)
+    t = np.rint(t).astype(np.int64)
+    for x in by["tables"]:
+        at = np.searchsorted(words, _of_hashes(x["a"]))
+        out.add(x["src"], "answer", x["to"], _small(c[at]), _small(t[at]))
+    _histogram(out, "histogram", t)
+
+
+def _seat(by: dict, out: _Sent, grid: Grid, g: dict, steps: int, keep: int, stage: int, last: bool) -> None:
+    """Seats a task's dishes, some CELLS cells at a time; tables by restaurant, and what the parameters need or, at last, what the scores do."""
+    import numpy as np
+
+    (r,) = by["dishes"]
+    words, k, us, at, n = _of_cells(r)
+    alone = _unpack(r["f"]).astype(np.int64)
+    c_u, t_u = (np.concatenate([_unpack(x[f]) for x in by["answer"]] or [np.zeros(0)]).astype(np.float64) for f in "ab")
+    ends = np.cumsum(k)
+    dish = np.repeat(np.arange(len(words)), k)
+    own, tables = np.zeros(len(n), np.float32), np.zeros(len(us))
+    root, total = np.zeros(len(words)), np.zeros(3)
+    side = TELLING + 1
+    seats = [np.zeros(side * side, dtype=np.int64) for _ in range(2)]
+    names = us.view(np.int64)
+    i = 0
+    while i < len(words):
+        a = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, a + CELLS, side="right")))
+        j = min(j, i + CELLS, len(words))
+        b = int(ends[j - 1])
+        some, u = np.unique(at[a:b], return_inverse=True)
+        here = g | {"words": words[i:j].view(np.int64), "alone": alone[i:j], "names": names[some], "c_u": c_u[some], "t_u": t_u[some]}
+        t, t0, part, roots, customers = _seated(here["words"][dish[a:b] - i], dish[a:b] - i, u, n[a:b], here, steps, keep, stage)
+        if last:
+            mine = part * (g["s"] + here["c_u"][u])
+            own[a:b], root[i:j] = mine, roots
+            t = (n[a:b] - mine) / g["d"]
+            total += (roots.sum(), customers.sum(), 0)
+        else:
+            c0 = np.bincount(dish[a:b] - i, weights=t, minlength=j - i).astype(np.int64) + alone[i:j]
+            total += (t0.sum(), c0.sum(), 0)
+            for x, (customers, taken) in enumerate(((n[a:b], t), (c0, t0))):
+                few = customers <= TELLING
+                seats[x] += np.bincount(customers[few] * side + taken[few], minlength=side * side)
+        tables += np.bincount(at[a:b], weights=t, minlength=len(us))
+        i = j
+    _send_tables(out, grid, r["to"], us, tables)
+    out.add(-1, "total", r["to"], _pack(total), *(_pack(x) for x in seats))
+    if last:
+        out.add(r["to"], "root", r["to"], _pack(root))
+        sub = grid.block(np.zeros(1, np.uint64), us)[at]
+        row = r["to"] // grid.side * grid.side
+        # Blocks have a task's cells in the same order.
+        order = np.lexsort((us[at], dish))
+        for x, rest in _split(sub[order]):
+            out.add(row + x, "own", r["to"], _pack(own[order][rest]))
+
+
+def _words(by: dict, out: _Sent, grid: Grid, g: dict) -> None:
+    """A task's words with count, weight of the root and share of the root; and these to the blocks that have them."""
     import numpy as np
 
-    for w, dish, u, n, wd, lengths in _chunks(batches):
-        _, _, part, root, customers = _seated(w, dish, u, n, g.value, BURN_IN + SAMPLES, SAMPLES, ROUNDS)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-        c = np.bincount(dish, weights=n, minlength=len(wd)).astype(np.int64)
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(wd), pa.array(c), pa.array(root), pa.array(customers), pa.ListArray.from_arrays(offsets, pa.array(u.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(part))], names=["w", "c", "root", "customers", "us", "parts"]
-        )
-        for k in range(0, batch.num_rows, 8192):
-            yield batch.slice(k, 8192)
+    words, c, t = _all_tables(by)
+    weight = (g["s"] + g["d"] * t) / (g["s"] + c)
+    root = _unpack(by["root"][0]["a"]) / (g["s0"] + g["customers"]) + g["unknown"] / g["v"]
+    me = by["rooms"][0]["to"]
+    out.add(me, "words", me, by["rooms"][0]["a"], by["rooms"][0]["b"], _pack(weight), _pack(root))
+    for kind, rows, x in (("restaurant", by["before"], weight), ("share", by["single"], root)):
+        for r in rows:
+            at = np.searchsorted(words, _of_hashes(r["a"]))
+            out.add(r["src"], kind, me, _small(c[at]), _pack(x[at].astype(np.float32)))
 
 
 class Model:
-    """Rows by word (a written table) and the numbers all share."""
+    """Tables of packed vectors (cells by block, words by task) and the numbers all share."""
 
-    def __init__(self, rows: DataFrame | None, n: int, v: int, contexts, gamma, unknown: float):
-        self.rows, self.n, self.v, self.contexts, self.gamma, self.unknown = rows, n, v, contexts, gamma, unknown
+    def __init__(self, grid: Grid, cells: DataFrame | None, words: DataFrame | None, g: dict, n: int, v: int):
+        self.grid, self.cells, self.words, self.g, self.n, self.v = grid, cells, words, g, n, v
 
 
 def _discount(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
+def _summed(rows: DataFrame, kind: str):
+    """A histogram from its parts: as many values as there are different numbers."""
+    import numpy as np
+
+    got = rows.filter(F.col("kind") == kind).select("a", "b").collect()
+    values, at = np.unique(np.concatenate([_unpack(bytes(r["a"])) for r in got]), return_inverse=True)
+    return values, np.bincount(at, weights=np.concatenate([_unpack(bytes(r["b"])) for r in got]))
+
+
+def _by_kind(df: DataFrame, name: str) -> Callable[[str], DataFrame]:
+    """Written with a folder for each kind, to be read or removed by itself."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.partitionBy("kind").parquet(path)
+
+    def of(kind: str) -> DataFrame:
+        out = spark.read.schema(df.schema).option("basePath", path).parquet(f"{path}/kind={kind}").select(*df.columns)
+        out._lorekeep_path = f"{path}/kind={kind}"
+        return out
+
+    return of
+
+
+def _only(rows: DataFrame, *kinds: str) -> DataFrame:
+    return rows.filter(F.col("kind").isin(*kinds))
+
+
+def _freed(spark) -> None:
+    """Shuffled files of jobs that are over go when the driver's garbage does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def train(texts: DataFrame) -> Model:
     """The model of a table (text)."""
     import numpy as np
 
     spark = texts.sparkSession
     texts = texts.select(text_of(texts).alias("text"))
-    counts = written(map_batches(texts, _counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    n, v, n1, n2 = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    if not n:
-        return Model(None, 0, 0, (np.zeros(0, np.int64), np.zeros(0, np.int64)), np.ones(CONTEXTS), 0.5)
-    top = counts.orderBy(F.desc("n"), "w").limit(CONTEXTS - 1).collect()
-    hashes = np.array([r["w"] for r in top], dtype=np.int64)
-    order = np.argsort(hashes)
-    contexts = (hashes[order], (1 + np.arange(len(top)))[order])
-    pairs = map_batches(texts, partial(_pairs, contexts=contexts), "w long, u int, n long")
-    # Dealt by word once; both groupings keep to it, and a dish has CONTEXTS cells at most.
-    cells = pairs.repartition("w").groupBy("w", "u").agg(F.sum("n").alias("n"))
-    dishes = cells.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("u", "n"))).alias("x")).select("w", F.col("x.u").alias("us"), F.col("x.n").alias("ns"))
-    dishes = written(dishes, "dishes")
-    by = dishes.select(F.explode(F.arrays_zip("us", "ns")).alias("x")).groupBy("x.us").agg(F.sum("x.ns"), F.count("*"), F.count_if(F.col("x.ns") == 1), F.count_if(F.col("x.ns") == 2)).collect()
-    c_u, t_u = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for u, c, k, _, _ in by:
-        c_u[u], t_u[u] = c, k
-    d = _discount(sum(r[3] for r in by), sum(r[4] for r in by))
-    g = {"c_u": c_u, "t_u": t_u, "d": d, "d0": _discount(n1, n2), "s": 1.0, "s0": 1.0, "C0": t_u.sum(), "T0": float(v), "base": 0.5 / v}
-    for k in range(ROUNDS):
-        got = map_batches(dishes, partial(_tables, g=spark.sparkContext.broadcast(g), stage=k), "level long, c long, t long, n long")
-        got = got.groupBy("level", "c", "t").agg(F.sum("n")).collect()  # CONTEXTS and TELLING bound them
-        t = {r[1]: r[3] for r in got if r[0] == 0}
-        seats = [{(r[1], r[2]): r[3] for r in sorted(got) if r[0] == level} for level in (1, 2)]
-        t_u = np.array([t.get(u, 0) for u in range(CONTEXTS)], dtype=float)
-        g = g | {"t_u": t_u, "C0": t_u.sum(), "T0": float(t[CONTEXTS])}
+    size = texts.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0]
+    grid = Grid(size or 0)
+    if not size:
+        return Model(grid, None, None, {"unknown": 0.5, "s": 1.0, "d": 0.5}, 0, 0)
+    pairs = map_batches(texts, partial(_pairs, grid=grid, rows=False), FORM)
+    cells = _by_kind(_exchanged(pairs, partial(_block, grid=grid)), "cells")
+    _freed(spark)
+    dishes = written(_exchanged(cells("dish").union(cells("single")), partial(_dishes, grid=grid)), "dishes")
+    rooms = written(_exchanged(cells("before").union(_only(dishes, "count")), _rooms), "rooms")
+    values, times = _summed(rooms, "customers")
+    n, v = int((values * times).sum()), int(times.sum())
+    answers = written(_exchanged(_only(rooms, "rooms").union(_only(dishes, "tables")), _answers), "answers")
+    tables, tables_times = _summed(answers, "histogram")
+    # At first each cell has one table.
+    once, twice = (int(times[values == k].sum()) for k in (1, 2))
+    g = {"d": 0.5, "d0": _discount(once, twice), "s": 1.0, "s0": 1.0, "C0": float((tables * tables_times).sum()), "T0": float(v), "base": 0.5 / v, "N": float(n), "v": v}
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        steps, keep = (BURN_IN + SAMPLES, SAMPLES) if last else (BURN_IN, 1)
+        seats = written(_exchanged(_only(dishes, "dishes").union(answers.filter("kind = 'answer'")), partial(_seat, grid=grid, g=g, steps=steps, keep=keep, stage=k, last=last)), "seats")
+        totals = _only(seats, "total").select("a", "b", "c").orderBy("src").collect()
+        total = sum(_unpack(bytes(r["a"])) for r in totals)
+        dropped(answers)
+        if last:
+            break
+        answers = written(_exchanged(_only(rooms, "rooms").union(_only(seats, "tables")), _answers), "answers")
+        tables, tables_times = _summed(answers, "histogram")
+        dropped(seats)
+        side = TELLING + 1
+        taken = []
+        for f in "bc":
+            x = sum(_unpack(bytes(r[f])) for r in totals)
+            taken.append({(int(i) // side, int(i) % side): int(x[i]) for i in np.flatnonzero(x)})
+        g = g | {"C0": float(total[1]), "T0": float(total[0])}
         chance = _uniform(np.arange(4), np.full(4, CONTEXTS + 1), k).tolist()
-        g["s"], g["d"] = draw_parameters(g["s"], g["d"], c_u, t_u, seats[0], (chance[0], chance[1]))
-        g["s0"], g["d0"] = draw_parameters(g["s0"], g["d0"], np.array([g["C0"]]), np.array([g["T0"]]), seats[1], (chance[2], chance[3]))
-    rows = written(map_batches(dishes, partial(_model, g=spark.sparkContext.broadcast(g)), "w long, c long, root double, customers double, us array<int>, parts array<double>"), "model")
+        g["s"], g["d"] = draw_parameters(g["s"], g["d"], values, tables, taken[0], (chance[0], chance[1]), (times, tables_times))
+        g["s0"], g["d0"] = draw_parameters(g["s0"], g["d0"], np.array([g["C0"]]), np.array([g["T0"]]), taken[1], (chance[2], chance[3]))
     # What the averaged counts leave is the mass of new tables: so every restaurant's probabilities sum to one.
-    taken = rows.select(F.explode(F.arrays_zip("us", "parts")).alias("x")).groupBy("x.us").agg(F.sum("x.parts")).collect()
-    gamma = np.ones(CONTEXTS)
-    for u, x in taken:
-        gamma[u] = 1.0 - x
-    root, customers = rows.agg(F.sum("root"), F.sum("customers")).first()
-    fresh = 1.0 - root / (g["s0"] + customers)
-    rows = rows.withColumn("root", F.col("root") / F.lit(g["s0"] + customers) + F.lit(0.5 * fresh / v)).drop("customers")
-    return Model(rows, n, v, contexts, gamma, 0.5 * fresh)
+    g = g | {"customers": float(total[1]), "unknown": 0.5 * (1.0 - float(total[0]) / (g["s0"] + float(total[1])))}
+    asked = _only(rooms, "rooms").union(_only(seats, "tables", "root")).union(cells("before")).union(cells("single"))
+    words = written(_exchanged(asked, partial(_words, grid=grid, g=g)), "words")
+    dropped(rooms, dishes, cells("before"), cells("single"), cells("dish"))
+    _freed(spark)
+    blocks = cells("cells").union(_only(seats, "own")).union(_only(words, "restaurant", "share"))
+    return Model(grid, blocks, _only(words, "words"), g, n, v)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Rows (w, row, u, n, head): a head per text with the sums of its frequent words, and its other words with their counts."""
+def _by_chunk(out: _Sent, me: int, kind: str, chunk: int, known, base, score) -> None:
     import numpy as np
 
-    hashes, places, contexts, table, base = shared.value
-    known, ctx, dense = _Words(), _Places(*contexts, 0), _Places(hashes, places, -1)
-    head_type = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    for b in batches:
-        if len(known) > 1_000_000:
-            known, ctx, dense = _Words(), _Places(*contexts, 0), _Places(hashes, places, -1)
-        texts = utf8(b.column(3))
-        rows = np.array(b.column(0).to_pylist(), dtype=np.int64)
-        ids, bounds = known.tokens(texts)
-        u = ctx.of(known)[_before(ids)]
-        at = dense.of(known)[ids]
-        here = at >= 0
-        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        sums = lambda x: np.bincount(text[here], weights=x, minlength=len(texts)).astype(np.float64)  # noqa: B023, E731
-        score, base_sum, n_known = sums(table[at[here], u[here]].astype(np.float64)), sums(base[at[here]]), np.bincount(text[here], minlength=len(texts))
-        heads = pa.StructArray.from_arrays(
-            [b.column(1), b.column(2), pa.array(np.diff(bounds)), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(score)], fields=list(head_type)
-        )
-        m = len(texts)
-        spread = (rows * np.int64(-7046029254386353131)) ^ np.int64(0x5DEECE66D)
-        names = ["w", "row", "u", "n", "head"]
-        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(rows), pa.array(np.full(m, -1, np.int32)), pa.array(np.zeros(m, np.int32)), heads], names=names)
-        rest = np.flatnonzero(~here)
-        if len(rest):
-            key, n = np.unique((text[rest] * len(known) + ids[rest]) * CONTEXTS + u[rest], return_counts=True)
-            word, t = key // CONTEXTS % len(known), key // CONTEXTS // len(known)
-            k = len(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(known.table()[word]), pa.array(rows[t]), pa.array((key % CONTEXTS).astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(k, head_type)], names=names
-            )
-
-
-def _least_count(rows: DataFrame) -> int:
-    """The least count of a frequent word: at most DENSE words have it or more. Counts fall in classes, 16 to a power of two."""
-    by = rows.groupBy(F.floor(F.log2("c") * 16).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
-    total, least = 0, 1 << 62
-    for r in sorted(by, key=lambda r: -r["k"]):
-        total += r["n"]
-        if total > DENSE:
-            break
-        least = r["c"]
-    return least
+    out.add(me, kind, chunk, _small(known.astype(np.int64)), _pack(base), _pack(score.astype(np.float32)))
 
 
-def scored(docs: DataFrame, model: Model, held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; held_out is a condition on docs."""
+def _score(by: dict, out: _Sent, grid: Grid, g: dict, whole: float) -> None:
+    """Sums over a block's cells by text; words and words before of pairs that are not cells go to their tasks."""
+    import numpy as np
+
+    for r in by["head"]:
+        out.add(r["to"], "head", r["src"], r["a"], r["b"], r["c"], r["d"])
+    if by["cells"]:
+        (r,) = by["cells"]
+        words, k, us, at, n = _of_cells(r)
+        word = np.repeat(np.arange(len(words)), k)
+        own = (n - g["d"]).astype(np.float32)
+        task = grid.task(words)[word]
+        for x in by["own"]:
+            own[np.flatnonzero((n > 1) & (task == x["src"]))] = _unpack(x["a"])
+
+        def told(kind, h):
+            order = np.lexsort((h, grid.task(h)))
+            a, b = (np.concatenate([_unpack(x[f]) for x in by[kind]]).astype(np.float64) for f in "ab")
+            c, y = np.empty(len(h)), np.empty(len(h))
+            c[order], y[order] = a, b
+            return c, y
+
+        (c_u, weight), (c, root) = told("restaurant", us), told("share", words)
+        p = np.log10(own / (g["s"] + c_u[at]) + weight[at] * root[word]).astype(np.float32).astype(np.float64)
+        base, cell = np.log10((c + 0.1) / whole), word * len(us) + at
+    missing = []
+    for number, r in enumerate(by["query"]):
+        qw, qk, qu, qat, qn = _of_cells(r)
+        rows = _unpack(r["f"]).astype(np.int64)
+        m = int(rows.max()) + 1
+        if by["cells"]:
+            wi, ui = np.searchsorted(words, qw), np.searchsorted(us, qu)
+            w_in, u_in = words[np.minimum(wi, len(words) - 1)] == qw, us[np.minimum(ui, len(us) - 1)] == qu
+            wi, w_in = np.repeat(wi, qk), np.repeat(w_in, qk)
+            key = np.where(w_in & u_in[qat], wi * len(us) + ui[qat], -1)
+            place = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
+            found = cell[place] == key
+            hit = np.repeat(found, qn)
+            mine, pair = rows[hit], np.repeat(place[found], qn[found])
+            _by_chunk(out, r["to"], "sums", r["src"], np.bincount(mine, minlength=m), np.bincount(mine, weights=base[word[pair]], minlength=m), np.bincount(mine, weights=p[pair], minlength=m))
+        else:
+            found, hit = np.zeros(len(qn), bool), np.zeros(len(rows), bool)
+        if not found.all():
+            lost = ~found
+            n = qn[lost]
+            missing.append((np.repeat(np.repeat(qw, qk)[lost], n), np.repeat(qu[qat[lost]], n), np.full(int(n.sum()), number), rows[~hit]))
+    if missing:
+        w, u, chunk, rows = (np.concatenate(x) for x in zip(*missing, strict=True))
+        chunks = np.array([r["src"] for r in by["query"]])
+        for kind, h in (("lost word", w), ("lost before", u)):
+            for task, k in _split(grid.task(h)):
+                k = k[np.lexsort((rows[k], chunk[k], h[k]))]
+                some, i = np.unique(chunk[k], return_inverse=True)
+                out.add(task, kind, by["query"][0]["to"], _hashes(h[k]), _small(i), _small(rows[k]), _pack(chunks[some]))
+
+
+def _lost(by: dict, out: _Sent, g: dict, whole: float) -> None:
+    """Of pairs that are not cells: the weight of the root after the word before, and the share of the word in the root, by text."""
     import numpy as np
 
-    spark = docs.sparkSession
-    whole = model.n + 0.1 * (model.v + 1)
-    hashes = np.zeros(0, np.int64)
-    table, base = np.zeros((0, CONTEXTS), np.float32), np.zeros(0)
-    if model.rows is not None:
-        top = model.rows.filter(F.col("c") >= F.lit(_least_count(model.rows))).toArrow()  # at most DENSE rows of CONTEXTS cells
-        hashes = top.column("w").to_numpy()
-        us = top.column("us").combine_chunks()
-        parts = top.column("parts").combine_chunks()
-        k = np.repeat(np.arange(len(hashes)), np.diff(us.offsets.to_numpy()))
-        root, at_u, own = top.column("root").to_numpy(), us.flatten().to_numpy(), parts.flatten().to_numpy()
-        table = np.empty((len(hashes), CONTEXTS), np.float32)
-        for a in range(0, len(hashes), 4096):  # in stretches, so that the driver holds the table once
-            p = np.outer(root[a : a + 4096], model.gamma)
-            i, j = np.searchsorted(k, [a, a + 4096])
-            p[k[i:j] - a, at_u[i:j]] += own[i:j]
-            table[a : a + 4096] = np.log10(p)
-        base = np.log10((top.column("c").to_numpy() + 0.1) / whole)
-    order = np.argsort(hashes)
-    shared = spark.sparkContext.broadcast((hashes[order], order, model.contexts, table, base))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(docs).alias("text"))
-    schema = "w long, row long, u int, n int, head struct<doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, score: double>"
-    parts = map_batches(rows, partial(_scored, shared=shared), schema)
-    if model.rows is not None:
-        known = model.rows.select("w", "c", "root", "us", "parts")
-        parts = parts.join(known, "w", "left")
-    else:
-        parts = parts.select("*", F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("root"), F.lit(None).cast("array<int>").alias("us"), F.lit(None).cast("array<double>").alias("parts"))
-    c = F.coalesce("c", F.lit(0))
-    gamma = F.element_at(F.array(*[F.lit(float(x)) for x in model.gamma]), F.greatest(F.col("u"), F.lit(0)) + 1)
-    at = F.array_position("us", F.col("u"))
-    p = F.when(at > 0, F.element_at("parts", F.greatest(at, F.lit(1)).cast("int"))).otherwise(0.0) + gamma * F.coalesce("root", F.lit(float(model.unknown)))
-    word = F.col("u") >= 0
-    sums = parts.select(
-        "row",
-        "head",
-        F.when(word & (c > 0), F.col("n")).otherwise(0).cast("long").alias("k"),
-        F.when(word, F.col("n") * F.log10((c + 0.1) / F.lit(float(whole)))).otherwise(0.0).alias("b"),
-        F.when(word, F.col("n") * F.log10(p).cast("float").cast("double")).otherwise(0.0).alias("s"),
-    )
-    by = sums.groupBy("row").agg(F.max("head").alias("h"), F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    return by.select(
-        F.col("h.doc_id").alias("doc_id"),
-        F.col("h.held_out").alias("held_out"),
-        F.col("h.n_tokens").alias("n_tokens"),
-        (F.col("h.n_known") + F.col("k")).alias("n_known"),
-        F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("h.base") + F.col("b")).alias("base_score"),
-        (F.col("h.score") + F.col("s")).alias("score"),
-    )
+    words = np.zeros(0, np.uint64)
+    c = weight = root = np.zeros(0)
+    if by["words"]:
+        (r,) = by["words"]
+        words, c, weight, root = _of_hashes(r["a"]), *(_unpack(r[f]).astype(np.float64) for f in "bcd")
+    c, weight = np.append(c, 0.0), np.append(weight, 1.0)
+    root = np.append(root, g["unknown"])
+    parts = []
+    for kind in ("lost word", "lost before"):
+        for r in by[kind]:
+            h, chunk = _of_hashes(r["a"]), _unpack(r["d"])[_unpack(r["b"])]
+            at = np.searchsorted(words, h)
+            if len(words):
+                at = np.where(words[np.minimum(at, len(words) - 1)] == h, at, len(words))
+            if kind == "lost word":
+                parts.append((chunk, _unpack(r["c"]).astype(np.int64), c[at] > 0, np.log10((c[at] + 0.1) / whole), np.log10(root[at])))
+            else:
+                parts.append((chunk, _unpack(r["c"]).astype(np.int64), np.zeros(len(at)), np.zeros(len(at)), np.log10(weight[at])))
+    if not parts:
+        return
+    chunk, rows, known, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    me = next(r["to"] for rs in by.values() for r in rs)
+    for x, k in _split(chunk):
+        _by_chunk(out, me, "lost", x, *(np.bincount(rows[k], weights=y[k].astype(np.float64)) for y in (known, base, score)))
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _texts(table: pa.Table, n: int) -> pa.Table:
+    """The texts of a chunk with the sums over all blocks."""
+    import numpy as np
+
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["to"]))
+    (head,) = (r for r in rows if r["kind"] == "head")
+    ids, held, length, empty = (_unpack(head[f]) for f in "abcd")
+    total = [np.zeros(len(ids)) for _ in range(3)]
+    for r in rows:
+        if r["kind"] != "head":
+            for f, x in zip("abc", total, strict=True):
+                y = _unpack(r[f])
+                x[: len(y)] += y
+    columns = [pa.array(ids, mask=empty.astype(bool)), pa.array(held.astype(bool)), pa.array(length.astype(np.int64)), pa.array(total[0].astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(total[1]), pa.array(total[2])]
+    return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def scored(docs: DataFrame, model: Model, held_out) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; held_out is a condition on docs."""
+    whole, grid, n = model.n + 0.1 * (model.v + 1), model.grid, model.n
+    rows = docs.select(text_of(docs).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"))
+    asked = map_batches(rows, partial(_pairs, grid=grid, rows=True), FORM)
+    if model.cells is not None:
+        asked = asked.union(model.cells)
+    g = {k: model.g[k] for k in ("s", "d", "unknown")}
+    sums = written(_exchanged(asked, partial(_score, grid=grid, g=g, whole=whole)), "sums")
+    lost = _only(sums, "lost word", "lost before")
+    if model.words is not None:
+        lost = lost.union(model.words)
+    lost = _exchanged(lost, partial(_lost, g=g, whole=whole))
+    return _only(sums, "head", "sums").union(lost).groupBy("src").applyInArrow(lambda table: _texts(table, n), RESULT)
 
 
 def perplexity(rows: DataFrame) -> DataFrame:

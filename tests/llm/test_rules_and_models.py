@@ -334,6 +334,56 @@ def test_scores_do_not_depend_on_the_broadcast(spark, monkeypatch):
     assert {str(r) for r in pitman_yor.scored(docs, model, F.lit(False)).select("doc_id", "n_tokens", F.round("score", 5)).collect()} == whole
 
 
+def test_every_word_before_has_its_restaurant(spark):
+    """300 words before, each followed by one word only, in texts where all words are equally frequent: what follows is expected after its own word and nowhere else."""
+    pairs = [(f"a{k}", f"b{k}") for k in range(300)]
+    texts = [" ".join(f"{a} {b}" for a, b in pairs[i % 30 :: 30]) for i in range(600)]
+    model = pitman_yor.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    probes = [*(f"{a} {b}" for a, b in pairs), *(f"{a} {pairs[(k + 7) % 300][1]}" for k, (a, _) in enumerate(pairs))]
+    df = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in pitman_yor.scored(df, model, F.lit(False)).collect()}
+    assert len(s) == 600 and all(s[k] > s[300 + k] + 1.5 for k in range(300))
+
+
+@pytest.mark.parametrize("block", [4096, 32 << 20])
+def test_scores_follow_the_definition(spark, monkeypatch, block):
+    """Scores from the model's own tables, word by word: what a restaurant has of a dish, and its weight of the root's share."""
+    import numpy as np
+    import xxhash
+
+    monkeypatch.setattr(pitman_yor, "BLOCK", block)
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % (20 + i)}" for k in range(i % 30))) for i in range(150)]
+    docs = frame(spark, rows)
+    held = remainder(docs["doc_id"], 10) == 0
+    model = pitman_yor.train(docs.filter(~held))
+    name = lambda w: xxhash.xxh64_intdigest(w, 0)
+    of, un = pitman_yor._of_hashes, pitman_yor._unpack
+    weight, root, own, c_u = {}, {}, {}, {}
+    for r in model.words.collect():
+        for w, c, x, y in zip(of(bytes(r["a"])).tolist(), *(un(bytes(r[f])).tolist() for f in "bcd"), strict=True):
+            c_u[w], weight[w], root[w] = c, x, y
+    got = [r.asDict() | {f: bytes(r[f]) if r[f] is not None else None for f in "abcdef"} for r in model.cells.collect()]
+    for r in (x for x in got if x["kind"] == "cells"):
+        words, k, us, at, n = pitman_yor._of_cells(r)
+        w, u = np.repeat(words, k), us[at]
+        left = {x["src"]: un(x["a"]).tolist() for x in got if x["kind"] == "own" and x["to"] == r["to"]}
+        for a, b, m in zip(w.tolist(), u.tolist(), n.tolist(), strict=True):
+            own[b, a] = left[a % model.grid.tasks].pop(0) if m > 1 else 1 - model.g["d"]
+        assert not any(left.values())
+    chains = {i: [name(w) for w in [b"\n", *t.encode().split(), b"\n"]] for i, t in rows}
+    seen = collections.Counter(p for i, x in chains.items() if zlib.crc32(str(i).encode()) % 10 for p in zip(x, x[1:], strict=False))
+    assert set(own) == set(seen) and all(0 < own[p] < n for p, n in seen.items())
+    g = model.g
+    for r in pitman_yor.scored(docs, model, held).collect():
+        x = chains[r["doc_id"]]
+        want = sum(math.log10(own.get((u, w), 0.0) / (g["s"] + c_u.get(u, 0)) + weight.get(u, 1.0) * root.get(w, g["unknown"])) for u, w in zip(x, x[1:], strict=False))
+        assert r["score"] == pytest.approx(want, rel=1e-5, abs=1e-5)
+    assert any((u, w) not in own for x in chains.values() for u, w in zip(x, x[1:], strict=False))
+    for u in weight:  # each restaurant's probabilities sum to one
+        assert sum(x for (b, _), x in own.items() if b == u) / (g["s"] + c_u[u]) + weight[u] == pytest.approx(1.0, abs=1e-6)
+    assert sum(root.values()) + g["unknown"] == pytest.approx(1.0, abs=1e-6)
+
+
 def test_language_model_of_nothing(spark):
     docs = frame(spark, ODD)
     none = pitman_yor.train(docs.limit(0))
