@@ -39,9 +39,14 @@ def written_by(df: DataFrame, name: str, *columns: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared one."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables made by written() that nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, df._scratch_path)

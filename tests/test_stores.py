@@ -154,6 +154,42 @@ def test_set_join_deals_no_texts_to_find_copies(spark):
     assert sorted((r["class"], r["block"] or "", *r["x"]) for r in classes.collect()) == [(1, "a", "x", "y"), (3, "", "x")]
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1.0])
+def test_set_join_of_many_chunks_deals_no_pairs(spark, monkeypatch, threshold):
+    """Pairs of chunks are compared whole, so nothing is met by token and dealt; tokens of one number get others."""
+    monkeypatch.setattr(setjoin, "CHUNK_SETS", 7)
+    monkeypatch.setattr(setjoin, "CHUNK_TOKENS", 40)
+    given = setjoin._number
+    monkeypatch.setattr(setjoin, "_number", lambda token, salt: F.length(token).cast("long") if salt == 0 else given(token, salt))
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abcdef") if i % 3 else "g", [str(x) for x in rng.sample(range(9 if i % 5 else 90), rng.randrange(1, 9))]) for i in range(150)]
+    rows.append((150, "g", [str(x) for x in range(60)]))
+    sets = spark.createDataFrame(rows, "class long, block string, x array<string>")
+    chunks = setjoin._chunks(sets)
+    assert chunks.count() >= 150 / 7 and chunks.agg(F.max("most")).first()[0] == 60
+    pairs = setjoin.similar_classes(sets, threshold)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = {(i, j, alike(x, y)) for (i, g, x), (j, h, y) in itertools.combinations(rows, 2) if g == h and alike(x, y) >= threshold}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(("dense", "slice_", "steps"), [(0, 3, 2), (4, 5, 7), (1 << 40, 64, 1 << 20)])
+def test_shared_tokens_counted_or_multiplied(monkeypatch, dense, slice_, steps):
+    for name, value in (("DENSE", dense), ("SLICE", slice_), ("STEPS", steps)):
+        monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(8)
+    side = lambda n: sorted(([*rng.sample(range(-9, 9 if k % 2 else 40), rng.randrange(1, 12))] for k in range(n)), key=len)
+    flat = lambda x: (np.array([len(s) for s in x]), np.array([t for s in x for t in s], np.int64))
+    x, y = side(20), side(31)
+    for left, right, same in ((x, y, False), (x, x, True)):
+        got = {(int(i), int(j), float(s)) for a, b, c in setjoin._shared(flat(left), flat(right), 0.3, same) for i, j, s in zip(a, b, c, strict=True)}
+        alike = lambda s, t: len({*s} & {*t}) / len({*s} | {*t})
+        assert got == {(i, j, alike(s, t)) for i, s in enumerate(left) for j, t in enumerate(right) if alike(s, t) >= 0.3 and (i < j or not same)}
+    assert not [*setjoin._shared(flat([[1]]), flat([[2]]), 0.3, False)]
+
+
 def test_running_sums_across_ranges(spark):
     rows = [(k, i, (i * 7) % 5) for k in (None, 1, 2) for i in range(400 if k == 1 else 9)]
     df = spark.createDataFrame(rows, "k long, i long, n long")
