@@ -95,6 +95,25 @@ def conflict(a: Column, b: Column, similarity: Column, threshold: float = 0.6) -
     return F.when(opposed(a, b), level).when((similarity > threshold) & (similarity < 0.95) & apart, "minor")
 
 
+#: Subjects of a statement that its traits hold: the first ones in order, so statements that share many are likely to share one of these.
+FIRST_SUBJECTS = 8
+
+
+def traits(t: Column) -> Column:
+    """What conflict() asks of one statement, but for all its subjects: which of the opposed words it has, whether it recommends and has subjects, and the first of these."""
+    low, s = F.lower(t), subjects(t)
+    bits = lambda side: sum(((low.contains(w[side])).cast("int") * (1 << k) for k, w in enumerate(OPPOSED)), F.lit(0))
+    return F.struct(bits(0).alias("pos"), bits(1).alias("neg"), (has_any(low, RECOMMENDS) & (F.size(s) > 0)).alias("advises"), F.slice(F.array_sort(s), 1, FIRST_SUBJECTS).alias("first"))
+
+
+def conflict_by_traits(a: Column, b: Column, similarity: Column, threshold: float = 0.6) -> tuple[Column, Column]:
+    """(severity, open): conflict() of two statements by their traits; open where it takes their texts to tell, as their first subjects differ."""
+    level = F.when(similarity > 0.7, "major").when(similarity > 0.5, "moderate").otherwise("minor")
+    against = (a["pos"].bitwiseAND(b["neg"]) != 0) | (a["neg"].bitwiseAND(b["pos"]) != 0)
+    may = (similarity > threshold) & (similarity < 0.95) & a["advises"] & b["advises"]
+    return F.when(against, level), ~against & may & ~F.arrays_overlap(a["first"], b["first"])
+
+
 def length_feature(t: Column, most: int = 2000) -> Column:
     return F.least(F.log(F.length(t) + 1.0) / F.log(F.lit(most + 1.0)), F.lit(1.0))
 

@@ -16,6 +16,7 @@ from ..operators import planning as L
 from ..operators import retrieval as R
 from ..operators import sequences as Q
 from ..operators import setjoin as J
+from ..sources.scratch import dropped, written
 from .registry import query
 
 c = F.col
@@ -126,6 +127,35 @@ ALIKE = f"t0 AS (SELECT id, domain, {TOK.format(x='solution')} AS t FROM pattern
 GATE = PAIRS.replace("FROM s0 a JOIN s0 b ON a.id = b.parent_id AND split_part(a.domain, '.', 1) = split_part(b.domain, '.', 1))", "FROM c0 JOIN s0 a ON a.id = c0.a JOIN s0 b ON b.id = c0.b)")
 
 
+def _read_advice(pairs, advice):
+    """(a, b, sim, severity) of pairs (a, b) from their texts."""
+    one = lambda k, name: advice.select(c("id").alias(k), c("s").alias(name))
+    p = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").withColumn("sim", T.jaccard(T.tokens(c("x")), T.tokens(c("y"))))
+    return p.select("a", "b", "sim", W.conflict(c("x"), c("y"), c("sim")).alias("severity"))
+
+
+def _alike_advice(alike, advice):
+    """(a, b, sim, severity) of pairs (a, b, similarity of solutions): texts are read once for their traits and meet only where these leave a pair open."""
+    ids = written(alike.select(c("a").alias("id")).unionByName(alike.select(c("b").alias("id"))).distinct(), "ids")
+    x = T.tokens(c("solution"))
+    # What the word before it adds to a solution's words.
+    word = F.when(c("success"), "use").otherwise("avoid")
+    of = advice.join(ids, "id", "left_semi").withColumn("x", x).select("id", F.size("x").alias("n"), "success", F.array_contains("x", "use").alias("use"), F.array_contains("x", "avoid").alias("avoid"), F.array_contains("x", word).alias("own"), W.traits(c("s")).alias("traits"))
+    of = written(of, "traits")
+    side = lambda k: of.select(c("id").alias(k), F.struct(*[m for m in of.columns if m != "id"]).alias(f"of_{k}"))
+    p = alike.join(side("a"), "a").join(side("b"), "b")
+    u, v = c("of_a"), c("of_b")
+    both = F.round(c("similarity") * (u["n"] + v["n"]) / (1 + c("similarity"))).cast("int")
+    has = lambda other, own: F.when(own["success"], other["use"]).otherwise(other["avoid"])
+    more = F.when(u["success"] == v["success"], (~(u["own"] & v["own"])).cast("int")).otherwise((has(v, u) & ~u["own"]).cast("int") + (has(u, v) & ~v["own"]).cast("int"))
+    p = p.withColumn("both", both + more).withColumn("all", u["n"] + v["n"] + (~u["own"]).cast("int") + (~v["own"]).cast("int") - c("both"))
+    p = p.withColumn("sim", c("both") / c("all").cast("double"))
+    severity, left = W.conflict_by_traits(u["traits"], v["traits"], c("sim"))
+    p = written(p.select("a", "b", "sim", severity.alias("severity"), left.alias("left")), "advice")
+    left = written(p.where("left").select("a", "b"), "left")
+    return p.where("NOT left").select("a", "b", "sim", "severity").unionByName(_read_advice(left, advice))
+
+
 @query(
     "write_gate",
     f"""WITH {ALIKE}, {GATE}, n AS (SELECT *, row_number() OVER (PARTITION BY b, severity IS NULL ORDER BY a) AS k FROM g),
@@ -136,13 +166,20 @@ SELECT id, conflicts, supports, round(energy, 6) AS energy, CASE WHEN conflicts
 def write_gate(t):
     """Every pattern against those before it that it may contradict: its parent's advice, and advice of its domain alike by 0.3. At most ten conflicts count."""
     sets, member = J.classes(t.patterns.select("id", "domain", T.tokens(c("solution")).alias("x")), "domain")
-    alike = J.expanded(J.similar_classes(sets, 0.3), member).select("a", "b")
-    advice = t.patterns.select("id", "parent_id", T.domain_root(c("domain")).alias("root"), F.concat(F.when(c("success"), "use ").otherwise("avoid "), "solution").alias("s"))
-    up = advice.select(c("id").alias("a"), c("root").alias("of"))
-    parents = advice.join(up, (c("parent_id") == c("a")) & (c("root") == c("of"))).select("a", c("id").alias("b"))
-    one = lambda k, name: advice.select(c("id").alias(k), c("s").alias(name))
-    p = alike.unionByName(parents).distinct().join(one("a", "x"), "a").join(one("b", "y"), "b")
-    p = p.withColumn("sim", T.jaccard(T.tokens(c("x")), T.tokens(c("y")))).withColumn("severity", W.conflict(c("x"), c("y"), c("sim")))
+    alike = written(J.expanded(J.similar_classes(sets, 0.3), member), "alike")
+    dropped(sets, member)
+    advice = t.patterns.select("id", "parent_id", T.domain_root(c("domain")).alias("root"), "success", "solution", F.concat(F.when(c("success"), "use ").otherwise("avoid "), "solution").alias("s"))
+    # Rows that share an id are pairs of their own each; all others have the text that their id says.
+    twice = written(advice.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "twice")
+    known = advice.join(twice, "id", "left_anti")
+    # A parent and its children meet at its id: a text is dealt once as a parent's and once as a child's.
+    child = known.select(c("parent_id").alias("a"), "root", c("id").alias("b"), c("s").alias("y"))
+    kin = known.select(c("id").alias("a"), "root", c("s").alias("x")).join(child, ["a", "root"])
+    kin = kin.withColumn("sim", T.jaccard(T.tokens(c("x")), T.tokens(c("y")))).select("a", "b", "sim", W.conflict(c("x"), c("y"), c("sim")).alias("severity"))
+    all_kin = advice.select(c("id").alias("a"), "root").join(advice.select(c("parent_id").alias("a"), "root", c("id").alias("b")), ["a", "root"]).select("a", "b")
+    shared = lambda pairs: pairs.join(twice.withColumnRenamed("id", "a"), "a", "left_semi").select("a", "b").unionByName(pairs.join(twice.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    p = _alike_advice(alike, known).unionByName(kin).dropDuplicates(["a", "b"])
+    p = p.unionByName(_read_advice(shared(alike).unionByName(shared(all_kin)).distinct(), advice))
     p = p.select("b", "severity", "sim", F.row_number().over(Window.partitionBy("b", c("severity").isNull()).orderBy("a")).alias("k"))
     counts = c("severity").isNotNull() & (c("k") <= 10)
     cost = F.when(c("severity") == "major", 0.5).when(c("severity") == "moderate", 0.25).otherwise(0.1)

@@ -12,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep import plans
-from lorekeep.functions import personal
+from lorekeep.functions import personal, statements
 from lorekeep.operators import ann, cuts, detectors, fulltext, importance, paths, ranks, setjoin, textindex
 from lorekeep.operators.aggregates import variant_stats
 from lorekeep.operators.retrieval import nearest_each
+from lorekeep.plans import detail
 from lorekeep.sources import files
 from lorekeep.streaming import streams
 
@@ -190,6 +191,41 @@ def test_shared_tokens_counted_or_multiplied(monkeypatch, dense, slice_, steps):
     assert not [*setjoin._shared(flat([[1]]), flat([[2]]), 0.3, False)]
 
 
+def test_conflict_by_traits_as_by_texts(spark):
+    """What the traits of two statements say is what their texts say, and where they leave it open is said."""
+    words = ["use", "avoid", "always", "never", "should not", "sync", "async", "tables", "graphs", "indexes", "vectors", "streams", "unsafe", "the", "prefer"]
+    rng = random.Random(3)
+    rows = [(" ".join(rng.sample(words, rng.randrange(1, 7))), " ".join(rng.sample(words, rng.randrange(1, 7))), rng.choice([0.3, 0.55, 0.65, 0.8, 0.97])) for _ in range(600)]
+    rows += [("prefer " + " ".join(f"a{i:02d}x{k}" for i in range(30)), "prefer " + " ".join(f"b{i:02d}x{k}" for i in range(30)) + " zzzz" * k, 0.7) for k in (0, 1)]
+    rows += [("apply tables zzzz", "apply " + " ".join(f"a{i:02d}x" for i in range(9)) + " zzzz", 0.7)]
+    df = spark.createDataFrame(rows, "a string, b string, s double")
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    severity, left = statements.conflict_by_traits(statements.traits(a), statements.traits(b), s)
+    got = df.select(statements.conflict(a, b, s).alias("want"), severity.alias("severity"), left.alias("left")).collect()
+    assert all(r["left"] or r["want"] == r["severity"] for r in got)
+    assert {r["want"] for r in got if r["left"]} == {None, "minor"} and sum(r["left"] for r in got) < len(got) / 4
+
+
+def test_write_gate_deals_no_texts_for_alike_pairs(spark, tmp_path):
+    """Texts meet for parents and for the few pairs that traits leave open; ids of several rows stand for each of them."""
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE labels AS SELECT * FROM '/root/testdata/sf0.001/labels.parquet'")
+    # One text many times, its words in another order, alike ones, a text of several ids, and an id of several texts.
+    text = "'Use tables and never graphs ' || chr(10) || 'prefer indexes ' || CASE WHEN doc_id % 3 = 0 THEN 'always' ELSE 'streams vectors ' || (doc_id % 4) END"
+    duck.execute(f"CREATE TABLE documents AS SELECT doc_id, CASE WHEN doc_id < 60 THEN {text} ELSE text END AS text, CASE WHEN doc_id < 60 THEN 'en' ELSE lang END AS lang, CASE WHEN doc_id < 60 THEN 'src' || (doc_id % 2) ELSE source END AS source, n_chars FROM '/root/testdata/sf0.001/documents.parquet'")
+    duck.execute("INSERT INTO documents SELECT doc_id, text || ' do use', 'de', source, n_chars FROM documents WHERE doc_id IN (4, 5, 21, 70)")
+    for table in ("documents", "labels"):
+        duck.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    df = plans.QUERIES["write_gate"](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES['write_gate']})").fetchall()
+    got = [(r["id"], r["conflicts"], r["supports"], r["energy"], r["action"]) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r[1] > 2 for r in got)
+    alike = spark.createDataFrame([(0, 2, 0.5)], "a long, b long, similarity double")
+    advice = spark.createDataFrame([(k, "x", True, f"words {k}", f"use words {k}") for k in (0, 2)], "id long, root string, success boolean, solution string, s string")
+    p = detail._alike_advice(alike, advice)
+    assert [tuple(r)[:3] for r in p.collect()] == [(0, 2, 0.5)]
+
+
 def test_running_sums_across_ranges(spark):
     rows = [(k, i, (i * 7) % 5) for k in (None, 1, 2) for i in range(400 if k == 1 else 9)]
     df = spark.createDataFrame(rows, "k long, i long, n long")
