@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources.scratch import folder
 
@@ -191,47 +192,43 @@ def alerts(stream: DataFrame, rule: str, x: str, above: float | None = None, coo
     return stream.withWatermark("ts", late).groupBy(rule).transformWithStateInPandas(step, "rule string, id long", "Append", "EventTime")
 
 
-class _Versions(_Ageing):
-    """The change log of a key: its version number and fields, a snapshot every so many changes."""
+VERSIONS = "key long, version long, seq long, changed map<string, string>, gone array<string>, snapshot map<string, string>"
+#: Keys share so many states: each is read and put once a micro-batch, not once a key.
+BUCKETS = 2048
 
-    def __init__(self, every: int):
-        self.every = every
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("state", "version long, fields map<string, string>")
+def versions(stream: DataFrame, key: str, every: int = 10) -> DataFrame:
+    """Rows (key, seq, op, fields) as VERSIONS: what each change changes, with the whole state every so many versions.
+
+    A change that changes nothing makes no version. Changes of a key count in the order of seq within a micro-batch. The state of a
+    bucket of keys is one value: version number and fields of each.
+    """
+
+    def change(_, batches: Iterator, held) -> Iterator:
+        import json
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
-        rows = pd.concat(list(rows), ignore_index=True).sort_values(["seq"])
-        version, fields = self.state.get() if self.state.exists() else (0, {})
-        fields, out = dict(fields), []
-        for seq, op, new in zip(rows["seq"], rows["op"], rows["fields"], strict=True):
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["key", "seq"])
+        state = {k: (version, fields) for k, version, fields in json.loads(held.get[0])} if held.exists else {}
+        out = []
+        for k, seq, op, new in zip(rows["key"].tolist(), rows["seq"].tolist(), rows["op"], rows["fields"], strict=True):
+            version, fields = state.get(k, (0, {}))
             # Null fields of a change say nothing; a deletion empties the state.
-            new = {} if op == "delete" else {k: v for k, v in dict(new or {}).items() if v is not None}
+            new = {} if op == "delete" else {f: v for f, v in dict(new or {}).items() if v is not None}
             gone = sorted(fields) if op == "delete" else []
-            changed = {k: v for k, v in new.items() if fields.get(k) != v}
+            changed = {f: v for f, v in new.items() if fields.get(f) != v}
             if not changed and not gone:
                 continue
             version += 1
             fields = {} if op == "delete" else fields | changed
-            out.append((key[0], version, seq, changed, gone, fields if version % self.every == 0 else None))
-        self.state.update((version, fields))
+            state[k] = version, fields
+            out.append((k, version, seq, changed, gone, fields if version % every == 0 else None))
+        held.update((json.dumps([(k, *x) for k, x in state.items()]),))
         yield pd.DataFrame(out, columns=["key", "version", "seq", "changed", "gone", "snapshot"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        return iter(())
-
-
-VERSIONS = "key long, version long, seq long, changed map<string, string>, gone array<string>, snapshot map<string, string>"
-
-
-def versions(stream: DataFrame, key: str, every: int = 10) -> DataFrame:
-    """Rows (key, seq, op, fields) as VERSIONS: what each change changes, with the whole state every so many versions.
-
-    A change that changes nothing makes no version. Changes of a key count in the order of seq within a micro-batch.
-    """
-    return stream.groupBy(key).transformWithStateInPandas(_Versions(every), VERSIONS, "Append", "None")
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket"), F.col(key).cast("long").alias("key"), "seq", "op", "fields")
+    return rows.groupBy("bucket").applyInPandasWithState(change, VERSIONS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def at_version(log: DataFrame, version: int) -> DataFrame:

@@ -316,6 +316,30 @@ def test_change_log_states(spark, tmp_path):
     assert short.count() == 2 and [r["fields"] for r in streams.at_version(short, 5).collect()] == [{"c": "4"}]
 
 
+def test_keys_of_a_change_log_share_states(spark, tmp_path, monkeypatch):
+    """A micro-batch reads and puts a state for each bucket of keys, not for each key; what it gives is that of a walk key by key."""
+    monkeypatch.setattr(streams, "BUCKETS", 16)
+    rng = random.Random(4)
+    rows, log, state = [], [], {}
+    for at in range(3):
+        some = [(rng.randrange(-400, 400), at * 500 + i, rng.choice(["set", "set", "delete"]), {k: rng.choice(["x", "y", "ä\"", None]) for k in "ab"}) for i in range(500)]
+        rows.append([(*r, "2024-01-01 00:00:00") for r in some])
+        for key, seq, op, new in some:
+            version, old = state.get(key, (0, {}))
+            now = {} if op == "delete" else old | {k: v for k, v in new.items() if v is not None}
+            if now != old:
+                state[key] = version + 1, now
+                log.append((key, version + 1, seq, {k: v for k, v in now.items() if old.get(k) != v}, sorted(old.keys() - now.keys()), now if (version + 1) % 3 == 0 else None))
+    stream = streams.versions(parts(spark, tmp_path / "in", rows, "key long, seq long, op string, fields map<string, string>, ts string"), "key", 3)
+    got = []
+    q = stream.writeStream.foreachBatch(lambda batch, _: got.extend(map(tuple, batch.collect()))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "checkpoint")).start()
+    q.awaitTermination()
+    plain = lambda rows: sorted(repr([sorted(x.items()) if isinstance(x, dict) else x for x in r]) for r in rows)
+    assert plain(got) == plain(log) and len(state) > 300
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert len(states) == 3 and 0 < max(states) <= 16
+
+
 @pytest.mark.parametrize("name", ["stream_versions", "state_at_versions", "stream_error_rate", "stream_alerts", "stream_alerts_below", "stream_near_dedup"])
 def test_streams_of_uneven_files_and_tied_times(spark, tmp_path, name):
     """Sorted files of unlike size leave unlike numbers of files in the parts of a replay; events share their hours."""
