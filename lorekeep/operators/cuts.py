@@ -2,12 +2,15 @@
 
 Two nodes are joined by paths of one and two edges that share no edge; what these carry together is a lower bound of every cut
 between the two. Where it reaches the bound that is looked for (the least cut known so far, or the threshold of clusters), the
-nodes are merged, which loses no smaller cut; parallel edges add up, and the next round may merge more. What is left is cut in
+nodes are merged, which loses no smaller cut; parallel edges add up, and the next round may merge more. The first rounds look at groups of
+edges, each as a graph of its own in one task, where a merged node grows by all that is bound to it; later ones at paths of the whole graph. What is left is cut in
 one task a component, and a component that does not fit there is an error, not a wrong answer.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .planning import clustered_by_cut
 MIDDLE, FITS = 64, 200_000
 #: Paths of two edges that a round looks at; where there are more, it takes those that end at one of some nodes, at fewest one in SHARE.
 PATHS, SHARE = 2_000_000, 64
+#: Edges that a task looks at as a graph of their own, nodes of it from which it grows a merged one, and edges of a graph for which paths alone do.
+GROUP, HUBS, SMALL = 1 << 20, 16, 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -88,10 +93,141 @@ def _firm(edges: DataFrame, degrees: DataFrame, best: DataFrame, threshold: floa
     return near.join(best, "component").where(F.col("bond") >= F.col("weight") - 1e-12).select("src", "dst")
 
 
+def _groups(batches: Iterator, most: int) -> Iterator[tuple]:
+    """(nodes, src, dst, strength) of so many edges at most, src and dst as places in nodes, parallel edges added up; without strengths their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    def graph(held: list) -> tuple:
+        table = pa.Table.from_batches(held)
+        nodes, at = np.unique(np.concatenate([table[k].to_numpy() for k in ("src", "dst")]), return_inverse=True)
+        x, y = at[: table.num_rows], at[table.num_rows :]
+        pairs, of = np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y), return_inverse=True)
+        strength = table["strength"].to_numpy() if "strength" in table.column_names else None
+        return nodes, pairs // len(nodes), pairs % len(nodes), np.bincount(of, strength, len(pairs))
+
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, most - n)
+            held.append(some)
+            at, n = at + some.num_rows, n + some.num_rows
+            if n == most:
+                yield graph(held)
+                held, n = [], 0
+    if n:
+        yield graph(held)
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """(src, dst): each node of a group of edges with the least one of its component in the group, which link what the edges do."""
+    most = GROUP
+
+    def step(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for nodes, x, y, _ in _groups(batches, most):
+            label = np.arange(len(nodes))
+            while True:
+                least = np.minimum(label[x], label[y])
+                new = label.copy()
+                # What a label's tree is linked with goes to its root.
+                np.minimum.at(new, label[x], least)
+                np.minimum.at(new, label[y], least)
+                while (new[new] != new).any():
+                    new = new[new]
+                new = new[label]
+                if (new == label).all():
+                    break
+                label = new
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["src", "dst"])
+
+    kind = dict(edges.dtypes)["src"]
+    return edges.select("src", "dst").mapInArrow(step, f"src {kind}, dst {kind}")
+
+
+def _grown(n: int, x, y, w, bound: float):
+    """The node that stands for each of n nodes after those that paths of one and two edges bind to a growing one by the bound are merged with it.
+
+    What is bound to one merged node by the bound is bound to all in it, so it may be merged at once. Edges are distinct pairs.
+    """
+    import numpy as np
+
+    label = np.arange(n)
+    tried = np.zeros(n, bool)
+    for _ in range(HUBS):
+        weight = np.bincount(x, w, n) + np.bincount(y, w, n)
+        weight[tried] = 0
+        hub = int(weight.argmax())
+        if weight[hub] < bound:
+            break
+        tried[hub] = True
+        inside = np.zeros(n, bool)
+        inside[hub] = True
+        while True:
+            # Edges between the merged node and others, and those that go on from there.
+            out, back = inside[x] & ~inside[y], inside[y] & ~inside[x]
+            near = np.bincount(y[out], w[out], n) + np.bincount(x[back], w[back], n)
+            far = ~inside[x] & ~inside[y]
+            u, v, s = x[far], y[far], w[far]
+            bond = near + np.bincount(v, np.minimum(near[u], s), n) + np.bincount(u, np.minimum(near[v], s), n)
+            new = (bond >= bound) & ~inside
+            if not new.any():
+                break
+            inside |= new
+        label[inside[label]] = hub
+        x, y = np.where(inside[x], hub, x), np.where(inside[y], hub, y)
+        pairs, of = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_inverse=True)
+        w = np.bincount(of, w, len(pairs))
+        x, y = pairs // n, pairs % n
+        x, y, w = x[x != y], y[x != y], w[x != y]
+        if not len(x):
+            break
+    return label
+
+
+def _local(edges: DataFrame, bound: float) -> DataFrame:
+    """(merged, src, dst, strength): groups of edges with what the bound binds in a group merged; where merged is true, src goes with dst.
+
+    A group is a part of the graph, and what no small cut parts in it none parts in the whole.
+    """
+
+    most = GROUP
+
+    def step(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for nodes, x, y, w in _groups(batches, most):
+            # Sums of strengths are as good as their order lets them be.
+            label = _grown(len(nodes), x[x != y], y[x != y], w[x != y], bound + 1e-9)
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            left = label[x] != label[y]
+            pairs, of = np.unique(np.minimum(label[x], label[y])[left] * len(nodes) + np.maximum(label[x], label[y])[left], return_inverse=True)
+            src, dst = np.concatenate([moved, pairs // len(nodes)]), np.concatenate([label[moved], pairs % len(nodes)])
+            strength = np.concatenate([np.zeros(len(moved)), np.bincount(of, w[left], len(pairs))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(src)) < len(moved)), pa.array(nodes[src]), pa.array(nodes[dst]), pa.array(strength)], names=["merged", "src", "dst", "strength"])
+
+    kind = dict(edges.dtypes)["src"]
+    return edges.select("src", "dst", "strength").mapInArrow(step, f"merged boolean, src {kind}, dst {kind}, strength double")
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """A written table of edges by their least ends, in which those of a group are likely to be of one part of the graph."""
+    ends = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "strength")
+    return written(ends.repartitionByRange(edges.count() // GROUP + 1, "src", "dst"), "cut-edges")
+
+
 def _closed(edges: DataFrame, threshold: float | None, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """((component, src, dst, strength) left, (component, node, label) of all nodes, (component, weight, side) of the least single node met)."""
-    table = written(_merged(edges), "cut-edges")
-    label = components(table).select("node", F.col("label").alias("component"))
+    given = written(edges.select("src", "dst", F.col("strength").cast("double").alias("strength")), "cut-given")
+    by_groups = given.count() > SMALL
+    table = _in_order(given) if by_groups else written(_merged(given), "cut-edges")
+    links = written(_linked(table), "links")
+    label = components(links).select("node", F.col("label").alias("component"))
+    dropped(given, links)
     place = written(label.select("component", "node", F.col("node").alias("label")), "cut-places")
     e, best, whole = table.where("src <> dst"), None, False
     for _ in range(most):
@@ -102,21 +238,40 @@ def _closed(edges: DataFrame, threshold: float | None, most: int) -> tuple[DataF
         sized = single.join(place.groupBy("component", F.col("label").alias("node")).agg(F.count("*").alias("side")), ["component", "node"])
         known = sized.select("component", "weight", "side") if best is None else best.unionByName(sized.select("component", "weight", "side")).groupBy("component").agg(F.min(F.struct("weight", "side")).alias("m")).select("component", "m.*")
         best = written(known, "cut-bounds")
-        paths = degrees.where(F.col("n") <= MIDDLE).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
-        share = 1 if whole else max(1, min(SHARE, int(paths) // (2 * PATHS)))
-        firm = written(_firm(e, degrees, best, threshold, share), "bonds")
-        if share > 1 and firm.isEmpty():
-            share, firm = 1, written(_firm(e, degrees, best, threshold, 1), "bonds")
-        if firm.isEmpty():
-            break
+        share, firm, kept = 1, None, e
+        if by_groups:
+            # One bound for all components: what the largest binds, each binds.
+            bound = threshold if threshold is not None else best.agg(F.max("weight")).first()[0]
+            met = written(_local(e, bound), "groups") if bound is not None else None
+            if met is not None and not met.where("merged").isEmpty():
+                firm, kept = met.where("merged").select("src", "dst"), met.where("NOT merged").select("src", "dst", "strength")
+            else:
+                by_groups, table2 = False, written(_merged(e), "cut-edges")
+                dropped(table, *([] if met is None else [met]))
+                table = e = kept = table2
+        if firm is None:
+            paths = degrees.where(F.col("n") <= MIDDLE).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+            share = 1 if whole else max(1, min(SHARE, int(paths) // (2 * PATHS)))
+            met = firm = written(_firm(e, degrees, best, threshold, share), "bonds")
+            if share > 1 and firm.isEmpty():
+                share, met = 1, written(_firm(e, degrees, best, threshold, 1), "bonds")
+                dropped(firm)
+                firm = met
+            if firm.isEmpty():
+                break
         to = components(firm)
         name = lambda k: to.select(F.col("node").alias(k), F.col("label").alias(f"to_{k}"))  # noqa: B023, E731
-        moved = e.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"), "strength")
+        moved = kept.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"), "strength")
         table2 = written(_merged(moved.where("src <> dst")), "cut-edges")
         place2 = written(place.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("component", "node", F.coalesce("to", "label").alias("label")), "cut-places")
-        # A share that merges little is not worth a further round: the next one takes all paths.
-        whole = share == 1 or 2 * table2.count() > e.count()
-        dropped(table, place, degrees, firm, to)
+        # A share, or groups, that merge little are not worth a further round: the next one takes all paths.
+        n = table2.count()
+        little = 2 * n > e.count()
+        whole, by_groups = not by_groups and (share == 1 or little), by_groups and not little and n > SMALL
+        if by_groups:
+            given, table2 = table2, _in_order(table2)
+            dropped(given)
+        dropped(table, place, degrees, met, to)
         table, e, place = table2, table2, place2
         if e.isEmpty():
             break

@@ -528,6 +528,36 @@ def test_cuts_by_a_share_of_the_paths(spark, monkeypatch):
     assert {tuple(r) for r in cuts.components(chain).collect()} == {(k, 0) for k in range(201)} | {(500, 500), (600, 600), (601, 600)}
 
 
+def test_cuts_by_groups_of_edges(spark, monkeypatch):
+    """A large graph is first contracted group by group, in tasks that see a part of its edges each; the cut is that of the whole."""
+    from lorekeep.operators import graph
+
+    monkeypatch.setattr(cuts, "SMALL", 0)
+    monkeypatch.setattr(cuts, "GROUP", 300)
+    met, local = [], cuts._local
+    monkeypatch.setattr(cuts, "_local", lambda e, bound: (met.append((e.count(), local(e, bound).where("NOT merged").count())), local(e, bound))[1])
+    rng = random.Random(6)
+    # Two dense halves with few edges between them, parallel ones, a loop, and a small component of its own.
+    edges = [(1000 * h + 100 + p, 1000 * h + s, round(rng.uniform(0.3, 0.9), 3)) for h in (0, 1) for p in range(60) for s in rng.sample(range(20), 11)]
+    edges += [(3, 1105, 0.4), (1105, 3, 0.4), (104, 1008, 0.7), (7, 7, 5.0)] + [(5000, 5001, 0.2), (5001, 5002, 0.9), (5002, 5000, 0.1)]
+    df = spark.createDataFrame(edges, "src long, dst long, strength double")
+    got = {r["component"]: (r["weight"], r["smaller_side"], r["nodes"]) for r in cuts.least_cuts(df).collect()}
+    one = graph.min_cut(df.where("src < 5000 AND src <> dst").withColumn("component", F.lit(0).cast("long")), "component").first()
+    assert one["weight"] == 1.5 and got == {0: (1.5, 80, 160), 5000: (0.3, 1, 3)}
+    assert met[0][0] == len(edges) - 1 and met[0][1] < met[0][0] / 2
+    # What a merged node takes in is held to it by the bound in every cut.
+    for seed in range(40):
+        rng = random.Random(seed)
+        pairs = rng.sample(list(itertools.combinations(range(7), 2)), rng.randrange(6, 20))
+        x, y = np.array(pairs).T
+        w = np.array([rng.choice([0.25, 0.5, 1.0]) for _ in pairs])
+        label = cuts._grown(7, x, y, w, 1.0)
+        for cut in range(1, 64):
+            side = np.array([cut >> k & 1 for k in range(7)])
+            if w[side[x] != side[y]].sum() < 1.0 - 1e-9:
+                assert all(side[k] == side[label[k]] for k in range(7))
+
+
 def test_clamped_steps_across_ranges(spark):
     rng = random.Random(4)
     rows = [(k, i, rng.choice([0.3, -0.45, 0.05, -0.1])) for k in ("a", "b") for i in range(700 if k == "a" else 5)]
